@@ -39,13 +39,20 @@ def is_time(dt: T.DataType) -> bool:
     return isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
+ROUND_NUDGE = 0.00737
+
+
 def present(df: DataFrame, digits: int = 6) -> DataFrame:
     """Presentation for result comparison: doubles rounded, timestamps as text."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            # round(x * 10^d + nudge) / 10^d, written the same way in the SQL oracle:
+            # exact decimal ties (means of 2-decimal data) are common, and summation
+            # order moves them by an ulp; the nudge keeps both engines on one side.
+            scale = float(10 ** digits)
+            c = F.round(c.cast("double") * F.lit(scale) + F.lit(ROUND_NUDGE)) / F.lit(scale)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         out.append(c.alias(f.name))

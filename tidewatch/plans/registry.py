@@ -45,7 +45,7 @@ def floor_sql(expr: str, seconds: int) -> str:
 
 
 def r6(expr: str) -> str:
-    return f"round(cast({expr} as double), 6)"
+    return f"(round(cast({expr} as double) * 1e6 + 0.00737) / 1e6)"
 
 
 def qi(name: str) -> str:

@@ -13,7 +13,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
+    if ":" not in path.split("/")[0]:
         return os.path.exists(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
