@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 _MARGIN = 3.0  # bracket half-width in units of the sketch's rank error
+# groups up to this many rows times the accuracy are ranked whole (bounded work
+# per task); above it the bracket is at least 3 * _SMALL ranks wide on each side
+_SMALL = 5
 
 
 def _positions_table(base: DataFrame, g: list[str], probs: list[float], pos_fn,
@@ -30,9 +33,10 @@ def _positions_table(base: DataFrame, g: list[str], probs: list[float], pos_fn,
         F.percentile_approx("_o", pcts, accuracy).alias("_ap"),
     )
     cols = [F.col(c) for c in g] + [F.col("_n")]
+    small = F.col("_n") <= F.lit(_SMALL * accuracy)
     for i in range(len(probs)):
-        cols.append(F.col("_ap")[2 * i].alias(f"_lo{i}"))
-        cols.append(F.col("_ap")[2 * i + 1].alias(f"_hi{i}"))
+        cols.append(F.when(small, F.lit(None)).otherwise(F.col("_ap")[2 * i]).alias(f"_lo{i}"))
+        cols.append(F.when(small, F.lit(None)).otherwise(F.col("_ap")[2 * i + 1]).alias(f"_hi{i}"))
         for j, pos in enumerate(pos_fn(F.col("_n"), probs[i])):
             cols.append(pos.cast("long").alias(f"_p{i}_{j}"))
     return stats.select(*cols)
@@ -54,7 +58,8 @@ def _select_positions(base: DataFrame, g: list[str], ties: list[str], probs: lis
                          *[F.lit(None).cast(base.schema[t].dataType).alias(t) for t in ties])
         inside = F.struct(F.lit(i).alias("i"), F.lit(False).alias("below"), F.col("_o").alias("o"),
                           *[F.col(t).alias(t) for t in ties])
-        tags.append(F.when(F.col("_o") < lo, below).when(F.col("_o") <= hi, inside))
+        tags.append(F.when(lo.isNotNull() & (F.col("_o") < lo), below)
+                    .when(hi.isNull() | (F.col("_o") <= hi), inside))
     tagged = joined.select(*g, F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("t"))
     counted = tagged.groupBy(*g, "t").agg(F.count(F.lit(1)).alias("_c"))
     counted = counted.select(*g, F.col("t.i").alias("_i"), F.col("t.below").alias("_below"),
@@ -84,7 +89,8 @@ def _select_positions(base: DataFrame, g: list[str], ties: list[str], probs: lis
         sub = base.join(bad, g, "left_semi")
         wr = Window.partitionBy(*g).orderBy(F.col("_o").asc(), *[F.col(t).asc() for t in ties])
         exact = sub.withColumn("_pos", F.row_number().over(wr) - 1)
-        exact = exact.join(missing, [*g, "_pos"]).select(*g, "_i", "_j", "_pos", "_o", *ties)
+        redo = wanted.join(bad, g, "left_semi")
+        exact = exact.join(redo, [*g, "_pos"]).select(*g, "_i", "_j", "_pos", "_o", *ties)
         found = found.join(bad, g, "left_anti").unionByName(exact)
     table.unpersist()
     return found
