@@ -53,6 +53,11 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
             # order moves them by an ulp; the nudge keeps both engines on one side.
             scale = float(10 ** digits)
             c = F.round(c.cast("double") * F.lit(scale) + F.lit(ROUND_NUDGE)) / F.lit(scale)
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType,
+                                                                (T.DoubleType, T.FloatType)):
+            scale = float(10 ** digits)
+            c = F.transform(c, lambda x: F.round(x.cast("double") * F.lit(scale) + F.lit(ROUND_NUDGE))
+                            / F.lit(scale))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         out.append(c.alias(f.name))

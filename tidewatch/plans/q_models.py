@@ -1 +1,149 @@
-"""Checks registered in the query catalog."""
+"""Checks of the neighbour joins and the models built on them (G5, G6, E7,
+E8, L5, K4) and of the Spark ML / Python-worker models (K, L) on ``vectors``
+(embeddings; ``label = 0`` is the anomaly)."""
+
+from __future__ import annotations
+
+from tidewatch.operators import neighbors as N
+from tidewatch.plans.registry import r6, r6list, register
+from tidewatch.sources.fixtures import VECTORS_SQL, vectors
+
+V = f"v as ({VECTORS_SQL})"
+EPS = 1.16
+MIN_SAMPLES = 5
+KNN_K = 5
+LOF_K = 20
+
+
+@register("g5_knn_exact", f"""with {V},
+d as (select a.vec_id as q_key, b.vec_id as r_key, list_distance(a.features, b.features) as dist
+      from v a join v b on a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by q_key order by round(dist, 9), r_key) as rank from d)
+select q_key, r_key, {r6('dist')} as dist, cast(rank as integer) as rank from r where rank <= {KNN_K}""")
+def g5_knn_exact(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return N.knn(v, v, "vec_id", "features", KNN_K, exclude_self=True)
+
+
+@register("g6_radius_join", f"""with {V}
+select a.vec_id as q_key, b.vec_id as r_key, {r6('list_distance(a.features, b.features)')} as dist
+from v a join v b on list_distance(a.features, b.features) <= {EPS}""")
+def g6_radius_join(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return N.radius_join(v, v, "vec_id", "features", EPS)
+
+
+# ---- E7 / E8 / E9: SMOTE --------------------------------------------------------------
+
+def _h15(expr, salt):
+    return f"cast(('0x' || substr(md5('42:' || cast({expr} as varchar) || '{salt}'), 1, 15)) as bigint)"
+
+
+def _u32(expr, salt):
+    return f"(cast(('0x' || substr(md5('42:' || cast({expr} as varchar) || '{salt}'), 1, 8)) as bigint) / 4294967296.0)"
+
+
+def _smote_sql(src: str, ratio: float = 0.5, k: int = 5) -> str:
+    """SMOTE over the rows of CTE ``src`` (vec_id, features, label)."""
+    return f"""cnt as (select count(*) filter (where label = 0) as nmin, count(*) filter (where label = 1) as nmaj from {src}),
+mi as (select vec_id, features, row_number() over (order by vec_id) - 1 as midx from {src} where label = 0),
+nn as (select * from (select a.vec_id as q, b.vec_id as r, row_number() over (partition by a.vec_id
+        order by round(list_distance(a.features, b.features), 9), b.vec_id) as rk
+      from mi a join mi b on a.vec_id <> b.vec_id) where rk <= least({k}, (select nmin from cnt) - 1)),
+syn as (select j, {_h15('j', ':b')} % nmin as bidx,
+        {_h15('j', ':n')} % least({k}, nmin - 1) + 1 as nb, {_u32('j', ':u')} as u
+      from cnt, range(cast(trunc(nmaj * {ratio} - nmin) as bigint)) t(j)),
+news as (select -(syn.j + 1) as vec_id,
+        list_transform(list_zip(bm.features, rm.features), lambda x: x[1] + syn.u * (x[2] - x[1])) as features,
+        0 as label from syn join mi bm on bm.midx = syn.bidx join nn on nn.q = bm.vec_id and nn.rk = syn.nb
+        join mi rm on rm.vec_id = nn.r),
+bal as (select vec_id, features, label from {src} union all select * from news)"""
+
+
+@register("e7_smote", f"with {V}, {_smote_sql('v')} select vec_id, {r6list('features')} as features, label from bal")
+def e7_smote(spark, sf_dir):
+    from tidewatch.operators.balance import smote
+    return smote(vectors(spark, sf_dir).drop("digit"), "label", "vec_id", "features", 0.5, 5)
+
+
+_UNDER_SQL = f"""vu as (select * from (select *, row_number() over (partition by label order by {_h15('vec_id', '')}, vec_id) as rn
+  from v) where label = 0 or rn <= (select cast(count(*) / 0.1 as bigint) from v where label = 0))"""
+
+
+@register("e8_undersample_then_smote", f"""with {V}, {_UNDER_SQL}, {_smote_sql('vu')}
+select vec_id, {r6list('features')} as features, label from bal""")
+def e8_undersample_then_smote(spark, sf_dir):
+    from tidewatch.operators.balance import balance
+    return balance(vectors(spark, sf_dir).drop("digit"), "label", "vec_id", "features", method="both")
+
+
+_VSPLIT = f"""vs as (select *, case when r <= floor(0.2 * n) then 'test' when r <= floor(0.4 * n) then 'val'
+  else 'train' end as split from (select *, row_number() over (partition by label order by {_h15('vec_id', '')}, vec_id) as r,
+  count(*) over (partition by label) as n from v)),
+vtrain as (select vec_id, features, label from vs where split = 'train')"""
+
+
+@register("e9_balance_train_only", f"""with {V}, {_VSPLIT}, {_smote_sql('vtrain')}
+select vec_id, {r6list('features')} as features, label, 'train' as split from bal
+union all select vec_id, {r6list('features')} as features, label, split from vs where split <> 'train'""")
+def e9_balance_train_only(spark, sf_dir):
+    from tidewatch.operators.balance import balance_train
+    from tidewatch.operators.sample import stratified_split
+    v = stratified_split(vectors(spark, sf_dir).drop("digit"), "label", "vec_id")
+    return balance_train(v, label="label", key="vec_id", vec="features", method="smote")
+
+
+# ---- L5: local outlier factor ---------------------------------------------------------
+
+@register("l5_lof_scores", f"""with {V},
+fit as (select * from v where label = 1),
+fnn as (select * from (select a.vec_id as p, b.vec_id as o, list_distance(a.features, b.features) as d,
+   row_number() over (partition by a.vec_id order by round(list_distance(a.features, b.features), 9), b.vec_id) as rk
+   from fit a join fit b on a.vec_id <> b.vec_id) where rk <= {LOF_K}),
+kd as (select p as o, d as kdist from fnn where rk = {LOF_K}),
+lrd as (select f.p, 1 / (avg(greatest(kd.kdist, f.d)) + 1e-10) as lrd from fnn f join kd on f.o = kd.o group by f.p),
+qnn as (select * from (select a.vec_id as q, b.vec_id as o, list_distance(a.features, b.features) as d,
+   row_number() over (partition by a.vec_id order by round(list_distance(a.features, b.features), 9), b.vec_id) as rk
+   from v a join fit b on true) where rk <= {LOF_K}),
+sc as (select q, avg(lrd.lrd) / (1 / (avg(greatest(kd.kdist, qnn.d)) + 1e-10)) as lof
+   from qnn join kd on qnn.o = kd.o join lrd on qnn.o = lrd.p group by q)
+select q as vec_id, {r6('lof')} as lof, {r6('lof - 1.5')} as score from sc""")
+def l5_lof_scores(spark, sf_dir):
+    """L5 + L7: novelty LOF (k=20) fitted on normal rows, scored on all rows."""
+    from pyspark.sql import functions as F
+    from tidewatch.operators.detect.lof import fit_lof
+    v = vectors(spark, sf_dir)
+    model = fit_lof(v.where(F.col("label") == 1), "vec_id", "features", LOF_K)
+    return model.score(v.select("vec_id", "features")).select("vec_id", "lof", "score")
+
+
+# ---- K4 / F10: DBSCAN -----------------------------------------------------------------
+
+_DBSCAN_SQL = f"""with recursive {V},
+pairs as (select a.vec_id as a, b.vec_id as b from v a join v b on list_distance(a.features, b.features) <= {EPS}),
+core as (select a as node from pairs group by a having count(*) >= {MIN_SAMPLES}),
+ce as (select p.a, p.b from pairs p where p.a in (select node from core) and p.b in (select node from core)),
+reach(node, comp) as (select node, node from core union select ce.b, reach.comp from reach join ce on reach.node = ce.a),
+cc as (select node, min(comp) as comp from reach group by node),
+ids as (select comp, dense_rank() over (order by comp) - 1 as cid from (select distinct comp from cc)),
+corelab as (select cc.node, ids.cid from cc join ids using (comp)),
+border as (select p.a as node, min(c.cid) as bid from pairs p join corelab c on p.b = c.node group by p.a),
+lab as (select v.vec_id, cast(coalesce(corelab.cid, border.bid, -1) as integer) as cluster
+  from v left join corelab on v.vec_id = corelab.node left join border on v.vec_id = border.node)
+"""
+
+
+def _dbscan(spark, sf_dir):
+    from tidewatch.operators.cluster import dbscan
+    return dbscan(vectors(spark, sf_dir).select("vec_id", "features"), "vec_id", "features", EPS, MIN_SAMPLES)
+
+
+@register("k4_dbscan", _DBSCAN_SQL + "select vec_id, cluster from lab")
+def k4_dbscan(spark, sf_dir):
+    return _dbscan(spark, sf_dir).select("vec_id", "cluster")
+
+
+@register("f10_cluster_sizes", _DBSCAN_SQL + "select cluster, count(*) as \"count\" from lab group by cluster")
+def f10_cluster_sizes(spark, sf_dir):
+    from tidewatch.operators.cluster import cluster_sizes
+    return cluster_sizes(_dbscan(spark, sf_dir))

@@ -50,3 +50,7 @@ def r6(expr: str) -> str:
 
 def qi(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
+
+
+def r6list(expr: str) -> str:
+    return f"list_transform({expr}, lambda x: (round(cast(x as double) * 1e6 + 0.00737) / 1e6))"
