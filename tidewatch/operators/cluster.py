@@ -25,13 +25,19 @@ from tidewatch.operators.preprocess import fit_scaler
 from tidewatch.session import ensure_checkpoint_dir
 
 
-def profile_matrix(wide: DataFrame, key: str = "entity") -> tuple[DataFrame, list[str]]:
+def standardized_profiles(wide: DataFrame, key: str = "entity") -> DataFrame:
     """K1 (+B17): every profile column, missing -> 0, standardised with the
-    population std (zero std -> 1).  Returns (key, features array) and names."""
+    population std (zero std -> 1)."""
     cols = [c for c in wide.columns if c != key]
     filled = wide.select(F.col(key), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c)
                                        for c in cols])
-    scaled = fit_scaler(filled, cols, "standard").apply(filled)
+    return fit_scaler(filled, cols, "standard").apply(filled)
+
+
+def profile_matrix(wide: DataFrame, key: str = "entity") -> tuple[DataFrame, list[str]]:
+    """K1 as (key, features array) plus the feature names."""
+    cols = [c for c in wide.columns if c != key]
+    scaled = standardized_profiles(wide, key)
     return scaled.select(key, F.array(*[F.col(f"`{c}`") for c in cols]).alias("features")), cols
 
 

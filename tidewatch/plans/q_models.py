@@ -147,3 +147,108 @@ def k4_dbscan(spark, sf_dir):
 def f10_cluster_sizes(spark, sf_dir):
     from tidewatch.operators.cluster import cluster_sizes
     return cluster_sizes(_dbscan(spark, sf_dir))
+
+
+# ---- L: detectors ---------------------------------------------------------------------
+
+def _iforest(spark, sf_dir):
+    from tidewatch.operators.detect import AnomalyDetector
+    v = vectors(spark, sf_dir)
+    det = AnomalyDetector("isolation_forest", key="vec_id", vec="features").fit(v)
+    return det, v
+
+
+@register("l2_isolation_forest_scores")
+def l2_isolation_forest_scores(spark, sf_dir):
+    """L2 + L3 + L7 (rows only: seeded random trees): 100 trees of 256 rows."""
+    det, v = _iforest(spark, sf_dir)
+    return det.score(v).select("vec_id", "label", "raw", "score")
+
+
+@register("l4_one_class_svm_scores")
+def l4_one_class_svm_scores(spark, sf_dir):
+    """L4 (rows only): random-feature one-class SVM, nu = 0.01."""
+    from tidewatch.operators.detect import AnomalyDetector
+    v = vectors(spark, sf_dir)
+    det = AnomalyDetector("one_class_svm", key="vec_id", vec="features").fit(v)
+    return det.predict(v).select("vec_id", "label", "raw", "score", "prediction")
+
+
+@register("l9_ensemble_scores")
+def l9_ensemble_scores(spark, sf_dir):
+    """L9-L12 (rows only): forest + SVM + LOF fitted on normal rows; member
+    scores, ensemble score and hard / soft votes."""
+    from pyspark.sql import functions as F
+    from tidewatch.operators.detect import AnomalyDetector, EnsembleAnomalyDetector
+    v = vectors(spark, sf_dir).select("vec_id", "features", "label")
+    ens = EnsembleAnomalyDetector([AnomalyDetector(t, key="vec_id", vec="features") for t in
+                                   ("isolation_forest", "one_class_svm", "local_outlier_factor")])
+    ens.fit(v.where(F.col("label") == 1))
+    hard = ens.predict(v).withColumnRenamed("prediction", "hard_vote")
+    soft = F.when(F.col("score") > 0, -1).otherwise(1).alias("soft_vote")
+    return hard.select("vec_id", "label", "score_0", "score_1", "score_2", "score", "hard_vote", soft)
+
+
+# L6-L8, L10-L12 on given raw scores (SQL-checkable combination logic) --------------------
+_MEMBERS = ["Flow Duration", "Destination IP", "Destination Port"]
+_C = 0.1
+
+
+def _members_sql():
+    from tidewatch.sources.fixtures import EVENT_FLOWS_SQL
+    offs = ", ".join(f"quantile_cont(\"{c}\", {1 - _C}) as o{i}" for i, c in enumerate(_MEMBERS))
+    scores = ", ".join(f"\"{c}\" - (select o{i} from offs) as s{i}" for i, c in enumerate(_MEMBERS))
+    return f"""with ef as ({EVENT_FLOWS_SQL}), offs as (select {offs} from ef),
+sc as (select flow_id, "Label", {scores} from ef),
+pr as (select *, case when s0 > 0 then -1 else 1 end as p0, case when s1 > 0 then -1 else 1 end as p1,
+  case when s2 > 0 then -1 else 1 end as p2, (s0 + s1 + s2) / 3.0 as es from sc)
+"""
+
+
+def _members(spark, sf_dir):
+    from tidewatch.operators.detect import EnsembleAnomalyDetector, ScoreColumnDetector
+    from tidewatch.sources.fixtures import event_flows
+    ef = event_flows(spark, sf_dir).select("flow_id", "Label", *[f"`{c}`" for c in _MEMBERS])
+    ens = EnsembleAnomalyDetector([ScoreColumnDetector(c) for c in _MEMBERS]).fit(ef, contamination=_C)
+    return ens, ef
+
+
+@register("l6_contamination_offset", _members_sql() +
+          f"select {r6('o0')} as offset_0, {r6('o1')} as offset_1, {r6('o2')} as offset_2 from offs")
+def l6_contamination_offset(spark, sf_dir):
+    """offset = (1 - contamination) quantile of training scores."""
+    from pyspark.sql import functions as F
+    ens, _ = _members(spark, sf_dir)
+    return spark.range(1).select(*[F.lit(m.offset).cast("double").alias(f"offset_{i}")
+                                   for i, m in enumerate(ens.models)])
+
+
+@register("l8_predict_own_cut", _members_sql() + f"select flow_id, {r6('s0')} as score, p0 as prediction from pr")
+def l8_predict_own_cut(spark, sf_dir):
+    """L7 + L8: score = raw - offset; anomaly when score > 0 (own cut)."""
+    from pyspark.sql import functions as F
+    ens, ef = _members(spark, sf_dir)
+    s = ens.models[0].score(ef)
+    return s.select("flow_id", "score", F.when(F.col("score") > 0, -1).otherwise(1).alias("prediction"))
+
+
+@register("l10_hard_vote", _members_sql() +
+          "select flow_id, case when p0 + p1 + p2 > 0 then 1 else -1 end as prediction from pr")
+def l10_hard_vote(spark, sf_dir):
+    ens, ef = _members(spark, sf_dir)
+    ens.voting = "hard"
+    return ens.predict(ef).select("flow_id", "prediction")
+
+
+@register("l11_soft_vote", _members_sql() +
+          "select flow_id, case when es > 0 then -1 else 1 end as prediction from pr")
+def l11_soft_vote(spark, sf_dir):
+    ens, ef = _members(spark, sf_dir)
+    ens.voting = "soft"
+    return ens.predict(ef).select("flow_id", "prediction")
+
+
+@register("l12_ensemble_score", _members_sql() + f"select flow_id, {r6('es')} as score from pr")
+def l12_ensemble_score(spark, sf_dir):
+    ens, ef = _members(spark, sf_dir)
+    return ens.score(ef).select("flow_id", "score")

@@ -236,3 +236,74 @@ def g3_entity_flag(spark, sf_dir):
 def b15_flagged_entity_rows(spark, sf_dir):
     rep = profile.anomalous_entities(zscores(spark, sf_dir), STRICT)
     return profile.filter_entities(features(spark, sf_dir), ENTITY, rep.select("entity"))
+
+
+# ---- K: clustering of entities --------------------------------------------------------
+
+_PCOLS = [f"{f}_{s}" for f in FEATURES for s in profile.STATS] + ["num_time_windows"]
+
+
+def wide(spark, sf_dir):
+    fw = features(spark, sf_dir)
+    return profile.wide_profiles(profile.entity_profiles(fw, ENTITY), profile.windows_per_entity(fw, ENTITY),
+                                 FEATURES)
+
+
+_WIDE_SQL = ("wd as (select p.entity, " + ", ".join(
+    f"max(case when p.feature = '{f}' then p.\"{s}\" end) as {qi(f + '_' + s)}"
+    for f in FEATURES for s in profile.STATS) +
+    f", (select count(*) from fw where fw.{qi(ENTITY)} = p.entity) as num_time_windows from prof p group by p.entity)")
+_K1_OUT = ", ".join(
+    f"{r6(f'(coalesce({qi(c)}, 0) - avg(coalesce({qi(c)}, 0)) over ()) / coalesce(nullif(stddev_pop(coalesce({qi(c)}, 0)) over (), 0), 1)')} as {qi(c)}"
+    for c in _PCOLS)
+
+
+@register("k1_profile_matrix", with_sql(LONG_SQL, PROF_SQL, _WIDE_SQL) + f"select entity, {_K1_OUT} from wd")
+def k1_profile_matrix(spark, sf_dir):
+    """K1 + B17 + A10 layout: wide profile, missing -> 0, standardised."""
+    from tidewatch.operators.cluster import standardized_profiles
+    return standardized_profiles(wide(spark, sf_dir))
+
+
+def _pca(spark, sf_dir):
+    from tidewatch.operators.cluster import fit_pca, profile_matrix
+    mat, names = profile_matrix(wide(spark, sf_dir))
+    fit = fit_pca(mat, len(names))
+    return fit, fit.transform(mat), names
+
+
+@register("k2_pca_scores")
+def k2_pca_scores(spark, sf_dir):
+    """K2 (rows only): PCA to min(10, d) components, fixed sign."""
+    _, scores, _ = _pca(spark, sf_dir)
+    return scores.select("entity", "pca")
+
+
+@register("k3_kmeans_clusters")
+def k3_kmeans_clusters(spark, sf_dir):
+    """K3 (rows only): k-means, k = 5, seed 42, on the PCA scores."""
+    from tidewatch.operators.cluster import kmeans
+    _, scores, _ = _pca(spark, sf_dir)
+    return kmeans(scores).select("entity", "cluster")
+
+
+@register("k5_projection_2d")
+def k5_projection_2d(spark, sf_dir):
+    """K5 (rows only): first two components with the k-means cluster."""
+    from tidewatch.operators.cluster import kmeans, projection_2d
+    _, scores, _ = _pca(spark, sf_dir)
+    return projection_2d(kmeans(scores))
+
+
+@register("k6_pca_loadings")
+def k6_pca_loadings(spark, sf_dir):
+    """K6 (rows only): |loading| of the first ten features on components 1, 2."""
+    fit, _, names = _pca(spark, sf_dir)
+    return fit.loadings(spark, names)
+
+
+@register("f10_kmeans_cluster_sizes")
+def f10_kmeans_cluster_sizes(spark, sf_dir):
+    from tidewatch.operators.cluster import cluster_sizes, kmeans
+    _, scores, _ = _pca(spark, sf_dir)
+    return cluster_sizes(kmeans(scores))
