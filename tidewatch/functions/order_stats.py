@@ -1,13 +1,15 @@
-"""Exact order statistics per group without gathering a group into one task.
+"""Exact order statistics per group without gathering a large group into one task.
 
 A plain ``percentile`` or ``row_number() over (partition by g order by v)``
-puts every value of a group into one task.  Here each requested position is
-first bracketed with ``percentile_approx`` (a mergeable sketch: partial
-aggregation, bounded memory), then only the rows inside the bracket are
-ranked, on top of one pre-aggregated count of the rows below it.  The bracket
-holds about ``6 n / accuracy`` rows, so one task sees a small slice of even a
-hot group.  A group whose bracket misses its position (not expected: the
-sketch's rank error is below the margin) is recomputed exactly by ranking.
+puts every value of a group into one task.  That is only done here for
+groups whose size is bounded (``_SMALL * accuracy`` rows).  For larger groups
+each requested position is first bracketed with ``percentile_approx`` (a
+mergeable sketch: partial aggregation, bounded memory), then only the rows
+inside the bracket are ranked, on top of one pre-aggregated count of the rows
+below it.  The bracket holds about ``6 n / accuracy`` rows, so one task sees a
+small slice of even a hot group.  A group whose bracket misses its position
+(not expected: the sketch's rank error is below the margin) is recomputed
+exactly by ranking.
 """
 
 from __future__ import annotations
@@ -17,82 +19,74 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 _MARGIN = 3.0  # bracket half-width in units of the sketch's rank error
-# groups up to this many rows times the accuracy are ranked whole (bounded work
-# per task); above it the bracket is at least 3 * _SMALL ranks wide on each side
+# groups up to _SMALL * accuracy rows are solved whole (bounded work per task);
+# above it the bracket is at least 3 * _SMALL ranks wide on each side
 _SMALL = 5
 
 
-def _positions_table(base: DataFrame, g: list[str], probs: list[float], pos_fn,
-                     accuracy: int) -> DataFrame:
+def _stats_table(base: DataFrame, g: list[str], probs: list[float], pos_fn, accuracy: int) -> DataFrame:
+    """One row per group: n, the bracket (lo, hi) of each probability and the
+    wanted 0-based positions."""
     eps = _MARGIN / accuracy
     pcts = []
     for p in probs:
         pcts += [max(0.0, p - eps), min(1.0, p + eps)]
-    stats = base.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_o", pcts, accuracy).alias("_ap"),
-    )
+    stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"),
+                                 F.percentile_approx("_o", pcts, accuracy).alias("_ap"))
     cols = [F.col(c) for c in g] + [F.col("_n")]
-    small = F.col("_n") <= F.lit(_SMALL * accuracy)
     for i in range(len(probs)):
-        cols.append(F.when(small, F.lit(None)).otherwise(F.col("_ap")[2 * i]).alias(f"_lo{i}"))
-        cols.append(F.when(small, F.lit(None)).otherwise(F.col("_ap")[2 * i + 1]).alias(f"_hi{i}"))
+        cols.append(F.col("_ap")[2 * i].alias(f"_lo{i}"))
+        cols.append(F.col("_ap")[2 * i + 1].alias(f"_hi{i}"))
         for j, pos in enumerate(pos_fn(F.col("_n"), probs[i])):
             cols.append(pos.cast("long").alias(f"_p{i}_{j}"))
     return stats.select(*cols)
 
 
-def _select_positions(base: DataFrame, g: list[str], ties: list[str], probs: list[float],
-                      pos_fn, accuracy: int, few_groups: bool) -> DataFrame:
-    """Rows (g, _i, _j, _pos, _o, ties...) holding the value at each position."""
-    n_pos = len(pos_fn(F.lit(1), probs[0]))
-    table = _positions_table(base, g, probs, pos_fn, accuracy)
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+def _wanted(table: DataFrame, g: list[str], n_probs: int, n_pos: int) -> DataFrame:
+    rows = [F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_p{i}_{j}").alias("_pos"))
+            for i in range(n_probs) for j in range(n_pos)]
+    return table.select(*g, "_n", F.explode(F.array(*rows)).alias("w")).select(*g, "_n", "w.*")
+
+
+def _rank_whole(base: DataFrame, wanted: DataFrame, g: list[str], ties: list[str]) -> DataFrame:
+    """Exact positions by ranking whole groups (only for bounded groups)."""
+    wr = Window.partitionBy(*g).orderBy(F.col("_o").asc(), *[F.col(t).asc() for t in ties])
+    ranked = base.join(wanted.select(*g).distinct(), g, "left_semi") \
+        .withColumn("_pos", F.row_number().over(wr) - 1)
+    return ranked.join(wanted, [*g, "_pos"]).select(*g, "_i", "_j", "_pos", "_n", "_o", *ties)
+
+
+def _bracketed(base: DataFrame, table: DataFrame, g: list[str], ties: list[str], n_probs: int,
+               n_pos: int, few_groups: bool) -> DataFrame:
+    """Positions of large groups: rank only the rows inside each bracket.
+
+    Two passes over the (persisted) input: an aggregate counting the rows
+    below each bracket, and a filter keeping the rows inside a bracket (about
+    6 n / accuracy per bracket), which alone are ranked."""
     side = F.broadcast(table) if few_groups else table
     joined = base.join(side, g)
-    tags = []
-    for i in range(len(probs)):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        below = F.struct(F.lit(i).alias("i"), F.lit(True).alias("below"),
-                         F.lit(None).cast(base.schema["_o"].dataType).alias("o"),
-                         *[F.lit(None).cast(base.schema[t].dataType).alias(t) for t in ties])
-        inside = F.struct(F.lit(i).alias("i"), F.lit(False).alias("below"), F.col("_o").alias("o"),
-                          *[F.col(t).alias(t) for t in ties])
-        tags.append(F.when(lo.isNotNull() & (F.col("_o") < lo), below)
-                    .when(hi.isNull() | (F.col("_o") <= hi), inside))
-    tagged = joined.select(*g, F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("t"))
-    counted = tagged.groupBy(*g, "t").agg(F.count(F.lit(1)).alias("_c"))
-    counted = counted.select(*g, F.col("t.i").alias("_i"), F.col("t.below").alias("_below"),
-                             F.col("t.o").alias("_o"), *[F.col(f"t.{t}").alias(t) for t in ties],
-                             "_c")
-    w = (Window.partitionBy(*g, "_i")
-         .orderBy(F.col("_below").desc(), F.col("_o").asc(), *[F.col(t).asc() for t in ties])
+    below = joined.groupBy(*g).agg(F.array(*[F.count_if(F.col("_o") < F.col(f"_lo{i}"))
+                                             for i in range(n_probs)]).alias("_b"))
+    below = below.select(*g, F.posexplode("_b").alias("_i", "_below"))
+    # plain conditional expressions (code-generated), not a lambda over an array
+    inside = F.array(*[F.when((F.col("_o") >= F.col(f"_lo{i}")) & (F.col("_o") <= F.col(f"_hi{i}")), F.lit(i))
+                       for i in range(n_probs)])
+    rows = joined.select(*g, "_o", *ties, F.explode(inside).alias("_i")).where(F.col("_i").isNotNull())
+    counted = rows.groupBy(*g, "_i", "_o", *ties).agg(F.count(F.lit(1)).alias("_c"))
+    w = (Window.partitionBy(*g, "_i").orderBy(F.col("_o").asc(), *[F.col(t).asc() for t in ties])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("_cum", F.sum("_c").over(w)).where(~F.col("_below"))
+    ranked = counted.join(F.broadcast(below) if few_groups else below, [*g, "_i"]) \
+        .withColumn("_cum", F.sum("_c").over(w) + F.col("_below"))
     ranked = ranked.withColumn("_first", F.col("_cum") - F.col("_c"))
-    # attach the wanted positions of each (group, i)
-    pos_rows = []
-    for i in range(len(probs)):
-        for j in range(n_pos):
-            pos_rows.append(F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"),
-                                     F.col(f"_p{i}_{j}").alias("_pos")))
-    wanted = table.select(*g, "_n", F.explode(F.array(*pos_rows)).alias("w")).select(*g, "_n", "w.*")
-    wanted_side = F.broadcast(wanted) if few_groups else wanted
-    hit = ranked.join(wanted_side, [*g, "_i"]).where(
+    wanted = _wanted(table, g, n_probs, n_pos)
+    hit = ranked.join(F.broadcast(wanted) if few_groups else wanted, [*g, "_i"]).where(
         (F.col("_pos") >= F.col("_first")) & (F.col("_pos") < F.col("_cum")))
-    hit = hit.select(*g, "_i", "_j", "_pos", "_o", *ties)
-    # verification: every wanted position must be found; else rank those groups exactly
-    found = hit.persist(StorageLevel.MEMORY_AND_DISK)
+    found = hit.select(*g, "_i", "_j", "_pos", "_n", "_o", *ties).persist(StorageLevel.MEMORY_AND_DISK)
     missing = wanted.join(found.select(*g, "_i", "_j"), [*g, "_i", "_j"], "left_anti")
     if not missing.isEmpty():
         bad = missing.select(*g).distinct()
-        sub = base.join(bad, g, "left_semi")
-        wr = Window.partitionBy(*g).orderBy(F.col("_o").asc(), *[F.col(t).asc() for t in ties])
-        exact = sub.withColumn("_pos", F.row_number().over(wr) - 1)
         redo = wanted.join(bad, g, "left_semi")
-        exact = exact.join(redo, [*g, "_pos"]).select(*g, "_i", "_j", "_pos", "_o", *ties)
-        found = found.join(bad, g, "left_anti").unionByName(exact)
-    table.unpersist()
+        found = found.join(bad, g, "left_anti").unionByName(_rank_whole(base, redo, g, ties))
     return found
 
 
@@ -101,51 +95,81 @@ def group_quantiles(df: DataFrame, group_cols, value_col: str, probs, *,
     """Linearly interpolated quantiles (pandas / quantile_cont definition).
 
     Returns ``group_cols + [p, value]``; NULL values are ignored, a group with
-    no value gives no row.
+    no value gives no row.  The (small) result is checkpointed.
     """
     g = list(group_cols)
     probs = [float(p) for p in probs]
     base = df.select(*[F.col(c) for c in g], F.col(value_col).cast("double").alias("_o"))
-    base = base.where(F.col("_o").isNotNull())
+    base = base.where(F.col("_o").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
 
     def pos_fn(n, p):
         r = (n - 1).cast("double") * F.lit(p)
         p0 = F.floor(r)
         return [p0, F.least(p0 + 1, n - 1)]
 
-    found = _select_positions(base, g, [], probs, pos_fn, accuracy, few_groups)
-    pivot = found.groupBy(*g, "_i").agg(
-        F.max(F.when(F.col("_j") == 0, F.col("_o"))).alias("_v0"),
-        F.max(F.when(F.col("_j") == 1, F.col("_o"))).alias("_v1"))
-    counts = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    table = _stats_table(base, g, probs, pos_fn, accuracy).persist(StorageLevel.MEMORY_AND_DISK)
+    limit = F.lit(_SMALL * accuracy)
     p_arr = F.array(*[F.lit(p) for p in probs])
-    out = pivot.join(F.broadcast(counts) if few_groups else counts, g)
-    rank = (F.col("_n") - 1).cast("double") * p_arr[F.col("_i")]
-    frac = rank - F.floor(rank)
-    value = F.col("_v0") + frac * (F.col("_v1") - F.col("_v0"))
-    return out.select(*g, p_arr[F.col("_i")].alias("p"), value.alias("value"))
+    # bounded groups: the exact percentile aggregate (partial aggregation of value counts)
+    small_keys = table.where(F.col("_n") <= limit).select(*g)
+    small = base.join(F.broadcast(small_keys) if few_groups else small_keys, g, "left_semi") \
+        .groupBy(*g).agg(F.percentile("_o", p_arr).alias("_q"))
+    parts = [small.select(*g, F.posexplode("_q").alias("_i", "value"))
+             .select(*g, p_arr[F.col("_i")].alias("p"), "value")]
+    found = None
+    large = table.where(F.col("_n") > limit)
+    if not large.isEmpty():
+        found = _bracketed(base, large, g, [], len(probs), 2, few_groups)
+        rank = (F.col("_n") - 1).cast("double") * p_arr[F.col("_i")]
+        frac = rank - F.floor(rank)
+        lq = found.groupBy(*g, "_i").agg(
+            F.max(F.when(F.col("_j") == 0, F.col("_o"))).alias("_v0"),
+            F.max(F.when(F.col("_j") == 1, F.col("_o"))).alias("_v1"),
+            F.max("_n").alias("_n"))
+        parts.append(lq.select(*g, p_arr[F.col("_i")].alias("p"),
+                               (F.col("_v0") + frac * (F.col("_v1") - F.col("_v0"))).alias("value")))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    result = out.checkpoint(eager=True)
+    for d in (found, table, base):
+        if d is not None:
+            d.unpersist()
+    return result
 
 
 def rank_cuts(df: DataFrame, group_cols, order_col: str, tie_cols, fractions, *,
               accuracy: int = 10000, few_groups: bool = True) -> DataFrame:
     """Per group and fraction f, the row at 1-based rank ``floor(f * n)`` in
     (order, ties) order.  Returns ``group_cols + [f, _n, cut_o, <ties>]``;
-    a fraction whose rank is 0 yields a NULL cut (nothing at or below)."""
+    a fraction whose rank is 0 yields a NULL cut (nothing at or below).
+    The (small) result is checkpointed."""
     g = list(group_cols)
     ties = list(tie_cols)
     fractions = [float(f) for f in fractions]
     base = df.select(*[F.col(c) for c in g], F.col(order_col).alias("_o"), *[F.col(t) for t in ties])
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
 
     def pos_fn(n, f):
         return [F.greatest(F.floor(n.cast("double") * F.lit(f)) - 1, F.lit(0))]
 
-    found = _select_positions(base, g, ties, fractions, pos_fn, accuracy, few_groups)
-    counts = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    table = _stats_table(base, g, fractions, pos_fn, accuracy).persist(StorageLevel.MEMORY_AND_DISK)
+    limit = F.lit(_SMALL * accuracy)
+    small_t = table.where(F.col("_n") <= limit)
+    parts = [_rank_whole(base, _wanted(small_t, g, len(fractions), 1), g, ties)]
+    large = table.where(F.col("_n") > limit)
+    found = None
+    if not large.isEmpty():
+        found = _bracketed(base, large, g, ties, len(fractions), 1, few_groups)
+        parts.append(found)
+    hits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     f_arr = F.array(*[F.lit(f) for f in fractions])
-    keyed = counts.select(*g, "_n", F.explode(F.sequence(F.lit(0), F.lit(len(fractions) - 1))).alias("_i"))
-    out = keyed.join(found.drop("_j", "_pos"), [*g, "_i"], "left")
+    keyed = table.select(*g, "_n", F.explode(F.sequence(F.lit(0), F.lit(len(fractions) - 1))).alias("_i"))
+    out = keyed.join(hits.drop("_j", "_pos", "_n"), [*g, "_i"], "left")
     empty = F.floor(F.col("_n").cast("double") * f_arr[F.col("_i")]) < 1
     cols = [*[F.col(c) for c in g], f_arr[F.col("_i")].alias("f"), F.col("_n"),
             F.when(empty, F.lit(None)).otherwise(F.col("_o")).alias("cut_o")]
     cols += [F.when(empty, F.lit(None)).otherwise(F.col(t)).alias(t) for t in ties]
-    return out.select(*cols)
+    result = out.select(*cols).checkpoint(eager=True)
+    for d in (found, table, base):
+        if d is not None:
+            d.unpersist()
+    return result

@@ -146,13 +146,14 @@ def fit_isolation_forest(df: DataFrame, key: str, vec: str, n_estimators: int =
         return (F.abs(h % F.lit(1 << 30)).cast("double")) / F.lit(float(1 << 30))
 
     def candidates(limit):
-        keep = F.filter(trees, lambda t: draw(t) < F.lit(limit)) if limit < 1.0 else trees
-        c = df.select(F.col(key), F.col(vec), F.explode(keep).alias("tree"))
-        return c.withColumn("_u", draw(F.col("tree")))
+        # generate-then-filter stays in one code-generated stage (no per-row lambda)
+        c = df.select(F.col(key), F.col(vec), F.explode(trees).alias("tree"))
+        c = c.withColumn("_u", draw(F.col("tree")))
+        return c.where(F.col("_u") < F.lit(limit)) if limit < 1.0 else c
 
     cand = candidates(thr)
-    short = cand.groupBy("tree").count().where(F.col("count") < psi).limit(1).count()
-    if short:
+    full = cand.groupBy("tree").count().where(F.col("count") >= psi).count()
+    if full < T:
         cand = candidates(1.0)  # rare: fall back to ranking all rows per tree
     w = Window.partitionBy("tree").orderBy("_u", key)
     chosen = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u")
