@@ -89,8 +89,8 @@ class AnomalyDetector:
             spark.createDataFrame(m.nodes).write.mode("overwrite").parquet(f"{base}/nodes")
             extra = {"psi": m.psi, "offset": m.offset}
         elif isinstance(m, OneClassSVMModel):
-            spark.createDataFrame(pd.DataFrame({"W": [m.W.tolist()], "b": [m.b.tolist()], "w": [m.w.tolist()],
-                                                "rho": [m.rho]})).write.mode("overwrite").parquet(f"{base}/weights")
+            spark.createDataFrame(pd.DataFrame({"projection": [m.W.tolist()], "phase": [m.b.tolist()],
+                                                "weights": [m.w.tolist()], "rho": [m.rho]})).write.mode("overwrite").parquet(f"{base}/weights")
         elif isinstance(m, LOFModel):
             m.fitted.write.mode("overwrite").parquet(f"{base}/fitted")
             extra = {"k": m.k, "offset": m.offset}
@@ -113,7 +113,8 @@ class AnomalyDetector:
         elif det.model_type == "one_class_svm":
             import numpy as np
             r = spark.read.parquet(f"{base}/weights").first()
-            det.model = OneClassSVMModel(np.array(r["W"]), np.array(r["b"]), np.array(r["w"]), r["rho"], det.vec)
+            det.model = OneClassSVMModel(np.array(r["projection"]), np.array(r["phase"]), np.array(r["weights"]),
+                                         r["rho"], det.vec)
         else:
             det.model = LOFModel(spark.read.parquet(f"{base}/fitted"), det.key, det.vec, extra["k"],
                                  extra["offset"])
