@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from tidewatch.session import materialize
+
 _MARGIN = 3.0  # bracket half-width in units of the sketch's rank error
 # groups up to _SMALL * accuracy rows are solved whole (bounded work per task);
 # above it the bracket is at least 3 * _SMALL ranks wide on each side
@@ -129,7 +131,7 @@ def group_quantiles(df: DataFrame, group_cols, value_col: str, probs, *,
         parts.append(lq.select(*g, p_arr[F.col("_i")].alias("p"),
                                (F.col("_v0") + frac * (F.col("_v1") - F.col("_v0"))).alias("value")))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    result = out.checkpoint(eager=True)
+    result = materialize(out, "quantiles")
     for d in (found, table, base):
         if d is not None:
             d.unpersist()
@@ -168,7 +170,7 @@ def rank_cuts(df: DataFrame, group_cols, order_col: str, tie_cols, fractions, *,
     cols = [*[F.col(c) for c in g], f_arr[F.col("_i")].alias("f"), F.col("_n"),
             F.when(empty, F.lit(None)).otherwise(F.col("_o")).alias("cut_o")]
     cols += [F.when(empty, F.lit(None)).otherwise(F.col(t)).alias(t) for t in ties]
-    result = out.select(*cols).checkpoint(eager=True)
+    result = materialize(out.select(*cols), "rank-cuts")
     for d in (found, table, base):
         if d is not None:
             d.unpersist()

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import ensure_checkpoint_dir
+from tidewatch.session import ensure_checkpoint_dir, materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row in partition
 
@@ -29,7 +29,8 @@ def ranged(df: DataFrame, order_cols, num_partitions: int | None = None) -> Data
     ensure_checkpoint_dir(df.sparkSession)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     out = df.repartitionByRange(_partitions(df, num_partitions), *cols).sortWithinPartitions(*cols)
-    out = out.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    # written once: the ids (partition, position) are stored as data
+    out = materialize(out.withColumn("_mid", F.monotonically_increasing_id()), "ranged")
     return out.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)) \
               .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))) \
               .drop("_mid")

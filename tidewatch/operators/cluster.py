@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.ranking import global_index
 from tidewatch.operators.neighbors import radius_join
 from tidewatch.operators.preprocess import fit_scaler
-from tidewatch.session import ensure_checkpoint_dir
+from tidewatch.session import ensure_checkpoint_dir, materialize
 
 
 def standardized_profiles(wide: DataFrame, key: str = "entity") -> DataFrame:
@@ -102,7 +102,7 @@ def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> Da
     logarithmic in the component diameter in practice.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    lab = nodes.select(F.col("node"), F.col("node").alias("comp")).checkpoint()
+    lab = materialize(nodes.select(F.col("node"), F.col("node").alias("comp")), "components")
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     for _ in range(max_rounds):
         nb = und.join(lab.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b") \
@@ -112,7 +112,7 @@ def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> Da
         jump = step.alias("s").join(step.select(F.col("node").alias("c"), F.col("comp").alias("cc")),
                                     F.col("s.comp") == F.col("c"), "left") \
             .select("node", F.least(F.col("s.comp"), F.coalesce("cc", F.col("s.comp"))).alias("comp"))
-        new = jump.checkpoint()
+        new = materialize(jump, "components")
         changed = new.join(lab.withColumnRenamed("comp", "old"), "node").where(F.col("comp") != F.col("old"))
         lab = new
         if changed.isEmpty():
@@ -125,7 +125,6 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
     """K4: DBSCAN (Ester et al. 1996): distance <= eps inclusive, a row counts
     itself; cluster ids 0.. ordered by their smallest core key; noise -1."""
     pairs = radius_join(df, df, key, vec, eps).select(F.col("q_key").alias("a"), F.col("r_key").alias("b"))
-    pairs = pairs.checkpoint()
     deg = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
     core = deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("node"))
     core_edges = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi") \

@@ -31,7 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.storagelevel import StorageLevel
+
 from tidewatch.functions.hashing import DEFAULT_SEED, hash_int
+from tidewatch.session import materialize
 
 CELL_TARGET = 1024     # reference rows per cell aimed at
 MAX_PIVOTS = 2048      # bound of the broadcast pivot table
@@ -74,7 +77,8 @@ class _Cells:
             j = D.argmin(axis=1) if len(X) else np.zeros(0, dtype=int)
             return pd.DataFrame({"cell": j.astype(np.int32), "dc": D[np.arange(len(X)), j] if len(X) else []})
 
-        self.ref = ref.withColumn("_a", assign(F.col(vec))).select("*", "_a.cell", "_a.dc").drop("_a")
+        self.ref = ref.withColumn("_a", assign(F.col(vec))).select("*", "_a.cell", "_a.dc").drop("_a") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         st = self.ref.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dc").alias("r")).collect()
         self.count = np.zeros(len(piv), dtype=np.int64)
         self.radius = np.zeros(len(piv))
@@ -153,7 +157,7 @@ def _pairs(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int | None,
     cells = _Cells(ref.select(key, vec), key, vec, n_pivots, seed)
     cands = cells.candidates_udf(k, eps, exclude_self)
     q = query.select(F.col(key).alias("key"), F.col(vec).alias("v"))
-    qc = q.withColumn("cell", F.explode(cands(F.col("v"))))
+    qc = q.withColumn("cell", F.explode(cands(F.col("v")))).persist(StorageLevel.MEMORY_AND_DISK)
     # query rows per cell decide the query-side chunks (one row per cell reaches the driver)
     qcount = {r["cell"]: r["n"] for r in qc.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     P = len(cells.count)
@@ -170,19 +174,30 @@ def _pairs(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int | None,
     solve = _block_udf(key_type, cells.d, k, eps, exclude_self)
     g = ["cell", "rchunk", "qchunk"]
     pairs = qside.groupBy(*g).cogroup(rside.groupBy(*g)).applyInPandas(solve, schema)
-    return pairs
+    return pairs, [qc, cells.ref]
+
+
+def _finish(df: DataFrame, held: list) -> DataFrame:
+    """Write the result once to the shared checkpoint folder (it is read
+    several times downstream, and the block solve is the expensive part),
+    then release the persisted inputs."""
+    out = materialize(df, "neighbours")
+    for h in held:
+        h.unpersist()
+    return out
 
 
 def knn(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, exclude_self: bool = False,
         n_pivots: int | None = None, seed: int = DEFAULT_SEED) -> DataFrame:
     """The k nearest ``ref`` rows of every ``query`` row:
     (q_key, r_key, dist, rank), rank 1..k by (distance rounded to 9 dp, key)."""
-    pairs = _pairs(query, ref, key, vec, k, None, exclude_self, n_pivots, seed)
+    pairs, held = _pairs(query, ref, key, vec, k, None, exclude_self, n_pivots, seed)
     w = Window.partitionBy("q_key").orderBy(F.round("dist", DIGITS), F.col("r_key"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _finish(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), held)
 
 
 def radius_join(query: DataFrame, ref: DataFrame, key: str, vec: str, eps: float,
                 n_pivots: int | None = None, seed: int = DEFAULT_SEED) -> DataFrame:
     """Every (query, ref) pair with distance <= eps (self pairs included)."""
-    return _pairs(query, ref, key, vec, None, eps, False, n_pivots, seed)
+    pairs, held = _pairs(query, ref, key, vec, None, eps, False, n_pivots, seed)
+    return _finish(pairs, held)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from tidewatch.operators import cluster as K
 from tidewatch.operators import derive, profile
-from tidewatch.session import ensure_checkpoint_dir
+from tidewatch.session import ensure_checkpoint_dir, materialize
 from tidewatch.sources import sinks
 
 
@@ -35,7 +35,7 @@ def run_profiling(df: DataFrame, entity_col: str = "Source IP", time_col: str |
                   cluster_method: str | None = "kmeans", n_clusters: int = 5, eps: float = 0.5,
                   min_samples: int = 5) -> ProfilingResult:
     ensure_checkpoint_dir(df.sparkSession)
-    fw = derive.entity_window_features(df, entity_col, time_col, window_seconds).checkpoint()
+    fw = materialize(derive.entity_window_features(df, entity_col, time_col, window_seconds), "entity-windows")
     prof = profile.entity_profiles(fw, entity_col)
     glob = profile.global_profile(fw, entity_col)
     wins = profile.windows_per_entity(fw, entity_col)

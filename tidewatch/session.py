@@ -65,3 +65,13 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = scratch_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as Parquet under the shared scratch folder and read it
+    back: the plan runs exactly once (an eager ``checkpoint()`` computes it
+    and then recomputes it to write), lineage is cut, and a lost executor only
+    costs re-reading files."""
+    path = new_scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
