@@ -109,19 +109,22 @@ def group_quantiles(df: DataFrame, group_cols, value_col: str, probs, *,
         p0 = F.floor(r)
         return [p0, F.least(p0 + 1, n - 1)]
 
-    table = _stats_table(base, g, probs, pos_fn, accuracy).persist(StorageLevel.MEMORY_AND_DISK)
     limit = F.lit(_SMALL * accuracy)
     p_arr = F.array(*[F.lit(p) for p in probs])
+    # group sizes first (a plain count): the sketch is only built for large groups
+    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
     # bounded groups: the exact percentile aggregate (partial aggregation of value counts)
-    small_keys = table.where(F.col("_n") <= limit).select(*g)
+    small_keys = sizes.where(F.col("_n") <= limit).select(*g)
     small = base.join(F.broadcast(small_keys) if few_groups else small_keys, g, "left_semi") \
         .groupBy(*g).agg(F.percentile("_o", p_arr).alias("_q"))
     parts = [small.select(*g, F.posexplode("_q").alias("_i", "value"))
              .select(*g, p_arr[F.col("_i")].alias("p"), "value")]
-    found = None
-    large = table.where(F.col("_n") > limit)
-    if not large.isEmpty():
-        found = _bracketed(base, large, g, [], len(probs), 2, few_groups)
+    found = table = None
+    large_keys = sizes.where(F.col("_n") > limit).select(*g)
+    if not large_keys.isEmpty():
+        lbase = base.join(F.broadcast(large_keys) if few_groups else large_keys, g, "left_semi")
+        table = _stats_table(lbase, g, probs, pos_fn, accuracy).persist(StorageLevel.MEMORY_AND_DISK)
+        found = _bracketed(lbase, table, g, [], len(probs), 2, few_groups)
         rank = (F.col("_n") - 1).cast("double") * p_arr[F.col("_i")]
         frac = rank - F.floor(rank)
         lq = found.groupBy(*g, "_i").agg(
@@ -132,7 +135,7 @@ def group_quantiles(df: DataFrame, group_cols, value_col: str, probs, *,
                                (F.col("_v0") + frac * (F.col("_v1") - F.col("_v0"))).alias("value")))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     result = materialize(out, "quantiles")
-    for d in (found, table, base):
+    for d in (found, table, sizes, base):
         if d is not None:
             d.unpersist()
     return result

@@ -18,10 +18,17 @@ from tidewatch.session import ensure_checkpoint_dir, materialize
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row in partition
 
 
+ROWS_PER_PARTITION = 4_000_000  # bound of one range partition (one task sorts and windows it)
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions: at least the shuffle setting, and enough that no
+    partition holds more than ROWS_PER_PARTITION rows (one count job)."""
     if num_partitions:
         return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    n = df.count()
+    return max(base, -(-n // ROWS_PER_PARTITION))
 
 
 def ranged(df: DataFrame, order_cols, num_partitions: int | None = None) -> DataFrame:

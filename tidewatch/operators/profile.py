@@ -22,7 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.storagelevel import StorageLevel
+
 from tidewatch.functions.order_stats import group_quantiles
+from tidewatch.session import materialize
 from tidewatch.operators.schema import q
 
 STATS = ["mean", "std", "min", "max", "median", "q1", "q3"]
@@ -68,7 +71,7 @@ def windows_per_entity(features: DataFrame, entity_col: str) -> DataFrame:
 def global_profile(features: DataFrame, entity_col: str, window_col: str = WINDOW_COL,
                    accuracy: int = 10000) -> DataFrame:
     """the seven statistics per feature over all (entity, window) rows."""
-    long = to_long(features, entity_col, window_col)
+    long = to_long(features, entity_col, window_col).persist(StorageLevel.MEMORY_AND_DISK)
     moments = long.groupBy("feature").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
@@ -78,7 +81,10 @@ def global_profile(features: DataFrame, entity_col: str, window_col: str = WINDO
         F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
         F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"))
-    return moments.join(qw, "feature").select("feature", *STATS)
+    # one row per feature: written once, the long table released
+    out = materialize(moments.join(qw, "feature").select("feature", *STATS), "global-profile")
+    long.unpersist()
+    return out
 
 
 def profile_long(profiles: DataFrame) -> DataFrame:

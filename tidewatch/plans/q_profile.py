@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import derive, profile
 from tidewatch.plans.registry import floor_sql, qi, r6, register, ts_sql
+from tidewatch.session import materialize
 from tidewatch.sources.fixtures import EVENT_FLOWS_SQL, event_flows
 
 DAY = 86400
@@ -27,7 +28,8 @@ def profiles(spark, sf_dir):
 
 
 def zscores(spark, sf_dir):
-    fw = features(spark, sf_dir)
+    # the window table feeds both profiles: written once, read twice
+    fw = materialize(features(spark, sf_dir), "entity-windows")
     return profile.z_scores(profile.entity_profiles(fw, ENTITY), profile.global_profile(fw, ENTITY))
 
 
@@ -185,7 +187,7 @@ def h3_top_entities(spark, sf_dir):
 @register("h5_most_anomalous_series", with_sql(*_Z_CTES, _report_sql(STRICT), _TOP_SQL.format(n=1)) +
           f"select {_FW_OUT} from fw where {qi(ENTITY)} in (select entity from top)")
 def h5_most_anomalous_series(spark, sf_dir):
-    fw = features(spark, sf_dir)
+    fw = materialize(features(spark, sf_dir), "entity-windows")
     z = profile.z_scores(profile.entity_profiles(fw, ENTITY), profile.global_profile(fw, ENTITY))
     return profile.most_anomalous_series(fw, ENTITY, profile.anomalous_entities(z, STRICT))
 
