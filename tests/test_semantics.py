@@ -154,3 +154,11 @@ def test_split_and_sample_sizes(spark):
     assert S.sample_ratio(df, 0.37, "k").count() == 370
     un = S.undersample(df, "y", "k", 0.5)
     assert {r["y"]: r["count"] for r in un.groupBy("y").count().collect()} == {1: 250, 0: 500}
+
+
+def test_sparse_onehot_unseen_all_zero(spark):
+    train = spark.createDataFrame([("b",), ("a",), ("c",)], "c string")
+    new = spark.createDataFrame([("b",), ("z",)], "c string")
+    enc = P.fit_encoder(train, ["c"], "onehot", sparse=True)
+    rows = {r["c_vec"].toArray().tolist().__repr__() for r in enc.apply(new).collect()}
+    assert rows == {repr([0.0, 1.0, 0.0]), repr([0.0, 0.0, 0.0])}

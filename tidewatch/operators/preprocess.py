@@ -9,8 +9,9 @@ Scale notes
 * Medians use the bracketed exact selection (no column gathered in one task).
 * The mode is ``groupBy(column, value).count()`` then ``min(struct(-count,
   value))`` per column: partial aggregation, ties to the smallest value.
-* One-hot needs the distinct values on the driver to name columns; above
-  ``max_categories`` it refuses (use ``ordinal`` or ``target`` encoding).
+* Dense one-hot needs the distinct values on the driver to name columns; above
+  ``max_categories`` it refuses.  ``sparse=True`` keeps one sparse vector per
+  column (Spark ML indexer + encoder), with no cap and nothing collected.
 * Ordinal codes are contiguous ranks of the distinct values computed with a
   range-partitioned global index, not a single-partition window; code tables
   grow with cardinality, so they are joined (AQE broadcasts small ones).
@@ -98,11 +99,15 @@ class Encoder:
     n_codes: dict = field(default_factory=dict)      # binary: column -> number of values
     target: DataFrame | None = None                  # target: (column, value, enc)
     prior: float | None = None
+    sparse_model: object | None = None               # onehot, sparse form: fitted Spark ML pipeline
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Apply to any frame with the same columns."""
         if not self.columns:
             return df
+        if self.method == "onehot" and self.sparse_model is not None:
+            out = self.sparse_model.transform(df)
+            return out.drop(*self.columns, *[f"_{c}_idx" for c in self.columns])
         if self.method == "onehot":
             return _apply_onehot(df, self.columns, self.values)
         if self.method == "label":
@@ -156,16 +161,33 @@ def _apply_target(df, columns, table, prior):
     return out
 
 
+def _fit_sparse_onehot(df: DataFrame, cols: list[str]):
+    """One-hot as a sparse vector per column (``<col>_vec``) for high
+    cardinality: categories in sorted order, unseen values -> all zeros
+    (the indexer's extra slot for unseen values is the dropped last one)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    stages = [StringIndexer(inputCol=c, outputCol=f"_{c}_idx", stringOrderType="alphabetAsc",
+                            handleInvalid="keep") for c in cols]
+    stages.append(OneHotEncoder(inputCols=[f"_{c}_idx" for c in cols], outputCols=[f"{c}_vec" for c in cols],
+                                dropLast=True))
+    return Pipeline(stages=stages).fit(df)
+
+
 def fit_encoder(df: DataFrame, columns, method: str = "onehot", target: str | None = None,
                 max_categories: int = 1000, min_samples_leaf: int = 20,
-                smoothing: float = 10.0) -> Encoder:
-    """D1-D4 fit (D9: unknown method raises)."""
+                smoothing: float = 10.0, sparse: bool = False) -> Encoder:
+    """D1-D4 fit (D9: unknown method raises).  ``sparse=True`` (one-hot) keeps
+    one sparse vector column per categorical column, with no category cap."""
     if method not in ENCODINGS:
         raise ValueError(f"Unsupported encoding method: {method}")
     cols = list(columns)
     enc = Encoder(method, cols)
     if not cols:
         return enc
+    if method == "onehot" and sparse:
+        enc.sparse_model = _fit_sparse_onehot(df, cols)
+        return enc
     long = df.select(*[F.col(q(c)).cast("string").alias(c) for c in cols]) \
         .unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
     if method == "onehot":
