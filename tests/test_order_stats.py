@@ -48,3 +48,26 @@ def test_global_index_and_prefix_sums(spark):
     ps = prefix_sums(df, ["k"], ["one"], num_partitions=4, descending=True).toPandas()
     ps = ps.sort_values("k", ascending=False)
     assert list(ps["cum_one"]) == list(range(1, 3001))
+
+
+def test_bracket_refinement_rounds(spark, monkeypatch):
+    """Force refinement: tiny sketch accuracy and a tiny bracket bound."""
+    import tidewatch.functions.order_stats as O
+    monkeypatch.setattr(O, "BRACKET_ROWS", 50)
+    monkeypatch.setattr(O, "BUCKETS", 8)
+    ev = spark.read.parquet(f"{SF01}/events.parquet")
+    got = group_quantiles(ev, ["event_type"], "value", [0.25, 0.5, 0.9], accuracy=20,
+                          few_groups=True).toPandas()
+    pdf = ev.select("event_type", "value").toPandas()
+    for _, r in got.iterrows():
+        vals = pdf.loc[pdf.event_type == r["event_type"], "value"].to_numpy()
+        assert r["value"] == pytest.approx(np.quantile(vals, r["p"]), abs=1e-9)
+    dup = spark.range(0, 3000).select((F.col("id") % 3).cast("double").alias("v"), F.lit(1).alias("g"))
+    got = group_quantiles(dup, ["g"], "v", [0.5], accuracy=10, few_groups=True).first()
+    assert got["value"] == 1.0
+    ev2 = ev.withColumn("h", hash_int(F.col("event_id")))
+    cuts = rank_cuts(ev2, ["event_type"], "h", ["event_id"], [0.3], accuracy=20).toPandas()
+    pdf2 = ev2.select("event_type", "h", "event_id").toPandas()
+    for _, r in cuts.iterrows():
+        grp = pdf2[pdf2.event_type == r["event_type"]].sort_values(["h", "event_id"])
+        assert grp.iloc[int(np.floor(len(grp) * r["f"])) - 1]["event_id"] == r["event_id"]

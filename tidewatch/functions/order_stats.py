@@ -6,10 +6,11 @@ groups whose size is bounded (``_SMALL * accuracy`` rows).  For larger groups
 each requested position is first bracketed with ``percentile_approx`` (a
 mergeable sketch: partial aggregation, bounded memory), then only the rows
 inside the bracket are ranked, on top of one pre-aggregated count of the rows
-below it.  The bracket holds about ``6 n / accuracy`` rows, so one task sees a
-small slice of even a hot group.  A group whose bracket misses its position
-(not expected: the sketch's rank error is below the margin) is recomputed
-exactly by ranking.
+below it.  The bracket holds about ``6 n / accuracy`` rows; brackets above
+BRACKET_ROWS are narrowed by value-histogram rounds (each ~BUCKETS-fold), so
+one task ranks a bounded slice of even a hot group at any scale.  A group
+whose bracket misses its position (not expected: the sketch's rank error is
+below the margin) is recomputed exactly by ranking.
 """
 
 from __future__ import annotations
@@ -58,29 +59,74 @@ def _rank_whole(base: DataFrame, wanted: DataFrame, g: list[str], ties: list[str
     return ranked.join(wanted, [*g, "_pos"]).select(*g, "_i", "_j", "_pos", "_n", "_o", *ties)
 
 
+BRACKET_ROWS = 2_000_000  # largest bracket ranked directly; larger ones are refined first
+BUCKETS = 1024            # value buckets per refinement round
+
+
+def _refine(base: DataFrame, bounds: DataFrame, g: list[str], few_groups: bool) -> DataFrame:
+    """Narrow brackets holding more than BRACKET_ROWS rows.
+
+    ``bounds``: one row per (group, i) with lo, hi, below (rows under lo) and
+    the wanted positions p0 <= p1.  Each round histograms the rows of a wide
+    bracket into BUCKETS equal-width value buckets (one aggregate, per-bucket
+    count / min / max), keeps the buckets holding p0..p1 and sets the new
+    bracket to their min..max, so a round shrinks a bracket ~BUCKETS-fold
+    unless the rows are copies of one value (which ranking collapses anyway).
+    """
+    spark = base.sparkSession
+    for _ in range(8):
+        # a bracket narrowed to one value needs no more rounds: its copies collapse when counted
+        wide = bounds.where((F.col("_inside") > F.lit(BRACKET_ROWS)) & (F.col("_hi") > F.col("_lo")))
+        if wide.isEmpty():
+            break
+        side = F.broadcast(wide) if few_groups else wide
+        rows = base.join(side, g).where((F.col("_o") >= F.col("_lo")) & (F.col("_o") <= F.col("_hi")))
+        width = (F.col("_hi") - F.col("_lo")) / F.lit(float(BUCKETS))
+        bucket = F.when(width <= 0, F.lit(0)).otherwise(
+            F.least(F.floor((F.col("_o") - F.col("_lo")) / width).cast("int"), F.lit(BUCKETS - 1)))
+        hist = rows.groupBy(*g, "_i", bucket.alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_o").alias("_bmin"), F.max("_o").alias("_bmax"))
+        # at most BUCKETS rows per (group, i): a window over them is small
+        w = Window.partitionBy(*g, "_i").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.join(wide.select(*g, "_i", "_below", "_p0", "_p1"), [*g, "_i"]) \
+            .withColumn("_cum", F.sum("_c").over(w) + F.col("_below"))
+        hist = hist.withColumn("_first", F.col("_cum") - F.col("_c"))
+        keep = hist.where((F.col("_cum") > F.col("_p0")) & (F.col("_first") <= F.col("_p1")))
+        new = keep.groupBy(*g, "_i").agg(
+            F.min("_bmin").alias("_lo"), F.max("_bmax").alias("_hi"), F.min("_first").alias("_below"),
+            F.sum("_c").alias("_inside"))
+        narrowed = bounds.join(new.select(*g, "_i"), [*g, "_i"], "left_anti").unionByName(
+            bounds.drop("_lo", "_hi", "_below", "_inside").join(new, [*g, "_i"]))
+        bounds = materialize(narrowed, "brackets")
+    return bounds
+
+
 def _bracketed(base: DataFrame, table: DataFrame, g: list[str], ties: list[str], n_probs: int,
                n_pos: int, few_groups: bool) -> DataFrame:
     """Positions of large groups: rank only the rows inside each bracket.
 
-    Two passes over the (persisted) input: an aggregate counting the rows
-    below each bracket, and a filter keeping the rows inside a bracket (about
-    6 n / accuracy per bracket), which alone are ranked."""
-    side = F.broadcast(table) if few_groups else table
-    joined = base.join(side, g)
-    below = joined.groupBy(*g).agg(F.array(*[F.count_if(F.col("_o") < F.col(f"_lo{i}"))
-                                             for i in range(n_probs)]).alias("_b"))
-    below = below.select(*g, F.posexplode("_b").alias("_i", "_below"))
-    # plain conditional expressions (code-generated), not a lambda over an array
-    inside = F.array(*[F.when((F.col("_o") >= F.col(f"_lo{i}")) & (F.col("_o") <= F.col(f"_hi{i}")), F.lit(i))
-                       for i in range(n_probs)])
-    rows = joined.select(*g, "_o", *ties, F.explode(inside).alias("_i")).where(F.col("_i").isNotNull())
-    counted = rows.groupBy(*g, "_i", "_o", *ties).agg(F.count(F.lit(1)).alias("_c"))
+    Passes over the (persisted) input: an aggregate counting the rows below
+    and inside each bracket, refinement rounds for brackets that are still
+    wide, and a filter keeping the rows inside a bracket, which alone are
+    ranked (copies of one value collapse into one counted row)."""
+    wanted = _wanted(table, g, n_probs, n_pos)
+    pos = wanted.groupBy(*g, "_i").agg(F.min("_pos").alias("_p0"), F.max("_pos").alias("_p1"))
+    lohi = table.select(*g, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(f"_lo{i}").alias("_lo"), F.col(f"_hi{i}").alias("_hi"))
+        for i in range(n_probs)])).alias("b")).select(*g, "b.*")
+    side = F.broadcast(lohi) if few_groups else lohi
+    counts = base.join(side, g).groupBy(*g, "_i").agg(
+        F.count_if(F.col("_o") < F.col("_lo")).alias("_below"),
+        F.count_if((F.col("_o") >= F.col("_lo")) & (F.col("_o") <= F.col("_hi"))).alias("_inside"))
+    bounds = materialize(lohi.join(counts, [*g, "_i"]).join(pos, [*g, "_i"]), "brackets")
+    bounds = _refine(base, bounds, g, few_groups)
+    bside = F.broadcast(bounds) if few_groups else bounds
+    rows = base.join(bside, g).where((F.col("_o") >= F.col("_lo")) & (F.col("_o") <= F.col("_hi")))
+    counted = rows.groupBy(*g, "_i", "_below", "_o", *ties).agg(F.count(F.lit(1)).alias("_c"))
     w = (Window.partitionBy(*g, "_i").orderBy(F.col("_o").asc(), *[F.col(t).asc() for t in ties])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.join(F.broadcast(below) if few_groups else below, [*g, "_i"]) \
-        .withColumn("_cum", F.sum("_c").over(w) + F.col("_below"))
+    ranked = counted.withColumn("_cum", F.sum("_c").over(w) + F.col("_below"))
     ranked = ranked.withColumn("_first", F.col("_cum") - F.col("_c"))
-    wanted = _wanted(table, g, n_probs, n_pos)
     hit = ranked.join(F.broadcast(wanted) if few_groups else wanted, [*g, "_i"]).where(
         (F.col("_pos") >= F.col("_first")) & (F.col("_pos") < F.col("_cum")))
     found = hit.select(*g, "_i", "_j", "_pos", "_n", "_o", *ties).persist(StorageLevel.MEMORY_AND_DISK)
