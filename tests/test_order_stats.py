@@ -71,3 +71,16 @@ def test_bracket_refinement_rounds(spark, monkeypatch):
     for _, r in cuts.iterrows():
         grp = pdf2[pdf2.event_type == r["event_type"]].sort_values(["h", "event_id"])
         assert grp.iloc[int(np.floor(len(grp) * r["f"])) - 1]["event_id"] == r["event_id"]
+
+
+def test_missed_bracket_falls_back_bounded(spark, monkeypatch):
+    """A sketch bracket that misses (simulated with a zero margin and tiny
+    accuracy) is re-bracketed with the full range and still exact."""
+    import tidewatch.functions.order_stats as O
+    monkeypatch.setattr(O, "_MARGIN", 0.0)   # zero-width brackets: most miss their positions
+    ev = spark.read.parquet(f"{SF01}/events.parquet")
+    got = group_quantiles(ev, ["event_type"], "value", [0.3, 0.7], accuracy=20, few_groups=True).toPandas()
+    pdf = ev.select("event_type", "value").toPandas()
+    for _, r in got.iterrows():
+        vals = pdf.loc[pdf.event_type == r["event_type"], "value"].to_numpy()
+        assert r["value"] == pytest.approx(np.quantile(vals, r["p"]), abs=1e-9)

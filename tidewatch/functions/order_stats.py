@@ -102,7 +102,7 @@ def _refine(base: DataFrame, bounds: DataFrame, g: list[str], few_groups: bool)
 
 
 def _bracketed(base: DataFrame, table: DataFrame, g: list[str], ties: list[str], n_probs: int,
-               n_pos: int, few_groups: bool) -> DataFrame:
+               n_pos: int, few_groups: bool, retry: bool = True) -> DataFrame:
     """Positions of large groups: rank only the rows inside each bracket.
 
     Passes over the (persisted) input: an aggregate counting the rows below
@@ -133,8 +133,16 @@ def _bracketed(base: DataFrame, table: DataFrame, g: list[str], ties: list[str],
     missing = wanted.join(found.select(*g, "_i", "_j"), [*g, "_i", "_j"], "left_anti")
     if not missing.isEmpty():
         bad = missing.select(*g).distinct()
-        redo = wanted.join(bad, g, "left_semi")
-        found = found.join(bad, g, "left_anti").unionByName(_rank_whole(base, redo, g, ties))
+        if retry:
+            # the group's full range always holds its positions; refinement keeps it bounded
+            mm = base.join(bad, g, "left_semi").groupBy(*g).agg(F.min("_o").alias("_mn"), F.max("_o").alias("_mx"))
+            t2 = table.join(mm, g)
+            for i in range(n_probs):
+                t2 = t2.withColumn(f"_lo{i}", F.col("_mn")).withColumn(f"_hi{i}", F.col("_mx"))
+            redo = _bracketed(base, t2.drop("_mn", "_mx"), g, ties, n_probs, n_pos, few_groups, retry=False)
+        else:
+            redo = _rank_whole(base, wanted.join(bad, g, "left_semi"), g, ties)
+        found = found.join(bad, g, "left_anti").unionByName(redo)
     return found
 
 

@@ -7,7 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.storagelevel import StorageLevel
+
 from tidewatch.functions.order_stats import group_quantiles
+from tidewatch.session import materialize
 from tidewatch.operators.schema import column_roles, q
 
 
@@ -32,7 +35,8 @@ def summary(df: DataFrame, columns=None, accuracy: int = 10000) -> DataFrame:
         columns, _ = column_roles(df)
     cols = list(columns)
     long = df.select(*[F.col(q(c)).cast("double").alias(c) for c in cols]) \
-        .unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
+        .unpivot([], cols, "column", "value").where(F.col("value").isNotNull()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     mom = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
@@ -42,8 +46,10 @@ def summary(df: DataFrame, columns=None, accuracy: int = 10000) -> DataFrame:
         F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
         F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"))
-    return mom.join(qw, "column").select("column", "count", "mean", "std", "min", "q1", "median",
-                                         "q3", "max")
+    out = materialize(mom.join(qw, "column").select("column", "count", "mean", "std", "min", "q1",
+                                                    "median", "q3", "max"), "summary")
+    long.unpersist()
+    return out
 
 
 def dataset_summary(df: DataFrame, target: str) -> DataFrame:
