@@ -94,28 +94,39 @@ def cluster_sizes(clustered: DataFrame, col: str = "cluster") -> DataFrame:
     return clustered.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
 
 
+JUMPS = 3  # pointer jumps per round (joins inside one job; rounds are what is written)
+
+
 def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Connected components: (node, comp) with comp = smallest node of its component.
 
-    Each round takes the minimum label over neighbours, then jumps labels
-    (label := label of label), which halves path lengths; rounds are
-    logarithmic in the component diameter in practice.
+    Each round takes the minimum label over neighbours, hooks the root that a
+    neighbour's label names to the smaller label (as in Shiloach-Vishkin), then
+    jumps labels (label := label of label) a few times, so whole label trees
+    merge per round instead of labels moving one edge per round.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     lab = materialize(nodes.select(F.col("node"), F.col("node").alias("comp")), "components")
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     for _ in range(max_rounds):
-        nb = und.join(lab.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b") \
-            .groupBy("a").agg(F.min("cb").alias("m"))
-        step = lab.join(nb.withColumnRenamed("a", "node"), "node", "left") \
-            .select("node", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
-        jump = step.alias("s").join(step.select(F.col("node").alias("c"), F.col("comp").alias("cc")),
-                                    F.col("s.comp") == F.col("c"), "left") \
-            .select("node", F.least(F.col("s.comp"), F.coalesce("cc", F.col("s.comp"))).alias("comp"))
-        new = materialize(jump, "components")
-        changed = new.join(lab.withColumnRenamed("comp", "old"), "node").where(F.col("comp") != F.col("old"))
-        lab = new
-        if changed.isEmpty():
+        lv = und.join(lab.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a") \
+            .join(lab.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+        # neighbour minimum, and hooking: the root a neighbour points to takes the smaller label
+        nb = lv.groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("m"))
+        hook = lv.where(F.col("ca") < F.col("cb")).groupBy(F.col("cb").alias("node")).agg(F.min("ca").alias("h"))
+        step = lab.join(nb, "node", "left").join(hook, "node", "left") \
+            .select("node", F.least("comp", F.coalesce("m", "comp"), F.coalesce("h", "comp")).alias("comp"))
+        jump = step
+        for _ in range(JUMPS):  # label := label of label, a few times per written round
+            jump = jump.alias("s").join(jump.select(F.col("node").alias("c"), F.col("comp").alias("cc")),
+                                        F.col("s.comp") == F.col("c"), "left") \
+                .select("node", F.least(F.col("s.comp"), F.coalesce("cc", F.col("s.comp"))).alias("comp"))
+        # the round's change flag is written with the labels: no extra comparison job
+        old = lab.select("node", F.col("comp").alias("_old"))
+        new = materialize(jump.join(old, "node").withColumn("_chg", F.col("comp") != F.col("_old"))
+                          .drop("_old"), "components")
+        lab = new.drop("_chg")
+        if new.where(F.col("_chg")).isEmpty():
             break
     return lab
 
