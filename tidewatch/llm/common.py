@@ -131,7 +131,7 @@ class Words:
             np.add.at(place, bounds[:-1][long] + count[long], -1)
             out[np.cumsum(place[:-1]) > 0] = acc[inside]
         for i in np.flatnonzero((n > 0) & (n < k)):
-            acc = mix(_U(int(n[i])) * _C2 + h[self.bounds[i]:self.bounds[i] + 1])
+            acc = mix(mix(n[i:i + 1].astype(np.uint64)) + h[self.bounds[i]:self.bounds[i] + 1])
             for j in range(self.bounds[i] + 1, self.bounds[i + 1]):
                 acc = mix(acc * _C1 + h[j:j + 1])
             out[bounds[i]] = acc[0]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, mixing, secrets
+from tidewatch.llm import bpe, chat, jaccard, mixing, quality, secrets
 from tidewatch.llm.common import read_table
 from tidewatch.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -70,3 +70,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@register("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "score")
+
+
+@register("op9_ngram_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
