@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, jaccard, mixing, quality, secrets
+from tidewatch.llm import bpe, chat, jaccard, lines, mixing, quality, secrets
 from tidewatch.llm.common import read_table
 from tidewatch.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -81,3 +81,37 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op3_line_dedup", sql="""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as content,
+         unnest(range(len(string_split(text, chr(10))))) as line
+  from documents where text <> ''),
+counted as (
+  select *, len(list_filter(string_split_regex(content, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as words from lines),
+sums as (
+  select *, sum(words) over (partition by doc_id order by line) as upto,
+         sum(words) over (partition by doc_id order by line) - words as before
+  from counted),
+windows as (  -- shortest windows of five words, forwards from i and backwards from j
+  select i.doc_id, i.line as first, j.line as last
+  from sums i join sums j on i.doc_id = j.doc_id and j.line >= i.line
+   and j.upto - i.before >= 5 and (j.before - i.before < 5 or j.upto - i.upto < 5)
+  where (j.before - i.before < 5 and j.words > 0) or (j.upto - i.upto < 5 and i.words > 0)),
+contents as (
+  select w.*, array_to_string(string_split(d.text, chr(10))[w.first + 1 : w.last + 1], chr(10)) as content
+  from windows w join documents d using (doc_id)),
+later as (
+  select doc_id, first, last,
+         row_number() over (partition by content, last - first order by doc_id, first) as nth
+  from contents),
+deleted as (
+  select distinct doc_id, unnest(range(first, last + 1)) as line from later where nth > 1),
+per as (
+  select doc_id, count(*) as n_deleted, string_agg(line::varchar, ',' order by line) as deleted_lines from deleted group by doc_id)
+select d.doc_id, case when text <> '' then len(string_split(text, chr(10))) else 0 end::bigint as n_lines,
+       coalesce(n_deleted, 0)::bigint as n_deleted, coalesce(deleted_lines, '') as deleted_lines
+from documents d left join per p on d.doc_id = p.doc_id""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
