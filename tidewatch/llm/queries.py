@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, jaccard, lines, mixing, quality, secrets
+from tidewatch.llm import bpe, chat, jaccard, lines, mixing, quality, secrets, surrogates
 from tidewatch.llm.common import read_table
 from tidewatch.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -115,3 +115,10 @@ select d.doc_id, case when text <> '' then len(string_split(text, chr(10))) else
 from documents d left join per p on d.doc_id = p.doc_id""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op10_pii_surrogates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return surrogates.replaced(docs, key="tidewatch").select(
+        F.col("id").alias("doc_id"), "n_entities", "kinds", F.col("new_text").alias("text"))
