@@ -62,33 +62,51 @@ def _sets(b: pa.RecordBatch) -> Iterator[np.ndarray]:
     return part_sets(*Words(b.column(b.schema.get_field_index("text")), lower=True).shingles())
 
 
-def _range_bits(docs: DataFrame) -> int:
+def range_bits(docs: DataFrame) -> int:
     """Hash ranges: about a thousand documents' worth of shingles in each."""
     return max(5, min(24, int(docs.count() // 1000).bit_length()))
 
 
-def _packed(tokens: list[np.ndarray], bits: int, keys: list[np.ndarray] | None = None) -> Iterator[tuple]:
-    """(range, sorted shingles, counts or keys) of what a task holds."""
-    t = np.concatenate(tokens)
-    if keys is None:  # the range's bits and the 32 after them name the shingle
-        t, extra = np.unique(t >> np.uint64(32 - bits), return_counts=True)
-        where = t >> np.uint64(32)
-        t, extra = t.astype(np.uint32), extra.astype(np.uint32)
-    else:
-        order = np.argsort(t)
-        t, extra = t[order], np.concatenate(keys)[order]
-        where = t >> np.uint64(64 - bits)
-    cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(t) else np.zeros(0, int)
-    for a, e in zip(cut, [*cut[1:], len(t)]):
+def _cut(t: np.ndarray, extra: np.ndarray, where: np.ndarray) -> Iterator[tuple]:
+    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(t) else np.zeros(0, int)
+    for a, e in zip(first, [*first[1:], len(t)]):
         yield int(where[a]), t[a:e].tobytes(), extra[a:e].tobytes()
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
+def _packed_counts(tokens: list[np.ndarray], bits: int) -> list[tuple]:
+    """(range, sorted shingles, counts) of what a task holds; the range's bits
+    and the 32 after them name a shingle."""
+    t, n = np.unique(np.concatenate(tokens) >> np.uint64(32 - bits), return_counts=True)
+    return list(_cut(t.astype(np.uint32), n.astype(np.uint32), t >> np.uint64(32)))
+
+
+def packed_pairs(tokens: np.ndarray, keys: np.ndarray, bits: int) -> list[tuple]:
+    """(range, sorted tokens, their keys) without repeated pairs."""
+    order = np.lexsort((keys, tokens))
+    t, k = tokens[order], keys[order]
+    new = np.ones(len(t), dtype=bool)
+    new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+    t, k = t[new], k[new]
+    return list(_cut(t, k, t >> np.uint64(64 - bits)))
+
+
+def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
     r, t, x = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(t, pa.binary()), pa.array(x, pa.binary())], names=["range", "tokens", "extra"])
 
 
-_PACKED = "range int, tokens binary, extra binary"
+PACKED = "range int, tokens binary, extra binary"
+
+
+def unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and keys of one range, ordered, without repeated pairs."""
+    tok = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()])
+    key = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("extra").to_pylist()])
+    order = np.lexsort((key, tok))
+    tok, key = tok[order], key[order]
+    new = np.ones(len(tok), dtype=bool)
+    new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
+    return tok[new], key[new]
 
 
 def hot_shingles(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +118,10 @@ def hot_shingles(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
                 held.append(s)
                 n += len(s)
             if n >= FLUSH:
-                yield _rows(list(_packed(held, bits)))
+                yield packed_rows(_packed_counts(held, bits))
                 held, n = [], 0
         if n:
-            yield _rows(list(_packed(held, bits)))
+            yield packed_rows(_packed_counts(held, bits))
 
     def merge(t: pa.Table) -> pa.Table:
         tok = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("tokens").to_pylist()])
@@ -116,7 +134,7 @@ def hot_shingles(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
         name = (t.column("range")[0].as_py() << 32) | tok[first][hot].astype(np.int64)
         return pa.table({"name": pa.array(name, pa.int64()), "df": pa.array(total[hot], pa.int64())})
 
-    hot = materialize(docs.select("text").mapInArrow(count, _PACKED).groupBy("range").applyInArrow(merge, "name long, df long"), "hot")
+    hot = materialize(docs.select("text").mapInArrow(count, PACKED).groupBy("range").applyInArrow(merge, "name long, df long"), "hot")
     level = F.floor(F.log2("df"))
     per = dict(hot.groupBy(level.alias("l")).count().collect())  # one row per power of two
     least, n = HOT_FROM, sum(per.values())
@@ -175,29 +193,17 @@ def shared_fronts(sets: DataFrame, bits: int) -> DataFrame:
                 keys.append(np.full(len(t), k, np.int64))
                 n += len(t)
                 if n >= FLUSH:
-                    yield _rows(list(_packed(tokens, bits, keys)))
+                    yield packed_rows(packed_pairs(np.concatenate(tokens), np.concatenate(keys), bits))
                     tokens, keys, n = [], [], 0
         if n:
-            yield _rows(list(_packed(tokens, bits, keys)))
+            yield packed_rows(packed_pairs(np.concatenate(tokens), np.concatenate(keys), bits))
 
     def meet(t: pa.Table) -> pa.Table:
-        tok = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()])
-        key = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("extra").to_pylist()])
-        order = np.argsort(tok, kind="stable")
-        tok, key = tok[order], key[order]
+        tok, key = unpacked(t)
         same = tok[1:] == tok[:-1]
-        often = np.zeros(len(tok), dtype=bool)  # shingles of copies of one class are left out below
-        often[1:] |= same
-        often[:-1] |= same
-        tok, key = tok[often], key[often]
-        order = np.lexsort((key, tok))
-        tok, key = tok[order], key[order]
-        keep = np.ones(len(tok), dtype=bool)
-        keep[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
-        tok, key = tok[keep], key[keep]
         twice = np.zeros(len(tok), dtype=bool)
-        twice[1:] |= tok[1:] == tok[:-1]
-        twice[:-1] |= tok[1:] == tok[:-1]
+        twice[1:] |= same
+        twice[:-1] |= same
         return pa.table({"token": pa.array(tok[twice].view(np.int64)), "class": pa.array(key[twice])})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,23 +212,24 @@ def shared_fronts(sets: DataFrame, bits: int) -> DataFrame:
                 t = np.frombuffer(h, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), k, np.int64))], names=["token", "class"])
 
-    some = sets.where("n > 0")
-    rare = some.select("class", "rare").mapInArrow(ship, _PACKED).groupBy("range").applyInArrow(meet, "token long, class long")
-    hot = some.where(F.length("hot") > 0).select("class", "hot").mapInArrow(spread, "token long, class long").distinct()
+    rare = sets.select("class", "rare").mapInArrow(ship, PACKED).groupBy("range").applyInArrow(meet, "token long, class long")
+    hot = sets.where(F.length("hot") > 0).select("class", "hot").mapInArrow(spread, "token long, class long").distinct()
     return rare.union(hot)
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """Links among rows (a, b, set_a, set_b)."""
+def verified(pairs: DataFrame) -> DataFrame:
+    """Links (a, b) among rows (a, b, set_a, set_b)."""
+    pairs = pairs.select("a", "b", "set_a", "set_b")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column("set_a"), b.column("set_b")):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 keep.append(linked(shared_count(x, y), len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, pairs.select("a", "b").schema)
 
 
 def _solve(t: pa.Table) -> pa.Table:
@@ -264,15 +271,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """Per row of ``docs``: (key, n_shingles, component_id)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    bits = _range_bits(docs)
+    bits = range_bits(docs)
     sets = materialize(document_sets(docs, hot_shingles(docs, bits), bits), "sets")
-    classes = materialize(sets.where("n > 0").groupBy("class").agg(
-        F.min("id").alias("id"), F.max("n").alias("n"), F.min("grp").alias("grp"), F.min("check").alias("c0"), F.max("check").alias("c1")), "classes")
-    if not classes.where("c0 <> c1").isEmpty():
-        raise ValueError("two different sets have the same 64-bit digest")
-    classes = classes.drop("c0", "c1")
+    # two sets with one half of the digest in common meet below, and are compared exactly
+    classes = sets.where("n > 0").groupBy("class", "check").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("grp").alias("grp"))
+    classes = materialize(classes, "classes")
 
-    fronts = materialize(shared_fronts(sets, bits).join(classes.where("id is not null"), "class"), "fronts")
+    known = classes.where("id is not null").drop("check")
+    fronts = materialize(shared_fronts(sets.where("n > 0"), bits).join(known, "class").distinct(), "fronts")
     matrix = fronts.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("id").alias("first"))
     ask = fronts.select("token", "id", "n", F.col("grp").alias("own"))
     fits = (F.col("high") * 100 >= PERCENT * F.col("n")) & (F.col("low") * PERCENT <= 100 * F.col("n")) & (F.col("first") < F.col("id"))
@@ -304,7 +310,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         pairs = (meets.union(members.select("id", "grp")).distinct().join(large, "grp")
                  .where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
         pairs = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        links = materialize(_verified(pairs), "leader_links")
+        links = materialize(verified(pairs), "leader_links")
         own = connected_components(links)
 
     def part(df: DataFrame) -> DataFrame:
@@ -331,8 +337,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     found = (rows.withColumn("bucket", F.pmod("block", F.lit(buckets))).groupBy("bucket")
              .applyInArrow(_solve, "a long, b long"))
     comps = connected_components(links.union(materialize(found, "links")))
-    of_class = classes.select("class", F.col("id").alias("rep")).join(comps, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("comp", "rep").alias("component_id"))
-    out = sets.select("id", "n", "class").join(of_class, "class", "left")
+    of_class = (classes.select("class", "check", F.col("id").alias("rep")).join(comps, F.col("rep") == F.col("node"), "left")
+                .select("class", "check", F.coalesce("comp", "rep").alias("component_id")))
+    out = sets.select("id", "n", "class", "check").join(of_class, ["class", "check"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 

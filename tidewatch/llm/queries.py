@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, jaccard, lines, mixing, quality, secrets, surrogates
+from tidewatch.llm import bpe, chat, jaccard, lines, mixing, paragraphs, quality, secrets, surrogates
 from tidewatch.llm.common import read_table
 from tidewatch.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -122,3 +122,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return surrogates.replaced(docs, key="tidewatch").select(
         F.col("id").alias("doc_id"), "n_entities", "kinds", F.col("new_text").alias("text"))
+
+
+@register("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
