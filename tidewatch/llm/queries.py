@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, jaccard, lines, mixing, paragraphs, quality, secrets, surrogates
+from tidewatch.llm import bpe, chat, jaccard, lines, mixing, paragraphs, quality, search, secrets, surrogates
 from tidewatch.llm.common import read_table
 from tidewatch.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -127,3 +127,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_substring_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op7_exact_topk_search", sql="""
+with words as (
+  select doc_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as term
+  from documents),
+tf as (select doc_id, term, count(*) as tf from words group by doc_id, term),
+lengths as (select doc_id, sum(tf) as len from tf group by doc_id),
+stats as (select (select count(*) from documents) as n, (select sum(len) from lengths) / (select count(*) from documents)::double as mean),
+idf as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, stats group by term, n),
+scores as (
+  select q.doc_id as query_id, d.doc_id,
+         round(sum(q.tf * i.idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * l.len / s.mean))), 6) as score
+  from tf q join idf i on i.term = q.term join tf d on d.term = q.term join lengths l on l.doc_id = d.doc_id, stats s
+  where q.doc_id % 100 = 0 group by q.doc_id, d.doc_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scores)
+select query_id, rank, doc_id, score from ranked where rank <= 10""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
+    return search.search(docs, docs.where("id % 100 = 0"), k=10)
