@@ -225,3 +225,26 @@ def round_trip(docs: DataFrame, vocabulary: bytes, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)
+
+
+def encode_checked(docs: DataFrame, vocabulary: bytes, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """``docs`` with ``ids`` in place of ``text``, its length ``n_tokens`` and
+    ``decoded_sha256``, the digest of the text that the ids decode to."""
+    spec = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    keep = _columns(docs, [text, ids, "n_tokens", "decoded_sha256"])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField(ids, T.ArrayType(T.IntegerType())),
+                                                            T.StructField("decoded_sha256", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(spec.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                coded = [bpe.encode(t.as_py()) for t in part.column(text)]
+                n = [len(c) // 4 for c in coded]
+                sha = [hashlib.sha256(bpe.decode(c).encode("utf-8")).hexdigest() for c in coded]
+                values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n, pa.int64()), lists, pa.array(sha, pa.string())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)

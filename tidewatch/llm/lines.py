@@ -35,6 +35,7 @@ from tidewatch.llm.mixing import WORD
 from tidewatch.session import materialize
 
 MIN_WORDS = 5
+BROADCAST_LINES = 1_000_000  # deleted lines up to which the list of them is broadcast
 
 
 def _place(key: str, text: str) -> Column:
@@ -155,11 +156,14 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text
     """``docs`` without the deleted lines.  A document that loses all its words
     goes; ``n_chars``, where there is one, is counted anew for changed texts."""
     gone = _per_document(deleted_lines(docs, min_words, key, text))
-    gone = gone.select(F.col("doc.id").alias("_id"), F.col("doc.tie").alias("_tie"), "_deleted")
+    gone = materialize(gone.select(F.col("doc.id").alias("_id"), F.col("doc.tie").alias("_tie"), "_deleted"), "deleted")
+    size = gone.agg(F.sum(F.size("_deleted"))).head()[0] or 0
+    if size <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_deleted", i))
     same = docs[key].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_tie"))
     cut = F.col("_deleted").isNotNull()
     joined = docs.join(gone, same, "left").withColumn("_new", F.when(cut, F.array_join(kept, "\n")).otherwise(F.col(text)))
     joined = joined.where(~cut | F.col("_new").rlike(WORD))
-    size = {"n_chars": F.when(cut, F.length("_new")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
-    return joined.withColumns(size | {text: F.col("_new")}).select(*docs.columns)
+    chars = {"n_chars": F.when(cut, F.length("_new")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
+    return joined.withColumns(chars | {text: F.col("_new")}).select(*docs.columns)

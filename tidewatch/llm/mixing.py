@@ -15,9 +15,10 @@ so that a source with a third of all rows is spread over many tasks.
 
 A null source is a source of its own, last in order.  A null or empty text
 has size 0 and expects the same number of copies as any other document of
-its source.  Ties in size are ordered by document id; repeated rows (the same
-id and size) are interchangeable.  A source without words, or an empty
-table, gives targets of 0 and no copies.  Other columns are carried through.
+its source.  Ties in size are ordered by document id and a hash of the text;
+rows equal in all that draw as rows of their own, in any order.  A source
+without words, or an empty table, gives targets of 0 and no copies.  Other
+columns are carried through ``emit``.
 """
 
 from __future__ import annotations
@@ -64,10 +65,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_r
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeat: int = 3, seed: int = 42,
         key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row per document: (key, size, source, source_size, target, copies)."""
-    sizes = materialize(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes")
+    """One row per document: (key, tie, size, source, source_size, target,
+    copies); tie is a hash of the text."""
+    sizes = materialize(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("tie"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes")
     per = source_targets(sizes, weights, max_repeat)
-    placed = global_index(sizes, [F.col("source").isNull(), F.col("source"), "size", "_key"], "_at")
+    placed = global_index(sizes, [F.col("source").isNull(), F.col("source"), "size", "_key", "tie"], "_at")
     # where each source begins in that order: the documents of the sources before it
     begins = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
     begins = per.withColumn("_first", F.coalesce(F.sum("n_docs").over(begins), F.lit(0)))
@@ -77,13 +79,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeat: int =
     rank = F.col("_at") - F.col("_first")
     copies = F.floor((rank + 1) * F.col("_expected") + F.col("_offset")) - F.floor(rank * F.col("_expected") + F.col("_offset"))
     return (placed.join(begins, F.col("source").eqNullSafe(F.col("_source")))
-            .select(F.col("_key").alias(key), "size", "source", "source_size", "target", copies.cast("long").alias("copies")))
+            .select(F.col("_key").alias(key), "tie", "size", "source", "source_size", "target", copies.cast("long").alias("copies")))
 
 
-def emit(docs: DataFrame, copies: DataFrame, key: str = "doc_id") -> DataFrame:
+def emit(docs: DataFrame, copies: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs`` repeated as ``copies`` (of ``mix``) says, with the
-    columns of ``docs``."""
-    times = copies.where("copies > 0").select(F.col(key).alias("_key"), F.col("copies").alias("_copies"))
-    return (docs.join(times, F.col(key).eqNullSafe(F.col("_key")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*[docs[c] for c in docs.columns]))
+    columns of ``docs``.  Rows equal in id, source and text take the counts of
+    their kind in turn."""
+    same = Window.partitionBy("_key", "_source", "_tie")
+    times = copies.select(F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("copies").alias("_copies"))
+    times = times.withColumn("_nth", F.row_number().over(same.orderBy("_copies")))
+    rows = docs.select("*", F.col(key).alias("_key"), F.col(source).alias("_source"), F.xxhash64(text).alias("_tie"))
+    others = [F.col(c).cast("string") for c in docs.columns if c != text]
+    rows = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.xxhash64(*others))))
+    names = ["_key", "_source", "_tie", "_nth"]
+    times = times.where("_copies > 0").select("_copies", *[F.col(n).alias(n + "2") for n in names])
+    equal = [rows[n].eqNullSafe(times[n + "2"]) for n in names]
+    return rows.join(times, equal).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Words, slices, string_parts
+from tidewatch.llm.common import Words, slices
 from tidewatch.session import materialize
 
 FIT_ROWS = 20_000  # labelled rows that the forest may be grown from
@@ -75,23 +75,29 @@ def _dup_lines(text: bytes) -> int:
     return len(worded) - len(set(worded))
 
 
+def text_statistics(col: pa.Array) -> list[np.ndarray]:
+    """The statistics of the texts of an Arrow column, in order."""
+    w = Words(col)
+    raw = w.data.tobytes()
+    off = w.offsets.tolist()
+    lines = np.array([_dup_lines(raw[x:y]) for x, y in zip(off[:-1], off[1:])], dtype=np.int64)
+    chars = _per_part(w.is_word_byte & ((w.data & 0xC0) != 0x80), w.offsets)
+    return [np.diff(w.bounds), chars, _per_part(_SYMBOLS[w.data], w.offsets), lines, _repeat_words(w)]
+
+
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
-            w = Words(b.column(1))
-            raw = w.data.tobytes()
-            off = w.offsets.tolist()
-            made = [np.diff(w.bounds), _per_part(w.is_word_byte & ((w.data & 0xC0) != 0x80), w.offsets), _per_part(_SYMBOLS[w.data], w.offsets),
-                    np.array([_dup_lines(raw[x:y]) for x, y in zip(off[:-1], off[1:])], dtype=np.int64), _repeat_words(w)]
+            made = text_statistics(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.astype(np.int64)) for x in made)], names=[key, *STATISTICS])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{s} long" for s in STATISTICS))
 
 
-def base_failed() -> F.Column:
+def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
@@ -170,7 +176,7 @@ def best_cut(per_bin: list[tuple[int, int, int]], keep_weight: float = KEEP_WEIG
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not good or not bad:
         return None
-    best, cut, good_above, bad_above = -np.inf, None, good, bad
+    best, cut, width, good_above, bad_above = -np.inf, None, 0, good, bad
     for i, (at, g, b) in enumerate(rows):  # the cut lies above this bin
         good_above, bad_above = good_above - g, bad_above - b
         value = bad_above / bad - keep_weight * good_above / good
@@ -180,29 +186,44 @@ def best_cut(per_bin: list[tuple[int, int, int]], keep_weight: float = KEEP_WEIG
     return cut
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-          fit_rows: int = FIT_ROWS, seed: int = 42) -> DataFrame:
-    """(key, the statistics, base_failed, score, kept) of every document."""
-    stats = materialize(statistics(docs, key, text).withColumn("base_failed", base_failed()), "statistics")
+def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality",
+        fit_rows: int = FIT_ROWS, seed: int = 42) -> tuple[Forest | None, float | None]:
+    """(forest, score cut) from written statistics and labels."""
     marks = (labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key"))
              .agg(F.min(label).alias("_good")))
-    labelled = stats.join(marks, stats[key] == F.col("_key")).where("not base_failed")
+    labelled = stats.where(~base_failed()).join(marks, stats[key] == F.col("_key"))
     drawn = labelled.select(*STATISTICS).orderBy(F.xxhash64(F.lit(seed), "_key"), *STATISTICS).limit(fit_rows).collect()
     if not drawn:
-        return stats.withColumn("score", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))
-    fit = np.array(drawn, dtype=np.float64)
-    forest = Forest(features({s: fit[:, i] for i, s in enumerate(STATISTICS)}), seed=seed)
+        return None, None
+    rows = np.array(drawn, dtype=np.float64)
+    forest = Forest(features({s: rows[:, i] for i, s in enumerate(STATISTICS)}), seed=seed)
     bins = (_scored(labelled.select(*STATISTICS, "_good"), forest)
             .groupBy(F.floor(F.col("score") * BINS).alias("bin"))
             .agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad")))
-    cut = best_cut([tuple(r) for r in bins.collect()])  # one row per bin, BINS at most
-    scored = _scored(stats, forest)
+    return forest, best_cut([tuple(r) for r in bins.collect()])  # one row per bin, BINS at most
+
+
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """(key, the statistics, base_failed, score, kept) of every document."""
+    stats = materialize(statistics(docs, key, text), "statistics")
+    forest, cut = fit(stats, labels, key, label)
+    judged = _scored(stats, forest) if forest else stats.withColumn("score", F.lit(None).cast("double"))
     anomalous = F.lit(False) if cut is None else F.col("score") > cut
-    return scored.withColumn("kept", ~F.col("base_failed") & ~anomalous)
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~anomalous)
+
+
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The documents that ``judge`` keeps, with their columns.  Verdicts are
+    reached again where the texts are, so that no text is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(materialize(statistics(docs, key, text), "statistics"), labels, key, label))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, cut = held.value
+        for b in slices(batches, text):
+            stats = dict(zip(STATISTICS, text_statistics(b.column(b.schema.get_field_index(text)))))
+            good = (stats["n_words"] >= 10) & (100 * stats["n_repeat_words"] <= 20 * stats["n_words"])
+            if cut is not None:
+                good &= forest.score(features(stats)) <= cut
+            yield b.filter(pa.array(good))
 
-def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that ``judge`` keeps, with their columns.  A document with
-    a null key is judged and kept or dropped like any other."""
-    out = judge(docs, labels, key, text).where(~F.col("kept")).select(F.col(key).alias("_key")).distinct()
-    return docs.join(out, docs[key].eqNullSafe(F.col("_key")), "left_anti")
+    return docs.mapInArrow(run, docs.schema)
