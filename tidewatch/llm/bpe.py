@@ -5,7 +5,9 @@ at the special strings, normalised (NFC, lower case), split into letters,
 single numerals, contractions and other signs, and each piece is merged by
 rank.  Merging keeps a heap of (rank, position) over a doubly linked list of
 symbols; an entry whose symbols have changed since it was pushed is stale
-and skipped.  Decoding writes the vocabulary strings one after another,
+and skipped.  Letters and numerals are those of the ``regex`` package's
+Unicode tables, which may know code points that another version does not.
+Decoding writes the vocabulary strings one after another,
 separated as the file's decoder says (a space where it names none).
 
 Nulls and empty texts have no tokens.  Rows are independent: repeated rows

@@ -160,10 +160,15 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text
     size = gone.agg(F.sum(F.size("_deleted"))).head()[0] or 0
     if size <= BROADCAST_LINES:
         gone = F.broadcast(gone)
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_deleted", i))
-    same = docs[key].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_tie"))
+    # the columns of docs travel as one value, so that no name can clash
+    rows = docs.select(F.struct("*").alias("row"))
+    old = F.col("row")[text]
+    same = F.col("row")[key].eqNullSafe(F.col("_id")) & (F.xxhash64(old) == F.col("_tie"))
+    kept = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~F.array_contains("_deleted", i)), "\n")
     cut = F.col("_deleted").isNotNull()
-    joined = docs.join(gone, same, "left").withColumn("_new", F.when(cut, F.array_join(kept, "\n")).otherwise(F.col(text)))
-    joined = joined.where(~cut | F.col("_new").rlike(WORD))
-    chars = {"n_chars": F.when(cut, F.length("_new")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
-    return joined.withColumns(chars | {text: F.col("_new")}).select(*docs.columns)
+    joined = rows.join(gone, same, "left").withColumn("_new", F.when(cut, kept).otherwise(old)).where(~cut | F.col("_new").rlike(WORD))
+    row = F.col("row").withField(text, F.col("_new"))
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        row = row.withField("n_chars", F.when(cut, F.length("_new").cast(kind)).otherwise(F.col("row")["n_chars"]))
+    return joined.select(row.alias("row")).select("row.*")

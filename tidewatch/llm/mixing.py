@@ -86,13 +86,13 @@ def emit(docs: DataFrame, copies: DataFrame, key: str = "doc_id", source: str =
     """The rows of ``docs`` repeated as ``copies`` (of ``mix``) says, with the
     columns of ``docs``.  Rows equal in id, source and text take the counts of
     their kind in turn."""
-    same = Window.partitionBy("_key", "_source", "_tie")
-    times = copies.select(F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("copies").alias("_copies"))
-    times = times.withColumn("_nth", F.row_number().over(same.orderBy("_copies")))
-    rows = docs.select("*", F.col(key).alias("_key"), F.col(source).alias("_source"), F.xxhash64(text).alias("_tie"))
-    others = [F.col(c).cast("string") for c in docs.columns if c != text]
-    rows = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.xxhash64(*others))))
     names = ["_key", "_source", "_tie", "_nth"]
-    times = times.where("_copies > 0").select("_copies", *[F.col(n).alias(n + "2") for n in names])
-    equal = [rows[n].eqNullSafe(times[n + "2"]) for n in names]
-    return rows.join(times, equal).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    same = Window.partitionBy(*names[:3])
+    times = copies.select(F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("copies").alias("_copies"))
+    times = times.withColumn("_nth", F.row_number().over(same.orderBy("_copies"))).where("_copies > 0")
+    # the columns of docs travel as one value, so that no name can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.xxhash64(text).alias("_tie"),
+                       F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != text]).alias("_rest"))
+    rows = rows.withColumn("_nth", F.row_number().over(same.orderBy("_rest")))
+    equal = [rows[n].eqNullSafe(times[n]) for n in names]
+    return rows.join(times, equal).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")

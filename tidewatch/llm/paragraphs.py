@@ -209,6 +209,8 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, key: str =
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the removed paragraphs; rows without an id stay whole."""
     gone = repeated_paragraphs(docs, min_words, key, text).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    joined = docs.join(gone, docs[key] == F.col("_key"), "left")
-    return joined.withColumn(text, F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"))  # one value, so that no name can clash
+    old = F.col("row")[text]
+    kept = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
+    joined = rows.join(gone, F.col("row")[key] == F.col("_key"), "left")
+    return joined.select(F.col("row").withField(text, F.when(F.col("_gone").isNotNull(), kept).otherwise(old)).alias("row")).select("row.*")

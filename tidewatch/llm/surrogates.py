@@ -200,8 +200,10 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text: str =
     """``docs`` with replaced entities; ``n_chars``, where there is one, is
     counted anew for changed texts."""
     new = replaced(docs, key, id_col, text).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("new_text").alias("_new"))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_tie"))
-    cols = {text: F.coalesce("_new", text)}
+    rows = docs.select(F.struct("*").alias("row"))  # one value, so that no name can clash
+    old = F.col("row")[text]
+    same = F.col("row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(old) == F.col("_tie"))
+    row = F.col("row").withField(text, F.coalesce("_new", old))
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.coalesce(F.length("_new").cast(dict(docs.dtypes)["n_chars"]), "n_chars")
-    return docs.join(new, same, "left").withColumns(cols).select(*docs.columns)
+        row = row.withField("n_chars", F.coalesce(F.length("_new").cast(dict(docs.dtypes)["n_chars"]), F.col("row")["n_chars"]))
+    return rows.join(new, same, "left").select(row.alias("row")).select("row.*")
