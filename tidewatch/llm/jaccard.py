@@ -8,12 +8,14 @@ when shared * 100 >= 80 * union.  Steps, all over whole texts:
    more documents are listed (at most ``HOT_LIMIT`` of them, the most
    frequent; the list only shapes the order below, never the result).
 2. Order: rare shingles first, hot ones last by frequency, then by hash.  Of n
-   shingles the first n - ceil(0.8 n) + 1 are a document's front; two linked
-   documents share a shingle of their fronts.  Equal sets are one class.
+   shingles the first n - ceil(0.8 n) + k are a document's front, where
+   k = 1 + n / 20; two linked documents share at least the smaller k
+   shingles of their fronts.  Equal sets are one class.
 3. Groups: classes with the same smallest shingle (the smallest hot one where
    the front reaches the hot ones) form a group of similar documents.
 4. Token-group matrix: (shingle, group) rows with the range of set sizes; a
-   class meets the groups that hold a shingle of its front and a fitting size.
+   class meets the groups that hold enough shingles of its front and a
+   fitting size.
 5. Blocks of a group's members and the classes that meet it are solved in
    tasks: the union of the members' shingles bounds the overlap, only groups
    with a sufficient bound are opened, and pairs not yet connected are
@@ -54,6 +56,12 @@ def need(n):
     return (n * PERCENT + 99) // 100
 
 
+def least_shared(n):
+    """Shingles that the fronts of two linked documents share at least, by the
+    size of the smaller one."""
+    return 1 + n // 20
+
+
 def linked(shared: int, n: int, m: int) -> bool:
     return shared * 100 >= PERCENT * (n + m - shared)
 
@@ -158,7 +166,7 @@ def document_sets(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], bits: int
             for s in _sets(b):
                 n = len(s)
                 digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                front = n - need(n) + 1 if n else 0
+                front = n - need(n) + least_shared(n) if n else 0
                 rare = s
                 if n and len(names):
                     name = s >> np.uint64(32 - bits)
@@ -282,7 +290,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     matrix = fronts.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("id").alias("first"))
     ask = fronts.select("token", "id", "n", F.col("grp").alias("own"))
     fits = (F.col("high") * 100 >= PERCENT * F.col("n")) & (F.col("low") * PERCENT <= 100 * F.col("n")) & (F.col("first") < F.col("id"))
-    meets = materialize(ask.join(matrix, "token").where(fits).select("id", "grp").distinct(), "meets")
+    met = ask.join(matrix, "token").where(fits).groupBy("id", "n", "grp").agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"))
+    enough = F.col("shared") >= 1 + F.floor(F.least("n", "low") / 20)
+    meets = materialize(met.where(enough).select("id", "grp"), "meets")
     members = materialize(fronts.select("id", "class", "grp").distinct().join(meets.select("grp").distinct(), "grp", "left_semi"), "members")
 
     wanted = members.select("id", "class").union(meets.select("id").distinct().join(fronts.select("id", "class").distinct(), "id")).distinct()
@@ -344,7 +354,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that are linked to one with a smaller id;
-    of repeated rows with one id, and of copies without an id, all stay."""
+    """``docs`` without the documents that are linked to one with a smaller id.
+    Rows without an id stay; of rows with one id all stay or all go."""
     gone = jaccard_components(docs, key, text).where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    gone = materialize(gone, "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone["_gone"], "left_anti")
