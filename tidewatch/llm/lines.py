@@ -130,6 +130,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
              .join(levels.select("doc", F.col("line").alias("tail"), "k", F.col("rank").alias("back")), ["doc", "tail", "k"]))
     named = materialize(named.select("doc", "line", "len", "front", "back"), "windows")
     first = named.groupBy("len", "front", "back").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(first, "first_windows")  # a plain exchange on both sides lets Spark split a frequent window
     later = (named.join(first, ["len", "front", "back"]).where(F.struct("doc", "line") > F.col("first"))
              .groupBy("doc", "line").agg(F.max(F.col("line") + F.col("len")).alias("reach")))
     upto = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
