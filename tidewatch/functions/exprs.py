@@ -22,13 +22,23 @@ def guarded_ratio(num, den) -> Column:
 
 
 def nan_to_null(c) -> Column:
+    """NaN is a missing value everywhere; infinities are values and stay."""
     c = col(c)
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
+    return F.when(~F.isnan(c), c)
+
+
+def without_nan(df: DataFrame, columns=None) -> DataFrame:
+    """NaN read as NULL in the given float columns (default: all of them)."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+             and (columns is None or f.name in columns)]
+    return df.withColumns({c: nan_to_null(F.col(f"`{c}`")) for c in names}) if names else df
 
 
 def window_start(ts, seconds: int) -> Column:
-    """Floor a timestamp to ``seconds`` from the epoch (tumbling window start)."""
-    return F.window(col(ts), f"{int(seconds)} seconds").start
+    """Floor a timestamp to ``seconds`` from the epoch (tumbling window start).
+    Plain arithmetic: a NULL time gives a NULL window and the row stays."""
+    micros = F.unix_micros(col(ts).cast("timestamp"))
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(int(seconds) * 1_000_000)))
 
 
 def is_numeric(dt: T.DataType) -> bool:

@@ -2,7 +2,7 @@
 
 ``orderBy`` + ``row_number() over (order by ...)`` moves every row into one
 task.  Here rows are range-partitioned and sorted inside each partition, the
-partition layout is pinned with a reliable ``checkpoint()`` (so recomputing a
+partition layout is pinned by writing the table (so recomputing a
 lost partition cannot change the layout), and each row's global position is
 its position inside its partition plus the row count of the partitions before
 it (a table with one row per partition, broadcast).

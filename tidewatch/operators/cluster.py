@@ -19,10 +19,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.components import connected_components
 from tidewatch.functions.ranking import global_index
 from tidewatch.operators.neighbors import radius_join
 from tidewatch.operators.preprocess import fit_scaler
-from tidewatch.session import ensure_checkpoint_dir, materialize
+from tidewatch.session import materialize
 
 
 def standardized_profiles(wide: DataFrame, key: str = "entity") -> DataFrame:
@@ -59,9 +60,11 @@ class PCAFit:
         pc = self.model.pc.toArray()
         return [1.0 if pc[abs(pc[:, i]).argmax(), i] >= 0 else -1.0 for i in range(pc.shape[1])]
 
-    def loadings(self, spark, names: list[str], top: int = 10, components: int = 2) -> DataFrame:
-        """K6: |weight| of the first ``top`` features on the first components."""
+    def loadings(self, spark, names: list[str], top: int | None = None, components: int | None = None) -> DataFrame:
+        """K6: |weight| of every feature on every component (of the first
+        ``top`` features and ``components``, if given)."""
         pc = self.model.pc.toArray()
+        top, components = top or len(names), components or pc.shape[1]
         rows = [(names[i], j + 1, float(abs(pc[i, j])))
                 for j in range(min(components, pc.shape[1])) for i in range(min(top, len(names)))]
         return spark.createDataFrame(rows, "feature string, component int, weight double")
@@ -94,43 +97,6 @@ def cluster_sizes(clustered: DataFrame, col: str = "cluster") -> DataFrame:
     return clustered.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
 
 
-JUMPS = 3  # pointer jumps per round (joins inside one job; rounds are what is written)
-
-
-def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Connected components: (node, comp) with comp = smallest node of its component.
-
-    Each round takes the minimum label over neighbours, hooks the root that a
-    neighbour's label names to the smaller label (as in Shiloach-Vishkin), then
-    jumps labels (label := label of label) a few times, so whole label trees
-    merge per round instead of labels moving one edge per round.
-    """
-    ensure_checkpoint_dir(nodes.sparkSession)
-    lab = materialize(nodes.select(F.col("node"), F.col("node").alias("comp")), "components")
-    und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    for _ in range(max_rounds):
-        lv = und.join(lab.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a") \
-            .join(lab.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-        # neighbour minimum, and hooking: the root a neighbour points to takes the smaller label
-        nb = lv.groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("m"))
-        hook = lv.where(F.col("ca") < F.col("cb")).groupBy(F.col("cb").alias("node")).agg(F.min("ca").alias("h"))
-        step = lab.join(nb, "node", "left").join(hook, "node", "left") \
-            .select("node", F.least("comp", F.coalesce("m", "comp"), F.coalesce("h", "comp")).alias("comp"))
-        jump = step
-        for _ in range(JUMPS):  # label := label of label, a few times per written round
-            jump = jump.alias("s").join(jump.select(F.col("node").alias("c"), F.col("comp").alias("cc")),
-                                        F.col("s.comp") == F.col("c"), "left") \
-                .select("node", F.least(F.col("s.comp"), F.coalesce("cc", F.col("s.comp"))).alias("comp"))
-        # the round's change flag is written with the labels: no extra comparison job
-        old = lab.select("node", F.col("comp").alias("_old"))
-        new = materialize(jump.join(old, "node").withColumn("_chg", F.col("comp") != F.col("_old"))
-                          .drop("_old"), "components")
-        lab = new.drop("_chg")
-        if new.where(F.col("_chg")).isEmpty():
-            break
-    return lab
-
-
 def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int = 5,
            out: str = "cluster") -> DataFrame:
     """K4: DBSCAN (Ester et al. 1996): distance <= eps inclusive, a row counts
@@ -140,7 +106,8 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
     core = deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("node"))
     core_edges = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi") \
         .join(core.withColumnRenamed("node", "b"), "b", "left_semi").where(F.col("a") < F.col("b"))
-    comp = _components(core_edges, core)
+    joined = connected_components(core_edges)
+    comp = materialize(core.join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
     ids = global_index(comp.select("comp").distinct(), ["comp"], "cid")
     core_lab = comp.join(ids, "comp").select(F.col("node"), F.col("cid").cast("int").alias("cid"))
     border = pairs.join(core_lab.select(F.col("node").alias("b"), "cid"), "b") \

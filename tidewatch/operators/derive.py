@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import guarded_ratio, window_start, zero_as_one
+from tidewatch.functions.exprs import guarded_ratio, window_start, without_nan, zero_as_one
 from tidewatch.operators.schema import (binarize_label, find_time_column, parse_timestamp, q,
                                         rename_to_standard)
 
@@ -85,12 +85,10 @@ def add_flow_ratios(df: DataFrame) -> DataFrame:
 def add_distinct_destinations(df: DataFrame, source: str = "Source IP",
                               dest: str = "Destination IP", approx: bool = False,
                               out: str = "Distinct Destinations Count") -> DataFrame:
-    """F4 + G2: distinct destinations per source put on every row (only when
-    the table has more than one row, as in the reference)."""
+    """F4 + G2: distinct destinations per source put on every row, whatever the
+    number of rows (the columns of a result depend on the schema only)."""
     if source not in df.columns or dest not in df.columns:
         return df
-    if df.limit(2).count() < 2:
-        return df
     counts = df.groupBy(q(source)).agg(_agg(dest, "nunique", approx).alias(out))
     return df.join(counts, on=source, how="left")
 
@@ -99,7 +97,7 @@ def load_flow_dataset(df: DataFrame, target: str = "label") -> DataFrame:
     """A4: binarise label, rename to standard names, parse time, derive features."""
     df = binarize_label(df, target)
     df = rename_to_standard(df)
-    tcol = next((c for c in df.columns if "time" in c.lower()), None)
+    tcol = find_time_column(df)
     if tcol:
         df = parse_timestamp(df, tcol)
     df = add_flow_ratios(df)
@@ -109,7 +107,8 @@ def load_flow_dataset(df: DataFrame, target: str = "label") -> DataFrame:
 
 def add_time_window(df: DataFrame, time_col: str, seconds: int = 300,
                     out: str = "time_window") -> DataFrame:
-    """floor the time to ``seconds`` from the epoch."""
+    """floor the time to ``seconds`` from the epoch; a row without a time
+    stays and has no window."""
     return df.withColumn(out, window_start(F.col(q(time_col)), seconds))
 
 
@@ -135,7 +134,7 @@ def entity_window_features(df: DataFrame, entity_col: str = "Source IP",
     if not aggs:
         raise ValueError("No suitable columns found for creating entity features")
     used = [c for c in count_columns + flow_columns if c in df.columns]
-    base = df.select(F.col(q(entity_col)), F.col(q(time_col)), *[F.col(q(c)) for c in used])
+    base = without_nan(df.select(F.col(q(entity_col)), F.col(q(time_col)), *[F.col(q(c)) for c in used]))
     base = base.where(F.col(q(entity_col)).isNotNull() & F.col(q(time_col)).isNotNull())
     base = add_time_window(base, time_col, window_seconds)
     return base.groupBy(q(entity_col), "time_window").agg(*aggs)
@@ -144,15 +143,17 @@ def entity_window_features(df: DataFrame, entity_col: str = "Source IP",
 def row_window_features(df: DataFrame, time_col: str = "Timestamp", window_seconds: int = 300,
                         source: str = "Source IP", approx: bool = False) -> DataFrame:
     """F2 + G1: per (source, window) aggregates of the columns present, joined
-    back to every row (left join on source and window)."""
+    back to every row (left join on source and window).  Rows without a source
+    or a time keep their place with NULL features."""
     if source not in df.columns:
         return df
-    df = add_time_window(df, time_col, window_seconds)
+    df = without_nan(add_time_window(df, time_col, window_seconds))
     aggs = []
     for c, stats in ROW_WINDOW_AGGS:
         if c in df.columns:
             aggs += [_agg(c, s, approx).alias(f"{c}_{s}") for s in stats]
     if not aggs:
         return df
-    feats = df.groupBy(q(source), "time_window").agg(*aggs)
+    known = df.where(F.col(q(source)).isNotNull() & F.col("time_window").isNotNull())
+    feats = known.groupBy(q(source), "time_window").agg(*aggs)
     return df.join(feats, on=[source, "time_window"], how="left")

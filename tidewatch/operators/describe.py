@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from pyspark.storagelevel import StorageLevel
 
+from tidewatch.functions.exprs import without_nan
 from tidewatch.functions.order_stats import group_quantiles
 from tidewatch.session import materialize
 from tidewatch.operators.schema import column_roles, q
 
 
 def null_counts(df: DataFrame, only_missing: bool = True) -> DataFrame:
-    """NULL count per column in one pass; by default only columns with any."""
+    """Missing values (NULL or NaN) per column in one pass; by default only
+    columns with any."""
+    df = without_nan(df)
     aggs = [F.count_if(F.col(q(c)).isNull()).alias(c) for c in df.columns]
     wide = df.agg(*aggs)
     long = wide.unpivot([], df.columns, "column", "n_missing")
@@ -35,7 +38,7 @@ def summary(df: DataFrame, columns=None, accuracy: int = 10000) -> DataFrame:
         columns, _ = column_roles(df)
     cols = list(columns)
     long = df.select(*[F.col(q(c)).cast("double").alias(c) for c in cols]) \
-        .unpivot([], cols, "column", "value").where(F.col("value").isNotNull()) \
+        .unpivot([], cols, "column", "value").where(F.col("value").isNotNull() & ~F.isnan("value")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     mom = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),

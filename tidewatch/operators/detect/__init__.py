@@ -12,16 +12,17 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate as M
 from tidewatch.operators.detect.base import merged_params
-from tidewatch.operators.detect.iforest import IsolationForestModel, fit_isolation_forest
+from tidewatch.operators.detect.iforest import NODE_SCHEMA, IsolationForestModel, fit_isolation_forest
 from tidewatch.operators.detect.lof import LOFModel, fit_lof
 from tidewatch.operators.detect.ocsvm import OneClassSVMModel, fit_one_class_svm
 
+WEIGHT_SCHEMA = "projection array<array<double>>, phase array<double>, weights array<double>, rho double"
+META_SCHEMA = "model_type string, threshold double, key string, vec string, params string, extra string"
 MODEL_TYPES = ("isolation_forest", "one_class_svm", "local_outlier_factor")
 
 
@@ -86,18 +87,17 @@ class AnomalyDetector:
         m = self.model
         extra = {}
         if isinstance(m, IsolationForestModel):
-            spark.createDataFrame(m.nodes).write.mode("overwrite").parquet(f"{base}/nodes")
+            spark.createDataFrame(m.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{base}/nodes")
             extra = {"psi": m.psi, "offset": m.offset}
         elif isinstance(m, OneClassSVMModel):
-            spark.createDataFrame(pd.DataFrame({"projection": [m.W.tolist()], "phase": [m.b.tolist()],
-                                                "weights": [m.w.tolist()], "rho": [m.rho]})).write.mode("overwrite").parquet(f"{base}/weights")
+            spark.createDataFrame([(m.W.tolist(), m.b.tolist(), m.w.tolist(), float(m.rho))], WEIGHT_SCHEMA) \
+                .write.mode("overwrite").parquet(f"{base}/weights")
         elif isinstance(m, LOFModel):
             m.fitted.write.mode("overwrite").parquet(f"{base}/fitted")
             extra = {"k": m.k, "offset": m.offset}
-        meta = pd.DataFrame({"model_type": [self.model_type], "threshold": [self.threshold],
-                             "key": [self.key], "vec": [self.vec], "params": [json.dumps(self.params)],
-                             "extra": [json.dumps(extra)]})
-        spark.createDataFrame(meta).coalesce(1).write.mode("overwrite").parquet(f"{base}/meta")
+        threshold = None if self.threshold is None else float(self.threshold)
+        meta = [(self.model_type, threshold, self.key, self.vec, json.dumps(self.params), json.dumps(extra))]
+        spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{base}/meta")
         return base
 
     @classmethod
@@ -129,6 +129,7 @@ class EnsembleAnomalyDetector:
     def __init__(self, models=None, voting: str = "hard"):
         self.models = list(models or [])
         self.voting = voting
+        self.threshold = None
 
     def add_model(self, model: AnomalyDetector) -> None:
         self.models.append(model)
@@ -152,22 +153,37 @@ class EnsembleAnomalyDetector:
         n = len(self.models)
         return s.withColumn(out, sum(F.col(f"score_{i}") for i in range(n)) / F.lit(float(n)))
 
-    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+    def predict(self, df: DataFrame, threshold: float | None = None, out: str = "prediction") -> DataFrame:
+        """The vote, or with a threshold on the ensemble score ``score >= threshold``."""
         s = self.score(df)
         n = len(self.models)
+        if threshold is not None:
+            return M.predict(s, "score", threshold, out)
         if self.voting == "hard":
             total = sum(F.col(f"pred_{i}") for i in range(n))
             return s.withColumn(out, F.when(total > 0, 1).otherwise(-1))
         if self.voting == "soft":
             return s.withColumn(out, F.when(F.col("score") > 0, -1).otherwise(1))
-        raise ValueError(f"Unsupported voting method: {self.voting}")
+        raise ValueError(f"Voting is 'hard' or 'soft', not {self.voting!r}")
+
+    def evaluate(self, df: DataFrame, label: str, threshold: float | None = None) -> DataFrame:
+        """Metrics of the ensemble; the tuned threshold is used by default (R2)."""
+        th = threshold if threshold is not None else self.threshold
+        return M.metrics(self.predict(df, th), label, "prediction", score="score")
+
+    def find_optimal_threshold(self, df: DataFrame, label: str, metric: str = "f1") -> float:
+        """M7 + M8 on validation rows; stores and returns the threshold."""
+        sweep = M.threshold_sweep(self.score(df), label, "score")
+        self.threshold = float(M.best_threshold(sweep, metric).first()["threshold"])
+        return self.threshold
 
     def save(self, spark: SparkSession, path: str) -> str:
         """One sub-directory per member plus the voting rule."""
         base = path.rstrip("/")
         for i, m in enumerate(self.models):
             m.save(spark, f"{base}/model_{i}")
-        spark.createDataFrame(pd.DataFrame({"n_models": [len(self.models)], "voting": [self.voting]})) \
+        threshold = None if self.threshold is None else float(self.threshold)
+        spark.createDataFrame([(len(self.models), self.voting, threshold)], "n_models int, voting string, threshold double") \
             .coalesce(1).write.mode("overwrite").parquet(f"{base}/meta")
         return base
 
@@ -176,7 +192,9 @@ class EnsembleAnomalyDetector:
         base = path.rstrip("/")
         meta = spark.read.parquet(f"{base}/meta").first()
         models = [AnomalyDetector.load(spark, f"{base}/model_{i}") for i in range(meta["n_models"])]
-        return cls(models, meta["voting"])
+        out = cls(models, meta["voting"])
+        out.threshold = meta["threshold"]
+        return out
 
 
 class ScoreColumnDetector:

@@ -2,7 +2,8 @@
 
 Fit: for each fitted row its k nearest other fitted rows give the k-distance
 and the local reachability density ``lrd = 1 / (mean reach + 1e-10)`` with
-``reach(p, o) = max(kdist(o), d(p, o))``.  Score: a query row's k nearest
+``reach(p, o) = max(kdist(o), d(p, o))``; with fewer than k + 1 rows all
+others are neighbours.  Score: a query row's k nearest
 fitted rows give its lrd and ``LOF = mean(lrd(o)) / lrd(q)``.  All steps are
 the exact kNN join plus equi-joins and grouped aggregates.
 """
@@ -48,7 +49,8 @@ class LOFModel:
 def fit_lof(train: DataFrame, key: str, vec: str, k: int = 20, contamination="auto") -> LOFModel:
     rows = train.select(key, vec)
     nn = knn(rows, rows, key, vec, k, exclude_self=True)
-    kd = nn.where(F.col("rank") == k).select(F.col("q_key").alias("r_key"), F.col("dist").alias("kdist"))
+    # the k-th neighbour, or the last one of fewer than k + 1 rows
+    kd = nn.groupBy(F.col("q_key").alias("r_key")).agg(F.max("dist").alias("kdist"))
     j = nn.join(kd, "r_key")
     lrd = j.groupBy("q_key").agg(F.avg(F.greatest(F.col("kdist"), F.col("dist"))).alias("_mr")) \
         .select(F.col("q_key").alias(key), (1.0 / (F.col("_mr") + F.lit(1e-10))).alias("lrd"))
@@ -56,6 +58,8 @@ def fit_lof(train: DataFrame, key: str, vec: str, k: int = 20, contamination="au
     model = LOFModel(fitted, key, vec, k)
     if contamination != "auto":
         from tidewatch.operators.detect.base import contamination_offset
-        train_scores = model.raw_scores(rows)
+        # the training rows' own LOF: no row is its own neighbour
+        near = nn.join(lrd.select(F.col(key).alias("r_key"), "lrd"), "r_key").groupBy(F.col("q_key").alias(key)).agg(F.avg("lrd").alias("_nl"))
+        train_scores = near.join(lrd, key).select((F.col("_nl") / F.col("lrd")).alias("lof"))
         model.offset = contamination_offset(train_scores, "lof", float(contamination))
     return model

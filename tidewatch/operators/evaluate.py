@@ -27,7 +27,8 @@ METRICS = ["accuracy", "precision", "recall", "f1", "false_positive_rate"]
 
 
 def _is_anom(label: str, anomaly_label: int = 0):
-    return F.col(q(label)) == F.lit(anomaly_label)
+    # a row without a label is not known to be an anomaly: it counts as normal
+    return F.coalesce(F.col(q(label)) == F.lit(anomaly_label), F.lit(False))
 
 
 def predict(df: DataFrame, score: str, threshold: float, out: str = "prediction",
@@ -45,9 +46,10 @@ def combine_flags(df: DataFrame, row_pred: str, entity_flag: str, out: str = "co
 
 
 def confusion(df: DataFrame, label: str, pred: str, anomaly_label: int = 0) -> DataFrame:
-    """M1: tp, fp, tn, fn (positive = anomaly) in one pass, zeros kept."""
+    """M1: tp, fp, tn, fn (positive = anomaly) in one pass, zeros kept.  Every
+    row counts once: a missing label or prediction counts as normal."""
     a = _is_anom(label, anomaly_label)
-    p = F.col(q(pred)) == -1
+    p = F.coalesce(F.col(q(pred)) == -1, F.lit(False))
     return df.agg(F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"),
                   F.count_if(~a & ~p).alias("tn"), F.count_if(a & ~p).alias("fn"))
 

@@ -50,11 +50,14 @@ def _matrix(series: pd.Series, d: int) -> np.ndarray:
 
 
 def _dist_to(Q: np.ndarray, C: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distances of each row of Q to each row of C."""
+    """Euclidean distances of each row of Q to each row of C, a row of C at a
+    time (SUB x dimension numbers are held besides the result)."""
     out = np.empty((Q.shape[0], C.shape[0]))
     for s in range(0, Q.shape[0], SUB):
-        diff = Q[s:s + SUB, None, :] - C[None, :, :]
-        out[s:s + SUB] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        part = Q[s:s + SUB]
+        for j in range(C.shape[0]):
+            diff = part - C[j]
+            out[s:s + SUB, j] = np.sqrt(np.einsum("ik,ik->i", diff, diff))
     return out
 
 
@@ -154,6 +157,10 @@ def _block_udf(key_type, d: int, k: int | None, eps: float | None, exclude_self:
 def _pairs(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int | None, eps: float | None,
            exclude_self: bool, n_pivots: int | None, seed: int) -> DataFrame:
     key_type = ref.schema[key].dataType
+    schema = T.StructType([T.StructField("q_key", key_type), T.StructField("r_key", key_type),
+                           T.StructField("dist", T.DoubleType())])
+    if ref.isEmpty():
+        return ref.sparkSession.createDataFrame([], schema), []
     cells = _Cells(ref.select(key, vec), key, vec, n_pivots, seed)
     cands = cells.candidates_udf(k, eps, exclude_self)
     q = query.select(F.col(key).alias("key"), F.col(vec).alias("v"))
@@ -169,8 +176,6 @@ def _pairs(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int | None,
     r = cells.ref.select(F.col(key).alias("key"), F.col(vec).alias("v"), "cell")
     rside = r.withColumn("rchunk", F.pmod(F.xxhash64("key"), F.element_at(rch, F.col("cell") + 1)).cast("int")) \
              .withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.element_at(qch, F.col("cell") + 1) - 1)))
-    schema = T.StructType([T.StructField("q_key", key_type), T.StructField("r_key", key_type),
-                           T.StructField("dist", T.DoubleType())])
     solve = _block_udf(key_type, cells.d, k, eps, exclude_self)
     g = ["cell", "rchunk", "qchunk"]
     pairs = qside.groupBy(*g).cogroup(rside.groupBy(*g)).applyInPandas(solve, schema)

@@ -9,9 +9,10 @@ Scale notes
 * Medians use the bracketed exact selection (no column gathered in one task).
 * The mode is ``groupBy(column, value).count()`` then ``min(struct(-count,
   value))`` per column: partial aggregation, ties to the smallest value.
-* Dense one-hot needs the distinct values on the driver to name columns; above
-  ``max_categories`` it refuses.  ``sparse=True`` keeps one sparse vector per
-  column (Spark ML indexer + encoder), with no cap and nothing collected.
+* Dense one-hot names a column per value, so the distinct values reach the
+  driver; above ``max_categories`` it refuses.  ``sparse=True`` keeps one sparse
+  vector per column (Spark ML indexer + encoder) and has no such limit; the
+  preprocessing composition uses it unless told otherwise.
 * Ordinal codes are contiguous ranks of the distinct values computed with a
   range-partitioned global index, not a single-partition window; code tables
   grow with cardinality, so they are joined (AQE broadcasts small ones).
@@ -24,6 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.exprs import nan_to_null, without_nan
 from tidewatch.functions.order_stats import group_quantiles
 from tidewatch.functions.ranking import global_index
 from tidewatch.operators.schema import q
@@ -43,7 +45,11 @@ class FillValues:
         """C4: fill with the stored values (no refit on new data)."""
         fills = {}
         for c, v in {**self.numeric, **self.categorical}.items():
-            if c in df.columns and v is not None:
+            if c not in df.columns or v is None:
+                continue
+            if c in self.numeric:  # a median need not fit an integer column: the column widens to double
+                fills[c] = F.coalesce(nan_to_null(F.col(q(c)).cast("double")), F.lit(float(v)))
+            else:
                 fills[c] = F.coalesce(F.col(q(c)), F.lit(v).cast(df.schema[c].dataType))
         return df.withColumns(fills) if fills else df
 
@@ -55,7 +61,7 @@ def fit_fill_values(df: DataFrame, numeric, categorical, accuracy: int = 10000)
     numeric, categorical = list(numeric), list(categorical)
     if numeric:
         long = df.select(*[F.col(q(c)).cast("double").alias(c) for c in numeric]) \
-            .unpivot([], numeric, "column", "value").where(F.col("value").isNotNull())
+            .unpivot([], numeric, "column", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
         med = group_quantiles(long, ["column"], "value", [0.5], accuracy=accuracy, few_groups=True)
         got = {r["column"]: r["value"] for r in med.collect()}
         out.numeric = {c: got.get(c) for c in numeric}
@@ -70,10 +76,11 @@ def fit_fill_values(df: DataFrame, numeric, categorical, accuracy: int = 10000)
 
 
 def missing_columns(df: DataFrame, columns) -> list[str]:
-    """Columns (of ``columns``) holding at least one NULL, in one pass."""
+    """Columns (of ``columns``) holding at least one NULL or NaN, in one pass."""
     cols = list(columns)
     if not cols:
         return []
+    df = without_nan(df.select(*[q(c) for c in cols]))
     row = df.agg(*[F.count_if(F.col(q(c)).isNull()).alias(c) for c in cols]).first()
     return [c for c in cols if row[c] > 0]
 
@@ -254,7 +261,7 @@ def fit_scaler(df: DataFrame, columns, method: str | None = "standard") -> Scale
         return Scaler(method)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(q(c)).cast("double")
+        x = nan_to_null(F.col(q(c)).cast("double"))
         if method == "standard":
             aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")]
         else:

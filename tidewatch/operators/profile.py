@@ -19,11 +19,12 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.storagelevel import StorageLevel
 
+from tidewatch.functions.exprs import nan_to_null
 from tidewatch.functions.order_stats import group_quantiles
 from tidewatch.session import materialize
 from tidewatch.operators.schema import q
@@ -42,7 +43,7 @@ def to_long(features: DataFrame, entity_col: str, window_col: str = WINDOW_COL)
     cast = features.select(F.col(q(entity_col)).alias("entity"), F.col(q(window_col)).alias(window_col),
                            *[F.col(q(c)).cast("double").alias(c) for c in cols])
     long = cast.unpivot(["entity", window_col], cols, "feature", "value")
-    return long.where(F.col("value").isNotNull())
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def entity_profiles(features: DataFrame, entity_col: str, window_col: str = WINDOW_COL,
@@ -97,13 +98,20 @@ def z_scores(profiles: DataFrame, global_prof: DataFrame, min_std: float = 1e-10
     """J1 + G4: |stat - global mean| / global std for each of the seven
     statistics; features whose global std is below ``min_std`` are skipped and a
     NULL statistic gives no z (R10).  ``baseline='window'`` compares every
-    statistic with the mean and std of the window values (the reference's
-    definition)."""
-    g = global_prof.select("feature", F.col("mean").alias("g_mean"), F.col("std").alias("g_std"))
-    g = g.where(F.col("g_std") >= F.lit(min_std))
+    statistic with the mean and std of the window values;
+    ``baseline='statistic'`` with the mean and std of that statistic over all
+    entities (R19)."""
     long = profile_long(profiles).where(F.col("value").isNotNull())
+    if baseline == "window":
+        g, on = global_prof.select("feature", F.col("mean").alias("g_mean"), F.col("std").alias("g_std")), ["feature"]
+    elif baseline == "statistic":
+        g, on = long.groupBy("feature", "stat").agg(F.avg("value").alias("g_mean"), F.stddev_samp("value").alias("g_std")), ["feature", "stat"]
+    else:
+        raise ValueError(f"baseline is 'window' or 'statistic', not {baseline!r}")
+    g = g.where(F.col("g_std") >= F.lit(min_std))
     z = F.abs((F.col("value") - F.col("g_mean")) / F.col("g_std"))
-    return long.join(F.broadcast(g), "feature").select("entity", "feature", "stat", "value",
+    # one row per schema column (and statistic)
+    return long.join(F.broadcast(g), on).select("entity", "feature", "stat", "value",
                                                        z.alias("z"))
 
 
@@ -174,7 +182,7 @@ def compare_entities(features: DataFrame, entity_col: str, entities,
     cols = feature_columns(sub, entity_col, window_col)
     long = sub.select(F.col(q(entity_col)).alias("entity"), F.col(window_col),
                       *[F.col(q(c)).cast("double").alias(c) for c in cols]) \
-        .unpivot(["entity", window_col], cols, "feature", "value")
+        .unpivot(["entity", window_col], cols, "feature", "value").withColumn("value", nan_to_null(F.col("value")))
     return long.groupBy("entity", "feature").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
@@ -186,10 +194,10 @@ def entity_over_time(features: DataFrame, entity_col: str, entity,
     return filter_entities(features, entity_col, [entity]).orderBy(window_col)
 
 
-def entities_side_by_side(features: DataFrame, entity_col: str, entities, n_features: int = 5,
+def entities_side_by_side(features: DataFrame, entity_col: str, entities, n_features: int | None = None,
                           window_col: str = WINDOW_COL) -> DataFrame:
-    """H7: the first ``n_features`` features of several entities, keyed
-    (feature, window, entity)."""
+    """H7: the features of several entities (the first ``n_features``, if
+    given), keyed (feature, window, entity)."""
     sub = filter_entities(features, entity_col, entities)
     cols = feature_columns(sub, entity_col, window_col)[:n_features]
     return sub.select(F.col(q(entity_col)).alias("entity"), F.col(window_col),
@@ -232,7 +240,3 @@ def distinct_entities(features: DataFrame, entity_col: str, approx: bool = False
     return features.agg(agg.alias("n_entities")).withColumn("n_features", F.lit(n_feat))
 
 
-def window_series_rank(features: DataFrame, entity_col: str, window_col: str = WINDOW_COL) -> DataFrame:
-    """H1 helper: position of each window within its entity (time order)."""
-    w = Window.partitionBy(q(entity_col)).orderBy(window_col)
-    return features.withColumn("window_index", F.row_number().over(w))

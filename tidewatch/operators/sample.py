@@ -18,7 +18,7 @@ from tidewatch.functions.hashing import DEFAULT_SEED, hash_int, hash_unit
 from tidewatch.functions.order_stats import rank_cuts
 from tidewatch.operators.schema import q
 
-MAX_ROWS = 1_000_000  # fixed value of the reference: largest sample it analyses
+MAX_CLASSES = 10_000  # a label with more values is refused: its classes are listed on the driver
 
 
 def _with_hash(df: DataFrame, key: str, seed: int, out: str = "_h") -> DataFrame:
@@ -64,11 +64,11 @@ def sample_ratio(df: DataFrame, ratio: float, key: str, seed: int = DEFAULT_SEED
     return sample_n(df, int(math.floor(total * ratio)), key, seed)
 
 
-def sample_size(df: DataFrame, cap: int = MAX_ROWS) -> DataFrame:
-    """Sample size min(rows, cap) and ratio = size / rows (Spark spills, so
-    no memory term)."""
+def sample_size(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """Sample size min(rows, cap) and ratio = size / rows; without a cap all
+    rows (Spark spills, so no memory term)."""
     c = df.agg(F.count(F.lit(1)).alias("row_count"))
-    size = F.least(F.col("row_count"), F.lit(cap))
+    size = F.col("row_count") if cap is None else F.least(F.col("row_count"), F.lit(cap))
     return c.select("row_count", size.alias("sample_size"),
                     (size / F.col("row_count")).alias("sample_ratio"))
 
@@ -82,7 +82,8 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, val
     wide = cuts.groupBy(label).agg(
         F.max(F.when(F.col("f") == test, F.struct(F.col("cut_o").alias("h"), F.col(key).alias("k")))).alias("_c1"),
         F.max(F.when(F.col("f") == test + val, F.struct(F.col("cut_o").alias("h"), F.col(key).alias("k")))).alias("_c2"))
-    j = h.join(F.broadcast(wide), label, "left")
+    cuts_of = wide.withColumnRenamed(label, "_class")
+    j = h.join(cuts_of, F.col(q(label)).eqNullSafe(F.col("_class")), "left").drop("_class")
     me = F.struct(F.col("_h").alias("h"), F.col(q(key)).alias("k"))
     split = (F.when(F.col("_c1.h").isNotNull() & (me <= F.col("_c1")), "test")
              .when(F.col("_c2.h").isNotNull() & (me <= F.col("_c2")), "val")
@@ -91,13 +92,18 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, val
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class (one row per class reaches the driver)."""
-    return {r[0]: r[1] for r in df.groupBy(q(label)).count().collect()}
+    """Rows per class; rows without a label are no class (one row per class
+    reaches the driver, MAX_CLASSES at most)."""
+    rows = df.where(F.col(q(label)).isNotNull()).groupBy(q(label)).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values and is no class label")
+    return {r[0]: r[1] for r in rows}
 
 
 def undersample(df: DataFrame, label: str, key: str, ratio: float = 0.5,
                 seed: int = DEFAULT_SEED) -> DataFrame:
-    """Keep the minority; keep int(n_min / ratio) majority rows (smallest hashes)."""
+    """Keep the minority and rows without a label; keep int(n_min / ratio)
+    majority rows (smallest hashes)."""
     counts = class_counts(df, label)
     if len(counts) < 2:
         return df
@@ -108,5 +114,5 @@ def undersample(df: DataFrame, label: str, key: str, ratio: float = 0.5,
         return df
     maj = df.where(F.col(q(label)) == F.lit(majority))
     kept = sample_n(maj, target, key, seed)
-    rest = df.where(F.col(q(label)) != F.lit(majority))
+    rest = df.where(~F.col(q(label)).eqNullSafe(F.lit(majority)))
     return rest.unionByName(kept)

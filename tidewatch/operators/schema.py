@@ -171,21 +171,21 @@ def label_to_sign(df: DataFrame, label: str = "Label", out: str = "y_sign") -> D
     return df.withColumn(out, F.when(F.col(q(label)) == 0, -1).otherwise(1))
 
 
-def essential_columns(columns, limit: int = 30) -> list[str]:
+def essential_columns(columns, limit: int | None = None) -> list[str]:
     """Core raw names present, then mapped raw names present, then other
-    byte/packet/flow/port columns until ``limit`` columns are chosen."""
+    byte/packet/flow/port columns (until ``limit`` columns, if given, are chosen)."""
     cols = list(columns)
     chosen: list[str] = []
     for c in ESSENTIAL_RAW + ESSENTIAL_MAPPED:
         if c in cols and c not in chosen:
             chosen.append(c)
     for c in cols:
-        if len(chosen) >= limit:
+        if limit is not None and len(chosen) >= limit:
             break
         if c not in chosen and any(h in c.lower() for h in ESSENTIAL_EXTRA_HINTS):
             chosen.append(c)
     return chosen
 
 
-def essential_projection(df: DataFrame, limit: int = 30) -> DataFrame:
+def essential_projection(df: DataFrame, limit: int | None = None) -> DataFrame:
     return df.select(*[q(c) for c in essential_columns(df.columns, limit)])

@@ -14,19 +14,29 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate as M
 from tidewatch.operators import profile
-from tidewatch.operators.detect import AnomalyDetector
+from tidewatch.operators.detect import AnomalyDetector, EnsembleAnomalyDetector
 from tidewatch.plans.preprocess import preprocess
 from tidewatch.sources import sinks
 
 
 def run_detection(df: DataFrame, target: str, key: str, model_type: str = "isolation_forest",
                   exclude=(), encoding: str = "label", balance_method: str | None = None,
-                  tune_metric: str | None = "f1", out_dir: str | None = None, **params):
+                  tune_metric: str | None = "f1", out_dir: str | None = None, stored=None,
+                  members=("isolation_forest", "local_outlier_factor"), voting: str = "soft", **params):
+    """``model_type='ensemble'`` combines ``members`` by ``voting``; a fitted
+    detector or ensemble given as ``stored`` (for example loaded from a model
+    table) is used as it is instead of fitting one."""
     rows, fitted = preprocess(df, target, key, encoding=encoding, balance_method=balance_method,
                               exclude=exclude)
     rows = fitted.assemble(rows) if "features" not in rows.columns else rows
-    det = AnomalyDetector(model_type, key=key, vec="features", **params)
-    det.fit(rows.where(F.col("split") == "train"))
+    if stored is not None:
+        det = stored
+    elif model_type == "ensemble":
+        det = EnsembleAnomalyDetector([AnomalyDetector(m, key=key, vec="features", **params.get(m, {})) for m in members], voting)
+    else:
+        det = AnomalyDetector(model_type, key=key, vec="features", **params)
+    if stored is None:
+        det.fit(rows.where(F.col("split") == "train"))
     if tune_metric:
         det.find_optimal_threshold(rows.where(F.col("split") == "val"), target, tune_metric)
     test = rows.where(F.col("split") == "test")

@@ -3,7 +3,7 @@ population profiles -> z-scores -> anomalous-entity report -> clustering,
 with the anomaly table (A9) and the profiles (A10) written out.
 
 The entity-window table is the reused intermediate: it is written once to
-the shared checkpoint folder (``checkpoint()``), which also cuts its lineage,
+the shared checkpoint folder which also cuts its lineage,
 and every later step reads it.
 """
 

@@ -164,7 +164,7 @@ def e3_exact_ratio_sample(spark, sf_dir):
 select count(*) as row_count, least(count(*), 1000000) as sample_size,
        {r6('least(count(*), 1000000) / count(*)')} as sample_ratio from ef""")
 def e4_sample_size(spark, sf_dir):
-    return S.sample_size(flows(spark, sf_dir))
+    return S.sample_size(flows(spark, sf_dir), 1_000_000)
 
 
 @register("e5_stratified_split", f"with {EF}, {SPLIT_SQL} select flow_id, \"Label\", split from sp")

@@ -301,7 +301,7 @@ def k5_projection_2d(spark, sf_dir):
 def k6_pca_loadings(spark, sf_dir):
     """K6 (rows only): |loading| of the first ten features on components 1, 2."""
     fit, _, names = _pca(spark, sf_dir)
-    return fit.loadings(spark, names)
+    return fit.loadings(spark, names, top=10, components=2)
 
 
 @register("f10_kmeans_cluster_sizes")

@@ -174,7 +174,7 @@ protocol, src_port, dst_port, {r6('duration')} as duration, {r6('total_fwd_packe
 total_bwd_packets, {r6('total_length_of_fwd_packets')} as total_length_of_fwd_packets,
 {r6('total_length_of_bwd_packets')} as total_length_of_bwd_packets from ({LINEITEM_FLOWS_SQL})""")
 def b12_essential_projection(spark, sf_dir):
-    return schema.essential_projection(lineitem_flows(spark, sf_dir))
+    return schema.essential_projection(lineitem_flows(spark, sf_dir), 30)
 
 
 @register("b13_label_sign", f"""select flow_id, case when "Label" = 0 then -1 else 1 end as y_sign

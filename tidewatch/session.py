@@ -18,6 +18,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a union that keeps its children's partitioning has lost rows behind a filter (4.1)
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # keep broadcast decisions explicit: only fit tables of known size are hinted
@@ -55,8 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # only reached when the session names no shared folder (local tests)
-        conf_dir = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="tidewatch-ckpt-")  # one process: its own folder is shared
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -75,9 +78,25 @@ def materialize(df, name: str = "stage"):
     costs re-reading files."""
     path = new_scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.parquet(path)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this application's ``materialize`` calls have
+    written; call it when no result that reads them is needed any more.
+    Returns how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 _SHIPPED: set = set()
 
 
