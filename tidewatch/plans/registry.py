@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None, raw: bool = False):
 
 def load_all() -> None:
     # importing the modules fills the registry
-    from tidewatch.plans import (q_eval, q_models, q_plans, q_prep, q_profile,  # noqa: F401
+    from tidewatch.plans import (q_eval, q_missing, q_models, q_plans, q_prep, q_profile,  # noqa: F401
                                  q_sources)
 
 
