@@ -101,9 +101,11 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
            out: str = "cluster") -> DataFrame:
     """K4: DBSCAN (Ester et al. 1996): distance <= eps inclusive, a row counts
     itself; cluster ids 0.. ordered by their smallest core key; noise -1."""
-    pairs = radius_join(df, df, key, vec, eps).select(F.col("q_key").alias("a"), F.col("r_key").alias("b"))
-    deg = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    core = deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("node"))
+    # copies of a point are one counted point: pairs grow with the distinct points
+    points = materialize(df.groupBy(F.col(vec).alias("vec")).agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("copies")), "points")
+    pairs = radius_join(points, points, "node", "vec", eps).select(F.col("q_key").alias("a"), F.col("r_key").alias("b"))
+    deg = pairs.join(points.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("deg"))
+    core = materialize(deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("node")), "core")
     core_edges = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi") \
         .join(core.withColumnRenamed("node", "b"), "b", "left_semi").where(F.col("a") < F.col("b"))
     joined = connected_components(core_edges)
@@ -112,6 +114,7 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
     core_lab = comp.join(ids, "comp").select(F.col("node"), F.col("cid").cast("int").alias("cid"))
     border = pairs.join(core_lab.select(F.col("node").alias("b"), "cid"), "b") \
         .groupBy(F.col("a").alias("node")).agg(F.min("cid").alias("bid"))
-    lab = df.join(core_lab.withColumnRenamed("node", key), key, "left") \
-        .join(border.withColumnRenamed("node", key), key, "left")
-    return lab.withColumn(out, F.coalesce("cid", "bid", F.lit(-1)).cast("int")).drop("cid", "bid")
+    lab = points.join(core_lab, "node", "left").join(border, "node", "left")
+    lab = materialize(lab.select("vec", F.coalesce("cid", "bid", F.lit(-1)).cast("int").alias("_label")), "labels")
+    same = F.col(vec).eqNullSafe(F.col("_point"))
+    return df.join(lab.withColumnRenamed("vec", "_point"), same).withColumn(out, F.col("_label")).drop("_point", "_label")

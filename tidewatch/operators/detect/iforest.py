@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialize
 from tidewatch.functions.hashing import DEFAULT_SEED
 
 AUTO_OFFSET = 0.5  # fixed value of the reference library: 'auto' offset of the forest
@@ -143,7 +144,8 @@ def fit_isolation_forest(df: DataFrame, key: str, vec: str, n_estimators: int =
 
     def draw(t):
         h = F.xxhash64(F.lit(seed), t, F.col(key))
-        return (F.abs(h % F.lit(1 << 30)).cast("double")) / F.lit(float(1 << 30))
+        # 60 bits: draws below the threshold stay distinct on any number of rows
+        return (F.abs(h % F.lit(1 << 60)).cast("double")) / F.lit(float(1 << 60))
 
     def candidates(limit):
         # generate-then-filter stays in one code-generated stage (no per-row lambda)
@@ -151,10 +153,11 @@ def fit_isolation_forest(df: DataFrame, key: str, vec: str, n_estimators: int =
         c = c.withColumn("_u", draw(F.col("tree")))
         return c.where(F.col("_u") < F.lit(limit)) if limit < 1.0 else c
 
-    cand = candidates(thr)
-    full = cand.groupBy("tree").count().where(F.col("count") >= psi).count()
-    if full < T:
-        cand = candidates(1.0)  # rare: fall back to ranking all rows per tree
+    while True:  # a few psi rows per tree; a tree that got too few draws from a wider slice
+        cand = materialize(candidates(thr), "candidates")
+        if thr >= 1.0 or cand.groupBy("tree").count().where(F.col("count") >= psi).count() >= T:
+            break
+        thr = min(1.0, 4 * thr)
     w = Window.partitionBy("tree").orderBy("_u", key)
     chosen = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
