@@ -19,8 +19,10 @@ when shared * 100 >= 80 * union.  Steps, all over whole texts:
 5. Blocks of a group's members and the classes that meet it are solved in
    tasks: the union of the members' shingles bounds the overlap, only groups
    with a sufficient bound are opened, and pairs not yet connected are
-   compared exactly.  Large groups are first compared with one leader; what
-   that connects is not compared again, and the rest is cut into chunks.
+   compared exactly.  Large groups are first compared with a leader, the class
+   with the greatest share of hot shingles; the parts that it connects are
+   not compared within themselves again, and chunks hold a large part or a
+   pool of small ones.
 6. Links are joined into components; classes get all their documents back.
 
 A null or empty text, or one without words, has an empty set and links with
@@ -155,19 +157,20 @@ def hot_shingles(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_sets(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
-    """(id, n, class, check, grp, rare, hot): class and check are halves of the
-    digest of the set, rare and hot the shingles of its front."""
+    """(id, n, class, check, grp, heat, rare, hot): class and check are halves of
+    the digest of the set, heat its share of hot shingles, rare and hot the
+    shingles of its front."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, dfs = held.value
         for b in slices(batches, "text"):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for s in _sets(b):
                 n = len(s)
                 digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 front = n - need(n) + least_shared(n) if n else 0
-                rare = s
+                rare, heat = s, 0.0
                 if n and len(names):
                     name = s >> np.uint64(32 - bits)
                     at = np.searchsorted(names, name)
@@ -175,19 +178,20 @@ def document_sets(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], bits: int
                     is_hot = names[at] == name
                     if is_hot.any():
                         rare, often, df = s[~is_hot], s[is_hot], dfs[at[is_hot]]
+                        heat = len(often) / n
                 often_front = s[:0]
                 if n and len(rare) < front:
                     often_front = often[np.lexsort((often, df))][: front - len(rare)]
                     group = often[np.argmin(mix(often))]
                 else:
                     group = s[0] if n else np.uint64(0)
-                for c, v in zip(out, (n, int(digest[0]), int(digest[1]), int(np.int64(group.astype(np.int64))), rare[:front].tobytes(), often_front.tobytes())):
+                for c, v in zip(out, (n, int(digest[0]), int(digest[1]), int(np.int64(group.astype(np.int64))), heat, rare[:front].tobytes(), often_front.tobytes())):
                     c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, types))],
-                                             names=["id", "n", "class", "check", "grp", "rare", "hot"])
+                                             names=["id", "n", "class", "check", "grp", "heat", "rare", "hot"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, class long, check long, grp long, rare binary, hot binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, class long, check long, grp long, heat double, rare binary, hot binary")
 
 
 def shared_fronts(sets: DataFrame, bits: int) -> DataFrame:
@@ -241,7 +245,9 @@ def verified(pairs: DataFrame) -> DataFrame:
 
 
 def _solve(t: pa.Table) -> pa.Table:
-    """Links between the asking and the member classes of each block."""
+    """Links between the asking and the member classes of each block that
+    connect different parts."""
+    part = t.column("part").to_numpy()
     block = t.column("block").to_numpy()
     member = t.column("member").to_numpy(zero_copy_only=False)
     ids = t.column("id").to_numpy()
@@ -254,7 +260,7 @@ def _solve(t: pa.Table) -> pa.Table:
         if not len(inside) or not len(asking):
             continue
         union = np.unique(np.concatenate([sets[i] for i in inside]))
-        root = {int(i): int(i) for i in ids[rows]}
+        root = {int(p): int(p) for p in part[rows]} | {int(i): int(p) for i, p in zip(ids[rows], part[rows])}
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -282,7 +288,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     bits = range_bits(docs)
     sets = materialize(document_sets(docs, hot_shingles(docs, bits), bits), "sets")
     # two sets with one half of the digest in common meet below, and are compared exactly
-    classes = sets.where("n > 0").groupBy("class", "check").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("grp").alias("grp"))
+    classes = sets.where("n > 0").groupBy("class", "check").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("grp").alias("grp"), F.max("heat").alias("heat"))
     classes = materialize(classes, "classes")
 
     known = classes.where("id is not null").drop("check")
@@ -293,7 +299,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     met = ask.join(matrix, "token").where(fits).groupBy("id", "n", "grp").agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"))
     enough = F.col("shared") >= 1 + F.floor(F.least("n", "low") / 20)
     meets = materialize(met.where(enough).select("id", "grp"), "meets")
-    members = materialize(fronts.select("id", "class", "grp").distinct().join(meets.select("grp").distinct(), "grp", "left_semi"), "members")
+    members = materialize(fronts.select("id", "class", "grp", "heat").distinct().join(meets.select("grp").distinct(), "grp", "left_semi"), "members")
 
     wanted = members.select("id", "class").union(meets.select("id").distinct().join(fronts.select("id", "class").distinct(), "id")).distinct()
     wanted = materialize(wanted, "wanted")
@@ -310,7 +316,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     full = materialize(texts.select("id", "class", "text").mapInArrow(shingled, "id long, set binary"), "full")
 
     # large groups: a leader connects what it can before anything else is compared
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("leader"))
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.max_by("id", F.struct("heat", -F.col("id"))).alias("leader"))
     sizes = materialize(sizes, "sizes")
     large = sizes.where(F.col("members") > MEMBERS)
     empty = spark.createDataFrame([], "a long, b long")
@@ -329,20 +335,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
             return df.withColumn("part", F.col("id"))
         return df.join(own.select(F.col("node").alias("id"), F.col("comp").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
 
-    # blocks: members of a group, of a large group those of one part, in chunks; asking classes in chunks
-    inside = part(members.join(sizes, "grp")).withColumn("part", F.when(F.col("members") > MEMBERS, F.col("part")))
-    inside = materialize(inside.withColumn("chunk", F.when(F.col("members") > MEMBERS, F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / MEMBERS))).otherwise(F.lit(0))), "inside")
+    # blocks: the members of a group, of a large group those of a large part or of a pool of small parts, in chunks
+    inside = materialize(part(members.join(sizes, "grp")), "inside")
+    parts = inside.where(F.col("members") > MEMBERS).groupBy("grp", "part").count().where(F.col("count") >= MEMBERS // 2)
+    inside = inside.join(parts.select("grp", "part", F.col("part").alias("pool")), ["grp", "part"], "left")
+    pools = materialize(inside.groupBy("grp", "pool").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("chunks")), "pools")
+    alike = lambda x, y, *names: [x[n].eqNullSafe(y[n]) for n in names]
+    inside = inside.join(pools, alike(inside, pools, "grp", "pool")).select(inside["grp"], inside["pool"], "id", "part", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
+    inside = materialize(inside, "inside")
     asked = meets.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("asks"))
-    blocks = inside.groupBy("grp", "part", "chunk").agg(F.min("id").alias("first")).join(asked, "grp")
-    asking = (part(meets).withColumnRenamed("part", "mine").join(blocks, "grp")
-              .where((F.col("first") < F.col("id")) & (F.col("part").isNull() | (F.col("part") != F.col("mine"))))
+    blocks = inside.groupBy("grp", "pool", "chunk").agg(F.min("id").alias("first")).join(asked, "grp")
+    asking = (part(meets).join(blocks, "grp")
+              .where((F.col("first") < F.col("id")) & (F.col("pool").isNull() | (F.col("pool") != F.col("part"))))
               .withColumn("ask", F.pmod(F.xxhash64("id", F.lit(7)), F.col("asks"))))
-    asking = materialize(asking.select("grp", "part", "chunk", "ask", "id"), "asking")
-    used = asking.select("grp", "part", "chunk", "ask").distinct()
-    same = lambda x, y: (x["grp"] == y["grp"]) & x["part"].eqNullSafe(y["part"]) & (x["chunk"] == y["chunk"])
-    filled = used.join(inside, same(used, inside)).select(used["grp"], used["part"], used["chunk"], used["ask"], inside["id"])
+    asking = materialize(asking.select("grp", "pool", "chunk", "ask", "id", "part"), "asking")
+    used = asking.select("grp", "pool", "chunk", "ask").distinct()
+    filled = used.join(inside, alike(used, inside, "grp", "pool", "chunk")).select(used["grp"], used["pool"], used["chunk"], "ask", "id", "part")
     rows = filled.withColumn("member", F.lit(True)).union(asking.withColumn("member", F.lit(False)))
-    rows = rows.select(F.xxhash64("grp", "part", "chunk", "ask").alias("block"), "member", "id").join(full, "id")
+    rows = rows.select(F.xxhash64("grp", "pool", "chunk", "ask").alias("block"), "member", "id", "part").join(full, "id")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(wanted.count() // 2000))
     found = (rows.withColumn("bucket", F.pmod("block", F.lit(buckets))).groupBy("bucket")
              .applyInArrow(_solve, "a long, b long"))
