@@ -12,6 +12,20 @@ from tidewatch.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
 VOCABULARY = "word_bpe_49k.json"
 
+# DuckDB: words and five-word shingles of a text, ASCII letters in lower case.
+_WORDS = ("list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[\\x20\\x09-\\x0D]+'), lambda x: x <> '')")
+_SHINGLES = ("case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) "
+             "when len(w) > 0 then [array_to_string(w, ' ')] else [] end")
+#: From parts (node, w): sets, links of 80 % and more, and the smallest node that links lead to.
+_LINKED = f"""sets as (select distinct node, unnest({_SHINGLES}) as s from parts),
+sizes as (select node, count(*) as n from sets group by node),
+shared as (select a.node as a, b.node as b, count(*) as c from sets a join sets b using (s) where a.node < b.node group by 1, 2),
+links as (select a, b from shared join sizes x on a = x.node join sizes y on b = y.node where 100 * c >= 80 * (x.n + y.n - c)),
+edges as (select a, b from links union all select b, a from links),
+reach(node, comp) as (select node, node from sizes union select e.b, r.comp from reach r join edges e on r.node = e.a),
+comps as (select node, min(comp) as comp from reach group by node)"""
+
 
 @register("op2_bpe_encode_decode")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +36,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBE = "</s>[INST] ok [/INST]"
 
 
-@register("op4_chat_formatting")
+@register("op4_chat_formatting", sql=r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+told as (  -- a turn adds its tags, its role and text, and a backslash per control string
+  select *, 12 + length(role) + 1 + length(text) + 11
+    + len(regexp_extract_all(text, '[<\[]\\*(?:\||s>|/s>|<SYS>>|</SYS>>|/?INST\]|/?AVAILABLE_TOOLS\]|start_of_turn>|end_of_turn>|bos>|eos>)')) as chars
+  from said)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(chars)::bigint as formatted_chars
+from told group by conv_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")),
@@ -78,7 +105,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "score")
 
 
-@register("op9_ngram_jaccard_join")
+@register("op9_ngram_jaccard_join", sql=f"""
+with recursive parts as (select doc_id as node, {_WORDS.format("text")} as w from documents), {_LINKED}
+select d.doc_id, coalesce(z.n, 0)::bigint as n_shingles, coalesce(c.comp, d.doc_id) as component_id
+from documents d left join sizes z on d.doc_id = z.node left join comps c on d.doc_id = c.node""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -124,7 +154,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_entities", "kinds", F.col("new_text").alias("text"))
 
 
-@register("op1_substring_dedup")
+@register("op1_substring_dedup", sql=f"""
+with recursive lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as content, unnest(range(len(string_split(text, chr(10))))) as line
+  from documents where text <> ''),
+placed as (
+  select *, sum(length(content) + 1) over (partition by doc_id order by line) as upto, {_WORDS.format("content")} as w from lines),
+parts as (select row(doc_id, line) as node, doc_id, line, w, upto - length(content) - 1 as start, upto - 1 as "end" from placed where len(w) >= 20),
+{_LINKED}
+select doc_id, line, start::bigint as start, "end"::bigint as "end", c.comp[1] as first_doc_id, c.comp[2] as first_line
+from parts p join comps c on p.node = c.node where c.comp <> p.node""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
