@@ -183,14 +183,15 @@ def test_search_prunes_without_loss(spark):
     batch = search.Batch([(q, *[x.astype(kind).tobytes() for x, kind in zip(list(search._counted(pa.record_batch({"i": [0], "text": [texts[q]]})))[0][:2], (np.uint64, np.int64))]) for q in range(40)])
     batch.idf[:] = 1.0
     table = pa.RecordBatch.from_pylist([r.asDict() for r in rows])
-    for at, c in zip(batch.at, batch.count):
-        best = (np.zeros(0), np.zeros(0, np.int64))
-        everything = (np.zeros(0), np.zeros(0, np.int64))
-        for i in range(table.num_rows):
-            shard = search.Shard(table, i, batch)
-            best = shard.search(at, batch.idf[at] * c, 10, best)
-            everything = shard.search(at, batch.idf[at] * c, 10_000, everything)
-        assert best[1].tolist() == everything[1][:10].tolist() and best[0].tolist() == everything[0][:10].tolist()
+    asked = [(at, batch.idf[at] * c) for at, c in zip(batch.at, batch.count)]
+    none = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
+    best, everything = none, none
+    for i in range(table.num_rows):
+        shard = search.Shard(table, i, batch)
+        best = shard.search(asked[:7], 10, best[:7]) + shard.search(asked[7:], 10, best[7:])
+        everything = shard.search(asked, 10_000, everything)
+    for x, y in zip(best, everything):
+        assert x[1].tolist() == y[1][:10].tolist() and x[0].tolist() == y[0][:10].tolist()
 
 
 PRIVATE = [(1, "Mail Ann.Lee@Mail5.Example.com or ann.lee@mail5.example.com, bob@mail5.example.com. +1 (564) 555-4526 and +1 564-555-4526 and 196.7.2.8 and 999.1.1.1 Card 4539 5787 6362 1486 x 4539578763621486."),

@@ -192,7 +192,11 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     marks = (labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key"))
              .agg(F.min(label).alias("_good")))
     labelled = stats.where(~base_failed()).join(marks, stats[key] == F.col("_key"))
-    drawn = labelled.select(*STATISTICS).orderBy(F.xxhash64(F.lit(seed), "_key"), *STATISTICS).limit(fit_rows).collect()
+    # a slice of hashes that holds the sample, so that tasks send little more than it to the driver
+    draw = F.xxhash64(F.lit(seed), "_key")
+    share = min(1.0, 1.5 * fit_rows / max(labelled.count(), 1))
+    some = labelled.where(F.pmod(draw, F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
+    drawn = some.select(*STATISTICS).orderBy(draw, *STATISTICS).limit(fit_rows).collect()
     if not drawn:
         return None, None
     rows = np.array(drawn, dtype=np.float64)
