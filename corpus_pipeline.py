@@ -9,12 +9,14 @@ with nulls, empty texts, ties and repeated rows is said in its operator.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import bpe, jaccard, lines, mixing, quality
 from tidewatch.llm.common import read_table
-from tidewatch.session import materialize
+from tidewatch.session import materialize, ship_package
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -44,8 +46,18 @@ def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode_checked(docs, bpe.read_vocabulary(public_tokenizers.path(VOCABULARY)))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard_join", near_duplicates),
-          ("source_mixing", source_mixing), ("bpe_encode_decode", tokenisation)]
+def _shipped(stage):
+    """The stage, with the package sent to the executors' Python workers first."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _shipped(stage)) for name, stage in (
+    ("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard_join", near_duplicates),
+    ("source_mixing", source_mixing), ("bpe_encode_decode", tokenisation))]
 
 # The forest of the first stage and the tokens of the last are beyond SQL;
 # tests hold every stage against a brute-force version.
