@@ -30,8 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHED_CHUNKS = 300_000  # chunks a worker remembers before it starts afresh
-CACHED_PIECES = 700_000  # pieces likewise (about 200 bytes each)
+CACHED_CHUNKS = 80_000  # chunks a worker remembers before it starts afresh
+CACHED_PIECES = 200_000  # pieces likewise (about 200 bytes each)
 
 # Control characters that str.split() takes as white space and the pattern's \s does not.
 _SPLIT_DIFFERS = regex.compile("[\x1c-\x1f]")

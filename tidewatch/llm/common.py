@@ -50,7 +50,7 @@ def string_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0] if len(col) else np.zeros(1, np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a piece holds about ``max_bytes`` of text
     (a single longer text is a piece of its own)."""
     for b in batches:

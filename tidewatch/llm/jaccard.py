@@ -48,7 +48,7 @@ from tidewatch.session import materialize
 
 PERCENT = 80
 HOT_FROM, HOT_LIMIT = 24, 1 << 20
-FLUSH = 2_000_000  # shingles that a task holds before it ships them
+FLUSH = 500_000  # shingles that a task holds before it ships them
 MEMBERS, QUERIES = 256, 2048  # classes of one block
 BROADCAST_ROWS = 500_000  # wanted documents up to which their ids are broadcast
 

@@ -37,7 +37,7 @@ from tidewatch.session import materialize
 MIN_WORDS = 20
 BANDS, ROWS = 16, 4
 SMALL = 8
-FLUSH = 2_000_000  # band hashes that a task holds before it ships them
+FLUSH = 500_000  # band hashes that a task holds before it ships them
 
 _DRAWS = np.random.default_rng(20)
 _A = _DRAWS.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
