@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.hashing import hash_unit
-from tidewatch.functions.ranking import global_index
+from tidewatch.functions.ranking import global_index, prefix_sums
 from tidewatch.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,8 +71,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeat: int =
     per = source_targets(sizes, weights, max_repeat)
     placed = global_index(sizes, [F.col("source").isNull(), F.col("source"), "size", "_key", "tie"], "_at")
     # where each source begins in that order: the documents of the sources before it
-    begins = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    begins = per.withColumn("_first", F.coalesce(F.sum("n_docs").over(begins), F.lit(0)))
+    begins = prefix_sums(per.withColumn("_last", F.col("source").isNull()), ["_last", "source"], ["n_docs"])
+    begins = begins.withColumn("_first", F.col("cum_n_docs") - F.col("n_docs"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = hash_unit(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), seed)
     begins = begins.select(F.col("source").alias("_source"), "source_size", "target", "_first", expected.alias("_expected"), offset.alias("_offset"))
