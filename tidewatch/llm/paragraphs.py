@@ -6,12 +6,12 @@ Paragraphs with equal sets are one class.  A class has 64 MinHash values in
 16 bands of 4: a pair of similarity 0.8 shares a band with probability
 1 - (1 - 0.8**4)**16 = 0.9998, a pair of 0.3 with 0.12.  Band hashes travel
 packed, a hash range per row.  Of up to ``SMALL`` classes with one band hash
-all pairs are candidates; of more, each with the first and with its
-neighbour, and a task ships at most ``SMALL`` of them on, so that candidates
-grow in proportion to the classes.  Candidates are verified by the exact
-Jaccard similarity (80 % or more), links joined into components, and all
-paragraphs of a component but its first one (by document id and line) are
-removed.
+all pairs are candidates and verified by the exact Jaccard similarity (80 % or
+more).  Classes that share a band hash with more are large: all of them go
+through the exact join of ``jaccard`` together, so that no pair is left out
+and pairs do not grow with the square of a group of copies.  Links are joined
+into components, and all paragraphs of a component but its first one (by
+document id and line) are removed.
 
 Null and empty texts have no paragraphs.  Rows without an id take part only
 by their sets: they are removed if any row with an id has the same set.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.components import connected_components
 from tidewatch.llm.common import Words, mix, part_sets, slices
-from tidewatch.llm.jaccard import BROADCAST_ROWS, PACKED, packed_pairs, packed_rows, range_bits, unpacked, verified
+from tidewatch.llm.jaccard import BROADCAST_ROWS, PACKED, jaccard_components, packed_pairs, packed_rows, range_bits, unpacked, verified
 from tidewatch.session import materialize
 
 MIN_WORDS = 20
@@ -65,6 +65,7 @@ class Paragraphs:
         self.line = lines[begin[long]] - lines[off[self.doc]]
         self.start = chars[begin[long]] - chars[off[self.doc]]
         self.end = chars[ends[long]] - chars[off[self.doc]]
+        self.data, self.bytes = data, np.stack([begin[long], ends[long]], 1)
         size = np.diff(bounds)[long]
         self.bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         pick = np.zeros(len(shingles) + 1, dtype=np.int64)
@@ -75,6 +76,10 @@ class Paragraphs:
     def sets(self) -> Iterator[np.ndarray]:
         return part_sets(self.shingles, self.bounds)
 
+    def text(self, i: int) -> bytes:
+        """A paragraph in lower case."""
+        return self.data[self.bytes[i, 0]:self.bytes[i, 1]].tobytes()
+
     def bands(self) -> np.ndarray:
         """One row of band hashes per paragraph."""
         out = np.empty((len(self.doc), BANDS), dtype=np.uint64)
@@ -107,25 +112,16 @@ def paragraph_table(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, line long, start long, end long, class long, check long, bands binary")
 
 
-def _pairs_and_kept(tok: np.ndarray, key: np.ndarray, ship: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (n, 2) among keys with one token, and which rows travel
-    on.  ``tok`` is ordered.  With ``ship`` small groups travel on unpaired."""
+def _groups(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ordered tokens: its place in its group, and the group's size."""
     first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, int)
     size = np.diff(np.concatenate([first, [len(tok)]]))
-    at = np.arange(len(tok)) - np.repeat(first, size)
-    of = np.repeat(size, size)
-    big = of > SMALL
-    star = np.flatnonzero(big & (at > 0))
-    pairs = [np.stack([key[star - at[star]], key[star]], 1), np.stack([key[star - 1], key[star]], 1)]
-    if not ship:
-        for d in range(1, SMALL):
-            later = np.flatnonzero(~big & (at >= d))
-            pairs.append(np.stack([key[later - d], key[later]], 1))
-    return np.unique(np.concatenate(pairs), axis=0), ~big | (at < SMALL), big
+    return np.arange(len(tok)) - np.repeat(first, size), np.repeat(size, size)
 
 
 def candidates(paragraphs: DataFrame, bits: int) -> DataFrame:
-    """(a, b): classes with a band hash in common."""
+    """(a, b): classes with a band hash in common; a class of a large group is
+    paired with itself, for all others of such groups."""
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, keys, n = [], [], 0
 
@@ -136,10 +132,12 @@ def candidates(paragraphs: DataFrame, bits: int) -> DataFrame:
             new = np.ones(len(t), dtype=bool)
             new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
             t, k = t[new], k[new]
-            pairs, on, _ = _pairs_and_kept(t, k, ship=True)
+            at, size = _groups(t)
+            on = at <= SMALL  # one more than SMALL tells that the group is large
+            large = np.unique(k[size > SMALL])
             rows = packed_pairs(t[on], k[on], bits)
-            if len(pairs):  # range -1: pairs that are already known
-                rows.append((-1, pairs[:, 0].tobytes(), pairs[:, 1].tobytes()))
+            if len(large):  # range -1: classes of groups that are large already
+                rows.append((-1, large.tobytes(), large.tobytes()))
             return packed_rows(rows)
 
         for b in batches:
@@ -154,7 +152,14 @@ def candidates(paragraphs: DataFrame, bits: int) -> DataFrame:
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        pairs, _, _ = _pairs_and_kept(*unpacked(t), ship=False)
+        tok, key = unpacked(t)
+        at, size = _groups(tok)
+        large = np.unique(key[size > SMALL])
+        pairs = [np.stack([large, large], 1)]
+        for d in range(1, SMALL):
+            later = np.flatnonzero((size <= SMALL) & (at >= d))
+            pairs.append(np.stack([key[later - d], key[later]], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +172,39 @@ def candidates(paragraphs: DataFrame, bits: int) -> DataFrame:
     return met.union(shipped.where("range < 0").mapInArrow(known, "a long, b long")).distinct()
 
 
+def _texts_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text, wanted) of the documents with wanted places (id, wanted)."""
+    per_doc = wanted.groupBy("id").agg(F.collect_list("wanted").alias("wanted"))
+    few = wanted.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(per_doc) if few else per_doc, "id").select("id", "text", "wanted")
+
+
+def large_links(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+    """(a, b): classes and the least class of their component, by the exact
+    join of all classes (class, check, place)."""
+    place = F.col("place")
+    texts = _texts_with(docs, places.select("place.id", F.col("place.line").alias("wanted")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            p = Paragraphs(b.column(1), min_words)
+            wanted, ids, out = [set(x) for x in b.column("wanted").to_pylist()], b.column(0).to_pylist(), []
+            for i, (d, ln, s) in enumerate(zip(p.doc.tolist(), p.line.tolist(), p.sets())):
+                if ln in wanted[d]:
+                    out.append((ids[d], ln, *_digest(s), p.text(i)))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["id", "line", "class", "check", "line_text"])
+
+    found = texts.mapInArrow(run, "id long, line long, class long, check long, line_text binary")
+    found = found.select(F.struct("id", "line").alias("place"), "class", "check", F.col("line_text").cast("string").alias("text"))
+    # a place has several texts if rows share an id: only the class's own one
+    own = found.join(places.select("class", "check", place), ["class", "check", "place"], "left_semi").dropDuplicates(["class", "check"])
+    own = materialize(own.select("class", "text"), "large")
+    comps = jaccard_components(own, "class", "text")
+    return comps.where(F.col("class") != F.col("component_id")).select(F.col("class").alias("a"), F.col("component_id").alias("b"))
+
+
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per removed paragraph: (key, line, start, end, first_doc_id,
     first_line).  Positions are code points, end exclusive."""
@@ -176,14 +214,15 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, key: str =
     place = F.struct("id", "line")
     classes = materialize(table.groupBy("class", "check").agg(F.min(F.when(F.col("id").isNotNull(), place)).alias("place"), F.count(F.lit(1)).alias("copies"))
                           .where("place is not null"), "classes")
-    pairs = candidates(table, bits)
+    pairs = materialize(candidates(table, bits), "candidates")
     side = lambda c: classes.select(F.col("class").alias(c), F.col("place").alias(f"p{c}"))
+    at_places = lambda df: df.join(side("a"), "a").join(side("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    large = pairs.where("a = b").select(F.col("a").alias("class"))
+    large = materialize(classes.select("class", "check", "place").join(large, "class", "left_semi"), "large_classes")
     # halves of a digest that two sets share only add candidates
-    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")), "pairs")
+    pairs = materialize(at_places(pairs.where("a <> b")), "pairs")
     wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().select("a.id", F.col("a.line").alias("wanted")), "wanted")
-    per_doc = wanted.groupBy("id").agg(F.collect_list("wanted").alias("wanted"))
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(per_doc) if few else per_doc, "id").select("id", "text", "wanted")
+    texts = _texts_with(docs, wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -198,7 +237,10 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, key: str =
     full = materialize(texts.mapInArrow(sets, "id long, line long, set binary").select(place.alias("place"), "set"), "sets")
     both = (pairs.join(full.select(F.col("place").alias("a"), F.col("set").alias("set_a")), "a")
             .join(full.select(F.col("place").alias("b"), F.col("set").alias("set_b")), "b"))
-    comps = connected_components(materialize(verified(both), "links"))
+    links = materialize(verified(both), "links")
+    if not large.isEmpty():
+        links = links.union(materialize(at_places(large_links(docs, large, min_words)), "large_links"))
+    comps = connected_components(links)
     joined = classes.join(comps, F.col("place") == F.col("node"), "left").withColumn("first", F.coalesce("comp", "place"))
     joined = materialize(joined.select("class", "check", "first", "copies", "comp"), "first")
     joined = joined.where("copies > 1 or comp is not null").select("class", "check", "first")
