@@ -247,6 +247,16 @@ def test_surrogates(spark):
     assert surrogates.replaced(df.limit(0), "key").collect() == []
 
 
+def test_surrogates_of_a_full_shape(spark):
+    """No replacement of four digits is left, so numbers grow; +1000 is no telephone number."""
+    text = " ".join(f"+123 {i:04d}" for i in range(10_000)) + " +1000 +12 345"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    new = surrogates.pseudonymize(df, "key").first().text
+    assert new.endswith(" +1000 +12 345")
+    numbers = re.findall(r"\+123 (\d+)", new)
+    assert len(numbers) == len(set(numbers)) == 10_000 and min(map(len, numbers)) > 4
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     import corpus_pipeline
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "source_mixing", "bpe_encode_decode"]

@@ -1,7 +1,7 @@
 """PII surrogates: detected entities get keyed replacements of the same type.
 
 Detected are e-mail addresses, IPv4 addresses, payment card numbers (with a
-valid check digit), telephone numbers and names after a form of address.
+valid check digit), telephone numbers of seven digits or more and names after a form of address.
 An entity's canonical form (lower-case address, digits of a number, name
 without its title) seeds a keyed digest from which the replacement is
 written: digits by digits, letters by letters of the same script, case and
@@ -14,7 +14,11 @@ replacement in its own format, so mentions still refer to one another.
 
 Collision checks: no two entities share a replacement and no replacement is
 an entity of the corpus; of a clash the later one (by attempt, then
-canonical form) draws again until none is left.
+canonical form) draws again until none is left.  After eight draws local
+parts, names and telephone numbers grow by a letter or digit a draw, so a
+shape may be full of entities.  Cards (10**11 numbers or more) and IPv4
+addresses do not grow; more than half of all addresses as entities leave no
+replacement and raise an error.
 
 The result depends on the key and the set of entities only.  Null and empty
 texts have no entities.  Rows with one id and text are treated alike, a null
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from tidewatch.session import materialize
 
 MAX_ATTEMPTS = 64
+PHONE_DIGITS = 7  # a shorter number behind a plus sign is no telephone number
 _STREAM = 128  # bytes of a digest stream; longer entities use them again
 
 # Forms of address by gender, letters by script, first names by gender and script.
@@ -73,7 +78,7 @@ def _kind(e: Column) -> Column:
     return (F.when(e.contains("@"), F.lit("email"))
             .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(F.forall(octets, lambda o: o <= 255), F.lit("ip")))
             .when(e.rlike(r"^\p{L}"), F.lit("name"))
-            .when(e.rlike(r"^[+(]") | e.rlike(r"^\d{3}[.-]\d{3}[.-]\d{4}$"), F.lit("phone"))
+            .when(e.rlike(r"^[+(]") | e.rlike(r"^\d{3}[.-]\d{3}[.-]\d{4}$"), F.when(F.length(digits) >= PHONE_DIGITS, F.lit("phone")))
             .when(F.length(digits).between(13, 19) & (F.pmod(_luhn_sum(digits), F.lit(10)) == 0), F.lit("card")))
 
 
@@ -115,9 +120,9 @@ def _like(s: Column, stream: Column) -> Column:
     return F.when(F.length(s) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), letter), "")).otherwise(F.lit(""))
 
 
-def _longer(s: Column, stream: Column, attempt: Column) -> Column:
+def _longer(s: Column, stream: Column, attempt: Column, pool: str = "aeiou") -> Column:
     """A letter more per attempt after the eighth, for shapes with few choices."""
-    extra = F.transform(F.sequence(F.lit(1), F.greatest(attempt - 8, F.lit(1))), lambda i: _pick("aeiou", _byte(stream, i + 77)))
+    extra = F.transform(F.sequence(F.lit(1), F.greatest(attempt - 8, F.lit(1))), lambda i: _pick(pool, _byte(stream, i + 77)))
     return F.when(attempt > 8, F.concat(s, F.array_join(extra, ""))).otherwise(s)
 
 
@@ -129,7 +134,7 @@ def _replacement(key: str) -> Column:
     domain = F.concat(_like(F.regexp_extract(at, r"^(.*)\.[^.]*$", 1), _stream(key, F.lit("domain"), at)), F.lit("."), F.substring_index(at, ".", -1))
     email = F.concat(_longer(_like(F.substring_index(canon, "@", 1), own), own, attempt), F.lit("@"), domain)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_byte(own, 2 * i) * 256 + _byte(own, 2 * i + 1), F.lit(254)) + 1).cast("string")), ".")
-    phone = F.concat(F.substring_index(canon, " ", 1), F.lit(" "), _like(F.substring_index(canon, " ", -1), own))
+    phone = F.concat(F.substring_index(canon, " ", 1), F.lit(" "), _longer(_like(F.substring_index(canon, " ", -1), own), own, attempt, "0123456789"))
     body = F.concat(F.substring(canon, 1, 1), _like(F.expr("substring(canon, 2, length(canon) - 2)"), own))
     check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     words = F.expr("substring(canon, 3)")
@@ -163,6 +168,10 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
 def _worn(kind: Column, e: Column, new: Column) -> Column:
     """The canonical replacement in the format of one mention."""
     def refill(surface: Column, digits: Column) -> Column:
+        n = F.length(_digits(surface))
+        return F.concat(same_length(surface, digits), F.substring(digits, n + 1, F.length(digits)))
+
+    def same_length(surface: Column, digits: Column) -> Column:
         slot = lambda i: F.length(_digits(F.substring(surface, F.lit(1), i)))
         return F.array_join(F.transform(F.sequence(F.lit(1), F.length(surface)), lambda i: F.when(
             F.substring(surface, i, F.lit(1)).rlike("[0-9]"), F.substring(digits, slot(i), F.lit(1))).otherwise(F.substring(surface, i, F.lit(1)))), "")
