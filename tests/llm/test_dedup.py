@@ -257,6 +257,19 @@ def test_surrogates_of_a_full_shape(spark):
     assert len(numbers) == len(set(numbers)) == 10_000 and min(map(len, numbers)) > 4
 
 
+def test_surrogates_refer_to_one_another(spark):
+    rows = [(1, "Mrs. Anna Smith came. Then Mrs. Smith left, and Anna Smith or SMITH called +1 (564) 555-4526, 564-555-4526 and +15645554526."),
+            (2, "Smith and Anna stay here."), (3, "Prof. Dr. Anna Smith wrote to Mr. Smith and Mrs. Greta Smith. Anna's")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    new = {r.doc_id: r.text for r in surrogates.pseudonymize(df, "key").collect()}
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. Then Mrs\. (\w+) left, and (\w+) (\w+) or (\w+) called \+1 \((\d+)\) (\d+)-(\d+), (\d+)-(\d+)-(\d+) and \+1(\d+)\.", new[1])
+    assert m and m[1] == m[4] in surrogates.FIRST_NAMES["f", "latin"] and m[2] == m[3] == m[5] != "Smith" and m[6] == m[2].upper()
+    assert m[7] + m[8] + m[9] == m[10] + m[11] + m[12] == m[13] != "5645554526"
+    assert new[2] == rows[1][1]
+    n = re.fullmatch(r"Prof\. Dr\. (\w+) (\w+) wrote to Mr\. (\w+) and Mrs\. (\w+) (\w+)\. (\w+)'s", new[3])
+    assert n and n[1] == n[6] == m[1] != n[4] and n[2] == n[3] == n[5] == m[2]
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     import corpus_pipeline
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "source_mixing", "bpe_encode_decode"]

@@ -6,14 +6,19 @@ An entity's canonical form (lower-case address, digits of a number, name
 without its title) seeds a keyed digest from which the replacement is
 written: digits by digits, letters by letters of the same script, case and
 kind (vowel or consonant), all else as it is.  Cards keep their issuer digit
-and get a valid check digit, telephone numbers keep their country code,
-addresses of one mail domain keep a common domain with its last label, names
-keep the title, and a first name is drawn from names of the title's gender
-in the same script.  Every way of writing an entity gets the same
-replacement in its own format, so mentions still refer to one another.
+and get a valid check digit, addresses of one mail domain keep a common domain
+with its last label.  Telephone numbers keep their country code; their national
+digits seed the rest, so that both forms of a number agree.  Names keep the
+titles.  Of several words the first is the given name: it is drawn by its
+word from names of the title's gender (either one's behind a title without
+gender) in the same script.  All other words are surnames, each with one
+replacement in the whole corpus.  Capitalised words of a titled name are
+replaced in the rest of its document as well.  Every way of writing an entity
+gets the same replacement in its own format, so mentions still refer to one
+another.
 
 Collision checks: no two entities share a replacement and no replacement is
-an entity of the corpus; of a clash the later one (by attempt, then
+an entity of the corpus (of a name: its surnames are none); of a clash the later one (by attempt, then
 canonical form) draws again until none is left.  After eight draws local
 parts, names and telephone numbers grow by a letter or digit a draw, so a
 shape may be full of entities.  Cards (10**11 numbers or more) and IPv4
@@ -39,7 +44,8 @@ _STREAM = 128  # bytes of a digest stream; longer entities use them again
 
 # Forms of address by gender, letters by script, first names by gender and script.
 TITLES = {"f": ["Mrs.", "Ms.", "Miss", "Mme", "Mlle", "Frau", "Sra.", "Srta.", "г-жа"],
-          "m": ["Mr.", "Mister", "Herr", "Sr.", "Don", "г-н"]}
+          "m": ["Mr.", "Mister", "Herr", "Sr.", "Don", "г-н"],
+          "n": ["Dr.", "Prof.", "Mx."]}
 LETTERS = {"latin": ("aeiou", "bcdfghklmnprstvz"), "cyrillic": ("аеиоу", "бвгдзклмнпрст"), "greek": ("αεηιο", "βγδκλμνπρστ")}
 _VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüœаеёиоуыэюяαάεέηήιίοόυύωώ"
 FIRST_NAMES = {
@@ -57,8 +63,13 @@ _PHONE = r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}
 _CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"
 _TITLE = "|".join(t.replace(".", r"\.") for g in TITLES.values() for t in g)
 _LETTER = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]"
-_NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}) (?=\p{{Lu}}){_LETTER}{{2,}}+(?:[ -](?=\p{{Lu}}){_LETTER}{{2,}}+){{0,2}}"
+_NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE}) )+(?=\p{{Lu}}){_LETTER}{{2,}}+(?:[ -](?=\p{{Lu}}){_LETTER}{{2,}}+){{0,2}}"
+_WORD = (rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}){_LETTER}{{2,}}+(?:-(?!(?:{_TITLE}) )(?=\p{{Lu}}){_LETTER}{{2,}}+)*"
+         r"(?![\p{L}\p{N}])(?![A-Za-z0-9._%+-]*+@)")
 ENTITY = "|".join([_MAIL, _IP, _PHONE, _CARD, _NAME])
+ENTITY_OR_WORD = f"{ENTITY}|{_WORD}"
+# Country codes are free of prefixes; a separator, where there is one, ends them.
+_COUNTRY = r"^\+(?:\d{1,3}(?!\d)|1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def _digits(c: Column) -> Column:
@@ -77,21 +88,24 @@ def _kind(e: Column) -> Column:
     octets = F.transform(F.split(e, r"\."), lambda o: o.cast("int"))
     return (F.when(e.contains("@"), F.lit("email"))
             .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(F.forall(octets, lambda o: o <= 255), F.lit("ip")))
-            .when(e.rlike(r"^\p{L}"), F.lit("name"))
+            .when(e.rlike(rf"^(?:{_TITLE}) "), F.lit("name")).when(e.rlike(r"^\p{L}"), F.lit("word"))
             .when(e.rlike(r"^[+(]") | e.rlike(r"^\d{3}[.-]\d{3}[.-]\d{4}$"), F.when(F.length(digits) >= PHONE_DIGITS, F.lit("phone")))
             .when(F.length(digits).between(13, 19) & (F.pmod(_luhn_sum(digits), F.lit(10)) == 0), F.lit("card")))
 
 
 def _title(e: Column) -> Column:
-    return F.regexp_extract(e, rf"^(?:{_TITLE}) ", 0)
+    return F.regexp_extract(e, rf"^(?:(?:{_TITLE}) )+", 0)
 
 
 def _canon(kind: Column, e: Column) -> Column:
     """What all ways of writing one entity have in common."""
-    name = F.concat(F.when(F.rtrim(_title(e)).isin(TITLES["f"]), F.lit("f ")).otherwise(F.lit("m ")), F.lower(F.expr("substring(_e, length(_t) + 1)")))
-    return (F.when(kind == "email", F.lower(e)).when(kind == "ip", e).when(kind == "name", name)
-            .when(kind == "phone", F.concat(F.when(e.startswith("+"), F.regexp_extract(e, r"^\+\d{1,3}(?!\d)", 0)).otherwise(F.lit("")), F.lit(" "), F.when(e.startswith("+"), _digits(F.regexp_replace(e, r"^\+\d{1,3}(?!\d)", ""))).otherwise(_digits(e))))
-            .otherwise(_digits(e)))
+    gender = F.lit("n ")
+    for g in ("m", "f"):
+        own = "|".join(t.replace(".", r"\.") for t in TITLES[g])
+        gender = F.when(_title(e).rlike(rf"(?:^| )(?:{own}) "), F.lit(f"{g} ")).otherwise(gender)
+    name = F.concat(gender, F.lower(F.expr("substring(_e, length(_t) + 1)")))
+    return (F.when(kind == "email", F.lower(e)).when(kind == "ip", e).when(kind == "name", name).when(kind == "word", F.lower(e))
+            .when(kind == "phone", _digits(F.regexp_replace(e, _COUNTRY, ""))).otherwise(_digits(e)))
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -134,18 +148,21 @@ def _replacement(key: str) -> Column:
     domain = F.concat(_like(F.regexp_extract(at, r"^(.*)\.[^.]*$", 1), _stream(key, F.lit("domain"), at)), F.lit("."), F.substring_index(at, ".", -1))
     email = F.concat(_longer(_like(F.substring_index(canon, "@", 1), own), own, attempt), F.lit("@"), domain)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_byte(own, 2 * i) * 256 + _byte(own, 2 * i + 1), F.lit(254)) + 1).cast("string")), ".")
-    phone = F.concat(F.substring_index(canon, " ", 1), F.lit(" "), _longer(_like(F.substring_index(canon, " ", -1), own), own, attempt, "0123456789"))
+    phone = _longer(_like(canon, own), own, attempt, "0123456789")
     body = F.concat(F.substring(canon, 1, 1), _like(F.expr("substring(canon, 2, length(canon) - 2)"), own))
     check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    words = F.expr("substring(canon, 3)")
-    first, rest = F.substring_index(words, " ", 1), F.expr("substring(canon, 4 + length(substring_index(substring(canon, 3), ' ', 1)))")
-    given = _like(first, own)
-    for (gender, script), pool in FIRST_NAMES.items():
-        drawn = F.get(F.array(*[F.lit(p.lower()) for p in pool]), F.pmod(_byte(own, F.lit(99)), F.lit(len(pool))))
+    surname = _longer(_like(canon, own), own, attempt)
+    # a given name by its word and gender; the surnames behind it only keep replacements apart
+    first, rest = F.expr("substring_index(substring(canon, 3), ' ', 1)"), F.expr("substring(canon, 4 + length(substring_index(substring(canon, 3), ' ', 1)))")
+    by_word = _stream(key, kind, F.substring(canon, 1, 2), first, attempt)
+    given = _like(first, by_word)
+    pools = {**FIRST_NAMES, **{("n", s): FIRST_NAMES["f", s] + FIRST_NAMES["m", s] for s in LETTERS}}
+    for (gender, script), pool in pools.items():
+        drawn = F.get(F.array(*[F.lit(p.lower()) for p in pool]), F.pmod(_byte(by_word, F.lit(99)), F.lit(len(pool))))
         given = F.when(canon.startswith(gender) & first.rlike(rf"^\p{{Is{script.capitalize()}}}"), drawn).otherwise(given)
-    name = F.when(F.length(rest) > 0, F.concat(given, F.lit(" "), _longer(_like(rest, own), own, attempt))).otherwise(_longer(_like(words, own), own, attempt))
+    given = F.concat(_longer(given, by_word, attempt), F.lit(" "), rest)
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", F.concat(body, check))
-            .otherwise(F.concat(F.substring(canon, 1, 2), name)))
+            .when(kind == "surname", surname).otherwise(given))
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
@@ -181,23 +198,56 @@ def _worn(kind: Column, e: Column, new: Column) -> Column:
     plain = F.substring(new, F.lit(3), F.length(new))
     loud = F.expr("upper(substring(_e, length(_t) + 1)) = substring(_e, length(_t) + 1)")
     titled = F.array_join(F.transform(F.split(plain, " "), lambda w: F.array_join(F.transform(F.split(w, "-"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))), "-")), " ")
-    phone = F.concat(F.substring_index(new, " ", 1), refill(F.when(e.startswith("+"), F.regexp_replace(e, r"^\+\d{1,3}(?!\d)", "")).otherwise(e), F.substring_index(new, " ", -1)))
+    phone = F.concat(F.regexp_extract(e, _COUNTRY, 0), refill(F.regexp_replace(e, _COUNTRY, ""), new))
     return (F.when(kind == "email", cased).when(kind == "ip", new).when(kind == "phone", phone).when(kind == "card", refill(e, new))
             .otherwise(F.concat(_title(e), F.when(loud, F.upper(plain)).otherwise(titled))))
 
 
+def _name_words(names: DataFrame) -> DataFrame:
+    """(canon, at, word, given) of the words of names (canon)."""
+    words = names.select("canon", F.split(F.expr("substring(canon, 3)"), " ").alias("_words"))
+    each = words.select("canon", F.size("_words").alias("_n"), F.posexplode("_words").alias("at", "word"))
+    return each.select("canon", "at", "word", ((F.col("at") == 0) & (F.col("_n") > 1)).alias("given"))
+
+
 def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, tie, n_entities, kinds, new_text) of the documents with entities;
     tie is a hash of the text."""
     place = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("tie"))
-    found = docs.select(place.alias("doc"), F.col(text).alias("_text"), F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0)).alias("_found")).where(F.size("_found") > 0)
-    found = materialize(found.select("doc", "_found", F.split("_text", ENTITY, -1).alias("_gaps")).dropDuplicates(["doc"]), "found")
+    pattern = lambda f: F.when(F.col(text).rlike(_NAME), f(ENTITY_OR_WORD)).otherwise(f(ENTITY))
+    found = docs.select(place.alias("doc"), pattern(lambda p: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).alias("_found"),
+                        pattern(lambda p: F.split(F.col(text), p, -1)).alias("_gaps")).where(F.size("_found") > 0)
+    found = materialize(found.dropDuplicates(["doc"]), "found")
     mentions = found.select("doc", F.posexplode("_found").alias("at", "_e"))
     surface = mentions.select("_e").distinct().withColumn("_t", _title(F.col("_e"))).withColumn("kind", _kind(F.col("_e")))
     surface = materialize(surface.where("kind is not null").withColumn("canon", _canon(F.col("kind"), F.col("_e"))), "surface")
-    table = surface.join(surrogate_table(surface, key), ["kind", "canon"]).select("_e", "kind", _worn(F.col("kind"), F.col("_e"), F.col("replacement")).alias("worn"))
-    table = materialize(table, "worn")
-    told = mentions.join(table, "_e", "left").groupBy("doc").agg(
+    # behind a title without gender: the person of that name with one, where there is one
+    names = surface.where("kind = 'name'").select("canon").distinct()
+    known = names.groupBy(F.expr("substring(canon, 3)").alias("_words")).agg(F.min("canon").alias("_known"))
+    titled = surface.where("kind = 'name'").withColumn("_words", F.expr("substring(canon, 3)")).join(known, "_words")
+    titled = titled.select("_e", "_t", F.when(F.col("canon").startswith("n "), F.col("_known")).otherwise(F.col("canon")).alias("canon"))
+    titled = materialize(titled, "titled")
+    words = materialize(_name_words(titled.select("canon").distinct()), "name_words")
+    entities = surface.where("kind not in ('name', 'word')").select("kind", "canon")
+    entities = entities.union(words.where("not given").select(F.lit("surname"), "word")).union(words.where("given").select(F.lit("given"), "canon"))
+    new = materialize(surrogate_table(entities, key), "replacements")
+    surnames = words.where("not given").join(new.where("kind = 'surname'").select(F.col("canon").alias("word"), "replacement"), "word")
+    given = words.where("given").join(new.where("kind = 'given'").select("canon", F.substring_index("replacement", " ", 1).alias("replacement")), "canon")
+    words = materialize(surnames.unionByName(given), "new_words")
+    whole = words.groupBy("canon").agg(F.sort_array(F.collect_list(F.struct("at", "replacement"))).alias("_parts"))
+    whole = whole.select("canon", F.concat(F.lit("x "), F.array_join(F.col("_parts.replacement"), " ")).alias("replacement"))
+    worn = lambda kind: _worn(kind, F.col("_e"), F.col("replacement")).alias("worn")
+    plain = surface.where("kind not in ('name', 'word')").join(new, ["kind", "canon"]).select("_e", "kind", worn(F.col("kind")))
+    table = materialize(plain.union(titled.join(whole, "canon").select("_e", F.lit("name"), worn(F.lit("name")))), "worn")
+    # words of a document's titled names stand for them elsewhere in it, surnames before given names
+    in_doc = mentions.join(titled.select("_e", "canon"), "_e").select("doc", "canon").distinct().join(words, "canon")
+    in_doc = in_doc.groupBy("doc", "word").agg(F.min(F.struct("given", "replacement")).alias("_w"))
+    bare = mentions.join(surface.where("kind = 'word'").select("_e", "_t", F.col("canon").alias("word")), "_e").join(in_doc, ["doc", "word"])
+    bare = bare.withColumn("replacement", F.concat(F.lit("x "), F.col("_w.replacement"))).select("doc", "at", "_e", F.lit("name").alias("kind"), worn(F.lit("name")))
+    mentions = materialize(mentions.join(table, "_e", "left").select("doc", "at", "_e", "kind", "worn")
+                           .join(bare.select("doc", "at", F.col("kind").alias("_kind"), F.col("worn").alias("_worn")), ["doc", "at"], "left")
+                           .select("doc", "at", "_e", F.coalesce("kind", "_kind").alias("kind"), F.coalesce("worn", "_worn").alias("worn")), "mentions")
+    told = mentions.groupBy("doc").agg(
         F.sort_array(F.collect_list(F.struct("at", F.coalesce("worn", "_e").alias("worn")))).alias("_new"),
         F.count("kind").alias("n_entities"), F.sort_array(F.collect_set("kind")).alias("kinds"))
     joined = found.join(told.where("n_entities > 0"), "doc")
