@@ -270,6 +270,14 @@ def test_surrogates_refer_to_one_another(spark):
     assert n and n[1] == n[6] == m[1] != n[4] and n[2] == n[3] == n[5] == m[2]
 
 
+def test_surrogates_report_every_document(spark):
+    df = spark.createDataFrame([(*r, 7) for r in PRIVATE], "doc_id long, text string, n int")
+    rows = surrogates.report(df, "key").collect()
+    assert len(rows) == len(PRIVATE)
+    assert {(r.doc_id, r.n_entities, r.kinds, r.text) for r in rows if r.doc_id in (3, 4, 5)} == {(k, 0, "", t) for k, t in PRIVATE[2:5]}
+    assert Counter(map(str, surrogates.pseudonymize(df, "key").select("doc_id", "text").collect())) == Counter(str(r) for r in surrogates.report(df, "key").select("doc_id", "text").collect())
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     import corpus_pipeline
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "source_mixing", "bpe_encode_decode"]

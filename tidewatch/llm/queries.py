@@ -150,8 +150,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_pii_surrogates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return surrogates.replaced(docs, key="tidewatch").select(
-        F.col("id").alias("doc_id"), "n_entities", "kinds", F.col("new_text").alias("text"))
+    return surrogates.report(docs, key="tidewatch")
 
 
 @register("op1_substring_dedup", sql=f"""

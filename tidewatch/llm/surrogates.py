@@ -255,14 +255,26 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "tex
     return joined.select("doc.id", "doc.tie", "n_entities", F.array_join("kinds", ",").alias("kinds"), F.array_join(pieces, "").alias("new_text"))
 
 
-def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with replaced entities; ``n_chars``, where there is one, is
-    counted anew for changed texts."""
-    new = replaced(docs, key, id_col, text).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("new_text").alias("_new"))
+def _rewritten(docs: DataFrame, key: str, id_col: str, text: str) -> DataFrame:
+    """(row, n_entities, kinds): every row of ``docs`` with its new text."""
+    new = replaced(docs, key, id_col, text).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("new_text").alias("_new"), "n_entities", "kinds")
     rows = docs.select(F.struct("*").alias("row"))  # one value, so that no name can clash
     old = F.col("row")[text]
     same = F.col("row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(old) == F.col("_tie"))
     row = F.col("row").withField(text, F.coalesce("_new", old))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.coalesce(F.length("_new").cast(dict(docs.dtypes)["n_chars"]), F.col("row")["n_chars"]))
-    return rows.join(new, same, "left").select(row.alias("row")).select("row.*")
+    return rows.join(new, same, "left").select(row.alias("row"), F.coalesce("n_entities", F.lit(0)).alias("n_entities"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+
+
+def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with replaced entities; ``n_chars``, where there is one, is
+    counted anew for changed texts."""
+    return _rewritten(docs, key, id_col, text).select("row.*")
+
+
+def report(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id_col, n_entities, kinds, text): one row per row of ``docs``, as
+    ``pseudonymize`` gives it."""
+    rows = _rewritten(docs, key, id_col, text)
+    return rows.select(F.col("row")[id_col].alias(id_col), "n_entities", "kinds", F.col("row")[text].alias(text))
