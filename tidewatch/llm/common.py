@@ -70,14 +70,15 @@ class Words:
     ``starts``/``ends`` are byte positions in ``data``, ``bounds[i]:bounds[i+1]``
     the words of part i, where the parts are the texts themselves or, with
     ``cuts``, finer pieces of the byte range (for example lines).
+    ``word_bytes`` marks the bytes of words, where they are not those above.
     """
 
-    def __init__(self, col: pa.Array, lower: bool = False, cuts: np.ndarray | None = None):
+    def __init__(self, col: pa.Array, lower: bool = False, cuts: np.ndarray | None = None, word_bytes: np.ndarray | None = None):
         self.data, self.offsets = string_parts(col)
         if lower:
             self.data = _LOWER[self.data]
         cuts = self.offsets if cuts is None else cuts
-        word = ~_SPACE[self.data]
+        word = ~_SPACE[self.data] if word_bytes is None else word_bytes[self.data]
         edge = np.zeros(len(self.data) + 1, dtype=bool)
         edge[cuts] = True
         before = np.empty_like(word)
@@ -91,12 +92,12 @@ class Words:
         self.is_word_byte = word
         self.bounds = np.searchsorted(self.starts, cuts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         """One 64-bit hash per word, read eight bytes at a time."""
         length = self.ends - self.starts
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(self.data) + 1,), "<u8", padded, 0, (1,))
-        h = mix(length.astype(np.uint64) * _C1 + _C3)
+        h = mix(length.astype(np.uint64) * _C1 + _C3 + _U(seed))
         at, left, active = self.starts, length, None
         while len(at):
             v = eight[at] & _MASKS[np.minimum(left, 8)]

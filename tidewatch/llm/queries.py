@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, jaccard, lines, mixing, paragraphs, quality, search, secrets, surrogates
+from tidewatch.llm import bpe, chat, divergence, jaccard, lines, mixing, paragraphs, quality, resample, search, secrets, suffixes, surrogates
 from tidewatch.llm.common import read_table
 from tidewatch.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -186,3 +186,86 @@ select query_id, rank, doc_id, score from ranked where rank <= 10""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
     return search.search(docs, docs.where("id % 100 = 0"), k=10)
+
+
+# DuckDB: lower-case letters and digits (or letters alone) and non-ASCII, as lists of words.
+_ALNUM = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_LETTERS = _ALNUM.replace("\\x2F\\x3A-\\x60", "\\x60")
+
+
+@register("op12_target_resampling", sql=f"""
+with crc_table as (  -- next state of crc32 for each byte
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+  from (select unnest(range(256)) as i)),
+words as (
+  select true as own, doc_id as id, {_ALNUM} as w from documents union all select false, item_id, {_ALNUM} from benchmark),
+counted as (
+  select own, id, len(w) as n_words, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) as feature from words),
+features as (select own, id, feature, count(*) as n from counted group by all),
+names as (select feature, hex(encode(feature)) as h from (select distinct feature from features)),
+buckets as (
+  select feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+                                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket
+  from names, crc_table),
+per as (
+  select bucket, coalesce(sum(n) filter (where own), 0) as s, coalesce(sum(n) filter (where not own), 0) as t from features join buckets using (feature) group by bucket),
+gains as (
+  select bucket, floor(1000 * ln(((t + 1)::double * ((select sum(s) from per) + 10000)::double)
+                                 / ((s + 1)::double * ((select sum(t) from per) + 10000)::double)))::bigint as gain from per),
+weights as (select id, sum(n)::bigint as n_features, floor(sum(n * gain) / sum(n)::double)::bigint as weight
+            from features join buckets using (feature) join gains using (bucket) where own group by id),
+scored as (
+  select doc_id, n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0)
+         + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score,
+         coalesce(weight, 0) as weight
+  from (select id as doc_id, len(w) as n_words from words where own) d left join weights on id = doc_id),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_words >= 20)
+select s.doc_id, n_features, weight, score, case when rank <= 25 * n // 100 then rank end::bigint as rank
+from scored s left join ranked using (doc_id)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "text")
+    return resample.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op13_source_divergence", sql=f"""
+with docs as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, {_LETTERS} as w from documents),
+said as (select d, lang, source, unnest(w) as term from docs),
+kept as (select lang, term, count(*) as n from said group by all having count(distinct d) >= 10),
+size as (select l.lang, count(term) as v, coalesce(sum(n), 0) as total from (select distinct lang from docs) l left join kept k on k.lang = l.lang group by 1),
+counts as (select lang, source, term, count(*) as n from said semi join kept using (lang, term) group by all),
+groups as (select g.lang, g.source, coalesce(sum(n), 0) as total from (select distinct lang, source from docs) g left join counts c on c.lang = g.lang and c.source = g.source group by 1, 2),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (g.total + 2 * v) as p,
+         1 + 1000000000::hugeint * (k.n + 2) // (s.total + 2 * v) as q
+  from groups g join size s on s.lang = g.lang join kept k on k.lang = g.lang
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item,
+         coalesce((select sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) from p x join p y on y.lang = x.lang and y.term = x.term
+                   where x.lang = a.lang and x.source = a.source and y.source = b.source), 0)::bigint as value
+  from groups a join groups b on b.lang = a.lang and b.source <> a.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from p where n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item))::int as rank
+  from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+@register("op11_suffix_array_dedup", sql="""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (  -- from every byte, 50 bytes as hex digits
+  select doc_id, unnest(range(length(h) // 2)) as i, unnest(list_transform(range(length(h) // 2), lambda i: substr(h, 2 * i + 1, 100))) as w from texts),
+owners as (select w, min(doc_id) as first from windows where length(w) = 100 group by w),
+marked as (select doc_id, i, left(w, 2) as byte, case when first < doc_id then i end as mark from windows left join owners using (w)),
+covered as (select doc_id, i, byte, coalesce(max(mark) over (partition by doc_id order by i) > i - 50, false) as gone from marked),
+edges as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as starts from covered),
+per as (select doc_id, count(*) as n, count(*) filter (where gone) as removed, count(*) filter (where starts) as spans,
+               coalesce(string_agg(byte, '' order by i) filter (where not gone), '') as kept from edges group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from texts d left join per using (doc_id)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
