@@ -213,7 +213,7 @@ def _groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def _block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Sums over the terms of one slice for the pairs of sources of two tiles:
     what they have above the value of a term that neither has."""
-    out = {"lang": [], "a": [], "b": [], "above": []}
+    lang, i, j, above = None, *np.zeros((3, 0), dtype=np.int64)
     if len(left) and len(right):
         right = right.sort_values("nth")
         nth, rest = right["nth"].to_numpy(), right["rest"].to_numpy(np.int64)
@@ -235,8 +235,9 @@ def _block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         tile = nth // TILE
         own = (tile[i] == first) & (tile[j] == second)
         i, j = i[own], j[own]
-        out = {"lang": [left["lang"].iloc[0]] * len(i), "a": nth[i], "b": nth[j], "above": total[i, j]}
-    return pd.DataFrame(out)
+        lang, above = left["lang"].iloc[0], total[i, j]
+        i, j = nth[i], nth[j]
+    return pd.DataFrame({"lang": pd.Series([lang] * len(i), dtype=object), "a": i, "b": j, "above": above})
 
 
 def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
