@@ -210,34 +210,37 @@ def _groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return materialize(g.withColumn("rest", probability("0L", "total", "terms")), "groups")
 
 
-def _block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Sums over the terms of one slice for the pairs of sources of two tiles:
-    what they have above the value of a term that neither has."""
-    lang, i, j, above = None, *np.zeros((3, 0), dtype=np.int64)
-    if len(left) and len(right):
-        right = right.sort_values("nth")
-        nth, rest = right["nth"].to_numpy(), right["rest"].to_numpy(np.int64)
-        first, second = right["first"].iloc[0], right["second"].iloc[0]
-        row = np.searchsorted(nth, left["nth"].to_numpy())
-        col = pd.factorize(pd.MultiIndex.from_frame(left[["digest", "tag"]]))[0]
-        order = np.argsort(col, kind="stable")
-        row, col, p = row[order], col[order], left["p"].to_numpy(np.int64)[order]
-        total = np.zeros((len(nth), len(nth)), dtype=np.int64)
-        none = _divergences(rest[:, None], rest[None, :])
-        width = max(1, CELLS // len(nth))
-        for c in range(0, int(col[-1]) + 1, width):
-            at = slice(*np.searchsorted(col, [c, c + width]))
-            dense = np.repeat(rest[:, None], min(width, int(col[-1]) + 1 - c), axis=1)
-            dense[row[at], col[at] - c] = p[at]
-            for i in range(len(nth) - 1):
-                total[i, i + 1:] += _divergences(dense[i], dense[i + 1:]).sum(axis=1) - dense.shape[1] * none[i, i + 1:]
-        i, j = np.triu_indices(len(nth), 1)
-        tile = nth // TILE
-        own = (tile[i] == first) & (tile[j] == second)
-        i, j = i[own], j[own]
-        lang, above = left["lang"].iloc[0], total[i, j]
-        i, j = nth[i], nth[j]
-    return pd.DataFrame({"lang": pd.Series([lang] * len(i), dtype=object), "a": i, "b": j, "above": above})
+def _blocks(tile_size: int, cells: int):
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Sums over the terms of one slice for the pairs of sources of two tiles:
+        what they have above the value of a term that neither has."""
+        lang, i, j, above = None, *np.zeros((3, 0), dtype=np.int64)
+        if len(left) and len(right):
+            right = right.sort_values("nth")
+            nth, rest = right["nth"].to_numpy(), right["rest"].to_numpy(np.int64)
+            first, second = right["first"].iloc[0], right["second"].iloc[0]
+            row = np.searchsorted(nth, left["nth"].to_numpy())
+            col = pd.factorize(pd.MultiIndex.from_frame(left[["digest", "tag"]]))[0]
+            order = np.argsort(col, kind="stable")
+            row, col, p = row[order], col[order], left["p"].to_numpy(np.int64)[order]
+            total = np.zeros((len(nth), len(nth)), dtype=np.int64)
+            none = _divergences(rest[:, None], rest[None, :])
+            width = max(1, cells // len(nth))
+            for c in range(0, int(col[-1]) + 1, width):
+                at = slice(*np.searchsorted(col, [c, c + width]))
+                dense = np.repeat(rest[:, None], min(width, int(col[-1]) + 1 - c), axis=1)
+                dense[row[at], col[at] - c] = p[at]
+                for i in range(len(nth) - 1):
+                    total[i, i + 1:] += _divergences(dense[i], dense[i + 1:]).sum(axis=1) - dense.shape[1] * none[i, i + 1:]
+            i, j = np.triu_indices(len(nth), 1)
+            tile = nth // tile_size
+            own = (tile[i] == first) & (tile[j] == second)
+            i, j = i[own], j[own]
+            lang, above = left["lang"].iloc[0], total[i, j]
+            i, j = nth[i], nth[j]
+        return pd.DataFrame({"lang": pd.Series([lang] * len(i), dtype=object), "a": i, "b": j, "above": above})
+
+    return block
 
 
 def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
@@ -252,7 +255,7 @@ def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     side = groups.where("sources > 1 and blocks > 0").select("lang", F.col("nth").alias("nth"), "rest", own.alias("_own"), tiles.alias("_tile"), "blocks")
     side = side.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))).alias("block"), *cell, "nth", "rest")
     by = ["lang", "block", "first", "second"]
-    above = rows.groupBy(*by).cogroup(side.groupBy(*by)).applyInPandas(_block, "lang string, a int, b int, above long")
+    above = rows.groupBy(*by).cogroup(side.groupBy(*by)).applyInPandas(_blocks(TILE, CELLS), "lang string, a int, b int, above long")
     above = above.groupBy("lang", "a", "b").agg(F.sum("above").alias("above"))
     g = groups.select("lang", "source", "nth", "rest", "terms")
     others = groups.select(F.col("lang").alias("lang"), F.col("source").alias("item"), F.col("nth").alias("_nth"), F.col("rest").alias("_rest"))
