@@ -18,8 +18,11 @@ least of its hashed ``TMER``-byte strings modulo the room that the anchor has
 windows with one anchor make a *piece* of less than 2 * DEPTH bytes.  Equal
 windows have equal anchors, so:
 
-1. anchors that two documents name are counted (a task sends an anchor once
-   per million or so), and occurrences of other anchors are dropped;
+1. a document whose whole text an earlier one has goes whole; anchors that two
+   of the others name are counted (a task sends an anchor once per million or
+   so) and set bits of a bitmap of ``MAX_BITS`` at most, by which the tasks that
+   cut the texts drop most occurrences of other anchors before any shuffle (a
+   fuller bitmap lets more of them through, which the next steps then drop);
 2. equal pieces become one with its smallest document; an anchor with a single
    piece is solved by that;
 3. the different pieces of an anchor, in buckets of about ``BUCKET`` pieces,
@@ -42,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import mix, slices, string_parts
@@ -56,8 +59,8 @@ CHUNK = 1 << 16                       # window starts looked at together
 HELD = 1_000_000                      # anchors that a task holds before it sends them
 BUCKET = 512                          # pieces of a bucket, about
 HOT = 4096                            # pieces of one anchor from which its windows are spread
-BROADCAST_ANCHORS = 4_000_000         # repeated anchors up to which they are broadcast
-BROADCAST_CUTS = 1_000_000            # covered pieces up to which they are broadcast
+MAX_BITS = 1 << 28                    # bits of the bitmap of repeated anchors (32 MB)
+BROADCAST_CUTS = 1_000_000            # covered pieces or copies up to which their list is broadcast
 LAST = (1 << 63) - 1                  # stands for a null id
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -110,8 +113,13 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield np.searchsorted(offsets, base + start, "right") - 1, base + start, windows, mix(long[anchor_at[start]]), digest
 
 
+def _name(key: str, text: Column) -> list[Column]:
+    """(doc, tie): the id, the largest for a null, and a hash that tells rows with one id apart."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).alias("tie")]
+
+
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    return docs.select(*_name(key, F.col(text)), F.col(text).alias("text"))
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
@@ -146,20 +154,37 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     return sent.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, tie, start, windows, anchor, digest) of every piece; start counts
-    the bytes of the text before it."""
+def bitmap(anchors: DataFrame, most: int = MAX_BITS) -> np.ndarray:
+    """Bytes of a bitmap, a power of two of bits, that marks the low bits of
+    each anchor; 16 bits an anchor, ``most`` in all."""
+    bits = min(most, max(1 << 15, 1 << (16 * anchors.count()).bit_length()))
+    slot = F.col("anchor").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = anchors.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("map"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in parts.toLocalIterator():  # 4 KB each, bits / 32768 of them at most
+        out[(r.part - 1) * 4096:r.part * 4096] = np.frombuffer(r.map, dtype=np.uint8)
+    return out
+
+
+def occurrences(docs: DataFrame, marked: np.ndarray) -> DataFrame:
+    """(doc, tie, start, windows, anchor, digest) of every piece with a marked
+    anchor; start counts the bytes of the text before it."""
+    last = _U(8 * len(marked) - 1)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             doc, tie = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, offsets = string_parts(b.column(2))
             for row, start, windows, anchor, digest in pieces(data, offsets):
+                slot = anchor & last
+                seen = np.flatnonzero((marked[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1)
+                row, start, windows, anchor, digest = (x[seen] for x in (row, start, windows, anchor, digest))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc[row]), pa.array(tie[row]), pa.array((start - offsets[row]).astype(np.int32)), pa.array(windows.astype(np.int32)),
                      pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))],
                     ["doc", "tie", "start", "windows", "anchor", "digest"])
 
-    return docs.mapInArrow(cut, "doc long, tie long, start int, windows int, anchor long, digest long")
+    return docs.mapInArrow(cut, "doc long, tie int, start int, windows int, anchor long, digest long")
 
 
 class _Minima:
@@ -250,9 +275,8 @@ def covered_pieces(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, tie, start, mask) of the pieces with windows that an earlier
     document holds; bit i of mask is set for the window i bytes on.  docs is
     (doc, tie, text)."""
-    again = materialize(repeated_anchors(docs), "repeated_anchors")
-    side = F.broadcast(again) if again.count() <= BROADCAST_ANCHORS else again
-    found = materialize(occurrences(docs).join(side, "anchor", "left_semi"), "occurrences")
+    marked = bitmap(materialize(repeated_anchors(docs), "repeated_anchors"))
+    found = materialize(occurrences(docs, marked), "occurrences")
     per = materialize(found.groupBy("anchor", "digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "distinct_pieces")
     of = per.groupBy("anchor").agg(F.min("first").alias("_first"), F.max("last").alias("_last"), F.count(F.lit(1)).alias("kinds")).where("_first < _last")
     of = materialize(of, "anchors")
@@ -278,15 +302,33 @@ def covered_pieces(docs: DataFrame, hot: int = HOT) -> DataFrame:
 def _spans(n: int, cuts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal covered runs among n bytes."""
     start, mask = (np.array([c[k] for c in cuts], dtype=np.int64) for k in ("start", "mask"))
+    if start[0] == WHOLE:
+        return np.array([0]), np.array([n])
     at = (start[:, None] + np.arange(ROOM))[(mask[:, None] >> np.arange(ROOM)) & 1 == 1]
     depth = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + DEPTH, minlength=n + 1)) > 0
     edge = np.diff(np.concatenate([[False], depth[:n], [False]]).astype(np.int8))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+WHOLE = -1  # start of the only cut of a document that goes whole
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc, tie) of the documents whose whole text an earlier one has."""
+    names = materialize(docs.where(F.octet_length("text") >= DEPTH).select("doc", "tie", F.unhex(F.md5("text")).alias("digest")), "texts")
+    first = names.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialize(names.join(first, "digest").where("first < doc").select("doc", "tie").distinct(), "copies")
+
+
 def _with_cuts(docs: DataFrame, rows: DataFrame, hot: int) -> DataFrame:
+    copies = _copies(docs)
+    if copies.count() <= BROADCAST_CUTS:  # more of them go through the pieces like other texts
+        docs = docs.join(F.broadcast(copies), ["doc", "tie"], "left_anti")
+    else:
+        copies = copies.limit(0)
     cuts = covered_pieces(docs, hot).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "mask")).alias("cuts"))
-    cuts = materialize(cuts, "cuts")
+    whole = copies.select("doc", "tie", F.array(F.struct(F.lit(WHOLE).alias("start"), F.lit(0).alias("mask"))).alias("cuts"))
+    cuts = materialize(cuts, "cuts").unionByName(whole)
     size = cuts.agg(F.sum(F.size("cuts"))).head()[0] or 0
     cuts = cuts.select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "cuts")
     if size <= BROADCAST_CUTS:
@@ -327,7 +369,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = H
     """``docs`` without the removed bytes; a character that loses some of its
     bytes goes as a whole.  Null texts stay null."""
     # the columns of docs travel as one value, so that no name can clash
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tie"))
+    rows = docs.select(F.struct("*").alias("row"), *_name(key, F.col(text)))
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
