@@ -198,12 +198,13 @@ class _Minima:
             np.minimum(x[:-step], x[step:], out=y[:-step])
             self.levels.append(y)
         self.flat = np.concatenate(self.levels)
-        self.size = len(values)
+        self.size = np.int32(len(values))
+        self.log = np.frexp(np.arange(1, longest + 1, dtype=np.float32))[1] - np.int32(1)
 
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        level = np.frexp((last - first + 1).astype(np.float32))[1] - 1
-        base = level.astype(np.int64) * self.size
-        return np.minimum(self.flat[base + first], self.flat[base + last + 1 - (1 << level.astype(np.int64))])
+        level = self.log[last - first]
+        base = level * self.size
+        return np.minimum(self.flat[base + first], self.flat[base + last + 1 - (np.int32(1) << level)])
 
 
 def earliest_owners(strings: list[bytes], owners: np.ndarray, depth: int = DEPTH) -> list[np.ndarray]:
@@ -222,21 +223,21 @@ def earliest_owners(strings: list[bytes], owners: np.ndarray, depth: int = DEPTH
     begin = np.concatenate([[0], np.cumsum(size)[:-1]]) + np.arange(1, count + 1)
     data = np.zeros(len(raw) + count + 1, dtype=names.dtype)
     data[np.arange(len(raw)) + np.repeat(np.arange(1, count + 1), size)] = names[raw]
-    ends, everyone = begin + size, np.arange(count)
-    at, who, common = ends, everyone, np.zeros(count, dtype=np.uint8)
+    ends = (begin + size).astype(np.int32)
     nothing = np.zeros(count, dtype=np.uint8)
+    at, common = ends, nothing
     for _ in range(int(size.max(initial=0))):
         bwt = data[at - 1]
-        tail = np.flatnonzero(bwt)
+        # symbols ascending, ends of strings (0) first and dropped: their suffixes are whole
+        tail = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt):].astype(np.int32)
         symbol = bwt[tail]
-        order = np.argsort(symbol, kind="stable")
-        tail, symbol = tail[order], symbol[order]
         same = np.flatnonzero(symbol[1:] == symbol[:-1])
         above, below = tail[same] + 1, tail[same + 1]
         grown = np.zeros(len(tail), dtype=np.uint8)
         if len(same):
             grown[same + 1] = np.minimum(_Minima(common, int((below - above).max()) + 1).of(above, below), depth - 1) + 1
-        at, who, common = np.concatenate([ends, at[tail] - 1]), np.concatenate([everyone, who[tail]]), np.concatenate([nothing, grown])
+        at, common = np.concatenate([ends, at[tail] - np.int32(1)]), np.concatenate([nothing, grown])
+    who = np.repeat(np.arange(count), size + 1)[at - 1]  # a string and the end before the next
     interval = np.flatnonzero(common < depth)
     least = np.minimum.reduceat(owners[who], interval) if len(who) else owners
     least = np.repeat(least, np.diff(np.concatenate([interval, [len(who)]])))
