@@ -60,7 +60,7 @@ HELD = 1_000_000                      # anchors that a task holds before it send
 BUCKET = 512                          # pieces of a bucket, about
 HOT = 4096                            # pieces of one anchor from which its windows are spread
 MAX_BITS = 1 << 28                    # bits of the bitmap of repeated anchors (32 MB)
-BROADCAST_CUTS = 1_000_000            # covered pieces or copies up to which their list is broadcast
+BROADCAST_COPIES = 1_000_000          # whole copies up to which their list is broadcast
 LAST = (1 << 63) - 1                  # stands for a null id
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -250,6 +250,8 @@ def earliest_owners(strings: list[bytes], owners: np.ndarray, depth: int = DEPTH
 
 
 def _bucket(table: pa.Table) -> pa.Table:
+    ids = table.select(["anchor", "digest"]).to_pandas()
+    table = table.take(np.flatnonzero(~ids.duplicated().to_numpy()))  # rows equal in id and text spell a piece twice
     least = earliest_owners(table.column("piece").to_pylist(), table.column("first").to_numpy())
     return pa.table({"anchor": table.column("anchor"), "digest": table.column("digest"), "least": pa.array([x.tolist() for x in least], pa.list_(pa.int64()))})
 
@@ -278,20 +280,17 @@ def covered_pieces(docs: DataFrame, hot: int = HOT) -> DataFrame:
     (doc, tie, text)."""
     marked = bitmap(materialize(repeated_anchors(docs), "repeated_anchors"))
     found = materialize(occurrences(docs, marked), "occurrences")
-    per = materialize(found.groupBy("anchor", "digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "distinct_pieces")
+    # the columns of the first row met name one place of the piece
+    place = [F.first(c).alias(c) for c in ("tie", "start", "windows")]
+    per = found.groupBy("anchor", "digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("doc").alias("doc"), *place)
+    per = materialize(per, "distinct_pieces")
     of = per.groupBy("anchor").agg(F.min("first").alias("_first"), F.max("last").alias("_last"), F.count(F.lit(1)).alias("kinds")).where("_first < _last")
     of = materialize(of, "anchors")
-    # one place of every piece of an anchor with several
-    several = per.join(of.where("kinds > 1").select("anchor"), "anchor").select("anchor", "digest", F.col("first").alias("doc"))
-    place = found.join(several, ["anchor", "digest", "doc"]).groupBy("anchor", "digest", "doc").agg(F.max("windows").alias("windows"), F.max(F.struct("tie", "start")).alias("at"))
-    asked = place.groupBy("doc", F.col("at.tie").alias("tie")).agg(F.collect_list(F.struct("anchor", "digest", F.col("at.start").alias("start"), "windows")).alias("asked"))
-    asked = materialize(asked, "asked")
-    size = asked.agg(F.sum(F.size("asked"))).head()[0] or 0
-    side = F.broadcast(asked) if size <= BROADCAST_CUTS else asked
-    texts = docs.join(side, ["doc", "tie"]).select("doc", F.encode("text", "UTF-8").alias("_bytes"), F.explode("asked").alias("a"))
-    spelled = texts.select("a.anchor", "a.digest", F.col("doc").alias("first"), F.expr(f"substring(_bytes, a.start + 1, a.windows + {DEPTH - 1})").alias("piece"))
-    solved = _solve(spelled, of.where(F.col("kinds") > hot).select("anchor"))
-    solved = materialize(solved.dropDuplicates(["anchor", "digest"]), "solved")
+    several = per.join(of.where("kinds > 1").select("anchor"), "anchor")
+    asked = several.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "digest", "first", "start", "windows")).alias("asked"))
+    texts = docs.hint("merge").join(asked, ["doc", "tie"]).select(F.encode("text", "UTF-8").alias("_bytes"), F.explode("asked").alias("a"))
+    spelled = texts.select("a.anchor", "a.digest", "a.first", F.expr(f"substring(_bytes, a.start + 1, a.windows + {DEPTH - 1})").alias("piece"))
+    solved = materialize(_solve(spelled, of.where(F.col("kinds") > hot).select("anchor")), "solved")
     alone = per.join(of.where("kinds = 1").select("anchor"), "anchor").where("first < last")
     known = materialize(alone.select("anchor", "digest", "first", F.lit(None).cast("array<long>").alias("least")), "single_pieces").unionByName(
         solved.select("anchor", "digest", F.lit(None).cast("long").alias("first"), "least"))
@@ -300,20 +299,21 @@ def covered_pieces(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return found.join(known, ["anchor", "digest"]).select("doc", "tie", "start", mask.alias("mask")).where("mask <> 0")
 
 
-def _spans(n: int, cuts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal covered runs among n bytes."""
-    start, mask = (np.array([c[k] for c in cuts], dtype=np.int64) for k in ("start", "mask"))
-    if start[0] == WHOLE:
+WHOLE = -1  # the only cut of a document that goes whole
+
+
+def _spans(n: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal covered runs among n bytes; a cut is
+    start * 2**ROOM + mask."""
+    if len(cuts) and cuts[0] == WHOLE:
         return np.array([0]), np.array([n])
-    at = (start[:, None] + np.arange(ROOM))[(mask[:, None] >> np.arange(ROOM)) & 1 == 1]
+    bits = np.arange(ROOM)
+    at = ((cuts >> ROOM)[:, None] + bits)[(cuts[:, None] >> bits) & 1 == 1]
     depth = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + DEPTH, minlength=n + 1)) > 0
     edge = np.diff(np.concatenate([[False], depth[:n], [False]]).astype(np.int8))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-WHOLE = -1  # start of the only cut of a document that goes whole
-
-
 def _copies(docs: DataFrame) -> DataFrame:
     """(doc, tie) of the documents whose whole text an earlier one has."""
     names = materialize(docs.where(F.octet_length("text") >= DEPTH).select("doc", "tie", F.unhex(F.md5("text")).alias("digest")), "texts")
@@ -323,18 +323,16 @@ def _copies(docs: DataFrame) -> DataFrame:
 
 def _with_cuts(docs: DataFrame, rows: DataFrame, hot: int) -> DataFrame:
     copies = _copies(docs)
-    if copies.count() <= BROADCAST_CUTS:  # more of them go through the pieces like other texts
+    if copies.count() <= BROADCAST_COPIES:  # more of them go through the pieces like other texts
         docs = docs.join(F.broadcast(copies), ["doc", "tie"], "left_anti")
     else:
         copies = copies.limit(0)
-    cuts = covered_pieces(docs, hot).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "mask")).alias("cuts"))
-    whole = copies.select("doc", "tie", F.array(F.struct(F.lit(WHOLE).alias("start"), F.lit(0).alias("mask"))).alias("cuts"))
-    cuts = materialize(cuts, "cuts").unionByName(whole)
-    size = cuts.agg(F.sum(F.size("cuts"))).head()[0] or 0
-    cuts = cuts.select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "cuts")
-    if size <= BROADCAST_CUTS:
-        cuts = F.broadcast(cuts)
-    return rows.join(cuts, F.expr("doc = _doc and tie = _tie"), "left")
+    packed = F.col("start").cast("long") * (1 << ROOM) + F.col("mask")
+    cuts = covered_pieces(docs, hot).groupBy("doc", "tie").agg(F.collect_list(packed).alias("cuts"))
+    whole = copies.select("doc", "tie", F.array(F.lit(WHOLE).cast("long")).alias("cuts"))
+    cuts = materialize(cuts, "cuts").unionByName(whole).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "cuts")
+    # one way at every size: cuts grow with the corpus
+    return rows.hint("merge").join(cuts, F.expr("doc = _doc and tie = _tie"), "left")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -347,9 +345,9 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
         for b in slices(batches, "text"):
             data, offsets = string_parts(b.column(1))
             out = []
-            for doc, a, e, cuts in zip(b.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), b.column(2).to_pylist()):
+            for doc, a, e, cuts in zip(b.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), b.column(2)):
                 whole = data[a:e].tobytes()
-                start, end = _spans(e - a, cuts) if cuts else (np.zeros(0, np.int64),) * 2
+                start, end = _spans(e - a, cuts.values.to_numpy()) if cuts.is_valid else (np.zeros(0, np.int64),) * 2
                 kept, at = hashlib.sha256(), 0
                 for s, t in zip(start.tolist(), end.tolist()):
                     kept.update(whole[at:s])
