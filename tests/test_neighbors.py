@@ -58,3 +58,50 @@ def test_radius_join_many_pivots(spark, small_blocks):
     ii, jj = np.nonzero(np.round(D, 9) <= 1.16)
     want = sorted(zip(keys[ii].tolist(), keys[jj].tolist()))
     assert sorted(zip(got["q_key"].tolist(), got["r_key"].tolist())) == want
+
+
+def test_few_cells_are_visited_on_clustered_data():
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(40, 8))[rng.integers(0, 40, 20000)] * 10 + rng.normal(size=(20000, 8))
+    cells = N.Cells(X)
+    Q = X[:500]
+    row, _ = cells.tree.visit(Q, cells.reach(Q, np.ones(len(X), dtype=np.int64), 11))
+    assert len(row) < 0.2 * len(Q) * len(cells.rows)
+
+
+def test_dense_blob_sends_links_linear_in_its_points():
+    X = np.random.default_rng(2).normal(size=(3000, 3)) * 0.3
+    cells = N.Cells(X)
+    q, r, a, b = cells.spanning(X, 0.5)
+    assert len(q) + len(a) <= 2 * len(X)
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    assert (np.minimum(cells.counts(X, np.ones(len(X), dtype=np.int64), 0.5, 7), 7) == np.minimum((D <= 0.5).sum(1), 7)).all()
+    for i, j in ((q, r), (a, b)):
+        assert (D[i, j] <= 0.5).all()
+
+
+def _plain_dbscan(X, eps, least):
+    near = np.round(np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)), 9) <= eps
+    core, label = near.sum(1) >= least, np.full(len(X), -1)
+    for i in range(len(X)):
+        if core[i] and label[i] < 0:
+            todo, label[i] = [i], i
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()] & core & (label < 0)):
+                    label[j] = i
+                    todo.append(j)
+    for i in np.flatnonzero(~core):
+        mine = label[near[i] & core]
+        label[i] = mine.min() if len(mine) else -1
+    ids = {x: n for n, x in enumerate(sorted(set(label) - {-1}))}
+    return [ids.get(x, -1) for x in label]
+
+
+def test_dbscan_over_many_blocks(spark, monkeypatch):
+    from tidewatch.operators import cluster
+    monkeypatch.setattr(cluster, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    X = np.concatenate([rng.normal(size=(150, 2)) * 0.4, rng.normal(size=(100, 2)) * 0.5 + 4, rng.uniform(-6, 8, size=(60, 2)), np.full((50, 2), 9.0)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "k long, f array<double>")
+    got = {r.k: r.cluster for r in cluster.dbscan(df, "k", "f", 0.5, 5).collect()}
+    assert [got[i] for i in range(len(X))] == _plain_dbscan(X, 0.5, 5)

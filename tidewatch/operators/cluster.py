@@ -3,16 +3,18 @@
 K1 builds the standardised profile matrix (wide profile, missing -> 0,
 population std).  K2/K3 use Spark ML (``PCA`` aggregates a d x d covariance,
 d bounded by the schema; ``KMeans`` is distributed Lloyd / k-means||).  K4 is
-DBSCAN written as DataFrame operations: exact radius join -> core rows ->
-connected components of the core graph by min-label propagation with pointer
-jumping (one checkpoint per round, cutting lineage in the shared checkpoint
-folder) -> border rows take the smallest neighbouring cluster -> noise = -1.
+DBSCAN without a table of pairs: the blocks of a metric tree count neighbours
+(up to ``min_samples``) -> core points -> each block sends a spanning set of
+links among core points -> connected components -> border points take the
+smallest neighbouring cluster -> noise = -1.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.components import connected_components
 from tidewatch.functions.ranking import global_index
-from tidewatch.operators.neighbors import radius_join
+from tidewatch.operators.neighbors import BLOCK, DIGITS, Blocks, Cells, vectors
 from tidewatch.operators.preprocess import fit_scaler
 from tidewatch.session import materialize
 
@@ -101,19 +103,58 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
            out: str = "cluster") -> DataFrame:
     """K4: DBSCAN (Ester et al. 1996): distance <= eps inclusive, a row counts
     itself; cluster ids 0.. ordered by their smallest core key; noise -1."""
-    # copies of a point are one counted point: pairs grow with the distinct points
-    points = materialize(df.groupBy(F.col(vec).alias("vec")).agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("copies")), "points")
-    pairs = radius_join(points, points, "node", "vec", eps).select(F.col("q_key").alias("a"), F.col("r_key").alias("b"))
-    deg = pairs.join(points.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("deg"))
-    core = materialize(deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("node")), "core")
-    core_edges = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi") \
-        .join(core.withColumnRenamed("node", "b"), "b", "left_semi").where(F.col("a") < F.col("b"))
-    joined = connected_components(core_edges)
+    # copies of a point are one counted point
+    points = df.groupBy(F.col(vec).alias("vec")).agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("copies"))
+    points = materialize(points, "points")
+    rows = points.where("vec is not null").select(F.col("node").alias("id"), F.col("vec").cast("array<double>").alias("v"), "copies")
+    kind = points.schema["node"].dataType.simpleString()
+    blocks = Blocks(rows, BLOCK)
+    d, reach = blocks.d, float(eps)
+
+    def degrees(q: pa.Table, r: pa.Table) -> pa.Table:
+        deg = np.zeros(q.num_rows, dtype=np.int64)
+        if q.num_rows and r.num_rows:
+            deg = Cells(vectors(r.column("v"), d)).counts(vectors(q.column("v"), d), r.column("copies").to_numpy(), reach, min_samples)
+        return pa.table({"node": q.column("id"), "deg": np.minimum(deg, min_samples)})
+
+    def links(q: pa.Table, r: pa.Table) -> pa.Table:
+        a = b = q.column("id").combine_chunks().slice(0, 0)
+        if q.num_rows and r.num_rows:
+            qs, rs, first, other = Cells(vectors(r.column("v"), d)).spanning(vectors(q.column("v"), d), reach)
+            qid, rid = q.column("id").combine_chunks(), r.column("id").combine_chunks()
+            a = pa.concat_arrays([qid.take(pa.array(qs)), rid.take(pa.array(first))])
+            b = pa.concat_arrays([rid.take(pa.array(rs)), rid.take(pa.array(other))])
+        return pa.table({"a": a, "b": b})
+
+    def nearest_cluster(q: pa.Table, r: pa.Table) -> pa.Table:
+        best = np.full(q.num_rows, -1, dtype=np.int32)
+        if q.num_rows and r.num_rows:
+            cid = r.column("cid").to_numpy()
+            for part in Cells(vectors(r.column("v"), d)).pairs(vectors(q.column("v"), d), np.full(q.num_rows, reach)):
+                if part is not None:
+                    i, j, dist = part
+                    ok = np.round(dist, DIGITS) <= reach
+                    low = np.full(q.num_rows, np.iinfo(np.int32).max, dtype=np.int32)
+                    np.minimum.at(low, i[ok], cid[j[ok]])
+                    hit = low < np.iinfo(np.int32).max
+                    best[hit] = np.where(best[hit] < 0, low[hit], np.minimum(best[hit], low[hit]))
+        return pa.table({"node": q.column("id"), "bid": best})
+
+    near = F.lit(reach)
+    deg = blocks.solve(blocks.within(rows.select("id", "v"), near), degrees, f"node {kind}, deg long").groupBy("node").agg(F.sum("deg").alias("deg"))
+    deg = materialize(deg, "degrees")
+    core = deg.where(F.col("deg") >= min_samples).select("node")
+    cores = core.withColumnRenamed("node", "id")
+    core_points = materialize(blocks.points.join(cores, "id", "left_semi"), "core_points")
+    edges = blocks.solve(blocks.within(core_points.select("id", "v"), near), links, f"a {kind}, b {kind}", core_points)
+    joined = connected_components(edges)
     comp = materialize(core.join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
     ids = global_index(comp.select("comp").distinct(), ["comp"], "cid")
-    core_lab = comp.join(ids, "comp").select(F.col("node"), F.col("cid").cast("int").alias("cid"))
-    border = pairs.join(core_lab.select(F.col("node").alias("b"), "cid"), "b") \
-        .groupBy(F.col("a").alias("node")).agg(F.min("cid").alias("bid"))
+    core_lab = materialize(comp.join(ids, "comp").select(F.col("node"), F.col("cid").cast("int").alias("cid")), "core_labels")
+    others = rows.select("id", "v").join(cores, "id", "left_anti")
+    labelled = core_points.join(core_lab.withColumnRenamed("node", "id"), "id")
+    border = blocks.solve(blocks.within(others, near), nearest_cluster, f"node {kind}, bid int", labelled)
+    border = border.where("bid >= 0").groupBy("node").agg(F.min("bid").alias("bid"))
     lab = points.join(core_lab, "node", "left").join(border, "node", "left")
     lab = materialize(lab.select("vec", F.coalesce("cid", "bid", F.lit(-1)).cast("int").alias("_label")), "labels")
     same = F.col(vec).eqNullSafe(F.col("_point"))

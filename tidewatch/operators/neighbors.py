@@ -1,21 +1,22 @@
 """Exact nearest-neighbour and radius joins on vector columns.
 
-No cross join and no all-pairs table: reference rows are assigned to the
-nearest of P pivots (P hash-chosen reference rows, P bounded, so the pivot
-table is a small broadcast), giving cells with a centre and a radius.  A
-query row only visits cells that can hold a row closer than its bound:
-
-* kNN: the bound is the k-th smallest ``d(q, centre) + radius`` counted with
-  cell sizes (an upper bound of the k-th neighbour distance); a cell is a
-  candidate when ``d(q, centre) - radius <= bound`` (triangle inequality);
-* radius join: a cell is a candidate when ``d(q, centre) - radius <= eps``.
-
-Query rows are shipped to their candidate cells by an equi-join on the cell id
-and each (cell, chunk) group is solved in NumPy by ``cogroup().applyInPandas``;
-only the k best rows per query and group (kNN) or the pairs within ``eps``
-(radius) leave a group.  Cells or query sets larger than ``block`` rows are
-split into chunks on both sides, so a hot cell (for example many copies of
-one point) never puts more than ``block`` x ``block`` distances in a task.
+No cross join and no all-pairs table.  Reference points are dealt to a metric
+tree: a node with more than ``BLOCK`` points is split among ``FAN``
+hash-chosen pivots of its own, level by level, until every leaf is bounded, so
+the number of pivots follows the data and a dense region gets more of them.
+The driver holds the tree (about 3 / BLOCK nodes a point: vector, radius),
+never points.  A leaf that pivots cannot split is cut into chunks.
+
+A block (leaf, chunk) and the queries that can have neighbours there are
+solved by one ``cogroup().applyInArrow`` task, which splits the block the same
+way into cells of ``CELL`` points and visits a cell only if the triangle
+inequality allows it.  The kNN join has two phases: the query's own block gives
+a true k-th distance, and with it the tree names the other blocks that can
+hold a nearer point, usually few or none.
+
+Equal vectors are one point with its smallest keys, on both sides, so copies
+make no distances; they are told apart again in the result.  Rows without a
+vector have no neighbours.
 
 Ties: distances are compared rounded to 9 decimals, then by key, so results
 are the same whatever the partitioning.
@@ -27,182 +28,466 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pyspark.storagelevel import StorageLevel
-
-from tidewatch.functions.hashing import DEFAULT_SEED, hash_int
+from tidewatch.functions.hashing import DEFAULT_SEED
 from tidewatch.session import materialize
 
-CELL_TARGET = 1024     # reference rows per cell aimed at
-MAX_PIVOTS = 2048      # bound of the broadcast pivot table
-BLOCK = 2048           # rows per side in one group
+FAN = 16               # pivots of a node that is split
+CELL = 64              # points of a cell inside a block
+BLOCK = 16384          # points per side in one group
 SUB = 512              # query rows per NumPy sub-batch
 DIGITS = 9
+_SLACK = 1e-9
+
+
+def vectors(column, d: int) -> np.ndarray:
+    """Rows of a list column (Arrow or pandas) as a matrix of ``d`` columns."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.Array):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, d))
+    return np.stack([np.asarray(v, dtype=np.float64) for v in column.to_numpy()]) if len(column) else np.zeros((0, d))
 
 
-def _matrix(series: pd.Series, d: int) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, d))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
+def _squares(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
+    """Squared distances by the product form: fast, exact to rounding of the norms."""
+    d2 = (Q ** 2).sum(1)[:, None] + (R ** 2).sum(1)[None, :] - 2.0 * Q @ R.T
+    return np.maximum(d2, 0.0, out=d2)
 
 
-def _dist_to(Q: np.ndarray, C: np.ndarray) -> np.ndarray:
-    """Euclidean distances of each row of Q to each row of C, a row of C at a
-    time (SUB x dimension numbers are held besides the result)."""
-    out = np.empty((Q.shape[0], C.shape[0]))
-    for s in range(0, Q.shape[0], SUB):
-        part = Q[s:s + SUB]
-        for j in range(C.shape[0]):
-            diff = part - C[j]
-            out[s:s + SUB, j] = np.sqrt(np.einsum("ik,ik->i", diff, diff))
+def _nearest(X: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(X), dtype=np.int64)
+    for s in range(0, len(X), SUB):
+        out[s:s + SUB] = _squares(X[s:s + SUB], pivots).argmin(axis=1)
     return out
 
 
-class _Cells:
-    """Pivots and per-cell size and radius (all bounded by MAX_PIVOTS)."""
-
-    def __init__(self, ref: DataFrame, key: str, vec: str, n_pivots: int | None, seed: int):
-        n = ref.count()
-        p = n_pivots or int(min(MAX_PIVOTS, max(1, math.ceil(n / CELL_TARGET))))
-        rows = ref.select(key, vec).orderBy(hash_int(F.col(key), seed, "pivot"), key).limit(p).collect()
-        self.pivots = np.stack([np.asarray(r[vec], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 1))
-        self.d = self.pivots.shape[1]
-        self.n_ref = n
-        piv = self.pivots
-
-        @F.pandas_udf("cell int, dc double")
-        def assign(v: pd.Series) -> pd.DataFrame:
-            X = _matrix(v, piv.shape[1])
-            D = _dist_to(X, piv)
-            j = D.argmin(axis=1) if len(X) else np.zeros(0, dtype=int)
-            return pd.DataFrame({"cell": j.astype(np.int32), "dc": D[np.arange(len(X)), j] if len(X) else []})
-
-        self.ref = ref.withColumn("_a", assign(F.col(vec))).select("*", "_a.cell", "_a.dc").drop("_a") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        st = self.ref.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dc").alias("r")).collect()
-        self.count = np.zeros(len(piv), dtype=np.int64)
-        self.radius = np.zeros(len(piv))
-        for r in st:
-            self.count[r["cell"]] = r["n"]
-            self.radius[r["cell"]] = r["r"]
-        self.rchunks = [max(1, math.ceil(c / BLOCK)) for c in self.count]
-
-    def candidates_udf(self, k: int | None, eps: float | None, self_in_ref: bool):
-        piv, cnt, rad = self.pivots, self.count, self.radius
-        need = None if k is None else k + (1 if self_in_ref else 0)
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def cands(v: pd.Series) -> pd.Series:
-            X = _matrix(v, piv.shape[1])
-            D = _dist_to(X, piv)
-            live = cnt > 0
-            if need is not None:
-                U = D + rad[None, :]
-                U[:, ~live] = np.inf
-                order = np.argsort(U, axis=1, kind="stable")
-                csum = np.cumsum(cnt[order], axis=1)
-                pos = np.argmax(csum >= need, axis=1)
-                enough = csum[:, -1] >= need
-                bound = np.where(enough, np.take_along_axis(U, order, axis=1)[np.arange(len(X)), pos], np.inf)
-            else:
-                bound = np.full(len(X), float(eps))
-            ok = (D - rad[None, :] <= bound[:, None] + 1e-9) & live[None, :]
-            return pd.Series([np.nonzero(row)[0].astype(np.int32).tolist() for row in ok])
-
-        return cands
-
-
-def _block_udf(key_type, d: int, k: int | None, eps: float | None, exclude_self: bool):
-    def solve(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q_key": pd.Series([], dtype=object), "r_key": pd.Series([], dtype=object),
-                              "dist": pd.Series([], dtype=np.float64)})
-        if len(qdf) == 0 or len(rdf) == 0:
-            return empty
-        Q, R = _matrix(qdf["v"], d), _matrix(rdf["v"], d)
-        qk, rk = qdf["key"].to_numpy(), rdf["key"].to_numpy()
+class Tree:
+    """Balls in a hierarchy: centre, radius, first child and number of children
+    (0: leaf) of every node; node 0 is the root, children follow parents."""
+
+    def __init__(self, root: np.ndarray):
+        self.centre, self.radius = [root], [np.inf]
+        self.first, self.children = [0], [0]
+
+    def split(self, node: int, pivots: np.ndarray) -> None:
+        self.first[node], self.children[node] = len(self.centre), len(pivots)
+        for p in pivots:
+            self.centre.append(p)
+            self.radius.append(np.inf)
+            self.first.append(0)
+            self.children.append(0)
+
+    def freeze(self) -> "Tree":
+        """Arrays instead of lists; a radius left open comes from the children."""
+        self.centre, self.radius = np.stack(self.centre), np.array(self.radius, dtype=np.float64)
+        self.first, self.children = np.array(self.first), np.array(self.children)
+        for n in range(len(self.first) - 1, -1, -1):
+            if self.children[n] and np.isinf(self.radius[n]):
+                kids = slice(self.first[n], self.first[n] + self.children[n])
+                reach = np.sqrt(((self.centre[kids] - self.centre[n]) ** 2).sum(1)) + self.radius[kids]
+                self.radius[n] = reach.max()
+        return self
+
+    def route(self, X: np.ndarray) -> np.ndarray:
+        """Leaf of the nearest pivots, from the root down."""
+        at = np.zeros(len(X), dtype=np.int64)
+        while True:
+            inner = np.unique(at[np.asarray(self.children)[at] > 0])
+            if not len(inner):
+                return at
+            for n in inner.tolist():
+                own = np.flatnonzero(at == n)
+                first = self.first[n]
+                pivots = np.asarray(self.centre[first:first + self.children[n]])
+                at[own] = first + _nearest(X[own], pivots)
+
+    def visit(self, X: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) pairs such that the leaf's ball comes within ``bound`` of the row."""
         out = []
-        for s in range(0, len(Q), SUB):
-            Qs = Q[s:s + SUB]
-            # screening by the GEMM form, then exact distances for the survivors
-            d2 = (Qs ** 2).sum(1)[:, None] + (R ** 2).sum(1)[None, :] - 2.0 * Qs @ R.T
-            np.maximum(d2, 0.0, out=d2)
-            if exclude_self:
-                d2[qk[s:s + SUB, None] == rk[None, :]] = np.inf
-            if k is not None:
-                kk = min(k, R.shape[0])
-                kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-                lim = kth + 1e-6 * (1.0 + kth)
-            else:
-                lim = np.full(len(Qs), (eps + 1e-6) ** 2 + 1e-6)
-            qi, rj = np.nonzero(d2 <= lim[:, None])
-            if len(qi) == 0:
+        for s in range(0, len(X), SUB):
+            row = np.arange(s, min(s + SUB, len(X)))
+            node = np.zeros(len(row), dtype=np.int64)
+            while len(row):
+                keep = np.zeros(len(row), dtype=bool)
+                for c in range(0, len(row), 1 << 15):
+                    r, n = row[c:c + (1 << 15)], node[c:c + (1 << 15)]
+                    dist = np.sqrt(((X[r] - self.centre[n]) ** 2).sum(1))
+                    keep[c:c + (1 << 15)] = dist - self.radius[n] <= bound[r] + _SLACK * (1.0 + dist)
+                row, node = row[keep], node[keep]
+                leaf = self.children[node] == 0
+                out.append((row[leaf], node[leaf]))
+                row, node = row[~leaf], node[~leaf]
+                n = self.children[node]
+                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, node = np.repeat(row, n), np.repeat(self.first[node], n) + nth
+        row, node = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        return row, node
+
+
+class Cells:
+    """The points of a block in a tree of cells of ``CELL`` points."""
+
+    def __init__(self, X: np.ndarray, cell: int = CELL):
+        self.X = X
+        rng = np.random.default_rng(0)
+        tree, self.rows, todo = Tree(X[0]), {}, [(0, np.arange(len(X)), True)]
+        while todo:
+            node, rows, splits = todo.pop()
+            tree.centre[node] = X[rows].mean(axis=0)
+            far = np.sqrt(((X[rows] - tree.centre[node]) ** 2).sum(1).max())
+            tree.radius[node] = far * (1 + _SLACK)
+            if len(rows) <= cell or not splits or far == 0:
+                self.rows[node] = rows
                 continue
-            dist = np.sqrt(((Qs[qi] - R[rj]) ** 2).sum(1))
-            part = pd.DataFrame({"q_key": qk[s + qi], "r_key": rk[rj], "dist": dist})
-            if k is None:
-                part = part[np.round(part["dist"].to_numpy(), DIGITS) <= eps]
-            else:
-                part["_rd"] = np.round(part["dist"].to_numpy(), DIGITS)
-                part = part.sort_values(["q_key", "_rd", "r_key"]).groupby("q_key", sort=False).head(k)
-                part = part.drop(columns="_rd")
-            out.append(part)
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    return solve
+            to = _nearest(X[rows], X[rng.choice(rows, min(FAN, -(-len(rows) // (cell // 2 or 1))), replace=False)])
+            kinds = np.unique(to)
+            if len(kinds) == 1:
+                self.rows[node] = rows
+                continue
+            tree.split(node, np.zeros((len(kinds), X.shape[1])))
+            todo += [(tree.first[node] + i, rows[to == j], True) for i, j in enumerate(kinds.tolist())]
+        self.tree = tree.freeze()
 
+    def pairs(self, Q: np.ndarray, bound: np.ndarray):
+        """(query rows, point rows, distances) within ``bound``, cell by cell for
+        ``SUB`` queries at a time; yields None at the end of each sub-batch."""
+        for s in range(0, len(Q), SUB):
+            part = Q[s:s + SUB]
+            row, leaf = self.tree.visit(part, bound[s:s + SUB])
+            order = np.argsort(leaf, kind="stable")
+            row, leaf = row[order], leaf[order]
+            edge = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if len(leaf) else []
+            for a, b in zip(edge, [*edge[1:], len(leaf)]):
+                qs, rs = row[a:b], self.rows[leaf[a]]
+                limit = bound[s + qs]
+                # screening by the product form, then exact distances for the survivors
+                near = _squares(part[qs], self.X[rs]) <= ((limit + 1e-6) ** 2 + 1e-6)[:, None]
+                i, j = np.nonzero(near)
+                i, j = qs[i], rs[j]
+                dist = np.sqrt(((part[i] - self.X[j]) ** 2).sum(1))
+                ok = np.round(dist, DIGITS) <= bound[s + i] + _SLACK
+                yield s + i[ok], j[ok], dist[ok]
+            yield None
+
+    def counts(self, Q: np.ndarray, weight: np.ndarray, eps: float, enough: int) -> np.ndarray:
+        """Weight of the points within ``eps`` of each query, exact below
+        ``enough``: cells inside the ball count whole, others are only opened
+        for queries that still need them."""
+        out = np.zeros(len(Q), dtype=np.int64)
+        held = np.zeros(len(self.tree.first), dtype=np.int64)
+        for n, rows in self.rows.items():
+            held[n] = weight[rows].sum()
+        row, leaf = self.tree.visit(Q, np.full(len(Q), eps))
+        inside = self.inside(Q, row, leaf, eps)
+        np.add.at(out, row[inside], held[leaf[inside]])
+        row, leaf = row[~inside], leaf[~inside]
+        order = np.argsort(leaf, kind="stable")
+        row, leaf = row[order], leaf[order]
+        edge = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if len(leaf) else []
+        for a, b in zip(edge, [*edge[1:], len(leaf)]):
+            q = row[a:b]
+            q = q[out[q] < enough]
+            for s in range(0, len(q), SUB):
+                rows = self.rows[leaf[a]]
+                out[q[s:s + SUB]] += self.near(Q[q[s:s + SUB]], rows, eps) @ weight[rows]
+        return out
+
+    def inside(self, Q: np.ndarray, row: np.ndarray, leaf: np.ndarray, eps: float) -> np.ndarray:
+        """Whether the whole cell lies within ``eps`` of the query."""
+        out = np.zeros(len(row), dtype=bool)
+        for c in range(0, len(row), 1 << 15):
+            r, n = row[c:c + (1 << 15)], leaf[c:c + (1 << 15)]
+            out[c:c + (1 << 15)] = np.sqrt(((Q[r] - self.tree.centre[n]) ** 2).sum(1)) + self.tree.radius[n] <= eps - 1e-8
+        return out
+
+    def near(self, Q: np.ndarray, rows: np.ndarray, eps: float) -> np.ndarray:
+        """Matrix of Q against some points: distance (rounded) within ``eps``."""
+        d2 = _squares(Q, self.X[rows])
+        out = d2 <= max(eps - 1e-6, 0.0) ** 2
+        i, j = np.nonzero(~out & (d2 <= (eps + 1e-6) ** 2 + 1e-6))  # exact distances near the edge
+        out[i, j] = np.round(np.sqrt(((Q[i] - self.X[rows[j]]) ** 2).sum(1)), DIGITS) <= eps
+        return out
+
+    def spanning(self, Q: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Links that join what distances within ``eps`` join: (query, point)
+        and (point, point) pairs, at most one per query and per point.
+
+        The points of a cell no wider than ``eps`` are linked outright; a query
+        is linked to one point of every group that it touches, and the groups
+        become one (union-find over whole labels)."""
+        group = np.arange(len(self.X))
+        stars = []
+        for n, rows in self.rows.items():
+            if 2 * self.tree.radius[n] <= eps - 1e-8:
+                group[rows] = rows[0]
+                stars.append(rows)
+        star_a = np.concatenate([np.full(len(r) - 1, r[0]) for r in stars]) if stars else np.zeros(0, np.int64)
+        star_b = np.concatenate([r[1:] for r in stars]) if stars else np.zeros(0, np.int64)
+        tight = np.zeros(len(self.tree.first), dtype=bool)
+        for n, rows in self.rows.items():
+            tight[n] = 2 * self.tree.radius[n] <= eps - 1e-8
+        links_q, links_r = [], []
+        for s in range(0, len(Q), SUB):
+            part = Q[s:s + SUB]
+            row, leaf = self.tree.visit(part, np.full(len(part), eps))
+            inside = self.inside(part, row, leaf, eps)
+            touched: list[list[np.ndarray]] = [[] for _ in range(len(part))]
+            order = np.lexsort((leaf, inside))
+            for i in order[np.flatnonzero(inside[order])].tolist():
+                rows = self.rows[leaf[i]]
+                touched[row[i]].append(rows[:1] if tight[leaf[i]] else rows)
+            out = np.flatnonzero(~inside)
+            out = out[np.argsort(leaf[out], kind="stable")]
+            edge = np.flatnonzero(np.concatenate([[True], leaf[out][1:] != leaf[out][:-1]])) if len(out) else []
+            for a, b in zip(edge, [*edge[1:], len(out)]):
+                q, rows = row[out[a:b]], self.rows[leaf[out[a]]]
+                near = self.near(part[q], rows, eps)
+                if tight[leaf[out[a]]]:  # one point of a linked cell stands for it
+                    for i in np.flatnonzero(near.any(axis=1)).tolist():
+                        touched[q[i]].append(rows[near[i].argmax():][:1])
+                else:
+                    for i in np.flatnonzero(near.any(axis=1)).tolist():
+                        touched[q[i]].append(rows[near[i]])
+            for i, t in enumerate(touched):
+                if not t:
+                    continue
+                names = np.unique(group[np.concatenate(t)])
+                links_q += [s + i] * len(names)
+                links_r += names.tolist()
+                if len(names) > 1:
+                    group[np.isin(group, names[1:])] = names[0]
+        return np.array(links_q, dtype=np.int64), np.array(links_r, dtype=np.int64), star_a, star_b
+
+    def reach(self, Q: np.ndarray, weight: np.ndarray, need: int) -> np.ndarray:
+        """Distance within which each query has points of ``need`` weight: the
+        true one inside its own cell, or a bound from the balls around it."""
+        held = {n: weight[r].sum() for n, r in self.rows.items()}
+        total = np.array([held.get(n, 0) for n in range(len(self.tree.first))])
+        for n in range(len(total) - 1, -1, -1):
+            if self.tree.children[n]:
+                total[n] = total[self.tree.first[n]:self.tree.first[n] + self.tree.children[n]].sum()
+        out = np.full(len(Q), np.inf)
+        at = np.zeros(len(Q), dtype=np.int64)
+        while len(own := np.flatnonzero(at >= 0)):
+            for n in np.unique(at[own]).tolist():
+                q = own[at[own] == n]
+                if total[n] >= need:
+                    away = np.sqrt(((Q[q] - self.tree.centre[n]) ** 2).sum(1))
+                    out[q] = np.minimum(out[q], (away + self.tree.radius[n]) * (1 + _SLACK) + _SLACK)
+                if self.tree.children[n]:
+                    first = self.tree.first[n]
+                    at[q] = first + _nearest(Q[q], self.tree.centre[first:first + self.tree.children[n]])
+                    continue
+                at[q] = -1
+                if total[n] >= need:
+                    rows = self.rows[n]
+                    dist = np.sqrt(_squares(Q[q], self.X[rows]))
+                    order = np.argsort(dist, axis=1)
+                    enough = np.argmax(np.cumsum(weight[rows][order], axis=1) >= need, axis=1)
+                    kth = dist[np.arange(len(q)), order[np.arange(len(q)), enough]]
+                    out[q] = np.minimum(out[q], kth + 1e-6 * (1.0 + kth))
+        return out
+
+
+class Blocks:
+    """Points (id, v, ...) dealt to the leaves and chunks of a metric tree."""
+
+    def __init__(self, points: DataFrame, block: int, seed: int = DEFAULT_SEED):
+        self.block = block
+        n = points.count()
+        head = points.select("v").head()
+        self.d = len(head.v) if head else 1
+        tree = Tree(np.asarray(head.v, dtype=np.float64) if head else np.zeros(1))
+        whole, stuck = {0: n}, set()
+        while big := sorted(x for x, c in whole.items() if c > block and x not in stuck):
+            at = self._routed(points, tree).where(F.col("leaf").isin(big)) if len(tree.first) > 1 else points.withColumn("leaf", F.lit(0))
+            nth = Window.partitionBy("leaf").orderBy(F.xxhash64(F.lit(seed), "v"))
+            drawn = at.select("leaf", "v", F.row_number().over(nth).alias("_nth")).where(F.col("_nth") <= FAN).collect()
+            for leaf in big:
+                tree.split(leaf, np.stack([np.asarray(r.v, dtype=np.float64) for r in drawn if r.leaf == leaf]))
+            counts = {r.leaf: r.n for r in self._routed(points, tree).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+            for leaf in big:  # equal or nearly equal points: chunks, not pivots
+                kids = range(tree.first[leaf], tree.first[leaf] + tree.children[leaf])
+                stuck.update(k for k in kids if counts.get(k, 0) == whole[leaf])
+            whole = counts
+        if len(tree.first) == 1:
+            routed = points.withColumn("leaf", F.lit(0))
+        else:
+            routed = self._routed(points, tree)
+        chunks = {x: math.ceil(c / block) for x, c in whole.items() if c > block}
+        chunk = F.lit(0)
+        for leaf, c in chunks.items():
+            chunk = F.when(F.col("leaf") == leaf, F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(c)).cast("int")).otherwise(chunk)
+        self.points = materialize(routed.withColumn("chunk", chunk), "blocks")
+        self.chunks = chunks
+        if len(tree.first) > 1:
+            tree.radius = [-np.inf] * len(tree.first)
+            centres = np.stack(tree.centre)
+
+            @F.pandas_udf("double")
+            def away(v: pd.Series, leaf: pd.Series) -> pd.Series:
+                return pd.Series(np.sqrt(((vectors(v, centres.shape[1]) - centres[leaf.to_numpy()]) ** 2).sum(1)))
+
+            for r in self.points.groupBy("leaf").agg(F.max(away("v", "leaf")).alias("r")).collect():
+                tree.radius[r.leaf] = r.r * (1 + _SLACK)
+            for n, c in enumerate(tree.children):
+                if c:
+                    tree.radius[n] = np.inf
+        self.tree = tree.freeze()
+
+    @staticmethod
+    def _routed(points: DataFrame, tree: Tree) -> DataFrame:
+        @F.pandas_udf("int")
+        def leaf(v: pd.Series) -> pd.Series:
+            return pd.Series(tree.route(vectors(v, len(tree.centre[0]))).astype(np.int32))
+
+        return points.withColumn("leaf", leaf("v"))
+
+    def own(self, queries: DataFrame) -> DataFrame:
+        """``queries`` with the leaf and chunk that they would belong to."""
+        out = queries.withColumn("leaf", F.lit(0)) if len(self.tree.first) == 1 else self._routed(queries, self.tree)
+        chunk = F.lit(0)
+        for leaf, c in self.chunks.items():
+            chunk = F.when(F.col("leaf") == leaf, F.pmod(F.xxhash64("v"), F.lit(c)).cast("int")).otherwise(chunk)
+        return out.withColumn("chunk", chunk)
+
+    def within(self, queries: DataFrame, bound: Column) -> DataFrame:
+        """``queries`` once per (leaf, chunk) that comes within ``bound``."""
+        tree, d = self.tree, self.d
+        if len(tree.first) == 1:
+            leaf = F.array(F.lit(0))
+        else:
+            @F.pandas_udf(T.ArrayType(T.IntegerType()))
+            def leaves(v: pd.Series, b: pd.Series) -> pd.Series:
+                row, node = tree.visit(vectors(v, d), b.to_numpy(np.float64))
+                order = np.argsort(row, kind="stable")
+                parts = np.split(node[order].astype(np.int32), np.searchsorted(row[order], np.arange(1, len(v))))
+                return pd.Series([p.tolist() for p in parts[:len(v)]])
+
+            leaf = leaves("v", bound.cast("double"))
+        out = queries.withColumn("leaf", F.explode(leaf))
+        last = F.lit(0)
+        for x, c in self.chunks.items():
+            last = F.when(F.col("leaf") == x, F.lit(c - 1)).otherwise(last)
+        return out.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
+
+    def solve(self, queries: DataFrame, fn, schema, points: DataFrame | None = None) -> DataFrame:
+        """``fn(queries, points)`` (Arrow tables) for every (leaf, chunk), where
+        at most about ``block`` queries meet a block at once.  ``points`` stands
+        in for ``self.points`` (rows of it, with other columns)."""
+        queries = materialize(queries, "queries")
+        many = queries.groupBy("leaf", "chunk").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.block)).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
+        left = queries.join(many, ["leaf", "chunk"]).withColumn("part", part).drop("parts")
+        right = (self.points if points is None else points).join(many, ["leaf", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        by = ["leaf", "chunk", "part"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(fn, schema)
+
+
+def _points(df: DataFrame, key: str, vec: str, keys: int) -> DataFrame:
+    """(id, v, keys): distinct vectors with their ``keys`` smallest keys."""
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"), F.col(key).alias("key"))
+    nth = Window.partitionBy("v").orderBy("key")
+    least = rows.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") <= keys)
+    return least.groupBy("v").agg(F.min("key").alias("id"), F.sort_array(F.collect_list("key")).alias("keys"))
+
+
+def _block(df: DataFrame, n_pivots: int | None) -> int:
+    return min(BLOCK, max(1, -(-df.count() // n_pivots))) if n_pivots else BLOCK
+
+
+def _knn_in_block(need: int, d: int, first: bool):
+    """Solver of a block: the ``need`` nearest keys of each query, with the
+    bound that comes from the block itself (first) or with the query."""
+    def solve(q: pa.Table, r: pa.Table) -> pa.Table:
+        Q, R = vectors(q.column("v"), d), vectors(r.column("v"), d)
+        keys = r.column("keys").combine_chunks()
+        found: list[list] = [[] for _ in range(len(Q))]
+        if len(Q) and len(R):
+            cells = Cells(R)
+            sizes = np.diff(keys.offsets.to_numpy())
+            begin, flat = keys.offsets.to_numpy(), keys.values
+            values = flat.to_numpy(zero_copy_only=False)
+            bound = cells.reach(Q, sizes, need) if first else q.column("bound").to_numpy()
+            rows: list[tuple] = []
+            for part in cells.pairs(Q, bound):
+                if part is not None:
+                    rows.append(part)
+                    continue
+                if rows:
+                    i, j, dist = (np.concatenate(x) for x in zip(*rows))
+                    rows.clear()
+                    copies = sizes[j]
+                    key = values[np.repeat(begin[j], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)]
+                    i, dist = np.repeat(i, copies), np.repeat(dist, copies)
+                    order = np.lexsort((key, np.round(dist, DIGITS), i))
+                    i, key, dist = i[order], key[order], dist[order]
+                    start = np.searchsorted(i, i, "left")
+                    top = np.arange(len(i)) - start < need
+                    for a, k, x in zip(i[top].tolist(), key[top].tolist(), dist[top].tolist()):
+                        found[a].append({"rd": round(x, DIGITS), "key": k, "dist": x})
+        kind = pa.list_(pa.struct([("rd", pa.float64()), ("key", keys.type.value_type), ("dist", pa.float64())]))
+        out = {"id": q.column("id"), "found": pa.array(found, kind)}
+        if first:
+            out = {"id": q.column("id"), "v": q.column("v"), "leaf": q.column("leaf"), "chunk": q.column("chunk"), "found": out["found"]}
+        return pa.table(out)
 
-def _pairs(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int | None, eps: float | None,
-           exclude_self: bool, n_pivots: int | None, seed: int) -> DataFrame:
-    key_type = ref.schema[key].dataType
-    schema = T.StructType([T.StructField("q_key", key_type), T.StructField("r_key", key_type),
-                           T.StructField("dist", T.DoubleType())])
-    if ref.isEmpty():
-        return ref.sparkSession.createDataFrame([], schema), []
-    cells = _Cells(ref.select(key, vec), key, vec, n_pivots, seed)
-    cands = cells.candidates_udf(k, eps, exclude_self)
-    q = query.select(F.col(key).alias("key"), F.col(vec).alias("v"))
-    qc = q.withColumn("cell", F.explode(cands(F.col("v")))).persist(StorageLevel.MEMORY_AND_DISK)
-    # query rows per cell decide the query-side chunks (one row per cell reaches the driver)
-    qcount = {r["cell"]: r["n"] for r in qc.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    P = len(cells.count)
-    qchunks = [max(1, math.ceil(qcount.get(j, 0) / BLOCK)) for j in range(P)]
-    rch = F.array(*[F.lit(x) for x in cells.rchunks])
-    qch = F.array(*[F.lit(x) for x in qchunks])
-    qside = qc.withColumn("qchunk", F.pmod(F.xxhash64("key"), F.element_at(qch, F.col("cell") + 1)).cast("int")) \
-              .withColumn("rchunk", F.explode(F.sequence(F.lit(0), F.element_at(rch, F.col("cell") + 1) - 1)))
-    r = cells.ref.select(F.col(key).alias("key"), F.col(vec).alias("v"), "cell")
-    rside = r.withColumn("rchunk", F.pmod(F.xxhash64("key"), F.element_at(rch, F.col("cell") + 1)).cast("int")) \
-             .withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.element_at(qch, F.col("cell") + 1) - 1)))
-    solve = _block_udf(key_type, cells.d, k, eps, exclude_self)
-    g = ["cell", "rchunk", "qchunk"]
-    pairs = qside.groupBy(*g).cogroup(rside.groupBy(*g)).applyInPandas(solve, schema)
-    return pairs, [qc, cells.ref]
-
-
-def _finish(df: DataFrame, held: list) -> DataFrame:
-    """Write the result once to the shared checkpoint folder (it is read
-    several times downstream, and the block solve is the expensive part),
-    then release the persisted inputs."""
-    out = materialize(df, "neighbours")
-    for h in held:
-        h.unpersist()
-    return out
+    return solve
 
 
 def knn(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, exclude_self: bool = False,
         n_pivots: int | None = None, seed: int = DEFAULT_SEED) -> DataFrame:
     """The k nearest ``ref`` rows of every ``query`` row:
-    (q_key, r_key, dist, rank), rank 1..k by (distance rounded to 9 dp, key)."""
-    pairs, held = _pairs(query, ref, key, vec, k, None, exclude_self, n_pivots, seed)
-    w = Window.partitionBy("q_key").orderBy(F.round("dist", DIGITS), F.col("r_key"))
-    return _finish(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), held)
+    (q_key, r_key, dist, rank), rank 1..k by (distance rounded to 9 dp, key).
+
+    ``n_pivots`` aims at that many leaves or more, where blocks are to be
+    smaller than ``BLOCK``."""
+    need = k + 1 if exclude_self else k
+    kind, q_kind = (x.schema[key].dataType.simpleString() for x in (ref, query))
+    refs = materialize(_points(ref, key, vec, need), "ref_points")
+    asked = refs.select("id", "v") if query is ref else _points(query, key, vec, 1).select("id", "v")
+    blocks = Blocks(refs, _block(refs, n_pivots), seed)
+    one = f"found array<struct<rd:double,key:{kind},dist:double>>"
+    first = blocks.solve(blocks.own(asked), _knn_in_block(need, blocks.d, True), f"id {q_kind}, v array<double>, leaf int, chunk int, {one}")
+    first = materialize(first, "own_blocks")
+    if len(blocks.tree.first) > 1 or blocks.chunks:
+        kth = F.when(F.size("found") >= need, F.element_at("found", need)["dist"]).otherwise(F.lit(float("inf")))
+        rest = blocks.within(first.select("id", "v", kth.alias("bound"), F.col("leaf").alias("_leaf"), F.col("chunk").alias("_chunk")), F.col("bound"))
+        rest = rest.where("leaf <> _leaf or chunk <> _chunk").drop("_leaf", "_chunk")
+        more = blocks.solve(rest, _knn_in_block(need, blocks.d, False), f"id {q_kind}, {one}")
+        more = more.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("more"))
+        merged = F.slice(F.sort_array(F.concat("found", F.coalesce("more", F.array()))), 1, need)
+        first = first.join(more, "id", "left").select("v", F.when(F.col("more").isNull(), F.col("found")).otherwise(merged).alias("found"))
+    rows = query.where(F.col(vec).isNotNull()).select(F.col(key).alias("q_key"), F.col(vec).cast("array<double>").alias("v"))
+    best = F.col("found")
+    if exclude_self:
+        best = F.expr("filter(found, x -> x.key <> q_key)")
+    out = rows.join(first.select("v", "found"), "v").select("q_key", F.posexplode(F.slice(best, 1, k)).alias("_at", "b"))
+    out = out.select("q_key", F.col("b.key").alias("r_key"), F.col("b.dist").alias("dist"), (F.col("_at") + 1).alias("rank"))
+    return materialize(out, "neighbours")
 
 
 def radius_join(query: DataFrame, ref: DataFrame, key: str, vec: str, eps: float,
                 n_pivots: int | None = None, seed: int = DEFAULT_SEED) -> DataFrame:
     """Every (query, ref) pair with distance <= eps (self pairs included)."""
-    pairs, held = _pairs(query, ref, key, vec, None, eps, False, n_pivots, seed)
-    return _finish(pairs, held)
+    def rows(df: DataFrame) -> DataFrame:
+        return df.where(F.col(vec).isNotNull()).select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+
+    blocks = Blocks(rows(ref), _block(ref, n_pivots), seed)
+    d, kinds = blocks.d, [x.schema[key].dataType.simpleString() for x in (query, ref)]
+
+    def solve(q: pa.Table, r: pa.Table) -> pa.Table:
+        Q, R = vectors(q.column("v"), d), vectors(r.column("v"), d)
+        qk, rk = q.column("id").combine_chunks(), r.column("id").combine_chunks()
+        found = [p for p in Cells(R).pairs(Q, np.full(len(Q), eps)) if p is not None] if len(Q) and len(R) else []
+        i, j, dist = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        ok = np.round(dist, DIGITS) <= eps
+        return pa.table({"q_key": qk.take(pa.array(i[ok])), "r_key": rk.take(pa.array(j[ok])), "dist": pa.array(dist[ok])})
+
+    near = blocks.within(rows(query), F.lit(float(eps)))
+    return materialize(blocks.solve(near, solve, f"q_key {kinds[0]}, r_key {kinds[1]}, dist double"), "neighbours")
