@@ -76,8 +76,17 @@ def test_dense_blob_sends_links_linear_in_its_points():
     assert len(q) + len(a) <= 2 * len(X)
     D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
     assert (np.minimum(cells.counts(X, np.ones(len(X), dtype=np.int64), 0.5, 7), 7) == np.minimum((D <= 0.5).sum(1), 7)).all()
-    for i, j in ((q, r), (a, b)):
-        assert (D[i, j] <= 0.5).all()
+    up = list(range(len(X)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in zip([*q, *a], [*r, *b]):
+        up[max(top(i), top(j))] = min(top(i), top(j))
+    want = _plain_dbscan(X, 0.5, 1)
+    assert len({(top(i), w) for i, w in enumerate(want)}) == len(set(want)) == len({top(i) for i in range(len(X))})
 
 
 def _plain_dbscan(X, eps, least):
