@@ -1,17 +1,14 @@
 """Table descriptions: NULL counts, value counts, summary statistics, dataset
-summary (C1, F8, F9, A14).  Each is one aggregation pass; quantiles use the
-bracketed exact selection so no column is gathered into one task."""
+summary (C1, F8, F9, A14).  Each is one aggregation pass; quantiles take a few
+wide aggregates over all columns, so no column is gathered into one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.storagelevel import StorageLevel
-
 from tidewatch.functions.exprs import without_nan
-from tidewatch.functions.order_stats import group_quantiles
-from tidewatch.session import materialize
+from tidewatch.functions.wide_quantiles import column_quantiles
 from tidewatch.operators.schema import column_roles, q
 
 
@@ -31,28 +28,16 @@ def value_counts(df: DataFrame, column: str, out: str = "count") -> DataFrame:
         .orderBy(F.col(out).desc(), F.col("value").asc_nulls_first())
 
 
-def summary(df: DataFrame, columns=None, accuracy: int = 10000) -> DataFrame:
+def summary(df: DataFrame, columns=None) -> DataFrame:
     """count, mean, std, min, q1, median, q3, max per numeric column (exact
     quantiles), one row per column."""
     if columns is None:
         columns, _ = column_roles(df)
     cols = list(columns)
-    long = df.select(*[F.col(q(c)).cast("double").alias(c) for c in cols]) \
-        .unpivot([], cols, "column", "value").where(F.col("value").isNotNull() & ~F.isnan("value")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    mom = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = group_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], accuracy=accuracy,
-                         few_groups=True)
-    qw = qs.groupBy("column").agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
-        F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"))
-    out = materialize(mom.join(qw, "column").select("column", "count", "mean", "std", "min", "q1",
-                                                    "median", "q3", "max"), "summary")
-    long.unpersist()
-    return out
+    stats = column_quantiles(df, cols, [0.25, 0.5, 0.75], {"mean": F.avg, "std": F.stddev_samp})
+    rows = [(c, s.count, s.other["mean"], s.other["std"], s.min, *s.quantiles, s.max) for c, s in stats.items() if s.count]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, mean double, std double, min double, "
+                                                 "q1 double, median double, q3 double, max double")
 
 
 def dataset_summary(df: DataFrame, target: str) -> DataFrame:

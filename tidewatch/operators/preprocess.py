@@ -6,7 +6,8 @@ fit is a projection (constants folded into the plan) or a join against the
 fit table.  Fitted state can be reused on new rows (C4, D5, D8).
 
 Scale notes
-* Medians use the bracketed exact selection (no column gathered in one task).
+* Medians take a few wide aggregates over all columns (sketch, count, rank the
+  few values around the middle).
 * The mode is ``groupBy(column, value).count()`` then ``min(struct(-count,
   value))`` per column: partial aggregation, ties to the smallest value.
 * Dense one-hot names a column per value, so the distinct values reach the
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import nan_to_null, without_nan
-from tidewatch.functions.order_stats import group_quantiles
+from tidewatch.functions.wide_quantiles import column_quantiles
 from tidewatch.functions.ranking import global_index
 from tidewatch.operators.schema import q
 
@@ -54,17 +55,13 @@ class FillValues:
         return df.withColumns(fills) if fills else df
 
 
-def fit_fill_values(df: DataFrame, numeric, categorical, accuracy: int = 10000) -> FillValues:
+def fit_fill_values(df: DataFrame, numeric, categorical) -> FillValues:
     """C2 (median of numeric columns) and C3 (most frequent value, ties to the
-    smallest) in two jobs whatever the number of columns."""
+    smallest) in a few jobs whatever the number of columns."""
     out = FillValues()
     numeric, categorical = list(numeric), list(categorical)
     if numeric:
-        long = df.select(*[F.col(q(c)).cast("double").alias(c) for c in numeric]) \
-            .unpivot([], numeric, "column", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
-        med = group_quantiles(long, ["column"], "value", [0.5], accuracy=accuracy, few_groups=True)
-        got = {r["column"]: r["value"] for r in med.collect()}
-        out.numeric = {c: got.get(c) for c in numeric}
+        out.numeric = {c: s.quantiles[0] for c, s in column_quantiles(df, numeric, [0.5]).items()}
     if categorical:
         long = df.select(*[F.col(q(c)).cast("string").alias(c) for c in categorical]) \
             .unpivot([], categorical, "column", "value").where(F.col("value").isNotNull())

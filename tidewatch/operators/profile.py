@@ -13,8 +13,8 @@ Scale notes
   window length, not by data volume.  ``quantiles='sketch'`` uses
   ``percentile_approx`` instead.
 * F6 population quantiles would put a whole feature in one task with
-  ``percentile``; they use the bracketed exact selection of
-  ``tidewatch.functions.order_stats`` instead.
+  ``percentile``; they come from the wide aggregates of
+  ``tidewatch.functions.wide_quantiles`` instead.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.storagelevel import StorageLevel
-
 from tidewatch.functions.exprs import nan_to_null
-from tidewatch.functions.order_stats import group_quantiles
+from tidewatch.functions.wide_quantiles import column_quantiles
 from tidewatch.session import materialize
 from tidewatch.operators.schema import q
 
@@ -69,23 +67,14 @@ def windows_per_entity(features: DataFrame, entity_col: str) -> DataFrame:
         F.count(F.lit(1)).alias("num_time_windows"))
 
 
-def global_profile(features: DataFrame, entity_col: str, window_col: str = WINDOW_COL,
-                   accuracy: int = 10000) -> DataFrame:
-    """the seven statistics per feature over all (entity, window) rows."""
-    long = to_long(features, entity_col, window_col).persist(StorageLevel.MEMORY_AND_DISK)
-    moments = long.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = group_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75], accuracy=accuracy,
-                         few_groups=True)
-    qw = qs.groupBy("feature").agg(
-        F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
-        F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"))
-    # one row per feature: written once, the long table released
-    out = materialize(moments.join(qw, "feature").select("feature", *STATS), "global-profile")
-    long.unpersist()
-    return out
+def global_profile(features: DataFrame, entity_col: str, window_col: str = WINDOW_COL) -> DataFrame:
+    """the seven statistics per feature over all (entity, window) rows; a
+    feature without values has no row.  ``features`` is read a few times, so it
+    should be a written table."""
+    cols = feature_columns(features, entity_col, window_col)
+    stats = column_quantiles(features, cols, [0.25, 0.5, 0.75], {"mean": F.avg, "std": F.stddev_samp})
+    rows = [(c, s.other["mean"], s.other["std"], s.min, s.max, s.quantiles[1], s.quantiles[0], s.quantiles[2]) for c, s in stats.items() if s.count]
+    return features.sparkSession.createDataFrame(rows, "feature string, " + ", ".join(f"{c} double" for c in STATS))
 
 
 def profile_long(profiles: DataFrame) -> DataFrame:
