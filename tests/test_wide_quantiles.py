@@ -22,9 +22,10 @@ def test_quantiles_equal_numpy(table, monkeypatch, ranked, error):
     # few ranked values: brackets are narrowed again; no slack: brackets miss and are opened
     monkeypatch.setattr(W, "RANKED_VALUES", ranked)
     monkeypatch.setattr(W, "RANK_ERROR", error)
+    if ranked < 1_000_000:
+        monkeypatch.setattr(W, "WHOLE", 10)
     if not error:
         monkeypatch.setattr(W, "SKETCH_K", 512)
-        monkeypatch.setattr(W, "WHOLE", 10)
     df, cols = table
     probs = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
     got = W.column_quantiles(df, df.columns, probs)

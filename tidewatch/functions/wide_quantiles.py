@@ -1,6 +1,7 @@
 """Exact quantiles of all numeric columns in a few wide aggregates.
 
-One aggregate over the table gives every column its count, extremes and a KLL
+Columns of few values take one exact ``percentile`` aggregate after they are
+counted.  For others, one aggregate over the table gives every column its count, extremes and a KLL
 sketch (Spark's mergeable quantile sketch), so the table is neither unpivoted
 nor persisted.  The sketch brackets each wanted position; one more aggregate
 counts the values below and inside every bracket, which places the position
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 SKETCH_K = 4096              # rank error of one sketch: below 0.1 %
 RANK_ERROR = 0.002           # half width of a bracket in ranks
 RANKED_VALUES = 1_000_000    # values inside a bracket that are ranked
-WHOLE = 10_000               # columns with so many values are one bracket
+WHOLE = 100_000              # columns with so many values take Spark's exact percentile
 GRID = 200                   # steps in which a wide bracket is narrowed
 
 
@@ -89,11 +90,17 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     for i, c in enumerate(columns):
         n, low, high = row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]
         out[c] = ColumnStats(n, low, high, [None] * len(probs), {k: row[f"o{i}_{k}"] for k in other})
-        for j, p in enumerate(probs if n else []):
+        for j, p in enumerate(probs if n > WHOLE else []):
             at = math.floor((n - 1) * p)
             a, b = row[f"b{i}"][2 * j:2 * j + 2]
-            a, b = (low if n <= WHOLE or p <= RANK_ERROR else a), (high if n <= WHOLE or p + RANK_ERROR >= 1 else b)
+            a, b = (low if p <= RANK_ERROR else a), (high if p + RANK_ERROR >= 1 else b)
             brackets.append(_Bracket(i, j, at, min(at + 1, n - 1), a, b))
+    small = [i for i, c in enumerate(columns) if 0 < out[c].count <= WHOLE]
+    if small:
+        asked = F.array(*[F.lit(p) for p in probs])
+        row = df.agg(*[F.percentile(x[i], asked).alias(f"q{i}") for i in small]).head()
+        for i in small:
+            out[columns[i]].quantiles = list(row[f"q{i}"])
     _place(df, x, [out[c] for c in columns], brackets)
     found = _ranked(df, x, brackets)
     for b in brackets:

@@ -295,14 +295,14 @@ class Cells:
 
 
 class Blocks:
-    """Points (id, v, ...) dealt to the leaves and chunks of a metric tree."""
+    """Points (id, v, ...) of a written table dealt to the leaves and chunks of a
+    metric tree."""
 
     def __init__(self, points: DataFrame, block: int, seed: int = DEFAULT_SEED):
         self.block = block
-        n = points.count()
-        head = points.select("v").head()
-        self.d = len(head.v) if head else 1
-        tree = Tree(np.asarray(head.v, dtype=np.float64) if head else np.zeros(1))
+        some = points.agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).head()
+        n, self.d = some.n, len(some.v) if some.n else 1
+        tree = Tree(np.asarray(some.v, dtype=np.float64) if n else np.zeros(1))
         whole, stuck = {0: n}, set()
         while big := sorted(x for x, c in whole.items() if c > block and x not in stuck):
             at = self._routed(points, tree).where(F.col("leaf").isin(big)) if len(tree.first) > 1 else points.withColumn("leaf", F.lit(0))
@@ -323,7 +323,9 @@ class Blocks:
         chunk = F.lit(0)
         for leaf, c in chunks.items():
             chunk = F.when(F.col("leaf") == leaf, F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(c)).cast("int")).otherwise(chunk)
-        self.points = materialize(routed.withColumn("chunk", chunk), "blocks")
+        self.points = routed.withColumn("chunk", chunk)
+        if len(tree.first) > 1:
+            self.points = materialize(self.points, "blocks")
         self.chunks = chunks
         if len(tree.first) > 1:
             tree.radius = [-np.inf] * len(tree.first)
@@ -380,11 +382,13 @@ class Blocks:
         """``fn(queries, points)`` (Arrow tables) for every (leaf, chunk), where
         at most about ``block`` queries meet a block at once.  ``points`` stands
         in for ``self.points`` (rows of it, with other columns)."""
-        queries = materialize(queries, "queries")
+        if len(self.tree.first) > 1:
+            queries = materialize(queries, "queries")
         many = queries.groupBy("leaf", "chunk").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.block)).cast("int").alias("parts"))
         part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
         left = queries.join(many, ["leaf", "chunk"]).withColumn("part", part).drop("parts")
         right = (self.points if points is None else points).join(many, ["leaf", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        left = left.select(*[F.col(c).alias(c) for c in left.columns])  # names of its own, both sides may be one table
         by = ["leaf", "chunk", "part"]
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(fn, schema)
 
@@ -478,7 +482,7 @@ def radius_join(query: DataFrame, ref: DataFrame, key: str, vec: str, eps: float
     def rows(df: DataFrame) -> DataFrame:
         return df.where(F.col(vec).isNotNull()).select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
 
-    blocks = Blocks(rows(ref), _block(ref, n_pivots), seed)
+    blocks = Blocks(materialize(rows(ref), "ref_points"), _block(ref, n_pivots), seed)
     d, kinds = blocks.d, [x.schema[key].dataType.simpleString() for x in (query, ref)]
 
     def solve(q: pa.Table, r: pa.Table) -> pa.Table:

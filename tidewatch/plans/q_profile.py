@@ -27,9 +27,13 @@ def profiles(spark, sf_dir):
     return profile.entity_profiles(features(spark, sf_dir), ENTITY)
 
 
-def zscores(spark, sf_dir):
-    # the window table feeds both profiles: written once, read twice
-    fw = materialize(features(spark, sf_dir), "entity-windows")
+def windows(spark, sf_dir):
+    """The window table, written once: profiles, population and views read it."""
+    return materialize(features(spark, sf_dir), "entity-windows")
+
+
+def zscores(spark, sf_dir, fw=None):
+    fw = windows(spark, sf_dir) if fw is None else fw
     return profile.z_scores(profile.entity_profiles(fw, ENTITY), profile.global_profile(fw, ENTITY))
 
 
@@ -110,7 +114,7 @@ def f5_entity_profiles(spark, sf_dir):
 
 @register("f6_global_profile", with_sql(LONG_SQL, GLOB_SQL) + f"select feature, {_STATS_OUT} from gprof")
 def f6_global_profile(spark, sf_dir):
-    return profile.global_profile(features(spark, sf_dir), ENTITY)
+    return profile.global_profile(windows(spark, sf_dir), ENTITY)
 
 
 @register("f7_windows_per_entity", with_sql() +
@@ -187,21 +191,22 @@ def h3_top_entities(spark, sf_dir):
 @register("h5_most_anomalous_series", with_sql(*_Z_CTES, _report_sql(STRICT), _TOP_SQL.format(n=1)) +
           f"select {_FW_OUT} from fw where {qi(ENTITY)} in (select entity from top)")
 def h5_most_anomalous_series(spark, sf_dir):
-    fw = materialize(features(spark, sf_dir), "entity-windows")
-    z = profile.z_scores(profile.entity_profiles(fw, ENTITY), profile.global_profile(fw, ENTITY))
+    fw = windows(spark, sf_dir)
+    z = zscores(spark, sf_dir, fw)
     return profile.most_anomalous_series(fw, ENTITY, profile.anomalous_entities(z, STRICT))
 
 
-def _top_entities(spark, sf_dir, n):
-    return profile.top_n(profile.anomalous_entities(zscores(spark, sf_dir), STRICT), n, "anomaly_score")
+def _top_entities(spark, sf_dir, n, fw):
+    return profile.top_n(profile.anomalous_entities(zscores(spark, sf_dir, fw), STRICT), n, "anomaly_score")
 
 
 @register("h6_entity_over_time", with_sql(*_Z_CTES, _report_sql(STRICT), _TOP_SQL.format(n=1)) +
           f"select {_FW_OUT} from fw where {qi(ENTITY)} = (select entity from top)")
 def h6_entity_over_time(spark, sf_dir):
     """H6 + B14: the windows of one entity in time order (entity = top scorer)."""
-    top = _top_entities(spark, sf_dir, 1).first()["entity"]
-    return profile.entity_over_time(features(spark, sf_dir), ENTITY, top)
+    fw = windows(spark, sf_dir)
+    top = _top_entities(spark, sf_dir, 1, fw).first()["entity"]
+    return profile.entity_over_time(fw, ENTITY, top)
 
 
 @register("h7_entities_side_by_side", with_sql(LONG_SQL, *_Z_CTES[1:], _report_sql(STRICT), _TOP_SQL.format(n=3)) +
@@ -212,8 +217,9 @@ def h6_entity_over_time(spark, sf_dir):
           + ", ".join(qi(f) for f in FEATURES[:5]) + " into name feature value value)")
 def h7_entities_side_by_side(spark, sf_dir):
     """H7 + B15: first five features of the three top scorers (semi join on a DataFrame)."""
-    top = _top_entities(spark, sf_dir, 3).select("entity")
-    return profile.entities_side_by_side(features(spark, sf_dir), ENTITY, top, 5)
+    fw = windows(spark, sf_dir)
+    top = _top_entities(spark, sf_dir, 3, fw).select("entity")
+    return profile.entities_side_by_side(fw, ENTITY, top, 5)
 
 
 @register("f11_compare_entities", with_sql(LONG_SQL, *_Z_CTES[1:], _report_sql(STRICT), _TOP_SQL.format(n=3)) +
@@ -222,8 +228,9 @@ def h7_entities_side_by_side(spark, sf_dir):
               [("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max")]) +
           " from lng where entity in (select entity from top) group by entity, feature")
 def f11_compare_entities(spark, sf_dir):
-    top = _top_entities(spark, sf_dir, 3).select("entity")
-    return profile.compare_entities(features(spark, sf_dir), ENTITY, top)
+    fw = windows(spark, sf_dir)
+    top = _top_entities(spark, sf_dir, 3, fw).select("entity")
+    return profile.compare_entities(fw, ENTITY, top)
 
 
 @register("g3_entity_flag", with_sql(*_Z_CTES, _report_sql(STRICT)) +
@@ -236,8 +243,9 @@ def g3_entity_flag(spark, sf_dir):
 @register("b15_flagged_entity_rows", with_sql(*_Z_CTES, _report_sql(STRICT)) +
           f"select {_FW_OUT} from fw where {qi(ENTITY)} in (select entity from rep)")
 def b15_flagged_entity_rows(spark, sf_dir):
-    rep = profile.anomalous_entities(zscores(spark, sf_dir), STRICT)
-    return profile.filter_entities(features(spark, sf_dir), ENTITY, rep.select("entity"))
+    fw = windows(spark, sf_dir)
+    rep = profile.anomalous_entities(zscores(spark, sf_dir, fw), STRICT)
+    return profile.filter_entities(fw, ENTITY, materialize(rep.select("entity"), "entities"))
 
 
 # ---- K: clustering of entities --------------------------------------------------------
