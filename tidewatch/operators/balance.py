@@ -112,7 +112,7 @@ def balance(df: DataFrame, label: str, key: str, vec: str | None = None, method:
         return smote(df, label, key, vec, ratio, k, seed)
     if method == "both":
         return smote(undersample(df, label, key, 0.1, seed), label, key, vec, ratio, k, seed)
-    raise ValueError(f"Unsupported imbalance handling method: {method}")
+    raise ValueError(f"balancing is 'undersample', 'smote' or 'both', not {method!r}")
 
 
 def balance_train(df: DataFrame, split_col: str = "split", **kw) -> DataFrame:

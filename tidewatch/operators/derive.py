@@ -132,7 +132,7 @@ def entity_window_features(df: DataFrame, entity_col: str = "Source IP",
         if c in df.columns:
             aggs += [_agg(c, s).alias(f"{c}_{s}") for s in FLOW_STATS]
     if not aggs:
-        raise ValueError("No suitable columns found for creating entity features")
+        raise ValueError("the flow table has none of the columns that window features are made from")
     used = [c for c in count_columns + flow_columns if c in df.columns]
     base = without_nan(df.select(F.col(q(entity_col)), F.col(q(time_col)), *[F.col(q(c)) for c in used]))
     base = base.where(F.col(q(entity_col)).isNotNull() & F.col(q(time_col)).isNotNull())

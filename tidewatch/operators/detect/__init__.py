@@ -141,7 +141,7 @@ class EnsembleAnomalyDetector:
 
     def member_scores(self, df: DataFrame) -> DataFrame:
         if not self.models:
-            raise ValueError("No models in the ensemble")
+            raise ValueError("an ensemble needs at least one detector")
         out = df
         for i, m in enumerate(self.models):
             out = m.score(out, f"score_{i}").drop("raw", "lof")

@@ -21,7 +21,7 @@ def merged_params(model_type: str, **given) -> dict:
     """L1: the given parameters over the defaults (the reference replaced the
     defaults entirely when any parameter was given, R7)."""
     if model_type not in DEFAULT_PARAMS:
-        raise ValueError(f"Unsupported model type: {model_type}")
+        raise ValueError(f"detector {model_type!r} is not one of {sorted(DEFAULT_PARAMS)}")
     out = dict(DEFAULT_PARAMS[model_type])
     out.update(given)
     return out

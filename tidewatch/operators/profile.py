@@ -160,7 +160,7 @@ def filter_entities(features: DataFrame, entity_col: str, entities) -> DataFrame
         vals = list(entities) if isinstance(entities, (list, tuple, set)) else [entities]
         out = features.where(F.col(q(entity_col)).isin(vals))
     if out.isEmpty():
-        raise ValueError("No data found for the specified entities")
+        raise ValueError("none of the given entities has a row")
     return out
 
 

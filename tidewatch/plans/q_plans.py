@@ -10,6 +10,8 @@ from tidewatch.operators import profile
 from tidewatch.plans import q_eval as QE
 from tidewatch.plans import q_prep as QR
 from tidewatch.plans import q_profile as QP
+from tidewatch.plans.q_models import _smote_sql as smote_sql
+from tidewatch.plans.q_models import r6list
 from tidewatch.plans.registry import ORACLES, qi, r6, register
 from tidewatch.session import new_scratch_path
 from tidewatch.sources import sinks
@@ -48,6 +50,26 @@ def q1_preprocess(spark, sf_dir):
     return out.select("flow_id", "Label", "duration_gap", "`Destination Port`", "protocol_gap", "split")
 
 
+_Q1_SMOTE_SQL = _Q1_SQL + f""", x as (
+  select flow_id as vec_id, "Label" as label, split,
+         list_concat([duration_gap, cast("Destination Port" as double)],
+                     list_transform(range((select count(*) from codes)), lambda i: case when i + 1 = protocol_gap then 1.0::double else 0.0::double end)) as features
+  from o),
+xt as (select vec_id, features, label from x where split = 'train'), {smote_sql('xt')}
+select vec_id as flow_id, label as "Label", {r6list('features')} as features, 'train' as split from bal
+union all select vec_id, label, {r6list('features')} as features, split from x where split <> 'train'"""
+
+
+@register("q1_preprocess_smote", _Q1_SMOTE_SQL)
+def q1_preprocess_smote(spark, sf_dir):
+    """Q1 as it is by default: sparse one-hot, standard scaling, SMOTE on train
+    over all feature columns; the features are shown as one array."""
+    from tidewatch.plans.preprocess import preprocess
+    df = event_flows(spark, sf_dir).select(*[f"`{c}`" for c in _Q1_COLS])
+    out, _ = preprocess(df, "Label", "flow_id", ratio=0.5)
+    return out.select("flow_id", "Label", "features", "split")
+
+
 @register("q2_transform_new_rows", _Q1_SQL + f"select {_Q1_OUT} from o where split = 'test'")
 def q2_transform_new_rows(spark, sf_dir):
     """Q2: the stored fit applied to rows it never saw (no refit)."""
@@ -90,7 +112,7 @@ def a9_anomaly_table_csv(spark, sf_dir):
 @register("a10_profiles_round_trip", ORACLES["f5_entity_profiles"])
 def a10_profiles_round_trip(spark, sf_dir):
     """A10 + A11: profiles saved as Parquet and loaded back."""
-    fw = QP.features(spark, sf_dir)
+    fw = QP.windows(spark, sf_dir)
     path = new_scratch_path(spark, "profiles")
     sinks.save_profiles(profile.entity_profiles(fw, QP.ENTITY), profile.global_profile(fw, QP.ENTITY),
                         profile.windows_per_entity(fw, QP.ENTITY), path)
@@ -98,11 +120,22 @@ def a10_profiles_round_trip(spark, sf_dir):
     return prof
 
 
+@register("a10_wide_profiles", QP.with_sql(QP.LONG_SQL, QP.PROF_SQL, QP._WIDE_SQL) + "select entity, num_time_windows, " + ", ".join(
+    f"{r6(qi(c))} as {qi(c)}" for c in QP._PCOLS if c != "num_time_windows") + " from wd")
+def a10_wide_profiles(spark, sf_dir):
+    """A10 as one wide row per entity, saved and loaded back."""
+    fw = QP.windows(spark, sf_dir)
+    path = new_scratch_path(spark, "profiles")
+    sinks.save_profiles(profile.entity_profiles(fw, QP.ENTITY), profile.global_profile(fw, QP.ENTITY),
+                        profile.windows_per_entity(fw, QP.ENTITY), path, features=QP.FEATURES)
+    return sinks.load_wide_profiles(spark, path)
+
+
 @register("a11_reloaded_scoring", ORACLES["j2_anomalous_entities_strict"])
 def a11_reloaded_scoring(spark, sf_dir):
     """A11 (R9): scoring works after a reload because the population profile
     is stored beside the entity profiles."""
-    fw = QP.features(spark, sf_dir)
+    fw = QP.windows(spark, sf_dir)
     path = new_scratch_path(spark, "profiles")
     sinks.save_profiles(profile.entity_profiles(fw, QP.ENTITY), profile.global_profile(fw, QP.ENTITY),
                         profile.windows_per_entity(fw, QP.ENTITY), path)
@@ -112,7 +145,7 @@ def a11_reloaded_scoring(spark, sf_dir):
 
 @register("a11_reloaded_population_statistics", ORACLES["f13_population_statistics"])
 def a11_reloaded_population_statistics(spark, sf_dir):
-    fw = QP.features(spark, sf_dir)
+    fw = QP.windows(spark, sf_dir)
     path = new_scratch_path(spark, "profiles")
     sinks.save_profiles(profile.entity_profiles(fw, QP.ENTITY), profile.global_profile(fw, QP.ENTITY),
                         profile.windows_per_entity(fw, QP.ENTITY), path)

@@ -36,7 +36,7 @@ def load_flows(spark: SparkSession, path: str, schema: T.StructType | None = Non
     inference costs a full extra pass; it is the fallback only).
     """
     if not _exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"nothing to read at {path}")
     p = path.rstrip("/")
     if p.endswith(".csv"):
         reader = spark.read.option("header", True)
@@ -45,7 +45,7 @@ def load_flows(spark: SparkSession, path: str, schema: T.StructType | None = Non
     elif p.endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        raise ValueError(f"Unsupported file format: {path}")
+        raise ValueError(f"{path} is neither Parquet nor CSV")
     if columns:
         df = df.select(*[f"`{c}`" for c in columns if c in df.columns])
     return df

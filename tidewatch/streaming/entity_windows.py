@@ -44,7 +44,7 @@ def stream_entity_window_features(stream: DataFrame, entity_col: str = "Source I
                    "sum": F.sum(col)}
             aggs += [fns[s].alias(f"{c}_{s}") for s in FLOW_STATS]
     if not aggs:
-        raise ValueError("No suitable columns found for creating entity features")
+        raise ValueError("the flow table has none of the columns that window features are made from")
     ts = F.col(q(time_col)).cast("timestamp")
     s = stream.where(F.col(q(entity_col)).isNotNull() & F.col(q(time_col)).isNotNull()) \
         .withColumn("_ts", ts).withWatermark("_ts", watermark)
