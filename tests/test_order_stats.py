@@ -84,3 +84,13 @@ def test_missed_bracket_falls_back_bounded(spark, monkeypatch):
     for _, r in got.iterrows():
         vals = pdf.loc[pdf.event_type == r["event_type"], "value"].to_numpy()
         assert r["value"] == pytest.approx(np.quantile(vals, r["p"]), abs=1e-9)
+
+
+def test_hash_cuts_match_rank_cuts_also_for_repeated_keys(spark):
+    from tidewatch.functions.hashing import hash_int
+    from tidewatch.operators.sample import hash_cuts
+    for key in (F.col("id"), F.col("id") % 3):  # three keys only: hashes are not uniform
+        df = spark.range(5000).select(key.alias("k"), F.when(F.col("id") % 50 > 0, F.col("id") % 4).alias("g")).withColumn("h", hash_int("k"))
+        got = {(r.g, r.f): (r.cut_o, r.k) for r in hash_cuts(df, ["g"], "h", "k", [0.0, 0.2, 0.999]).collect() if r.g is not None}
+        want = {(r.g, r.f): (r.cut_o, r.k) for r in rank_cuts(df, ["g"], "h", ["k"], [0.0, 0.2, 0.999]).collect() if r.g is not None}
+        assert got == want and len(got) == 12
