@@ -14,6 +14,26 @@ def shingles(text, lower=True):
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
 
 
+def paragraphs(text, radius=8, min_words=5):
+    """[(piece, start, end)] of the runs of words between content-defined cuts."""
+    prime = 2**31 - 1
+
+    def number(word):
+        raw = word.encode()
+        h = len(raw)
+        for b in raw[:8].ljust(8, b"\0"):
+            h = (h * 257 + b) % prime
+        return h * h % prime
+
+    found = list(WORD.finditer((text or "").translate(LOWER)))
+    own = [number(m.group()) for m in found] + [0]
+    draw = [(own[i] * 48271 + own[i + 1] * 16807) % prime for i in range(len(found))]
+    cuts = [i for i in range(radius + 1, len(found) - radius)
+            if draw[i] < min(draw[i - radius:i]) and draw[i] <= min(draw[i + 1:i + radius + 1])]
+    cuts = [0, *cuts, len(found)]
+    return [(k, found[a].start(), found[b - 1].end()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b - a >= min_words]
+
+
 class Union:
     def __init__(self):
         self.up = {}

@@ -153,15 +153,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.report(docs, key="tidewatch")
 
 
-@register("op1_substring_dedup", sql=f"""
-with recursive lines as (
-  select doc_id, unnest(string_split(text, chr(10))) as content, unnest(range(len(string_split(text, chr(10))))) as line
-  from documents where text <> ''),
-placed as (
-  select *, sum(length(content) + 1) over (partition by doc_id order by line) as upto, {_WORDS.format("content")} as w from lines),
-parts as (select row(doc_id, line) as node, doc_id, line, w, upto - length(content) - 1 as start, upto - 1 as "end" from placed where len(w) >= 20),
+@register("op1_substring_dedup", sql=rf"""
+with recursive segments as (  -- a word with the white space before it
+  select doc_id, unnest(s) as seg, unnest(range(len(s))) as i
+  from (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') as s from documents)),
+words as (
+  select doc_id, i, regexp_replace(seg, '^[\x20\x09-\x0D]+', '') as word, sum(length(seg)) over (partition by doc_id order by i)::bigint as upto from segments),
+numbers as (  -- from the length and the first eight bytes
+  select word, list_reduce(list_prepend(length(x) // 2, list_transform(range(8), lambda j: case when 2 * j < length(x) then ('0x' || substr(x, 2 * j + 1, 2))::bigint else 0 end)),
+                           lambda h, b: (h * 257 + b) % 2147483647) as h
+  from (select distinct word, hex(encode(word)) as x from words)),
+drawn as (
+  select doc_id, i, word, upto, count(*) over (partition by doc_id) as n,
+         ((h * h) % 2147483647 * 48271 + coalesce(lead((h * h) % 2147483647) over (partition by doc_id order by i), 0) * 16807) % 2147483647 as draw
+  from words join numbers using (word)),
+cuts as (
+  select *, i = 0 or (i > 8 and n - i > 8 and draw < min(draw) over (partition by doc_id order by i rows between 8 preceding and 1 preceding)
+                      and draw <= min(draw) over (partition by doc_id order by i rows between 1 following and 8 following)) as cut
+  from drawn),
+placed as (select *, sum(cut::int) over (partition by doc_id order by i)::bigint - 1 as piece from cuts),
+parts as (
+  select row(doc_id, piece) as node, doc_id, piece, list(word order by i) as w, min(upto - length(word)) as start, max(upto) as "end"
+  from placed group by doc_id, piece having count(*) >= 5),
 {_LINKED}
-select doc_id, line, start::bigint as start, "end"::bigint as "end", c.comp[1] as first_doc_id, c.comp[2] as first_line
+select doc_id, piece, start, "end", c.comp[1] as first_doc_id, c.comp[2] as first_piece
 from parts p join comps c on p.node = c.node where c.comp <> p.node""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
