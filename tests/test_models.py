@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
+from tidewatch.operators.detect.iforest import fit_isolation_forest, tree_candidates
 
 
 def _blobs(spark, n=300, outliers=5, seed=0):
@@ -28,6 +29,22 @@ def test_isolation_forest_properties(spark):
     assert np.allclose(s1["score"], s2["score"])
 
 
+def test_forest_candidates_by_skips(spark):
+    n, trees, p = 20_000, 50, 0.004
+    df = spark.range(n).select(F.col("id").alias("k"), F.array(F.col("id").cast("double")).alias("f"))
+    got = sorted((r.tree, r.k) for r in tree_candidates(df.repartition(7), "k", "f", trees, p, 3).collect())
+    assert got == sorted((r.tree, r.k) for r in tree_candidates(df.coalesce(1), "k", "f", trees, p, 3).collect())
+    assert len(set(got)) == len(got) and {t for t, _ in got} == set(range(trees))
+    assert abs(len(got) - n * trees * p) < 5 * (n * trees * p) ** 0.5
+    per_tree = np.bincount([t for t, _ in got], minlength=trees)
+    assert (abs(per_tree - n * p) < 5 * (n * p) ** 0.5).all()
+    both = np.bincount(np.bincount([k for _, k in got], minlength=n))  # trees are independent: binomial counts of a row
+    assert abs(both[2] - n * 1225 * p**2 * (1 - p) ** 48) < 5 * (n * 1225 * p**2) ** 0.5
+    model = fit_isolation_forest(df, "k", "f", n_estimators=trees, max_samples=32)
+    roots = model.nodes[model.nodes["node"] == 0]
+    assert len(roots) == trees and (roots["size"] == 32).all()
+
+
 def test_contamination_share(spark):
     from tidewatch.operators.detect import AnomalyDetector
     df, _ = _blobs(spark, 400)

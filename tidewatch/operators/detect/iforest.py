@@ -1,10 +1,12 @@
 """Isolation forest (L2, L3; Liu, Ting, Zhou 2008).
 
 Fit: each tree gets exactly psi = min(max_samples, n) rows drawn without
-replacement by hash rank.  Rows are first pre-filtered per tree with
-probability ~3 psi / n (T cheap hashes per row, JVM side, no row copies
-beyond the candidates), then the psi smallest hashes per tree are kept, so no
-step sorts n x T rows and a tree's group holds ~3 psi rows.  Trees are grown
+replacement by hash rank.  A row is a candidate of each tree with probability
+p ~ 3 psi / n, independently: its first tree is one geometric skip drawn from
+its key, so a scan draws once per row (not once per row and tree) and drops all
+rows whose skip passes the last tree; only candidates draw on.  Then the psi
+smallest hashes per tree are kept, so no step sorts n x T rows and a tree's
+group holds ~3 psi rows.  Trees are grown
 by ``groupBy(tree).applyInPandas`` (rows sorted by key, seed = (seed, tree)),
 giving a node table bounded by T x (2 psi - 1) rows.
 
@@ -131,6 +133,32 @@ class IsolationForestModel:
         return df.withColumn("raw", raw(F.col(self.vec))).withColumn(out, F.col("raw") - F.lit(self.offset))
 
 
+def tree_candidates(df: DataFrame, key: str, vec: str, n_trees: int, p: float, seed: int) -> DataFrame:
+    """(key, vec, tree, _u): every row for every tree with probability ``p``,
+    independently and by the row's key alone; ``_u`` orders a tree's rows."""
+    def draw(*salt):
+        # 60 bits: draws stay distinct on any number of rows
+        h = F.xxhash64(F.lit(seed), *salt, F.col(key))
+        return (F.abs(h % F.lit(1 << 60)).cast("double") + 0.5) / F.lit(float(1 << 60))
+
+    def skip(i):  # trees passed over before the next one that takes the row
+        return F.floor(F.log1p(-draw(F.lit("skip"), i)) / F.lit(math.log1p(-p)))
+
+    def further(taken, i):
+        last = F.element_at(taken, -1)
+        return F.when(last < n_trees, F.concat(taken, F.array(last + 1 + skip(i)))).otherwise(taken)
+
+    rows = df.select(F.col(key), F.col(vec))
+    if p >= 1.0:
+        taken = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    else:
+        rows = rows.withColumn("_first", skip(F.lit(0))).where(F.col("_first") < n_trees)
+        taken = F.aggregate(F.sequence(F.lit(1), F.lit(n_trees)), F.array("_first"), further)
+        taken = F.filter(taken, lambda t: t < n_trees)
+    rows = rows.select(F.col(key), F.col(vec), F.explode(taken.cast("array<int>")).alias("tree"))
+    return rows.withColumn("_u", draw(F.col("tree")))
+
+
 def fit_isolation_forest(df: DataFrame, key: str, vec: str, n_estimators: int = 100,
                          max_samples="auto", contamination="auto", random_state: int = DEFAULT_SEED,
                          oversample: float = 3.0) -> IsolationForestModel:
@@ -140,21 +168,8 @@ def fit_isolation_forest(df: DataFrame, key: str, vec: str, n_estimators: int =
     T = int(n_estimators)
     seed = int(random_state)
     thr = min(1.0, oversample * psi / max(n, 1) + 1e-12)
-    trees = F.sequence(F.lit(0), F.lit(T - 1))
-
-    def draw(t):
-        h = F.xxhash64(F.lit(seed), t, F.col(key))
-        # 60 bits: draws below the threshold stay distinct on any number of rows
-        return (F.abs(h % F.lit(1 << 60)).cast("double")) / F.lit(float(1 << 60))
-
-    def candidates(limit):
-        # generate-then-filter stays in one code-generated stage (no per-row lambda)
-        c = df.select(F.col(key), F.col(vec), F.explode(trees).alias("tree"))
-        c = c.withColumn("_u", draw(F.col("tree")))
-        return c.where(F.col("_u") < F.lit(limit)) if limit < 1.0 else c
-
     while True:  # a few psi rows per tree; a tree that got too few draws from a wider slice
-        cand = materialize(candidates(thr), "candidates")
+        cand = materialize(tree_candidates(df, key, vec, T, thr, seed), "candidates")
         if thr >= 1.0 or cand.groupBy("tree").count().where(F.col("count") >= psi).count() >= T:
             break
         thr = min(1.0, 4 * thr)
