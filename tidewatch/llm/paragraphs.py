@@ -163,27 +163,26 @@ def candidates(docs: DataFrame, min_words: int, bits: int) -> DataFrame:
         tokens, keys, n = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            t, k = np.concatenate(tokens) >> np.uint64(32 - bits), np.concatenate(keys)
-            order = np.lexsort((k, t))
+            k, at = np.unique(np.concatenate(keys), return_index=True)  # copies have equal band hashes
+            t, k = (np.concatenate(tokens)[at] >> np.uint64(32 - bits)).ravel(), np.repeat(k, BANDS)
+            order = np.argsort(t)
             t, k = t[order], k[order]
-            new = np.ones(len(t), dtype=bool)
-            new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-            t, k = t[new], k[new]
             at, size = _groups(t)
             on = at <= SMALL  # one more than SMALL tells that the group is large
             large = np.unique(k[size > SMALL])
-            where = t[on] >> np.uint64(32)
+            t, k = t[on], k[on]
+            where, names = t >> np.uint64(32), t.astype(np.uint32)
             first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-            rows = [(int(where[a]), t[on][a:e].astype(np.uint32).tobytes(), k[on][a:e].tobytes()) for a, e in zip(first, [*first[1:], len(where)])]
+            rows = [(int(where[a]), names[a:e].tobytes(), k[a:e].tobytes()) for a, e in zip(first, [*first[1:], len(where)])]
             if len(large):  # ranges below 0: classes of groups that are large already
                 rows.append((-1 - int(large[0] % (1 << bits)), b"", large.tobytes()))
             return packed_rows(rows)
 
         for b in slices(batches, "text"):
             p = Paragraphs(b.column(0), min_words)
-            tokens.append(p.bands().ravel())
-            keys.append(np.repeat(p.classes()[0], BANDS))
-            n += len(keys[-1])
+            tokens.append(p.bands())
+            keys.append(p.classes()[0])
+            n += tokens[-1].size
             if n >= FLUSH:
                 yield flush()
                 tokens, keys, n = [], [], 0
