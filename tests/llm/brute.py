@@ -14,7 +14,7 @@ def shingles(text, lower=True):
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
 
 
-def paragraphs(text, radius=8, min_words=5):
+def paragraphs(text, radius=10, min_words=5):
     """[(piece, start, end)] of the runs of words between content-defined cuts."""
     prime = 2**31 - 1
 

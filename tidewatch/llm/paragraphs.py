@@ -43,7 +43,7 @@ from tidewatch.llm.jaccard import BROADCAST_ROWS, PACKED, jaccard_components, pa
 from tidewatch.session import materialize
 
 MIN_WORDS = 5
-RADIUS = 8
+RADIUS = 10
 BANDS, ROWS = 12, 3
 SMALL = 8
 FLUSH = 500_000  # band hashes that a task holds before it ships them

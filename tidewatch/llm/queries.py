@@ -169,8 +169,8 @@ drawn as (
          ((h * h) % 2147483647 * 48271 + coalesce(lead((h * h) % 2147483647) over (partition by doc_id order by i), 0) * 16807) % 2147483647 as draw
   from words join numbers using (word)),
 cuts as (
-  select *, i = 0 or (i > 8 and n - i > 8 and draw < min(draw) over (partition by doc_id order by i rows between 8 preceding and 1 preceding)
-                      and draw <= min(draw) over (partition by doc_id order by i rows between 1 following and 8 following)) as cut
+  select *, i = 0 or (i > 10 and n - i > 10 and draw < min(draw) over (partition by doc_id order by i rows between 10 preceding and 1 preceding)
+                      and draw <= min(draw) over (partition by doc_id order by i rows between 1 following and 10 following)) as cut
   from drawn),
 placed as (select *, sum(cut::int) over (partition by doc_id order by i)::bigint - 1 as piece from cuts),
 parts as (
