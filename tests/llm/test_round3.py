@@ -198,3 +198,52 @@ def test_divergence_of_many_sources_and_no_rows(spark, sources, monkeypatch):
     assert got == plain_audit(docs, 2)
     assert divergence.audit(df.limit(0)).collect() == []
     assert divergence.audit(df.where(F.lit(False)).union(spark.createDataFrame([(None, None, None)], df.schema))).collect() == []
+
+
+def test_surrogates_keep_distinctness_coreference_and_format(spark):
+    """Random entities against plain Python facts: one replacement an entity,
+    no two alike, none real, domains too, the text around them untouched."""
+    import random
+    import re
+
+    from tidewatch.llm import surrogates
+    rng = random.Random(5)
+
+    def card() -> str:
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(body + c for c in "0123456789" if _luhn(body + c))
+
+    word = lambda n: "".join(rng.choice("bcdfghkmnprst") for _ in range(n))
+    hosts = [f"{word(4)}{k}.co" for k in range(150)]
+    pools = {"email": [f"{word(5)}{k}@{rng.choice(hosts)}" for k in range(400)],
+             "ip": [f"10.{k}.{k * 7 % 256}.9" for k in range(60)], "card": [card() for _ in range(60)],
+             "phone": [f"+1 (2{k:02d}) 555-{1000 + k}" for k in range(60)]}
+    rows, mentions = [], {}
+    for doc in range(300):
+        picked = [(kind, rng.choice(pool)) for kind, pool in pools.items() for _ in range(rng.randint(0, 3))]
+        rng.shuffle(picked)
+        mentions[doc] = picked
+        rows.append((doc, " ".join(f"w{i} {e} ," for i, (_, e) in enumerate(picked)) + " end"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    new, domains = {}, {}
+    for r in surrogates.report(df, "key").collect():
+        shape = re.escape(rows[r.doc_id][1])
+        for _, e in mentions[r.doc_id]:
+            shape = shape.replace(re.escape(e), r"(.+?)", 1)
+        got = re.fullmatch(shape, r.text)
+        assert got and r.n_entities == len(mentions[r.doc_id])
+        for (kind, e), w in zip(mentions[r.doc_id], got.groups()):
+            assert new.setdefault((kind, e), w) == w
+            assert kind == "ip" or re.sub(r"[a-z]+", "a", re.sub(r"\d", "0", e)) == re.sub(r"[a-z]+", "a", re.sub(r"\d", "0", w)), (e, w)
+            assert kind != "card" or (_luhn(w) and w[0] == e[0])
+            if kind == "email":
+                assert domains.setdefault(e.split("@")[1], w.split("@")[1]) == w.split("@")[1]
+    for kind, pool in pools.items():
+        mine = [w for (k, _), w in new.items() if k == kind]
+        assert len(mine) == len(set(mine)) and not set(mine) & {e for k, e in new if k == kind}
+    assert len(domains) == len(set(domains.values())) > 100 and not set(domains.values()) & set(domains)
+
+
+def _luhn(digits: str) -> bool:
+    twice = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in twice) % 10 == 0

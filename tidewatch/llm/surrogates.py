@@ -20,7 +20,7 @@ another.
 Collision checks: no two entities share a replacement and no replacement is
 an entity of the corpus (of a name: its surnames are none); of a clash the later one (by attempt, then
 canonical form) draws again until none is left.  After eight draws local
-parts, names and telephone numbers grow by a letter or digit a draw, so a
+parts, domains, names and telephone numbers grow by a letter or digit a draw, so a
 shape may be full of entities.  Cards (10**11 numbers or more) and IPv4
 addresses do not grow; more than half of all addresses as entities leave no
 replacement and raise an error.
@@ -140,45 +140,51 @@ def _longer(s: Column, stream: Column, attempt: Column, pool: str = "aeiou") ->
     return F.when(attempt > 8, F.concat(s, F.array_join(extra, ""))).otherwise(s)
 
 
-def _replacement(key: str) -> Column:
-    """The replacement of (kind, canon) at its attempt, in canonical form."""
+def _draw(entities: DataFrame, key: str) -> DataFrame:
+    """``entities`` (kind, canon, attempt) with column ``drawn``, the replacement
+    at that attempt in canonical form; an address keeps its domain here."""
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
-    own = _stream(key, kind, canon, attempt)
+    own, by_word, first = F.col("_own"), F.col("_by_word"), F.col("_first")
+    # streams are columns: inside the letter-wise lambdas they would be hashed anew for each letter
+    rows = entities.withColumn("_first", F.when(kind == "given", F.expr("substring_index(substring(canon, 3), ' ', 1)")))
+    rows = rows.withColumn("_own", _stream(key, kind, canon, attempt))
+    rows = rows.withColumn("_by_word", F.when(kind == "given", _stream(key, kind, F.substring(canon, 1, 2), first, attempt)))
     at = F.substring_index(canon, "@", -1)
-    domain = F.concat(_like(F.regexp_extract(at, r"^(.*)\.[^.]*$", 1), _stream(key, F.lit("domain"), at)), F.lit("."), F.substring_index(at, ".", -1))
-    email = F.concat(_longer(_like(F.substring_index(canon, "@", 1), own), own, attempt), F.lit("@"), domain)
+    email = F.concat(_longer(_like(F.substring_index(canon, "@", 1), own), own, attempt), F.lit("@"), at)
+    domain = F.concat(_longer(_like(F.regexp_extract(canon, r"^(.*)\.[^.]*$", 1), own), own, attempt), F.lit("."), F.substring_index(canon, ".", -1))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_byte(own, 2 * i) * 256 + _byte(own, 2 * i + 1), F.lit(254)) + 1).cast("string")), ".")
     phone = _longer(_like(canon, own), own, attempt, "0123456789")
     body = F.concat(F.substring(canon, 1, 1), _like(F.expr("substring(canon, 2, length(canon) - 2)"), own))
     check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     surname = _longer(_like(canon, own), own, attempt)
     # a given name by its word and gender; the surnames behind it only keep replacements apart
-    first, rest = F.expr("substring_index(substring(canon, 3), ' ', 1)"), F.expr("substring(canon, 4 + length(substring_index(substring(canon, 3), ' ', 1)))")
-    by_word = _stream(key, kind, F.substring(canon, 1, 2), first, attempt)
+    rest = F.expr("substring(canon, 4 + length(_first))")
     given = _like(first, by_word)
     pools = {**FIRST_NAMES, **{("n", s): FIRST_NAMES["f", s] + FIRST_NAMES["m", s] for s in LETTERS}}
     for (gender, script), pool in pools.items():
         drawn = F.get(F.array(*[F.lit(p.lower()) for p in pool]), F.pmod(_byte(by_word, F.lit(99)), F.lit(len(pool))))
         given = F.when(canon.startswith(gender) & first.rlike(rf"^\p{{Is{script.capitalize()}}}"), drawn).otherwise(given)
     given = F.concat(_longer(given, by_word, attempt), F.lit(" "), rest)
-    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", F.concat(body, check))
-            .when(kind == "surname", surname).otherwise(given))
+    drawn = (F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "phone", phone)
+             .when(kind == "card", F.concat(body, check)).when(kind == "surname", surname).otherwise(given))
+    return rows.withColumn("drawn", drawn).drop("_own", "_by_word", "_first")
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, replacement) of every distinct entity, free of collisions."""
-    real = materialize(entities.select("kind", "canon").distinct(), "entities")
-    now = materialize(real.withColumn("attempt", F.lit(0)).withColumn("replacement", _replacement(key)), "surrogates")
+    first = entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
+    now = materialize(_draw(first, key).withColumnRenamed("drawn", "replacement"), "surrogates")
     for _ in range(MAX_ATTEMPTS):
         owner = now.groupBy("kind", "replacement").agg(F.min(F.struct("attempt", "canon")).alias("owner"))
-        taken = real.select("kind", F.col("canon").alias("replacement"), F.lit(True).alias("taken"))
-        checked = now.join(owner, ["kind", "replacement"]).join(taken, ["kind", "replacement"], "left")
+        real = now.select("kind", F.col("canon").alias("replacement"), F.lit(True).alias("taken"))
+        checked = now.join(owner, ["kind", "replacement"]).join(real, ["kind", "replacement"], "left")
         clash = (F.col("owner.canon") != F.col("canon")) | F.coalesce("taken", F.lit(False))
-        checked = materialize(checked.select("kind", "canon", "attempt", "replacement", clash.alias("clash")), "checked")
-        if checked.where("clash").isEmpty():
-            return checked.select("kind", "canon", "replacement")
-        again = checked.withColumn("attempt", F.col("attempt") + F.col("clash").cast("int"))
-        now = materialize(again.withColumn("replacement", F.when(F.col("clash"), _replacement(key)).otherwise(F.col("replacement"))).drop("clash"), "surrogates")
+        again = materialize(checked.where(clash).select("kind", "canon", (F.col("attempt") + 1).alias("_next")), "clashes")
+        if again.isEmpty():
+            return now.select("kind", "canon", "replacement")
+        anew = now.join(again, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("_next", "attempt"))
+        anew = _draw(anew, key).withColumn("replacement", F.when(F.col("_next").isNotNull(), F.col("drawn")).otherwise(F.col("replacement")))
+        now = materialize(anew.select("kind", "canon", "attempt", "replacement"), "surrogates")
     raise ValueError(f"collisions are left after {MAX_ATTEMPTS} attempts")
 
 
@@ -210,15 +216,25 @@ def _name_words(names: DataFrame) -> DataFrame:
     return each.select("canon", "at", "word", ((F.col("at") == 0) & (F.col("_n") > 1)).alias("given"))
 
 
-def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, tie, n_entities, kinds, new_text) of the documents with entities;
-    tie is a hash of the text."""
-    place = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("tie"))
-    pattern = lambda f: F.when(F.col(text).rlike(_NAME), f(ENTITY_OR_WORD)).otherwise(f(ENTITY))
-    found = docs.select(place.alias("doc"), pattern(lambda p: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).alias("_found"),
-                        pattern(lambda p: F.split(F.col(text), p, -1)).alias("_gaps")).where(F.size("_found") > 0)
-    found = materialize(found.dropDuplicates(["doc"]), "found")
-    mentions = found.select("doc", F.posexplode("_found").alias("at", "_e"))
+def _pattern(text: Column, of) -> Column:
+    """``of(pattern)``: single words matter only in texts with a titled name."""
+    return F.when(text.rlike(_NAME), of(ENTITY_OR_WORD)).otherwise(of(ENTITY))
+
+
+def _scan(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(row, doc, found), written once: the rows of ``docs`` as one value, so
+    that no name can clash, their id with a hash of the text, and the mentions."""
+    doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("tie"))
+    found = _pattern(F.col(text), lambda p: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)))
+    return materialize(docs.select(F.struct("*").alias("row"), doc.alias("doc"), found.alias("found")), "scanned")
+
+
+def _told(scanned: DataFrame, key: str) -> DataFrame:
+    """(doc, new, n_entities, kinds) of the documents with mentions: what
+    stands in the place of each mention, in order."""
+    # rows of one id and text are one document
+    hits = scanned.where(F.size("found") > 0).select("doc", "found").distinct()
+    mentions = hits.select("doc", F.posexplode("found").alias("at", "_e"))
     surface = mentions.select("_e").distinct().withColumn("_t", _title(F.col("_e"))).withColumn("kind", _kind(F.col("_e")))
     surface = materialize(surface.where("kind is not null").withColumn("canon", _canon(F.col("kind"), F.col("_e"))), "surface")
     # behind a title without gender: the person of that name with one, where there is one
@@ -228,43 +244,62 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "tex
     titled = titled.select("_e", "_t", F.when(F.col("canon").startswith("n "), F.col("_known")).otherwise(F.col("canon")).alias("canon"))
     titled = materialize(titled, "titled")
     words = materialize(_name_words(titled.select("canon").distinct()), "name_words")
+    domain = F.substring_index("canon", "@", -1)
     entities = surface.where("kind not in ('name', 'word')").select("kind", "canon")
+    entities = entities.union(surface.where("kind = 'email'").select(F.lit("domain"), domain))
     entities = entities.union(words.where("not given").select(F.lit("surname"), "word")).union(words.where("given").select(F.lit("given"), "canon"))
-    new = materialize(surrogate_table(entities, key), "replacements")
+    new = surrogate_table(entities, key)
     surnames = words.where("not given").join(new.where("kind = 'surname'").select(F.col("canon").alias("word"), "replacement"), "word")
     given = words.where("given").join(new.where("kind = 'given'").select("canon", F.substring_index("replacement", " ", 1).alias("replacement")), "canon")
     words = materialize(surnames.unionByName(given), "new_words")
     whole = words.groupBy("canon").agg(F.sort_array(F.collect_list(F.struct("at", "replacement"))).alias("_parts"))
     whole = whole.select("canon", F.concat(F.lit("x "), F.array_join(F.col("_parts.replacement"), " ")).alias("replacement"))
     worn = lambda kind: _worn(kind, F.col("_e"), F.col("replacement")).alias("worn")
-    plain = surface.where("kind not in ('name', 'word')").join(new, ["kind", "canon"]).select("_e", "kind", worn(F.col("kind")))
+    domains = new.where("kind = 'domain'").select(F.col("canon").alias("_domain"), F.col("replacement").alias("_new_domain"))
+    plain = surface.where("kind not in ('name', 'word')").join(new, ["kind", "canon"])
+    plain = plain.withColumn("_domain", F.when(F.col("kind") == "email", domain)).join(domains, "_domain", "left")
+    address = F.concat(F.substring_index("replacement", "@", 1), F.lit("@"), F.col("_new_domain"))
+    plain = plain.withColumn("replacement", F.coalesce(address, "replacement")).select("_e", "kind", worn(F.col("kind")))
     table = materialize(plain.union(titled.join(whole, "canon").select("_e", F.lit("name"), worn(F.lit("name")))), "worn")
     # words of a document's titled names stand for them elsewhere in it, surnames before given names
     in_doc = mentions.join(titled.select("_e", "canon"), "_e").select("doc", "canon").distinct().join(words, "canon")
     in_doc = in_doc.groupBy("doc", "word").agg(F.min(F.struct("given", "replacement")).alias("_w"))
     bare = mentions.join(surface.where("kind = 'word'").select("_e", "_t", F.col("canon").alias("word")), "_e").join(in_doc, ["doc", "word"])
-    bare = bare.withColumn("replacement", F.concat(F.lit("x "), F.col("_w.replacement"))).select("doc", "at", "_e", F.lit("name").alias("kind"), worn(F.lit("name")))
-    mentions = materialize(mentions.join(table, "_e", "left").select("doc", "at", "_e", "kind", "worn")
-                           .join(bare.select("doc", "at", F.col("kind").alias("_kind"), F.col("worn").alias("_worn")), ["doc", "at"], "left")
-                           .select("doc", "at", "_e", F.coalesce("kind", "_kind").alias("kind"), F.coalesce("worn", "_worn").alias("worn")), "mentions")
-    told = mentions.groupBy("doc").agg(
-        F.sort_array(F.collect_list(F.struct("at", F.coalesce("worn", "_e").alias("worn")))).alias("_new"),
-        F.count("kind").alias("n_entities"), F.sort_array(F.collect_set("kind")).alias("kinds"))
-    joined = found.join(told.where("n_entities > 0"), "doc")
-    pieces = F.zip_with("_gaps", "_new", lambda g, w: F.concat(g, F.coalesce(w["worn"], F.lit(""))))
-    return joined.select("doc.id", "doc.tie", "n_entities", F.array_join("kinds", ",").alias("kinds"), F.array_join(pieces, "").alias("new_text"))
+    bare = bare.withColumn("replacement", F.concat(F.lit("x "), F.col("_w.replacement")))
+    bare = bare.select("doc", "at", F.lit("name").alias("_kind"), worn(F.lit("name")).alias("_worn"))
+    mentions = mentions.join(table, "_e", "left").join(bare, ["doc", "at"], "left").select(
+        "doc", "at", "_e", F.coalesce("kind", "_kind").alias("kind"), F.coalesce("worn", "_worn").alias("worn"))
+    return mentions.groupBy("doc").agg(
+        F.sort_array(F.collect_list(F.struct("at", F.coalesce("worn", "_e").alias("worn")))).alias("new"),
+        F.count("kind").alias("n_entities"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+
+
+def _new_text(text: Column) -> Column:
+    """The text with ``new`` in the places of its mentions; the gaps are cut
+    where the text is, so they are never shuffled on their own."""
+    gaps = _pattern(text, lambda p: F.split(text, p, -1))
+    return F.array_join(F.zip_with(gaps, "new", lambda g, w: F.concat(g, F.coalesce(w["worn"], F.lit("")))), "")
 
 
 def _rewritten(docs: DataFrame, key: str, id_col: str, text: str) -> DataFrame:
-    """(row, n_entities, kinds): every row of ``docs`` with its new text."""
-    new = replaced(docs, key, id_col, text).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("new_text").alias("_new"), "n_entities", "kinds")
-    rows = docs.select(F.struct("*").alias("row"))  # one value, so that no name can clash
-    old = F.col("row")[text]
-    same = F.col("row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(old) == F.col("_tie"))
-    row = F.col("row").withField(text, F.coalesce("_new", old))
+    """(row, doc, n_entities, kinds): every row of ``docs`` with its new text;
+    rows without mentions take part in no shuffle."""
+    scanned = _scan(docs, id_col, text)
+    quiet = scanned.where(F.coalesce(F.size("found"), F.lit(0)) <= 0).select("row", "doc", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
+    loud = scanned.where(F.size("found") > 0).select("row", "doc").join(_told(scanned, key), "doc")
+    loud = loud.withColumn("_new", F.when(F.col("n_entities") > 0, _new_text(F.col("row")[text])).otherwise(F.col("row")[text]))
+    row = F.col("row").withField(text, F.col("_new"))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.coalesce(F.length("_new").cast(dict(docs.dtypes)["n_chars"]), F.col("row")["n_chars"]))
-    return rows.join(new, same, "left").select(row.alias("row"), F.coalesce("n_entities", F.lit(0)).alias("n_entities"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+        n_chars = F.length("_new").cast(dict(docs.dtypes)["n_chars"])
+        row = row.withField("n_chars", F.when(F.col("n_entities") > 0, n_chars).otherwise(F.col("row")["n_chars"]))
+    return quiet.unionByName(loud.select(row.alias("row"), "doc", "n_entities", "kinds"))
+
+
+def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, tie, n_entities, kinds, new_text) of the rows with entities; tie is
+    a hash of the text."""
+    rows = _rewritten(docs, key, id_col, text).where("n_entities > 0")
+    return rows.select("doc.id", "doc.tie", "n_entities", "kinds", F.col("row")[text].alias("new_text"))
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
