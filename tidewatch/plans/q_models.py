@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from tidewatch.operators import neighbors as N
 from tidewatch.plans.registry import r6, r6list, register
+from tidewatch.session import materialize
 from tidewatch.sources.fixtures import VECTORS_SQL, vectors
 
 V = f"v as ({VECTORS_SQL})"
@@ -252,3 +253,54 @@ def l11_soft_vote(spark, sf_dir):
 def l12_ensemble_score(spark, sf_dir):
     ens, ef = _members(spark, sf_dir)
     return ens.score(ef).select("flow_id", "score")
+
+
+# K2, K6, L4 by what holds of every right result -------------------------------------------
+def _full_pca(spark, sf_dir):
+    """PCA of the embeddings to all components: (fit, scores' variances by component, width)."""
+    from pyspark.sql import functions as F
+    from tidewatch.operators.cluster import fit_pca
+    v = vectors(spark, sf_dir).select("vec_id", "features")
+    width = v.select(F.size("features").alias("d")).first()["d"]
+    fit = fit_pca(v, width, max_components=width)
+    scores = fit.transform(v).select(F.posexplode("pca").alias("at", "score"))
+    spread = scores.groupBy((F.col("at") + 1).alias("component")).agg(F.var_samp("score").alias("variance"))
+    return fit, materialize(spread, "pca_spread"), width
+
+
+_CELLS = """cells as (select vec_id, unnest(range(1, len(embedding) + 1)) as f, unnest(embedding)::double as x from embeddings)"""
+
+
+@register("k2_pca_spectrum", f"""with {_CELLS},
+cov as (select a.f, b.f as g, covar_samp(a.x, b.x) as c from cells a join cells b using (vec_id) group by all)
+select count(distinct f)::bigint as components, {r6('sum(case when f = g then c end)')} as total, {r6('sum(c * c)')} as squares from cov""")
+def k2_pca_spectrum(spark, sf_dir):
+    """K2: the variances of all components sum to the trace of the covariance,
+    their squares to its squared entries."""
+    from pyspark.sql import functions as F
+    _, spread, _ = _full_pca(spark, sf_dir)
+    v = F.col("variance")
+    return spread.agg(F.count(F.lit(1)).alias("components"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"))
+
+
+@register("k6_loading_variances", f"""with {_CELLS}
+select 'f' || f as feature, {r6('var_samp(x)')} as variance from cells group by f""")
+def k6_loading_variances(spark, sf_dir):
+    """K2, K6: squared loadings times the variances of their components give
+    back the variance of every feature."""
+    from pyspark.sql import functions as F
+    fit, spread, width = _full_pca(spark, sf_dir)
+    loadings = fit.loadings(spark, [f"f{i + 1}" for i in range(width)])
+    back = F.sum(F.col("weight") * F.col("weight") * F.col("variance"))
+    return loadings.join(spread, "component").groupBy("feature").agg(back.alias("variance"))
+
+
+@register("l4_training_share", """select count(*)::bigint as n_rows, ceil(0.01 * (count(*) - 1))::bigint as n_outliers from embeddings""")
+def l4_training_share(spark, sf_dir):
+    """The one-class SVM with nu = 0.01 flags the training rows beyond
+    the exact nu-quantile of its decision values."""
+    from pyspark.sql import functions as F
+    from tidewatch.operators.detect import AnomalyDetector
+    v = vectors(spark, sf_dir)
+    scored = AnomalyDetector("one_class_svm", key="vec_id", vec="features", nu=0.01).fit(v).predict(v)
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.sum((F.col("score") > 0).cast("long")).alias("n_outliers"))
