@@ -59,6 +59,16 @@ def test_bpe_any_text(library, text):
     assert enc.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_short_pieces_need_no_heap_and_long_ones_agree(monkeypatch):
+    words = ["unbelievable", "thwhndly", "aaaaaaa", "é日本", "x", "ofthonthering" * 2]
+    with monkeypatch.context() as m:
+        m.setattr(bpe.heapq, "heapify", lambda heap: pytest.fail("a heap for a short piece"))
+        enc = bpe.Bpe(SPEC)
+        short = [enc.merge(w) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [bpe.Bpe(SPEC).merge(w) for w in words] == short
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.text(max_size=12), st.text(alphabet="<|\\[]/sINTim_endok>\n é", max_size=30)), max_size=5))
 def test_chat_round_trip(turns):

@@ -3,8 +3,9 @@
 The file is the JSON form of a byte-level BPE with word ends: texts are cut
 at the special strings, normalised (NFC, lower case), split into letters,
 single numerals, contractions and other signs, and each piece is merged by
-rank.  Merging keeps a heap of (rank, position) over a doubly linked list of
-symbols; an entry whose symbols have changed since it was pushed is stale
+rank.  A short piece looks for the lowest rank among its pairs after each merge;
+a long one keeps a heap of (rank, position) over a doubly linked list of
+symbols, where an entry whose symbols have changed since it was pushed is stale
 and skipped.  Letters and numerals are those of the ``regex`` package's
 Unicode tables, which may know code points that another version does not.
 Decoding writes the vocabulary strings one after another,
@@ -30,8 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHED_CHUNKS = 80_000  # chunks a worker remembers before it starts afresh
+CACHED_CHUNKS = 160_000  # chunks a worker remembers before it starts afresh
 CACHED_PIECES = 200_000  # pieces likewise (about 200 bytes each)
+SHORT = 40  # bytes up to which a piece is merged without a heap
 
 # Control characters that str.split() takes as white space and the pattern's \s does not.
 _SPLIT_DIFFERS = regex.compile("[\x1c-\x1f]")
@@ -68,6 +70,10 @@ class Bpe(dict):
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        # the same merges as plain numbers, (left, right) -> (rank, new) in base ``base``
+        self.base = max(self.vocab.values(), default=0) + 1
+        self.steps = {a * self.base + b: rank * self.base + new for (a, b), (rank, new) in self.merges.items()}
+        self.none = (len(model["merges"]) + 1) * self.base
         steps = j["normalizer"]["normalizers"] if j.get("normalizer") else []
         self.lower = any(s["type"] == "Lowercase" for s in steps)
         self.nfc = any(s["type"] == "NFC" for s in steps)
@@ -79,9 +85,29 @@ class Bpe(dict):
 
     def merge(self, piece: str) -> list[int]:
         """Token ids of one piece: lowest rank first, leftmost first among equals."""
-        raw = [self.letters[b] for b in piece.encode("utf-8")]
+        vocab, letters = self.vocab, self.letters
+        raw = [letters[b] for b in piece.encode("utf-8")]
         raw[-1] += self.suffix
-        sym = [self.vocab[c] for c in raw]
+        sym = [vocab[c] for c in raw]
+        if len(sym) > SHORT:
+            return self._merge_long(sym)
+        get, base, none = self.steps.get, self.base, self.none
+        open_ = [get(a * base + b, none) for a, b in zip(sym, sym[1:])]
+        while open_:
+            best = min(open_)
+            if best == none:
+                break
+            i = open_.index(best)
+            sym[i] = new = best % base
+            del sym[i + 1], open_[i]
+            if i < len(open_):
+                open_[i] = get(new * base + sym[i + 1], none)
+            if i:
+                open_[i - 1] = get(sym[i - 1] * base + new, none)
+        return sym
+
+    def _merge_long(self, sym: list[int]) -> list[int]:
+        """The same by a heap: a long piece costs n log n."""
         n = len(sym)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = []
