@@ -122,3 +122,37 @@ def test_a_cluster_needs_a_shared_folder():
     sc = N(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(N(sparkContext=sc, conf=N(get=lambda *a: None)))
+
+
+def test_window_features_meet_once_and_crowded_windows_agree(spark, monkeypatch):
+    times = ["2024-01-01 00:00:01", "2024-01-01 00:00:02", "2024-01-01 00:04:00", "2024-01-01 00:05:00", None]
+    rows = [(s, times[i % 5], [None, "x", "y"][(i // 5) % 3], float(i % 4) if i % 7 else None) for i in range(60) for s in ("a", "b" if i % 3 else None)]
+    df = spark.createDataFrame(rows, "`Source IP` string, Timestamp string, `Destination IP` string, `Flow Duration` double")
+    df = df.withColumn("Timestamp", F.to_timestamp("Timestamp"))
+    out = derive.row_window_features(df)
+    assert out.columns[:4] == ["Source IP", "time_window", "Timestamp", "Destination IP"]
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    plain = {}
+    for s, t, d, x in rows:
+        if s and t:
+            plain.setdefault((s, t[:15] + ("5" if t[15] >= "5" else "0")), []).append((d, x))
+    for limit in (1_000_000, 10):  # all in one way; some windows too large for it
+        monkeypatch.setattr(derive, "HOT_ROWS", limit)
+        got = derive.row_window_features(df).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            group = plain.get((r["Source IP"], str(r["time_window"])[:16]))
+            if group is None:
+                assert r["Destination IP_nunique"] is None and r["Flow Duration_mean"] is None
+                continue
+            xs = [x for _, x in group if x is not None]
+            assert r["Destination IP_nunique"] == len({d for d, _ in group if d}) and r["Destination IP_count"] == sum(d is not None for d, _ in group)
+            assert abs(r["Flow Duration_mean"] - sum(xs) / len(xs)) < 1e-9 and r["Flow Duration_max"] == max(xs)
+
+
+def test_profiles_are_written_once(spark):
+    from tidewatch.operators.cluster import standardized_profiles
+    wide = spark.createDataFrame([("a", 1.0, None), ("b", 3.0, 2.0)], "entity string, x double, y double")
+    out = standardized_profiles(wide)
+    assert {r.entity: (r.x, r.y) for r in out.collect()} == {"a": (-1.0, -1.0), "b": (1.0, 1.0)}
+    assert any("profiles-" in f for f in out.inputFiles())
