@@ -114,3 +114,53 @@ def test_dbscan_over_many_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "k long, f array<double>")
     got = {r.k: r.cluster for r in cluster.dbscan(df, "k", "f", 0.5, 5).collect()}
     assert [got[i] for i in range(len(X))] == _plain_dbscan(X, 0.5, 5)
+
+
+def _linked(n, pairs):
+    label = list(range(n))
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+    for a, b in pairs:
+        label[top(int(a))] = top(int(b))
+    return [top(x) for x in range(n)]
+
+
+def test_points_in_many_dimensions_are_screened_without_cells():
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(1500, 24)) + 300.0
+    X[3], X[4], X[5] = 1e9, -1e9, X[6]
+    cells = N.Cells(X)
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    eps = float(np.quantile(D, 0.01))
+    assert cells.spread(X, np.full(len(X), eps))
+    found = [p for p in cells.pairs(X, np.full(len(X), eps)) if p is not None]
+    got = set(zip(*(np.concatenate(x).tolist() for x in list(zip(*found))[:2])))
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(np.round(D, 9) <= eps))))
+    bound = cells.tighten(X, 6, np.full(len(X), np.inf))
+    assert (bound >= np.sort(D, axis=1)[:, 5]).all() and (D[10:110] <= bound[10:110, None]).sum() < 100 * 20
+    near = (D <= eps).sum(1)
+    assert (np.minimum(cells.counts(X, np.ones(len(X), dtype=np.int64), eps, 7), 7) == np.minimum(near, 7)).all()
+    q, r, a, b = cells.spanning(X, eps)
+    assert len(q) + len(a) < 6 * len(X)
+    mine, plain = _linked(len(X), [*zip(q, r), *zip(a, b)]), _linked(len(X), zip(*np.nonzero(D <= eps)))
+    assert len(set(zip(mine, plain))) == len(set(mine)) == len(set(plain))
+
+
+def test_rows_travel_to_few_blocks_and_are_not_written(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(900, 16))
+    X[::2] = X[::2].astype(np.float32)  # half of them exact in single precision
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "k long, f array<double>")
+    written, write = [], N.materialize
+    monkeypatch.setattr(N, "materialize", lambda rows, name: (written.append(name), write(rows, name))[1])
+    monkeypatch.setattr(N, "BLOCK", 200)
+    got = N.knn(df, df, "k", "f", 5, exclude_self=True).toPandas()
+    assert {q: list(g.sort_values("rank")["r_key"]) for q, g in got.groupby("q_key")} == _brute_knn(list(range(900)), X, 5, True)
+    assert "queries" not in written
+    rows = df.select(F.col("k").alias("id"), F.col("f").alias("v"))
+    blocks = N.Blocks(rows, 200)
+    assert (blocks.tree.children == 0).sum() > 15
+    assert blocks.within(rows, F.lit(1e6)).count() <= 900 * 9
+    assert blocks.points.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 200

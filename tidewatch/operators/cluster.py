@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.components import connected_components
 from tidewatch.functions.ranking import global_index
-from tidewatch.operators.neighbors import BLOCK, DIGITS, Blocks, Cells, vectors
+from tidewatch.operators.neighbors import BLOCK, DIGITS, Blocks, Cells, matrix
 from tidewatch.operators.preprocess import fit_scaler
 from tidewatch.session import materialize
 
@@ -114,13 +114,13 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
     def degrees(q: pa.Table, r: pa.Table) -> pa.Table:
         deg = np.zeros(q.num_rows, dtype=np.int64)
         if q.num_rows and r.num_rows:
-            deg = Cells(vectors(r.column("v"), d)).counts(vectors(q.column("v"), d), r.column("copies").to_numpy(), reach, min_samples)
+            deg = Cells(matrix(r, d)).counts(matrix(q, d), r.column("copies").to_numpy(), reach, min_samples)
         return pa.table({"node": q.column("id"), "deg": np.minimum(deg, min_samples)})
 
     def links(q: pa.Table, r: pa.Table) -> pa.Table:
         a = b = q.column("id").combine_chunks().slice(0, 0)
         if q.num_rows and r.num_rows:
-            qs, rs, first, other = Cells(vectors(r.column("v"), d)).spanning(vectors(q.column("v"), d), reach)
+            qs, rs, first, other = Cells(matrix(r, d)).spanning(matrix(q, d), reach)
             qid, rid = q.column("id").combine_chunks(), r.column("id").combine_chunks()
             a = pa.concat_arrays([qid.take(pa.array(qs)), rid.take(pa.array(first))])
             b = pa.concat_arrays([rid.take(pa.array(rs)), rid.take(pa.array(other))])
@@ -130,7 +130,7 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
         best = np.full(q.num_rows, -1, dtype=np.int32)
         if q.num_rows and r.num_rows:
             cid = r.column("cid").to_numpy()
-            for part in Cells(vectors(r.column("v"), d)).pairs(vectors(q.column("v"), d), np.full(q.num_rows, reach)):
+            for part in Cells(matrix(r, d)).pairs(matrix(q, d), np.full(q.num_rows, reach)):
                 if part is not None:
                     i, j, dist = part
                     ok = np.round(dist, DIGITS) <= reach
@@ -141,8 +141,15 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
         return pa.table({"node": q.column("id"), "bid": best})
 
     near = F.lit(reach)
-    deg = blocks.solve(blocks.within(rows.select("id", "v"), near), degrees, f"node {kind}, deg long").groupBy("node").agg(F.sum("deg").alias("deg"))
-    deg = materialize(deg, "degrees")
+    # the own block first: where it has neighbours enough, the others are not asked
+    own = blocks.own(rows.select("id", "v"))
+    deg = materialize(blocks.solve(own, degrees, f"node {kind}, deg long"), "own_degrees")
+    if len(blocks.tree.first) > 1 or blocks.chunks:
+        few = deg.where(F.col("deg") < min_samples).select(F.col("node").alias("id"))
+        rest = own.select("id", "v", F.col("leaf").alias("_leaf"), F.col("chunk").alias("_chunk")).join(few, "id", "left_semi")
+        rest = blocks.within(rest, near).where("leaf <> _leaf or chunk <> _chunk").drop("_leaf", "_chunk")
+        deg = deg.union(blocks.solve(rest, degrees, f"node {kind}, deg long"))
+    deg = materialize(deg.groupBy("node").agg(F.sum("deg").alias("deg")), "degrees")
     core = deg.where(F.col("deg") >= min_samples).select("node")
     cores = core.withColumnRenamed("node", "id")
     core_points = materialize(blocks.points.join(cores, "id", "left_semi"), "core_points")

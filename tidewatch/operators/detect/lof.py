@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.neighbors import knn
+from tidewatch.session import materialize
 
 AUTO_OFFSET = 1.5  # fixed value of the reference library: 'auto' contamination offset of LOF
 
@@ -54,7 +55,7 @@ def fit_lof(train: DataFrame, key: str, vec: str, k: int = 20, contamination="au
     j = nn.join(kd, "r_key")
     lrd = j.groupBy("q_key").agg(F.avg(F.greatest(F.col("kdist"), F.col("dist"))).alias("_mr")) \
         .select(F.col("q_key").alias(key), (1.0 / (F.col("_mr") + F.lit(1e-10))).alias("lrd"))
-    fitted = rows.join(kd.withColumnRenamed("r_key", key), key).join(lrd, key)
+    fitted = materialize(rows.join(kd.withColumnRenamed("r_key", key), key).join(lrd, key), "lof_rows")
     model = LOFModel(fitted, key, vec, k)
     if contamination != "auto":
         from tidewatch.operators.detect.base import contamination_offset

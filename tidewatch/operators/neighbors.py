@@ -5,12 +5,15 @@ tree: a node with more than ``BLOCK`` points is split among ``FAN``
 hash-chosen pivots of its own, level by level, until every leaf is bounded, so
 the number of pivots follows the data and a dense region gets more of them.
 The driver holds the tree (about 3 / BLOCK nodes a point: vector, radius),
-never points.  A leaf that pivots cannot split is cut into chunks.
+never points.  A leaf that pivots cannot split is cut into chunks; small leaves
+in a row share a block, so that a row travels to fewer blocks.
 
 A block (leaf, chunk) and the queries that can have neighbours there are
 solved by one ``cogroup().applyInArrow`` task, which splits the block the same
 way into cells of ``CELL`` points and visits a cell only if the triangle
-inequality allows it.  The kNN join has two phases: the query's own block gives
+inequality allows it.  Where most cells are within reach (many dimensions),
+points are screened in single precision instead and only the survivors get
+exact distances.  The kNN join has two phases: the query's own block gives
 a true k-th distance, and with it the tree names the other blocks that can
 hold a nearer point, usually few or none.
 
@@ -40,6 +43,8 @@ FAN = 16               # pivots of a node that is split
 CELL = 64              # points of a cell inside a block
 BLOCK = 16384          # points per side in one group
 SUB = 512              # query rows per NumPy sub-batch
+DENSE = 0.25           # share of a block within reach from which cells are not told apart
+PART = 2048            # points screened at once then
 DIGITS = 9
 _SLACK = 1e-9
 
@@ -53,6 +58,19 @@ def vectors(column, d: int) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column.to_numpy()]) if len(column) else np.zeros((0, d))
 
 
+def matrix(rows: pa.Table, d: int) -> np.ndarray:
+    """The vectors of rows shipped by ``Blocks.solve``."""
+    short, long = rows.column("f"), rows.column("v")
+    if short.null_count == 0:
+        return vectors(short, d)
+    if long.null_count == 0:
+        return vectors(long, d)
+    has = short.is_valid().to_numpy()
+    out = np.empty((len(has), d))
+    out[has], out[~has] = vectors(short.drop_null(), d), vectors(long.drop_null(), d)
+    return out
+
+
 def _squares(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
     """Squared distances by the product form: fast, exact to rounding of the norms."""
     d2 = (Q ** 2).sum(1)[:, None] + (R ** 2).sum(1)[None, :] - 2.0 * Q @ R.T
@@ -152,12 +170,86 @@ class Cells:
             tree.split(node, np.zeros((len(kinds), X.shape[1])))
             todo += [(tree.first[node] + i, rows[to == j], True) for i, j in enumerate(kinds.tolist())]
         self.tree = tree.freeze()
+        # single precision suffices to leave points out: [q, 1] . [-2 x, x . x] + q . q is
+        # within ``off`` (x . x + q . q) of the square, by which the last column is lowered
+        self.off = 4 * (X.shape[1] + 8) * 2.0 ** -24
+        self.middle = np.median(X[self.some()], axis=0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            far = X - self.middle
+            self.squares = (far ** 2).sum(1)
+            self.screen = None
+            if self.squares.max() < 1e30:
+                self.screen = np.hstack([-2 * far, (self.squares * (1 - self.off))[:, None]]).astype(np.float32)
+
+    def some(self) -> np.ndarray:
+        return np.unique(np.linspace(0, len(self.X) - 1, PART).astype(np.int64))
+
+    def spread(self, Q: np.ndarray, bound: np.ndarray) -> bool:
+        """Whether a good part of the points is within reach of the cells that a
+        few of the queries open, so that telling cells apart costs more than it saves."""
+        if self.screen is None or len(self.rows) == 1:
+            return False
+        some = np.unique(np.linspace(0, len(Q) - 1, 16).astype(np.int64))
+        row, leaf = self.tree.visit(Q[some], bound[some])
+        return sum(len(self.rows[n]) for n in leaf.tolist()) > DENSE * len(some) * len(self.X)
+
+    def _asked(self, Q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Centred queries with a 1 in single precision, and their squares."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            far = Q - self.middle
+            return np.hstack([far, np.ones((len(far), 1))]).astype(np.float32), (far ** 2).sum(1)
+
+    def _close(self, Q32: np.ndarray, squares: np.ndarray, limit: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place in ``rows``) of all that may be within ``limit``, and a few more."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            level = ((limit + 1e-6) ** 2 + 1e-6 - squares * (1 - self.off)).astype(np.float32)
+            at = np.flatnonzero(Q32 @ self.screen[rows].T <= np.nextafter(level, np.float32(np.inf))[:, None])
+        n = rows.stop - rows.start if isinstance(rows, slice) else len(rows)
+        return np.divmod(at, n)
+
+    def _dense(self, part: np.ndarray, limit: np.ndarray):
+        """Pieces of (query, point, distance) within ``limit``, no cell left out."""
+        Q32, squares = self._asked(part)
+        huge = ~(squares < 1e30)  # beyond single precision
+        for a in range(0, len(self.X), PART):
+            rows = slice(a, min(a + PART, len(self.X)))
+            i, j = self._close(Q32, squares, limit, rows)
+            if huge.any():
+                more = np.flatnonzero(huge)
+                keep = ~huge[i]
+                n = rows.stop - rows.start
+                i, j = np.concatenate([i[keep], np.repeat(more, n)]), np.concatenate([j[keep], np.tile(np.arange(n), len(more))])
+            for c in range(0, len(i), 1 << 18):
+                q, r = i[c:c + (1 << 18)], j[c:c + (1 << 18)] + a
+                yield q, r, np.sqrt(((part[q] - self.X[r]) ** 2).sum(1))
+
+    def tighten(self, Q: np.ndarray, need: int, bound: np.ndarray) -> np.ndarray:
+        """``bound`` or the distance of the ``need``-th of some ``PART`` points, if less."""
+        some = self.some()
+        if len(some) < need or not self.spread(Q, bound):
+            return bound
+        out = bound.copy()
+        above = self.screen[some]
+        above[:, -1] = self.squares[some] * (1 + self.off)
+        for s in range(0, len(Q), SUB):
+            Q32, squares = self._asked(Q[s:s + SUB])
+            with np.errstate(over="ignore", invalid="ignore"):
+                kth = np.partition(Q32 @ above.T, need - 1, axis=1)[:, need - 1].astype(np.float64)
+                kth = np.sqrt(np.maximum(kth + squares * (1 + self.off), 0.0)) * (1 + 1e-6) + 1e-6
+            out[s:s + SUB] = np.where(kth < out[s:s + SUB], kth, out[s:s + SUB])
+        return out
 
     def pairs(self, Q: np.ndarray, bound: np.ndarray):
         """(query rows, point rows, distances) within ``bound``, cell by cell for
         ``SUB`` queries at a time; yields None at the end of each sub-batch."""
         for s in range(0, len(Q), SUB):
             part = Q[s:s + SUB]
+            if self.spread(part, bound[s:s + SUB]):
+                for i, j, dist in self._dense(part, bound[s:s + SUB]):
+                    ok = np.round(dist, DIGITS) <= bound[s + i] + _SLACK
+                    yield s + i[ok], j[ok], dist[ok]
+                yield None
+                continue
             row, leaf = self.tree.visit(part, bound[s:s + SUB])
             order = np.argsort(leaf, kind="stable")
             row, leaf = row[order], leaf[order]
@@ -179,6 +271,16 @@ class Cells:
         ``enough``: cells inside the ball count whole, others are only opened
         for queries that still need them."""
         out = np.zeros(len(Q), dtype=np.int64)
+        if len(Q) and self.spread(Q, np.full(len(Q), eps)):
+            for s in range(0, len(Q), SUB):
+                open_ = np.arange(s, min(s + SUB, len(Q)))
+                for a in range(0, len(self.X), PART):
+                    rows = np.arange(a, min(a + PART, len(self.X)))
+                    out[open_] += self.near(Q[open_], rows, eps) @ weight[rows]
+                    open_ = open_[out[open_] < enough]
+                    if not len(open_):
+                        break
+            return out
         held = np.zeros(len(self.tree.first), dtype=np.int64)
         for n, rows in self.rows.items():
             held[n] = weight[rows].sum()
@@ -232,8 +334,12 @@ class Cells:
         for n, rows in self.rows.items():
             tight[n] = 2 * self.tree.radius[n] <= eps - 1e-8
         links_q, links_r = [], []
+        dense = len(Q) > 0 and self.spread(Q, np.full(len(Q), eps))
         for s in range(0, len(Q), SUB):
             part = Q[s:s + SUB]
+            if dense:
+                self._joined(part, s, eps, group, links_q, links_r)
+                continue
             row, leaf = self.tree.visit(part, np.full(len(part), eps))
             inside = self.inside(part, row, leaf, eps)
             touched: list[list[np.ndarray]] = [[] for _ in range(len(part))]
@@ -263,6 +369,41 @@ class Cells:
                     group[np.isin(group, names[1:])] = names[0]
         return np.array(links_q, dtype=np.int64), np.array(links_r, dtype=np.int64), star_a, star_b
 
+    def _joined(self, part: np.ndarray, s: int, eps: float, group: np.ndarray, links_q: list, links_r: list) -> None:
+        """Links of some queries where cells are not told apart: one point of
+        the largest group will do, the points outside it are all looked at."""
+        names, sizes = np.unique(group, return_counts=True)
+        main = names[sizes.argmax()]
+        hit = np.full(len(part), -1, dtype=np.int64)
+        rest, of = np.arange(len(part)), np.flatnonzero(group == main)
+        for a in range(0, len(of), PART):
+            near = self.near(part[rest], of[a:a + PART], eps)
+            found = near.any(axis=1)
+            hit[rest[found]] = of[a + near[found].argmax(axis=1)]
+            rest = rest[~found]
+            if not len(rest):
+                break
+        of = np.flatnonzero(group != main)
+        pieces = [np.zeros((2, 0), dtype=np.int64)]
+        for a in range(0, len(of), PART):
+            i, j = np.nonzero(self.near(part, of[a:a + PART], eps))
+            pieces.append(np.stack([i, of[a + j]]))
+        i, j = np.concatenate(pieces, axis=1)
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        edge = np.searchsorted(i, np.arange(len(part) + 1))
+        for q in range(len(part)):
+            touched = j[edge[q]:edge[q + 1]]
+            if hit[q] >= 0:
+                touched = np.append(touched, hit[q])
+            if not len(touched):
+                continue
+            kinds = np.unique(group[touched])
+            links_q += [s + q] * len(kinds)
+            links_r += kinds.tolist()
+            if len(kinds) > 1:
+                group[np.isin(group, kinds)] = main if main in kinds else kinds[0]
+
     def reach(self, Q: np.ndarray, weight: np.ndarray, need: int) -> np.ndarray:
         """Distance within which each query has points of ``need`` weight: the
         true one inside its own cell, or a bound from the balls around it."""
@@ -318,6 +459,7 @@ class Blocks:
         if len(tree.first) == 1:
             routed = points.withColumn("leaf", F.lit(0))
         else:
+            self.pack = self._packed(whole, tree, block)
             routed = self._routed(points, tree)
         chunks = {x: math.ceil(c / block) for x, c in whole.items() if c > block}
         chunk = F.lit(0)
@@ -325,7 +467,7 @@ class Blocks:
             chunk = F.when(F.col("leaf") == leaf, F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(c)).cast("int")).otherwise(chunk)
         self.points = routed.withColumn("chunk", chunk)
         if len(tree.first) > 1:
-            self.points = materialize(self.points, "blocks")
+            self.points = materialize(self.points.withColumn("pack", self._pack_of("leaf")), "blocks")
         self.chunks = chunks
         if len(tree.first) > 1:
             tree.radius = [-np.inf] * len(tree.first)
@@ -337,11 +479,34 @@ class Blocks:
 
             for r in self.points.groupBy("leaf").agg(F.max(away("v", "leaf")).alias("r")).collect():
                 tree.radius[r.leaf] = r.r * (1 + _SLACK)
+            self.points = self.points.withColumn("leaf", F.col("pack")).drop("pack")
             for n, c in enumerate(tree.children):
                 if c:
                     tree.radius[n] = np.inf
         self.tree = tree.freeze()
 
+    @staticmethod
+    def _packed(whole: dict[int, int], tree: Tree, block: int) -> np.ndarray:
+        """Block of every leaf: leaves in a row share one, named after its first,
+        as long as they hold ``block`` points or fewer together."""
+        out = np.arange(len(tree.first), dtype=np.int32)
+        first, held = -1, 0
+        for n in np.flatnonzero(np.asarray(tree.children) == 0).tolist():
+            c = whole.get(n, 0)
+            if first < 0 or held + c > block:
+                first, held = n, 0
+            out[n], held = first, held + c
+        return out
+
+    def _pack_of(self, leaf: str) -> Column:
+        pack = self.pack
+
+        @F.pandas_udf("int")
+        def block_of(x: pd.Series) -> pd.Series:
+            return pd.Series(pack[x.to_numpy()])
+
+        return block_of(leaf)
+
     @staticmethod
     def _routed(points: DataFrame, tree: Tree) -> DataFrame:
         @F.pandas_udf("int")
@@ -351,24 +516,26 @@ class Blocks:
         return points.withColumn("leaf", leaf("v"))
 
     def own(self, queries: DataFrame) -> DataFrame:
-        """``queries`` with the leaf and chunk that they would belong to."""
-        out = queries.withColumn("leaf", F.lit(0)) if len(self.tree.first) == 1 else self._routed(queries, self.tree)
+        """``queries`` with the block (``leaf``, the first of its leaves) and chunk that they would belong to."""
+        out = queries.withColumn("leaf", F.lit(0)) if len(self.tree.first) == 1 else self._routed(queries, self.tree).withColumn("leaf", self._pack_of("leaf"))
         chunk = F.lit(0)
         for leaf, c in self.chunks.items():
             chunk = F.when(F.col("leaf") == leaf, F.pmod(F.xxhash64("v"), F.lit(c)).cast("int")).otherwise(chunk)
         return out.withColumn("chunk", chunk)
 
     def within(self, queries: DataFrame, bound: Column) -> DataFrame:
-        """``queries`` once per (leaf, chunk) that comes within ``bound``."""
+        """``queries`` once per block and chunk that comes within ``bound``."""
         tree, d = self.tree, self.d
+        pack = None if len(tree.first) == 1 else self.pack
         if len(tree.first) == 1:
             leaf = F.array(F.lit(0))
         else:
             @F.pandas_udf(T.ArrayType(T.IntegerType()))
             def leaves(v: pd.Series, b: pd.Series) -> pd.Series:
                 row, node = tree.visit(vectors(v, d), b.to_numpy(np.float64))
-                order = np.argsort(row, kind="stable")
-                parts = np.split(node[order].astype(np.int32), np.searchsorted(row[order], np.arange(1, len(v))))
+                pairs = np.unique(row * len(pack) + pack[node])
+                row, node = pairs // len(pack), pairs % len(pack)
+                parts = np.split(node.astype(np.int32), np.searchsorted(row, np.arange(1, len(v))))
                 return pd.Series([p.tolist() for p in parts[:len(v)]])
 
             leaf = leaves("v", bound.cast("double"))
@@ -378,17 +545,25 @@ class Blocks:
             last = F.when(F.col("leaf") == x, F.lit(c - 1)).otherwise(last)
         return out.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
 
+    @staticmethod
+    def _short(rows: DataFrame) -> DataFrame:
+        """``rows`` with single-precision vectors ``f`` wherever they lose
+        nothing, and ``v`` only elsewhere: a row travels to every block near it."""
+        exact = F.forall("v", lambda x: x == x.cast("float").cast("double"))
+        return rows.select(*[F.col(c).alias(c) for c in rows.columns if c != "v"],
+                           F.when(exact, F.col("v").cast("array<float>")).alias("f"), F.when(~exact, F.col("v")).alias("v"))
+
     def solve(self, queries: DataFrame, fn, schema, points: DataFrame | None = None) -> DataFrame:
         """``fn(queries, points)`` (Arrow tables) for every (leaf, chunk), where
         at most about ``block`` queries meet a block at once.  ``points`` stands
-        in for ``self.points`` (rows of it, with other columns)."""
-        if len(self.tree.first) > 1:
-            queries = materialize(queries, "queries")
+        in for ``self.points`` (rows of it, with other columns).  Queries are not
+        written: which blocks a row goes to is found again for the shuffle."""
         many = queries.groupBy("leaf", "chunk").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.block)).cast("int").alias("parts"))
+        many = materialize(many, "parts") if len(self.tree.first) > 1 else many
         part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-        left = queries.join(many, ["leaf", "chunk"]).withColumn("part", part).drop("parts")
-        right = (self.points if points is None else points).join(many, ["leaf", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        left = left.select(*[F.col(c).alias(c) for c in left.columns])  # names of its own, both sides may be one table
+        left = queries.join(F.broadcast(many), ["leaf", "chunk"]).withColumn("part", part).drop("parts")
+        right = (self.points if points is None else points).join(F.broadcast(many), ["leaf", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        left, right = self._short(left), self._short(right)  # names of their own, both sides may be one table
         by = ["leaf", "chunk", "part"]
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(fn, schema)
 
@@ -405,19 +580,24 @@ def _block(df: DataFrame, n_pivots: int | None) -> int:
     return min(BLOCK, max(1, -(-df.count() // n_pivots))) if n_pivots else BLOCK
 
 
+def _combined(column: pa.ChunkedArray) -> pa.Array:
+    out = column.combine_chunks()
+    return pa.concat_arrays(out.chunks) if isinstance(out, pa.ChunkedArray) else out
+
+
 def _knn_in_block(need: int, d: int, first: bool):
     """Solver of a block: the ``need`` nearest keys of each query, with the
     bound that comes from the block itself (first) or with the query."""
     def solve(q: pa.Table, r: pa.Table) -> pa.Table:
-        Q, R = vectors(q.column("v"), d), vectors(r.column("v"), d)
-        keys = r.column("keys").combine_chunks()
-        found: list[list] = [[] for _ in range(len(Q))]
+        Q, R = matrix(q, d), matrix(r, d)
+        keys = _combined(r.column("keys"))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
         if len(Q) and len(R):
             cells = Cells(R)
             sizes = np.diff(keys.offsets.to_numpy())
             begin, flat = keys.offsets.to_numpy(), keys.values
             values = flat.to_numpy(zero_copy_only=False)
-            bound = cells.reach(Q, sizes, need) if first else q.column("bound").to_numpy()
+            bound = cells.tighten(Q, need, cells.reach(Q, sizes, need)) if first else q.column("bound").to_numpy()
             rows: list[tuple] = []
             for part in cells.pairs(Q, bound):
                 if part is not None:
@@ -427,18 +607,19 @@ def _knn_in_block(need: int, d: int, first: bool):
                     i, j, dist = (np.concatenate(x) for x in zip(*rows))
                     rows.clear()
                     copies = sizes[j]
-                    key = values[np.repeat(begin[j], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)]
+                    at = np.repeat(begin[j], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
                     i, dist = np.repeat(i, copies), np.repeat(dist, copies)
-                    order = np.lexsort((key, np.round(dist, DIGITS), i))
-                    i, key, dist = i[order], key[order], dist[order]
-                    start = np.searchsorted(i, i, "left")
-                    top = np.arange(len(i)) - start < need
-                    for a, k, x in zip(i[top].tolist(), key[top].tolist(), dist[top].tolist()):
-                        found[a].append({"rd": round(x, DIGITS), "key": k, "dist": x})
-        kind = pa.list_(pa.struct([("rd", pa.float64()), ("key", keys.type.value_type), ("dist", pa.float64())]))
-        out = {"id": q.column("id"), "found": pa.array(found, kind)}
+                    rd = np.round(dist, DIGITS)
+                    order = np.lexsort((values[at], rd, i))
+                    i, at, rd, dist = i[order], at[order], rd[order], dist[order]
+                    top = np.arange(len(i)) - np.searchsorted(i, i, "left") < need
+                    found.append((i[top], at[top], rd[top], dist[top]))
+        i, at, rd, dist = (np.concatenate(x) for x in zip(*found))  # by query: sub-batches follow one another
+        near = pa.StructArray.from_arrays([pa.array(rd), keys.values.take(pa.array(at)), pa.array(dist)], ["rd", "key", "dist"])
+        ends = np.searchsorted(i, np.arange(len(Q) + 1)).astype(np.int32)
+        out = {"id": q.column("id"), "found": pa.ListArray.from_arrays(pa.array(ends), near)}
         if first:
-            out = {"id": q.column("id"), "v": q.column("v"), "leaf": q.column("leaf"), "chunk": q.column("chunk"), "found": out["found"]}
+            out = {"id": q.column("id"), "v": pa.ListArray.from_arrays(pa.array(np.arange(len(Q) + 1, dtype=np.int32) * d), pa.array(Q.ravel())), "leaf": q.column("leaf"), "chunk": q.column("chunk"), "found": out["found"]}
         return pa.table(out)
 
     return solve
@@ -486,7 +667,7 @@ def radius_join(query: DataFrame, ref: DataFrame, key: str, vec: str, eps: float
     d, kinds = blocks.d, [x.schema[key].dataType.simpleString() for x in (query, ref)]
 
     def solve(q: pa.Table, r: pa.Table) -> pa.Table:
-        Q, R = vectors(q.column("v"), d), vectors(r.column("v"), d)
+        Q, R = matrix(q, d), matrix(r, d)
         qk, rk = q.column("id").combine_chunks(), r.column("id").combine_chunks()
         found = [p for p in Cells(R).pairs(Q, np.full(len(Q), eps)) if p is not None] if len(Q) and len(R) else []
         i, j, dist = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -494,4 +675,5 @@ def radius_join(query: DataFrame, ref: DataFrame, key: str, vec: str, eps: float
         return pa.table({"q_key": qk.take(pa.array(i[ok])), "r_key": rk.take(pa.array(j[ok])), "dist": pa.array(dist[ok])})
 
     near = blocks.within(rows(query), F.lit(float(eps)))
-    return materialize(blocks.solve(near, solve, f"q_key {kinds[0]}, r_key {kinds[1]}, dist double"), "neighbours")
+    # pairs may be many: they are not written before they are used
+    return blocks.solve(near, solve, f"q_key {kinds[0]}, r_key {kinds[1]}, dist double")
