@@ -34,6 +34,7 @@ def standardized_profiles(wide: DataFrame, key: str = "entity") -> DataFrame:
     cols = [c for c in wide.columns if c != key]
     filled = wide.select(F.col(key), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c)
                                        for c in cols])
+    filled = materialize(filled, "profiles")  # scaler, PCA and k-means go over it again
     return fit_scaler(filled, cols, "standard").apply(filled)
 
 
