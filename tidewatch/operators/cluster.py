@@ -5,8 +5,10 @@ population std).  K2/K3 use Spark ML (``PCA`` aggregates a d x d covariance,
 d bounded by the schema; ``KMeans`` is distributed Lloyd / k-means||).  K4 is
 DBSCAN without a table of pairs: the blocks of a metric tree count neighbours
 (up to ``min_samples``) -> core points -> each block sends a spanning set of
-links among core points -> connected components -> border points take the
-smallest neighbouring cluster -> noise = -1.
+links among its core points, a few scouts look into all blocks -> connected
+components -> core points outside the largest one ask the blocks within reach,
+only for links between components -> border points take the smallest
+neighbouring cluster -> noise = -1.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from tidewatch.operators.neighbors import BLOCK, DIGITS, Blocks, Cells, matrix
 from tidewatch.operators.preprocess import fit_scaler
 from tidewatch.session import materialize
 
+SCOUTS = 16  # points of a block that look for links in all others, about
+
 
 def standardized_profiles(wide: DataFrame, key: str = "entity") -> DataFrame:
     """K1 (+B17): every profile column, missing -> 0, standardised with the
@@ -100,6 +104,18 @@ def cluster_sizes(clustered: DataFrame, col: str = "cluster") -> DataFrame:
     return clustered.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
 
 
+def _elsewhere(blocks: Blocks, rows: DataFrame, bound) -> DataFrame:
+    """``rows`` of some blocks once per other block within ``bound``."""
+    rows = rows.withColumnsRenamed({"leaf": "_leaf", "chunk": "_chunk"})
+    return blocks.within(rows, bound).where("leaf <> _leaf or chunk <> _chunk").drop("_leaf", "_chunk")
+
+
+def _components(nodes: DataFrame, edges: DataFrame, name: str, out: str = "comp") -> DataFrame:
+    """Component of every one of ``nodes``, those without edges included."""
+    joined = connected_components(edges).select(F.col("node").alias(name), F.col("comp").alias("_joined"))
+    return materialize(nodes.join(joined, name, "left").select(name, F.coalesce("_joined", name).alias(out)), "components")
+
+
 def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int = 5,
            out: str = "cluster") -> DataFrame:
     """K4: DBSCAN (Ester et al. 1996): distance <= eps inclusive, a row counts
@@ -121,8 +137,13 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
     def links(q: pa.Table, r: pa.Table) -> pa.Table:
         a = b = q.column("id").combine_chunks().slice(0, 0)
         if q.num_rows and r.num_rows:
-            qs, rs, first, other = Cells(matrix(r, d)).spanning(matrix(q, d), reach)
-            qid, rid = q.column("id").combine_chunks(), r.column("id").combine_chunks()
+            q, group = q.sort_by([("away", "ascending")]), None
+            name = "id"
+            if "comp" in r.column_names:  # what is joined already needs no links
+                name, comps = "comp", r.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+                group = np.unique(comps, return_index=True)[1][comps]
+            qs, rs, first, other = Cells(matrix(r, d)).spanning(matrix(q, d), reach, group)
+            qid, rid = (x.column(name).combine_chunks() for x in (q, r))
             a = pa.concat_arrays([qid.take(pa.array(qs)), rid.take(pa.array(first))])
             b = pa.concat_arrays([rid.take(pa.array(rs)), rid.take(pa.array(other))])
         return pa.table({"a": a, "b": b})
@@ -143,20 +164,34 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float = 0.5, min_samples: int
 
     near = F.lit(reach)
     # the own block first: where it has neighbours enough, the others are not asked
-    own = blocks.own(rows.select("id", "v"))
+    many = len(blocks.tree.first) > 1 or bool(blocks.chunks)
+    own = blocks.points.select("id", "v", "leaf", "chunk")
     deg = materialize(blocks.solve(own, degrees, f"node {kind}, deg long"), "own_degrees")
-    if len(blocks.tree.first) > 1 or blocks.chunks:
+    if many:
         few = deg.where(F.col("deg") < min_samples).select(F.col("node").alias("id"))
-        rest = own.select("id", "v", F.col("leaf").alias("_leaf"), F.col("chunk").alias("_chunk")).join(few, "id", "left_semi")
-        rest = blocks.within(rest, near).where("leaf <> _leaf or chunk <> _chunk").drop("_leaf", "_chunk")
+        rest = _elsewhere(blocks, own.join(few, "id", "left_semi"), near)
         deg = deg.union(blocks.solve(rest, degrees, f"node {kind}, deg long"))
     deg = materialize(deg.groupBy("node").agg(F.sum("deg").alias("deg")), "degrees")
     core = deg.where(F.col("deg") >= min_samples).select("node")
     cores = core.withColumnRenamed("node", "id")
     core_points = materialize(blocks.points.join(cores, "id", "left_semi"), "core_points")
-    edges = blocks.solve(blocks.within(core_points.select("id", "v"), near), links, f"a {kind}, b {kind}", core_points)
-    joined = connected_components(edges)
-    comp = materialize(core.join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
+    # links inside the blocks, and of a few scouts with all blocks; what that joins to the
+    # largest component asks no more, every other core point asks all blocks within reach
+    inside = core_points.select("id", "v", "leaf", "chunk")
+    asked = blocks.short(inside.withColumn("away", F.lit(0)))
+    if many:
+        scouts = inside.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(max(1, BLOCK // SCOUTS))) == 0)
+        asked = asked.unionByName(_elsewhere(blocks, scouts, near).withColumn("away", F.lit(1)))
+    comp = _components(core, blocks.solve(asked, links, f"a {kind}, b {kind}", core_points), "node")
+    if many:
+        main = comp.where("comp is not null").groupBy("comp").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "comp").first()
+        known = core_points.join(comp.withColumnRenamed("node", "id"), "id")
+        left = known.where(F.col("comp") != F.lit(main.comp if main else None)).select("id", "v", "leaf", "chunk", "comp")
+        left = materialize(left, "outside_main")
+        if not left.isEmpty():
+            more = blocks.solve(_elsewhere(blocks, left, near).withColumn("away", F.lit(1)), links, f"a {kind}, b {kind}", known)
+            joined = _components(comp.select("comp").distinct(), more, "comp", "main")
+            comp = materialize(comp.join(joined, "comp", "left").select("node", F.col("main").alias("comp")), "components")
     ids = global_index(comp.select("comp").distinct(), ["comp"], "cid")
     core_lab = materialize(comp.join(ids, "comp").select(F.col("node"), F.col("cid").cast("int").alias("cid")), "core_labels")
     others = rows.select("id", "v").join(cores, "id", "left_anti")

@@ -42,6 +42,7 @@ from tidewatch.session import materialize
 FAN = 16               # pivots of a node that is split
 CELL = 64              # points of a cell inside a block
 BLOCK = 16384          # points per side in one group
+WIDE = 1 << 22         # numbers of the points of a group whose queries come ``BLOCK`` at a time
 SUB = 512              # query rows per NumPy sub-batch
 DENSE = 0.25           # share of a block within reach from which cells are not told apart
 PART = 2048            # points screened at once then
@@ -77,6 +78,16 @@ def _squares(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
     return np.maximum(d2, 0.0, out=d2)
 
 
+def _true(flags: np.ndarray) -> np.ndarray:
+    """Places of the few set flags, eight looked at together."""
+    flat = flags.reshape(-1)
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    at = np.flatnonzero(flat.view(np.uint64))
+    i, j = np.nonzero(flat.reshape(-1, 8)[at])
+    return 8 * at[i] + j
+
+
 def _nearest(X: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     out = np.zeros(len(X), dtype=np.int64)
     for s in range(0, len(X), SUB):
@@ -181,8 +192,8 @@ class Cells:
             if self.squares.max() < 1e30:
                 self.screen = np.hstack([-2 * far, (self.squares * (1 - self.off))[:, None]]).astype(np.float32)
 
-    def some(self) -> np.ndarray:
-        return np.unique(np.linspace(0, len(self.X) - 1, PART).astype(np.int64))
+    def some(self, n: int = PART) -> np.ndarray:
+        return np.unique(np.linspace(0, len(self.X) - 1, n).astype(np.int64))
 
     def spread(self, Q: np.ndarray, bound: np.ndarray) -> bool:
         """Whether a good part of the points is within reach of the cells that a
@@ -199,21 +210,24 @@ class Cells:
             far = Q - self.middle
             return np.hstack([far, np.ones((len(far), 1))]).astype(np.float32), (far ** 2).sum(1)
 
-    def _close(self, Q32: np.ndarray, squares: np.ndarray, limit: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
-        """(query, place in ``rows``) of all that may be within ``limit``, and a few more."""
+    def _close(self, Q32: np.ndarray, squares: np.ndarray, limit: np.ndarray, rows: slice, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place in ``rows``) of all that may be within ``limit``, and a
+        few more; ``room`` holds the products meanwhile."""
         with np.errstate(over="ignore", invalid="ignore"):
             level = ((limit + 1e-6) ** 2 + 1e-6 - squares * (1 - self.off)).astype(np.float32)
-            at = np.flatnonzero(Q32 @ self.screen[rows].T <= np.nextafter(level, np.float32(np.inf))[:, None])
-        n = rows.stop - rows.start if isinstance(rows, slice) else len(rows)
+            n = rows.stop - rows.start
+            products = np.matmul(Q32, self.screen[rows].T, out=room[:len(Q32) * n].reshape(len(Q32), n))
+            at = _true(products <= np.nextafter(level, np.float32(np.inf))[:, None])
         return np.divmod(at, n)
 
     def _dense(self, part: np.ndarray, limit: np.ndarray):
         """Pieces of (query, point, distance) within ``limit``, no cell left out."""
         Q32, squares = self._asked(part)
         huge = ~(squares < 1e30)  # beyond single precision
+        room = np.empty(len(part) * min(PART, len(self.X)), dtype=np.float32)
         for a in range(0, len(self.X), PART):
             rows = slice(a, min(a + PART, len(self.X)))
-            i, j = self._close(Q32, squares, limit, rows)
+            i, j = self._close(Q32, squares, limit, rows, room)
             if huge.any():
                 more = np.flatnonzero(huge)
                 keep = ~huge[i]
@@ -224,8 +238,9 @@ class Cells:
                 yield q, r, np.sqrt(((part[q] - self.X[r]) ** 2).sum(1))
 
     def tighten(self, Q: np.ndarray, need: int, bound: np.ndarray) -> np.ndarray:
-        """``bound`` or the distance of the ``need``-th of some ``PART`` points, if less."""
-        some = self.some()
+        """``bound`` or the distance of the ``need``-th of some points, an eighth
+        of them or ``PART``, if less."""
+        some = self.some(max(PART, len(self.X) // 8))
         if len(some) < need or not self.spread(Q, bound):
             return bound
         out = bound.copy()
@@ -242,9 +257,10 @@ class Cells:
     def pairs(self, Q: np.ndarray, bound: np.ndarray):
         """(query rows, point rows, distances) within ``bound``, cell by cell for
         ``SUB`` queries at a time; yields None at the end of each sub-batch."""
+        dense = len(Q) > 0 and self.spread(Q, bound)
         for s in range(0, len(Q), SUB):
             part = Q[s:s + SUB]
-            if self.spread(part, bound[s:s + SUB]):
+            if dense:
                 for i, j, dist in self._dense(part, bound[s:s + SUB]):
                     ok = np.round(dist, DIGITS) <= bound[s + i] + _SLACK
                     yield s + i[ok], j[ok], dist[ok]
@@ -315,24 +331,27 @@ class Cells:
         out[i, j] = np.round(np.sqrt(((Q[i] - self.X[rows[j]]) ** 2).sum(1)), DIGITS) <= eps
         return out
 
-    def spanning(self, Q: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def spanning(self, Q: np.ndarray, eps: float, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Links that join what distances within ``eps`` join: (query, point)
         and (point, point) pairs, at most one per query and per point.
 
         The points of a cell no wider than ``eps`` are linked outright; a query
         is linked to one point of every group that it touches, and the groups
-        become one (union-find over whole labels)."""
-        group = np.arange(len(self.X))
+        become one (union-find over whole labels).  ``group`` names, by one of
+        its points, the group that each point is known to be in: such points
+        need no links among them."""
+        known = group is not None
+        group = group.copy() if known else np.arange(len(self.X))
         stars = []
         for n, rows in self.rows.items():
-            if 2 * self.tree.radius[n] <= eps - 1e-8:
+            if not known and 2 * self.tree.radius[n] <= eps - 1e-8:
                 group[rows] = rows[0]
                 stars.append(rows)
         star_a = np.concatenate([np.full(len(r) - 1, r[0]) for r in stars]) if stars else np.zeros(0, np.int64)
         star_b = np.concatenate([r[1:] for r in stars]) if stars else np.zeros(0, np.int64)
         tight = np.zeros(len(self.tree.first), dtype=bool)
         for n, rows in self.rows.items():
-            tight[n] = 2 * self.tree.radius[n] <= eps - 1e-8
+            tight[n] = not known and 2 * self.tree.radius[n] <= eps - 1e-8
         links_q, links_r = [], []
         dense = len(Q) > 0 and self.spread(Q, np.full(len(Q), eps))
         for s in range(0, len(Q), SUB):
@@ -439,10 +458,11 @@ class Blocks:
     """Points (id, v, ...) of a written table dealt to the leaves and chunks of a
     metric tree."""
 
-    def __init__(self, points: DataFrame, block: int, seed: int = DEFAULT_SEED):
-        self.block = block
+    def __init__(self, points: DataFrame, block: int | None, seed: int = DEFAULT_SEED):
         some = points.agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).head()
         n, self.d = some.n, len(some.v) if some.n else 1
+        block = block or max(BLOCK, min(4 * BLOCK, WIDE // self.d))
+        self.block = block
         tree = Tree(np.asarray(some.v, dtype=np.float64) if n else np.zeros(1))
         whole, stuck = {0: n}, set()
         while big := sorted(x for x, c in whole.items() if c > block and x not in stuck):
@@ -539,31 +559,35 @@ class Blocks:
                 return pd.Series([p.tolist() for p in parts[:len(v)]])
 
             leaf = leaves("v", bound.cast("double"))
-        out = queries.withColumn("leaf", F.explode(leaf))
+        out = self.short(queries.withColumn("leaf", leaf)).withColumn("leaf", F.explode("leaf"))
         last = F.lit(0)
         for x, c in self.chunks.items():
             last = F.when(F.col("leaf") == x, F.lit(c - 1)).otherwise(last)
         return out.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
 
     @staticmethod
-    def _short(rows: DataFrame) -> DataFrame:
+    def short(rows: DataFrame) -> DataFrame:
         """``rows`` with single-precision vectors ``f`` wherever they lose
         nothing, and ``v`` only elsewhere: a row travels to every block near it."""
-        exact = F.forall("v", lambda x: x == x.cast("float").cast("double"))
+        if "f" in rows.columns:
+            return rows.select(*[F.col(c).alias(c) for c in rows.columns])
+        short = F.col("v").cast("array<float>")
+        exact = short.cast("array<double>") == F.col("v")
         return rows.select(*[F.col(c).alias(c) for c in rows.columns if c != "v"],
-                           F.when(exact, F.col("v").cast("array<float>")).alias("f"), F.when(~exact, F.col("v")).alias("v"))
+                           F.when(exact, short).alias("f"), F.when(~exact, F.col("v")).alias("v"))
 
-    def solve(self, queries: DataFrame, fn, schema, points: DataFrame | None = None) -> DataFrame:
+    def solve(self, queries: DataFrame, fn, schema, points: DataFrame | None = None, ask: int | None = None) -> DataFrame:
         """``fn(queries, points)`` (Arrow tables) for every (leaf, chunk), where
-        at most about ``block`` queries meet a block at once.  ``points`` stands
+        at most about ``ask`` (``BLOCK``) queries meet a block at once.  ``points`` stands
         in for ``self.points`` (rows of it, with other columns).  Queries are not
         written: which blocks a row goes to is found again for the shuffle."""
-        many = queries.groupBy("leaf", "chunk").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.block)).cast("int").alias("parts"))
+        many = queries.groupBy("leaf", "chunk").agg(F.ceil(F.count(F.lit(1)) / F.lit(ask or min(self.block, BLOCK))).cast("int").alias("parts"))
         many = materialize(many, "parts") if len(self.tree.first) > 1 else many
         part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-        left = queries.join(F.broadcast(many), ["leaf", "chunk"]).withColumn("part", part).drop("parts")
-        right = (self.points if points is None else points).join(F.broadcast(many), ["leaf", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        left, right = self._short(left), self._short(right)  # names of their own, both sides may be one table
+        left = self.short(queries).join(F.broadcast(many), ["leaf", "chunk"]).withColumn("part", part).drop("parts")
+        right = self.short(self.points if points is None else points).join(F.broadcast(many), ["leaf", "chunk"])
+        right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        left, right = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (left, right))  # names of their own, both sides may be one table
         by = ["leaf", "chunk", "part"]
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(fn, schema)
 
@@ -576,8 +600,8 @@ def _points(df: DataFrame, key: str, vec: str, keys: int) -> DataFrame:
     return least.groupBy("v").agg(F.min("key").alias("id"), F.sort_array(F.collect_list("key")).alias("keys"))
 
 
-def _block(df: DataFrame, n_pivots: int | None) -> int:
-    return min(BLOCK, max(1, -(-df.count() // n_pivots))) if n_pivots else BLOCK
+def _block(df: DataFrame, n_pivots: int | None) -> int | None:
+    return min(BLOCK, max(1, -(-df.count() // n_pivots))) if n_pivots else None
 
 
 def _combined(column: pa.ChunkedArray) -> pa.Array:
@@ -638,7 +662,8 @@ def knn(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, exclude_se
     asked = refs.select("id", "v") if query is ref else _points(query, key, vec, 1).select("id", "v")
     blocks = Blocks(refs, _block(refs, n_pivots), seed)
     one = f"found array<struct<rd:double,key:{kind},dist:double>>"
-    first = blocks.solve(blocks.own(asked), _knn_in_block(need, blocks.d, True), f"id {q_kind}, v array<double>, leaf int, chunk int, {one}")
+    first = blocks.solve(blocks.own(asked), _knn_in_block(need, blocks.d, True), f"id {q_kind}, v array<double>, leaf int, chunk int, {one}",
+                         ask=max(1, min(blocks.block, BLOCK) // 2))  # few blocks: enough tasks all the same
     first = materialize(first, "own_blocks")
     if len(blocks.tree.first) > 1 or blocks.chunks:
         kth = F.when(F.size("found") >= need, F.element_at("found", need)["dist"]).otherwise(F.lit(float("inf")))
@@ -663,7 +688,7 @@ def radius_join(query: DataFrame, ref: DataFrame, key: str, vec: str, eps: float
     def rows(df: DataFrame) -> DataFrame:
         return df.where(F.col(vec).isNotNull()).select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
 
-    blocks = Blocks(materialize(rows(ref), "ref_points"), _block(ref, n_pivots), seed)
+    blocks = Blocks(materialize(rows(ref), "ref_points"), _block(ref, n_pivots) or BLOCK, seed)
     d, kinds = blocks.d, [x.schema[key].dataType.simpleString() for x in (query, ref)]
 
     def solve(q: pa.Table, r: pa.Table) -> pa.Table:
