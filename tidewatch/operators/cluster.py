@@ -46,7 +46,8 @@ def profile_matrix(wide: DataFrame, key: str = "entity") -> tuple[DataFrame, lis
     """K1 as (key, features array) plus the feature names."""
     cols = [c for c in wide.columns if c != key]
     scaled = standardized_profiles(wide, key)
-    return scaled.select(key, F.array(*[F.col(f"`{c}`") for c in cols]).alias("features")), cols
+    mat = scaled.select(key, F.array(*[F.col(f"`{c}`") for c in cols]).alias("features"))
+    return materialize(mat, "profile_matrix"), cols  # PCA goes over it a few times
 
 
 @dataclass
@@ -86,7 +87,8 @@ def fit_pca(df: DataFrame, n_features: int, vec: str = "features", max_component
 
 def kmeans(df: DataFrame, vec: str = "pca", k: int = 5, seed: int = 42, out: str = "cluster") -> DataFrame:
     """K3: k-means on the PCA scores."""
-    v = df.withColumn("_kin", array_to_vector(F.col(vec)))
+    # starts and rounds read the written scores: without it, each computes them again
+    v = materialize(df, "scores").withColumn("_kin", array_to_vector(F.col(vec)))
     model = KMeans(k=k, seed=seed, featuresCol="_kin", predictionCol=out).fit(v)
     return model.transform(v).drop("_kin")
 

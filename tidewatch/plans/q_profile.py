@@ -254,7 +254,7 @@ _PCOLS = [f"{f}_{s}" for f in FEATURES for s in profile.STATS] + ["num_time_wind
 
 
 def wide(spark, sf_dir):
-    fw = features(spark, sf_dir)
+    fw = windows(spark, sf_dir)
     return profile.wide_profiles(profile.entity_profiles(fw, ENTITY), profile.windows_per_entity(fw, ENTITY),
                                  FEATURES)
 
@@ -279,7 +279,7 @@ def _pca(spark, sf_dir):
     from tidewatch.operators.cluster import fit_pca, profile_matrix
     mat, names = profile_matrix(wide(spark, sf_dir))
     fit = fit_pca(mat, len(names))
-    return fit, fit.transform(mat), names
+    return fit, fit.transform(mat).select("entity", "pca"), names
 
 
 @register("k2_pca_scores")
