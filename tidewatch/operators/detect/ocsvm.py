@@ -5,8 +5,9 @@ phi(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U[0, 2 pi];
 gamma = 'scale' = 1 / (d * variance of all cells).  The primal
 1/2 |w|^2 - rho + 1/(nu n) sum max(0, rho - w.phi(x)) is minimised by
 full-batch subgradient steps (step 1/t, averaged iterate); each step is one
-``mapInPandas`` pass that emits one partial sum per partition, summed by a
-grouped aggregate, so only a D+1 vector reaches the driver.  Finally rho is
+``mapInArrow`` pass over the rows, kept as blocks of numbers, that emits one
+partial sum per partition, summed by a grouped aggregate, so only a D+1 vector
+reaches the driver.  Finally rho is
 set to the nu-quantile of w.phi on the training rows (exact, distributed), so
 the training outlier share is nu.  ``score = rho - w.phi(x)`` (0 = own cut).
 """
@@ -17,15 +18,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tidewatch.functions.order_stats import group_quantiles
 
+BLOCK_NUMBERS = 1 << 20  # numbers of the rows kept as one block
+ROWS = 512               # rows whose features are in memory at once
+
 
 def _phi(X: np.ndarray, W: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(2.0 / W.shape[0]) * np.cos(X @ W.T + b)
+    out = X @ W.T
+    out += b
+    np.cos(out, out=out)
+    out *= np.sqrt(2.0 / W.shape[0])
+    return out
 
 
 def _stack(v: pd.Series) -> np.ndarray:
@@ -76,7 +85,21 @@ def fit_one_class_svm(df: DataFrame, vec: str, nu: float = 0.01, gamma="scale",
     rng = np.random.default_rng(seed)
     W = rng.normal(0.0, np.sqrt(2.0 * g), size=(n_features, d))
     b = rng.uniform(0.0, 2.0 * np.pi, size=n_features)
-    data = x.persist(StorageLevel.MEMORY_AND_DISK)
+    most = max(1, BLOCK_NUMBERS // max(d, 1))
+
+    def pack(batches):  # lists are turned into numbers once, not in every step
+        for batch in batches:
+            column = batch.column(0)
+            X = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), d)
+            yield pa.record_batch({"x": pa.array([X[s:s + most].tobytes() for s in range(0, len(X), most)], pa.binary())})
+
+    def blocks(batches):
+        for batch in batches:
+            for block in batch.column(0):
+                X = np.frombuffer(block.as_buffer(), dtype=np.float64).reshape(-1, d)
+                yield from (X[s:s + ROWS] for s in range(0, len(X), ROWS))
+
+    data = x.mapInArrow(pack, "x binary").persist(StorageLevel.MEMORY_AND_DISK)
     w = np.zeros(n_features)
     rho = 0.0
     w_avg, rho_avg = np.zeros(n_features), 0.0
@@ -87,17 +110,15 @@ def fit_one_class_svm(df: DataFrame, vec: str, nu: float = 0.01, gamma="scale",
         def partial(it, ww=ww, rr=rr):
             acc = np.zeros(n_features)
             cnt = 0
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                P = _phi(_stack(pdf["_x"]), W, b)
+            for X in blocks(it):
+                P = _phi(X, W, b)
                 viol = P @ ww < rr
-                acc += P[viol].sum(0)
+                acc += viol @ P
                 cnt += int(viol.sum())
             # one row per partition: the partial sum and, last, the violator count
-            yield pd.DataFrame({"s": [acc.tolist() + [float(cnt)]]})
+            yield pa.record_batch({"s": pa.array([acc.tolist() + [float(cnt)]], pa.list_(pa.float64()))})
 
-        parts = data.mapInPandas(partial, "s array<double>")
+        parts = data.mapInArrow(partial, "s array<double>")
         sums = parts.select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("v")).collect()
         vecsum = np.zeros(n_features + 1)
         for r in sums:
@@ -111,8 +132,12 @@ def fit_one_class_svm(df: DataFrame, vec: str, nu: float = 0.01, gamma="scale",
     model = OneClassSVMModel(W, b, w_avg, rho_avg, vec,
                              {"kernel": kernel, "gamma": gamma, "nu": nu, "n_features": n_features,
                               "seed": seed})
-    f = model.decision_udf()
-    vals = data.select(f(F.col("_x")).alias("wphi"), F.lit(0).alias("_g"))
+
+    def decisions(it):
+        for X in blocks(it):
+            yield pa.record_batch({"wphi": pa.array(_phi(X, W, b) @ w_avg)})
+
+    vals = data.mapInArrow(decisions, "wphi double").withColumn("_g", F.lit(0))
     qs = group_quantiles(vals, ["_g"], "wphi", [nu], few_groups=True).first()
     model.rho = float(qs["value"])
     data.unpersist()
