@@ -4,7 +4,7 @@ Conventions: ``score`` is high for anomalous rows and 0 is the model's own
 cut (``raw - offset``); ``predict`` without a threshold flags ``score > 0``
 (the library rule: a decision value of exactly 0 is an inlier), with a
 threshold it flags ``score >= threshold``.  Model state is a bounded table
-(forest nodes, random-feature weights, LOF fitted rows) written as Parquet
+(forest nodes, random-feature weights, LOF fitted rows and their neighbours) written as Parquet
 next to a one-row metadata table.
 """
 
@@ -94,7 +94,9 @@ class AnomalyDetector:
                 .write.mode("overwrite").parquet(f"{base}/weights")
         elif isinstance(m, LOFModel):
             m.fitted.write.mode("overwrite").parquet(f"{base}/fitted")
-            extra = {"k": m.k, "offset": m.offset}
+            if m.near is not None:
+                m.near.write.mode("overwrite").parquet(f"{base}/near")
+            extra = {"k": m.k, "offset": m.offset, "near": m.near is not None}
         threshold = None if self.threshold is None else float(self.threshold)
         meta = [(self.model_type, threshold, self.key, self.vec, json.dumps(self.params), json.dumps(extra))]
         spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{base}/meta")
@@ -117,7 +119,7 @@ class AnomalyDetector:
                                          r["rho"], det.vec)
         else:
             det.model = LOFModel(spark.read.parquet(f"{base}/fitted"), det.key, det.vec, extra["k"],
-                                 extra["offset"])
+                                 extra["offset"], spark.read.parquet(f"{base}/near") if extra.get("near") else None)
         return det
 
 

@@ -19,7 +19,8 @@ hold a nearer point, usually few or none.
 
 Equal vectors are one point with its smallest keys, on both sides, so copies
 make no distances; they are told apart again in the result.  Rows without a
-vector have no neighbours.
+vector have no neighbours.  The lists of nearest keys (``neighbour_lists``) can
+be kept: a later search among the same points takes them from there.
 
 Ties: distances are compared rounded to 9 decimals, then by key, so results
 are the same whatever the partitioning.
@@ -46,6 +47,8 @@ WIDE = 1 << 22         # numbers of the points of a group whose queries come ``B
 SUB = 512              # query rows per NumPy sub-batch
 DENSE = 0.25           # share of a block within reach from which cells are not told apart
 PART = 2048            # points screened at once then
+TILE = 1024            # the same in the kNN join: the products stay in the cache
+FEW = 1024             # queries of a group where more groups would only ship blocks again
 DIGITS = 9
 _SLACK = 1e-9
 
@@ -224,9 +227,9 @@ class Cells:
         """Pieces of (query, point, distance) within ``limit``, no cell left out."""
         Q32, squares = self._asked(part)
         huge = ~(squares < 1e30)  # beyond single precision
-        room = np.empty(len(part) * min(PART, len(self.X)), dtype=np.float32)
-        for a in range(0, len(self.X), PART):
-            rows = slice(a, min(a + PART, len(self.X)))
+        room = np.empty(len(part) * min(TILE, len(self.X)), dtype=np.float32)
+        for a in range(0, len(self.X), TILE):
+            rows = slice(a, min(a + TILE, len(self.X)))
             i, j = self._close(Q32, squares, limit, rows, room)
             if huge.any():
                 more = np.flatnonzero(huge)
@@ -576,28 +579,47 @@ class Blocks:
         return rows.select(*[F.col(c).alias(c) for c in rows.columns if c != "v"],
                            F.when(exact, short).alias("f"), F.when(~exact, F.col("v")).alias("v"))
 
-    def solve(self, queries: DataFrame, fn, schema, points: DataFrame | None = None, ask: int | None = None) -> DataFrame:
+    def solve(self, queries: DataFrame, fn, schema, points: DataFrame | None = None, ask: int | None = None,
+              even: bool = False) -> DataFrame:
         """``fn(queries, points)`` (Arrow tables) for every (leaf, chunk), where
         at most about ``ask`` (``BLOCK``) queries meet a block at once.  ``points`` stands
         in for ``self.points`` (rows of it, with other columns).  Queries are not
-        written: which blocks a row goes to is found again for the shuffle."""
-        many = queries.groupBy("leaf", "chunk").agg(F.ceil(F.count(F.lit(1)) / F.lit(ask or min(self.block, BLOCK))).cast("int").alias("parts"))
-        many = materialize(many, "parts") if len(self.tree.first) > 1 else many
+        written: which blocks a row goes to is found again for the shuffle.
+
+        ``even`` is for groups that take long for their size: they are dealt to
+        partitions by their number, and take fewer queries where there would be
+        fewer groups than tasks that run at once."""
+        ask = ask or min(self.block, BLOCK)
+        many = queries.groupBy("leaf", "chunk").agg(F.count(F.lit(1)).alias("n"))
+        many = materialize(many, "parts") if even or len(self.tree.first) > 1 else many
+        if even:
+            at_once = many.sparkSession.sparkContext.defaultParallelism
+            ask = min(ask, max(FEW, -(-(many.agg(F.sum("n")).first()[0] or 0) // at_once)))
+        many = many.select("leaf", "chunk", F.ceil(F.col("n") / F.lit(ask)).cast("int").alias("parts"))
         part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
         left = self.short(queries).join(F.broadcast(many), ["leaf", "chunk"]).withColumn("part", part).drop("parts")
         right = self.short(self.points if points is None else points).join(F.broadcast(many), ["leaf", "chunk"])
         right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         left, right = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (left, right))  # names of their own, both sides may be one table
         by = ["leaf", "chunk", "part"]
+        if even:
+            tasks = min(4 * (many.agg(F.sum("parts")).first()[0] or 1), 16 * at_once)
+            left, right = left.repartition(tasks, *by), right.repartition(tasks, *by)
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(fn, schema)
 
 
 def _points(df: DataFrame, key: str, vec: str, keys: int) -> DataFrame:
-    """(id, v, keys): distinct vectors with their ``keys`` smallest keys."""
-    rows = df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"), F.col(key).alias("key"))
-    nth = Window.partitionBy("v").orderBy("key")
-    least = rows.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") <= keys)
-    return least.groupBy("v").agg(F.min("key").alias("id"), F.sort_array(F.collect_list("key")).alias("keys"))
+    """(h, v, id, keys): distinct vectors with their ``keys`` smallest keys; the
+    hash ``h`` goes first where vectors are sorted."""
+    rows = _hashed(df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"), F.col(key).alias("key")))
+    same = Window.partitionBy("h", "v")
+    least = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.asc_nulls_last("key")))).where(F.col("_nth") <= keys)
+    least = least.withColumn("keys", F.sort_array(F.collect_list("key").over(same))).where(F.col("_nth") == 1)
+    return least.select("h", "v", F.get("keys", F.lit(0)).alias("id"), "keys")
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("h", F.xxhash64("v"))
 
 
 def _block(df: DataFrame, n_pivots: int | None) -> int | None:
@@ -649,39 +671,66 @@ def _knn_in_block(need: int, d: int, first: bool):
     return solve
 
 
-def knn(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, exclude_self: bool = False,
-        n_pivots: int | None = None, seed: int = DEFAULT_SEED) -> DataFrame:
-    """The k nearest ``ref`` rows of every ``query`` row:
-    (q_key, r_key, dist, rank), rank 1..k by (distance rounded to 9 dp, key).
+def neighbour_lists(query: DataFrame, ref: DataFrame, key: str, vec: str, need: int, n_pivots: int | None = None,
+                    seed: int = DEFAULT_SEED, known: DataFrame | None = None) -> DataFrame:
+    """(h, v, found): for every distinct vector of ``query`` (and those of
+    ``known``) its ``need`` nearest ``ref`` rows, (key, dist) by (distance rounded
+    to 9 dp, key).
 
-    ``n_pivots`` aims at that many leaves or more, where blocks are to be
-    smaller than ``BLOCK``."""
-    need = k + 1 if exclude_self else k
+    ``known`` holds such lists of the same ``ref`` rows, of ``need`` or more
+    rows each: vectors that are there are not searched again."""
     kind, q_kind = (x.schema[key].dataType.simpleString() for x in (ref, query))
+    asked = None
+    if known is not None:
+        known = known.select("h", "v", F.slice("found", 1, need).alias("found"))
+        asked = materialize(_points(query, key, vec, 1).select("h", "v", "id").join(known.select("h", "v"), ["h", "v"], "left_anti"), "asked")
+        if asked.isEmpty():
+            return known
     refs = materialize(_points(ref, key, vec, need), "ref_points")
-    asked = refs.select("id", "v") if query is ref else _points(query, key, vec, 1).select("id", "v")
-    blocks = Blocks(refs, _block(refs, n_pivots), seed)
+    if asked is None:
+        asked = refs.drop("keys") if query is ref else _points(query, key, vec, 1).drop("keys")
+    asked = asked.select("id", "v")
+    blocks = Blocks(refs.drop("h"), _block(refs, n_pivots), seed)
     one = f"found array<struct<rd:double,key:{kind},dist:double>>"
     first = blocks.solve(blocks.own(asked), _knn_in_block(need, blocks.d, True), f"id {q_kind}, v array<double>, leaf int, chunk int, {one}",
-                         ask=max(1, min(blocks.block, BLOCK) // 2))  # few blocks: enough tasks all the same
-    first = materialize(first, "own_blocks")
+                         ask=max(1, min(blocks.block, BLOCK) // 2), even=True)
     if len(blocks.tree.first) > 1 or blocks.chunks:
+        first = materialize(first, "own_blocks")
         kth = F.when(F.size("found") >= need, F.element_at("found", need)["dist"]).otherwise(F.lit(float("inf")))
         rest = blocks.within(first.select("id", "v", kth.alias("bound"), F.col("leaf").alias("_leaf"), F.col("chunk").alias("_chunk")), F.col("bound"))
         rest = rest.where("leaf <> _leaf or chunk <> _chunk").drop("_leaf", "_chunk")
-        more = blocks.solve(rest, _knn_in_block(need, blocks.d, False), f"id {q_kind}, {one}")
+        more = blocks.solve(rest, _knn_in_block(need, blocks.d, False), f"id {q_kind}, {one}", even=True)
         more = more.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("more"))
         merged = F.slice(F.sort_array(F.concat("found", F.coalesce("more", F.array()))), 1, need)
         first = first.join(more, "id", "left").select("v", F.when(F.col("more").isNull(), F.col("found")).otherwise(merged).alias("found"))
-    rows = query.where(F.col(vec).isNotNull()).select(F.col(key).alias("q_key"), F.col(vec).cast("array<double>").alias("v"))
+    out = _hashed(first).select("h", "v", F.transform("found", lambda x: F.struct(x["key"].alias("key"), x["dist"].alias("dist"))).alias("found"))
+    out = materialize(out, "lists")
+    return out if known is None else known.unionByName(out)
+
+
+def ranked(lists: DataFrame, query: DataFrame, key: str, vec: str, k: int, exclude_self: bool = False) -> DataFrame:
+    """(q_key, r_key, dist, rank) of every ``query`` row from the lists of the vectors."""
+    rows = _hashed(query.where(F.col(vec).isNotNull()).select(F.col(key).alias("q_key"), F.col(vec).cast("array<double>").alias("v")))
     best = F.col("found")
     if exclude_self:
         best = F.expr("filter(found, x -> x.key <> q_key)")
-    out = rows.join(first.select("v", "found"), "v").select("q_key", F.posexplode(F.slice(best, 1, k)).alias("_at", "b"))
+    out = rows.join(lists, ["h", "v"]).select("q_key", F.posexplode(F.slice(best, 1, k)).alias("_at", "b"))
     out = out.select("q_key", F.col("b.key").alias("r_key"), F.col("b.dist").alias("dist"), (F.col("_at") + 1).alias("rank"))
     return materialize(out, "neighbours")
 
 
+def knn(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, exclude_self: bool = False,
+        n_pivots: int | None = None, seed: int = DEFAULT_SEED, known: DataFrame | None = None) -> DataFrame:
+    """The k nearest ``ref`` rows of every ``query`` row:
+    (q_key, r_key, dist, rank), rank 1..k by (distance rounded to 9 dp, key).
+
+    ``n_pivots`` aims at that many leaves or more, where blocks are to be
+    smaller than ``BLOCK``.  ``known``: see ``neighbour_lists``."""
+    need = k + 1 if exclude_self else k
+    lists = neighbour_lists(query, ref, key, vec, need, n_pivots, seed, known)
+    return ranked(lists, query, key, vec, k, exclude_self)
+
+
 def radius_join(query: DataFrame, ref: DataFrame, key: str, vec: str, eps: float,
                 n_pivots: int | None = None, seed: int = DEFAULT_SEED) -> DataFrame:
     """Every (query, ref) pair with distance <= eps (self pairs included)."""
